@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphward.llm.packing import pack_digests
 from glyphward.llm.simhash_ball import near_duplicates
 from glyphward.llm.tables import table
 
@@ -22,3 +23,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed public tokenizers keep a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, packed into sequences of at most 4096 tokens."""
+    return pack_digests(table(spark, sf_dir, "documents"), tokenizer_path())
