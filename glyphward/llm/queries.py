@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glyphward.llm.packing import pack_digests
+from glyphward.llm.quality_cnn import fit_quality, score_quality
 from glyphward.llm.simhash_ball import near_duplicates
-from glyphward.llm.tables import table
+from glyphward.llm.tables import fold_of, table
+from glyphward.llm.toxicity_crf import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +39,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, packed into sequences of at most 4096 tokens."""
     return pack_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def _held_out(folds: int, fold: int):
+    return F.coalesce(fold_of("doc_id", folds) == fold, F.lit(False)).alias("held_out")
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, with the number of offending spans."""
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", _held_out(4, 2), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.size("toxicity.spans").alias("n_spans"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _held_out(3, 1), F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
