@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphward.llm.html_paths import extract_main_text
 from glyphward.llm.packing import pack_digests
 from glyphward.llm.quality_cnn import fit_quality, score_quality
 from glyphward.llm.simhash_ball import near_duplicates
@@ -60,3 +61,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs.select("doc_id", "text"), fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", _held_out(3, 1), F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
