@@ -47,54 +47,55 @@ class Field:
     calibration: tuple[float, float, float]
 
 
-def toxic_features(docs: list[set[str]], y: np.ndarray) -> set[str]:
+def toxic_features(texts: list[str], y: np.ndarray) -> set[str]:
     """Features that occur in documents of label 1 only (2 % of others allowed), in more of them than chance explains at 5 % over all features."""
     ones, zeros = Counter(), Counter()
-    for found, label in zip(docs, y, strict=True):
-        (ones if label else zeros).update(found)
+    for text, label in zip(texts, y, strict=True):
+        if label:
+            ones.update({f for w in set(text.lower().split()) for f in features(w)})
     a, b = int(y.sum()), int((1 - y).sum())
     if not a or not b:
         return set()
     least = max(3.0, math.log(max(len(ones), 2) / 0.05) / math.log((a + b) / a))
-    return {f for f, n in ones.items() if n >= least and zeros[f] / b <= 0.02 * n / a}
+    ones = {f: n for f, n in ones.items() if n >= least}
+    for text, label in zip(texts, y, strict=True):
+        if not label:
+            zeros.update({f for w in set(text.lower().split()) for f in features(w) if f in ones})
+    return {f for f, n in ones.items() if zeros[f] / b <= 0.02 * n / a}
 
 
 def fit(sample: Sample, seed: int = 7) -> Field:
     """Label the words of the sample, fit the field to windows of them and calibrate document scores."""
-    split = [t.lower().split() for t in sample.texts]
-    per_word: dict[str, list[str]] = {}
-    for words in split:
-        for w in words:
-            if w not in per_word:
-                per_word[w] = features(w)
-    bad = toxic_features([{f for w in set(words) for f in per_word[w]} for words in split], sample.y)
-    toxic_word = {w: any(f in bad for f in fs) for w, fs in per_word.items()}
-
+    bad = toxic_features(sample.texts, sample.y)
     rng = np.random.default_rng(seed)
     windows: list[tuple[list[str], list[int]]] = []
-    for words, label in zip(split, sample.y, strict=True):
-        hits = [i for i, w in enumerate(words) if label and toxic_word[w]][:6]
-        for i in [*hits, *rng.integers(0, max(1, len(words)), 2)]:
+    for text, label in zip(sample.texts, sample.y, strict=True):
+        words = text.lower().split()
+        toxic = [bool(label) and any(f in bad for f in features(w)) for w in words] if label else [False] * len(words)
+        for i in [*[i for i, x in enumerate(toxic) if x][:6], *rng.integers(0, max(1, len(words)), 2)]:
             at = max(0, int(i) - int(rng.integers(0, WINDOW)))
-            part = words[at : at + WINDOW]
-            if part:
-                windows.append((part, [int(label and toxic_word[w]) for w in part]))
-    seen = Counter(f for part, _ in windows for w in part for f in per_word[w])
+            if words[at : at + WINDOW]:
+                windows.append((words[at : at + WINDOW], [int(x) for x in toxic[at : at + WINDOW]]))
+    seen = Counter(f for part, _ in windows for w in part for f in features(w))
     index = {f: i + 1 for i, f in enumerate(f for f, n in seen.items() if n > 1)}
+    del seen
     ids = np.zeros((len(windows), WINDOW, 1 + len(PREFIXES)), np.int32)
     gold, mask = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), bool)
     for r, (part, labels) in enumerate(windows):
         gold[r, : len(part)], mask[r, : len(part)] = labels, True
         for t, w in enumerate(part):
-            for k, f in enumerate(per_word[w]):
+            for k, f in enumerate(features(w)):
                 ids[r, t, k] = index.get(f, 0)
+    del windows
     w, bias, start, steps = _likelihood(ids, gold, mask, len(index) + 1)
     field = Field({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, bias, start, steps, (0.0, 0.0, 0.0))
 
-    peak, count = Scorer(field).summaries(split)
+    scorer, parts = Scorer(field), [np.empty((0, 2))]
+    for at in range(0, len(sample.texts), 100):
+        parts.append(np.stack(scorer.summaries([t.lower().split() for t in sample.texts[at : at + 100]]), axis=1))
     balance = np.where(sample.y == 1, sample.prior / max(sample.y.mean(), 1e-9), (1 - sample.prior) / max(1 - sample.y.mean(), 1e-9))
     if len(set(sample.y)) > 1:
-        field.calibration = tuple(logistic(np.c_[peak, count], sample.y, balance))
+        field.calibration = tuple(logistic(np.concatenate(parts), sample.y, balance).tolist())
     else:
         field.calibration = (0.0, 0.0, math.log(max(sample.prior, 1e-6) / max(1 - sample.prior, 1e-6)))
     return field
@@ -276,7 +277,7 @@ def toxicity(field: Field) -> Callable:
     return crf
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, toxic_docs: int = 1500, clean_docs: int = 4500) -> Field:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, toxic_docs: int = 1200, clean_docs: int = 3000) -> Field:
     """Fit on at most ``toxic_docs`` and ``clean_docs`` labelled documents outside the held-out fold."""
     return fit(labelled_sample(docs, labels, "toxic", folds, held_out, {1: toxic_docs, 0: clean_docs}))
 
