@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphward.llm.ann_mih import nearest_neighbours
+from glyphward.llm.chat_collapse import collapse_and_render
 from glyphward.llm.html_paths import extract_main_text
+from glyphward.llm.mixing_ipf import DIMENSIONS, FLATTEN, ROUNDS, calibrated
 from glyphward.llm.packing import pack_digests
 from glyphward.llm.quality_cnn import fit_quality, score_quality
+from glyphward.llm.sharding import shard_by_bytes
 from glyphward.llm.simhash_ball import near_duplicates
 from glyphward.llm.tables import fold_of, table
 from glyphward.llm.toxicity_crf import fit_toxicity, score_toxicity
@@ -100,3 +103,74 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors by cosine of every fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op2_chat_formatting"] = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM turns
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, list(role ORDER BY place) AS roles, list(text ORDER BY place) AS texts,
+    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY place) AS text
+  FROM placed GROUP BY conv_id
+), one AS (
+  SELECT min(conv_id) AS conv_id, n_turns, roles, texts, count(*) AS copies FROM whole GROUP BY n_turns, roles, texts
+), prefixes AS (
+  SELECT DISTINCT n.n AS n_turns, roles[1:n.n] AS roles, texts[1:n.n] AS texts
+  FROM whole, LATERAL (SELECT unnest(range(1, n_turns)) AS n) n
+)
+SELECT o.conv_id, o.n_turns, o.copies, w.text
+FROM one o JOIN whole w USING (conv_id)
+WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.n_turns = o.n_turns AND p.roles = o.roles AND p.texts = o.texts)
+"""
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, raked weight, probability and draw of every document."""
+    mixed = calibrated(table(spark, sf_dir, "documents"))
+    cell = [F.col(f"cell.{c}").alias(c) for c in (*DIMENSIONS, "tokens")]
+    return mixed.select("doc_id", *cell, F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "drawn")
+
+
+def _mixing_sql() -> str:
+    steps = ["""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents
+), marked AS (
+  SELECT doc_id, source, lang,
+    CASE WHEN contains(text, ' | ') OR contains(text, '{') THEN 'structured' WHEN contains(text, '@') OR contains(text, '://') THEN 'contact'
+      WHEN contains(text, '?') THEN 'question' WHEN length(text) < 800 THEN 'short prose' WHEN length(text) < 4000 THEN 'prose' ELSE 'long prose' END AS topic,
+    CAST(greatest(1, ceil(length(text) / 4)) AS BIGINT) AS tokens,
+    CAST('0x' || substring(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), md5(text))), 1, 12) AS BIGINT) / 281474976710656.0 AS draw
+  FROM docs
+), r0 AS (
+  SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight FROM marked GROUP BY ALL
+)"""]
+    for d in DIMENSIONS:
+        steps.append(f"t_{d} AS (SELECT {d}, power(sum(tokens), {FLATTEN}) / sum(power(sum(tokens), {FLATTEN})) OVER () AS share FROM r0 GROUP BY {d})")
+    n = 0
+    for _ in range(ROUNDS):
+        for d in DIMENSIONS:
+            steps.append(f"r{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * share / sum(weight) OVER (PARTITION BY {d}) AS weight FROM r{n} JOIN t_{d} USING ({d}))")
+            n += 1
+    steps.append(f"cells AS (SELECT source, lang, topic, weight / sum(weight) OVER () AS weight, (weight / tokens) / max(weight / tokens) OVER () AS probability FROM r{n})")
+    return ",\n".join(steps) + """
+SELECT doc_id, m.source, m.lang, m.topic, m.tokens, round(c.weight, 6) AS weight, round(c.probability, 6) AS probability, m.draw < c.probability AS drawn
+FROM marked m JOIN cells c USING (source, lang, topic)"""
+
+
+ORACLES["op8_mixing"] = _mixing_sql()
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by bytes, over forty shards."""
+    return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
