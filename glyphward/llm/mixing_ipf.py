@@ -3,7 +3,8 @@
 Documents are counted in cells of source, language and topic. Raking multiplies the token weight of
 every cell in turn by what each marginal lacks, until the weighted tokens have the target marginals.
 A document is then kept with the probability that its cell's weight calls for, scaled so that the
-largest is one; the draw is a hash of its id, so it is the same in every run and on every machine.
+wanted share of all tokens is expected to stay; a cell that would need more than it has gives all,
+and the others make up for it. The draw is a hash of the id, the same in every run and everywhere.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from pyspark.sql import functions as F
 from glyphward.llm.tables import save
 
 ROUNDS = 12
-FLATTEN = 0.5  # targets are proportional to tokens to this power, unless they are given
-SALTS = 64
+FLATTEN = 0.75  # targets are proportional to tokens to this power, unless they are given
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -84,23 +84,38 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 1.0, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+def inclusion(raked: DataFrame, keep: float) -> DataFrame:
+    """``raked`` with column probability: min(1, c * weight / tokens), c such that the expected tokens are ``keep`` of all.
+
+    Cells stand in order of falling weight for each token. If those before a cell give all they have,
+    the rest must share what is still wanted by weight; the first cell that this leaves at one or
+    below tells c.
+    """
+    rate = F.col("weight") / F.col("tokens")
+    every = Window.partitionBy(F.lit(0))
+    order = every.orderBy(rate.desc(), *DIMENSIONS)
+    given = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sharing = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    now = raked.withColumn("place", F.row_number().over(order)).withColumn("c", (F.lit(float(keep)) * F.sum("tokens").over(every) - given) / F.nullif(sharing, F.lit(0.0)))
+    c = F.min_by("c", F.when(F.col("c") * rate <= 1, F.col("place"))).over(every)
+    return now.withColumn("probability", F.when(F.col("weight") > 0, F.coalesce(F.least(F.lit(1.0), c * rate), F.lit(1.0))).otherwise(F.lit(0.0))).drop("place", "c")
+
+
+def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """``docs`` with columns cell (source, lang, topic, tokens), weight, probability and drawn.
 
-    probability: the raked weight for each token of the cell, divided by the largest over all cells
-    (which thereby keeps all its documents) and times ``keep``. Repeated rows share their draw. Null
-    texts count as empty, one token. Other columns stay. No rows give no rows.
+    probability: that of :func:`inclusion` for the document's cell. Repeated rows share their draw.
+    Null texts count as empty, one token. Other columns stay. No rows give no rows.
     """
     marked = with_cells(docs)
     sums = marked.groupBy("cell.source", "cell.lang", "cell.topic").agg(F.sum("cell.tokens").alias("tokens"))
-    rate = F.col("weight") / F.col("tokens")
-    cells = save(rake(sums, targets, rounds).withColumn("probability", F.least(F.lit(1.0), F.lit(float(keep)) * F.coalesce(rate / F.nullif(F.max(rate).over(Window.partitionBy(F.lit(0))), F.lit(0.0)), F.lit(0.0)))), "cells")
+    cells = save(inclusion(rake(sums, targets, rounds), keep), "cells")
     cells = cells.select(F.struct(*DIMENSIONS).alias("at"), "weight", "probability")
     at = F.struct(*(F.col(f"cell.{d}").alias(d) for d in DIMENSIONS))
     joined = marked.join(cells, at == F.col("at")).drop("at")
     return joined.withColumn("drawn", draw(F.col("doc_id"), F.col("text"), seed) < F.col("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 1.0, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """The documents drawn by :func:`calibrated`, with the columns of ``docs``."""
     return calibrated(docs, targets, keep, rounds, seed).where("drawn").select(*docs.columns)

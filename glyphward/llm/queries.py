@@ -161,7 +161,14 @@ WITH docs AS (
         for d in DIMENSIONS:
             steps.append(f"r{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * share / sum(weight) OVER (PARTITION BY {d}) AS weight FROM r{n} JOIN t_{d} USING ({d}))")
             n += 1
-    steps.append(f"cells AS (SELECT source, lang, topic, weight / sum(weight) OVER () AS weight, (weight / tokens) / max(weight / tokens) OVER () AS probability FROM r{n})")
+    steps.append(f"""raked AS MATERIALIZED (SELECT source, lang, topic, tokens, weight / sum(weight) OVER () AS weight FROM r{n}
+), placed AS (
+  SELECT *, row_number() OVER o AS place,
+    (0.5 * sum(tokens) OVER () - coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+  FROM raked WINDOW o AS (ORDER BY weight / tokens DESC, source, lang, topic)
+), cells AS (
+  SELECT source, lang, topic, weight, least(1.0, (SELECT arg_min(c, place) FROM placed WHERE c * weight / tokens <= 1) * weight / tokens) AS probability FROM placed
+)""")
     return ",\n".join(steps) + """
 SELECT doc_id, m.source, m.lang, m.topic, m.tokens, round(c.weight, 6) AS weight, round(c.probability, 6) AS probability, m.draw < c.probability AS drawn
 FROM marked m JOIN cells c USING (source, lang, topic)"""
