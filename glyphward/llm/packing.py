@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphward.llm.tables import save
+from glyphward.llm.worker import held
 
-MAX_CACHED_WORDS = 250_000  # of a Python worker; the caches start anew beyond it
+MAX_CACHED_WORDS = 150_000  # of a Python worker; the caches start anew beyond it
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, part int, nth long"
 
 
@@ -78,9 +79,6 @@ class WordTokens:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_tokens: dict[str, WordTokens] = {}  # of this Python worker
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, part, nth): the tokens of each document and ``end_id``, cut every ``capacity`` tokens.
 
@@ -91,9 +89,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _tokens:
-            _tokens[tokenizer_path] = WordTokens(tokenizer_path)
-        encode, part, counts = _tokens[tokenizer_path].encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        words = held(("tokens", tokenizer_path), lambda: WordTokens(tokenizer_path))
+        encode, part, counts = words.encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0), b.column(1), strict=True):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphward.llm.labelled import Sample, labelled_sample, logistic, sigmoid
+from glyphward.llm.worker import held
 
 WIDTH = 6  # bytes under a filter; even, as scoring looks bytes up in pairs
 FILTERS = 16
@@ -137,19 +138,13 @@ def fit(sample: Sample, chunks_each: int = 4, epochs: int = 8, batch: int = 128,
     return net
 
 
-_scorers: dict[int, Scorer] = {}  # of this Python worker, by the model's number
-
-
 def quality(net: Network) -> Callable:
     """A column function: binary UTF-8 text -> probability of label 1 by ``net``."""
     number = hash((net.table.tobytes(), net.calibration.tobytes()))
 
     @F.arrow_udf("double")
     def cnn(text: pa.Array) -> pa.Array:
-        if number not in _scorers:
-            _scorers.clear()
-            _scorers[number] = Scorer(net)
-        return pa.array(_scorers[number].score([t.as_py() or b"" for t in text]), pa.float64())
+        return pa.array(held(("quality", number), lambda: Scorer(net)).score([t.as_py() or b"" for t in text]), pa.float64())
 
     return cnn
 

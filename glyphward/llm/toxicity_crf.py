@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphward.llm.labelled import Sample, labelled_sample, logistic, sigmoid
+from glyphward.llm.worker import held
 
 PREFIXES = (4, 5, 6, 7)
 WINDOW = 48  # words in a training sequence
 BLOCK = 128  # words in a block of the scan
 MANY = 400_000  # words that are scanned together
-MAX_CACHED_WORDS = 300_000
+SLICE = 1 << 21  # characters of texts that are split into words together
+MAX_CACHED_WORDS = 120_000
 SPAN_AT = 0.5  # marginal from which a word is reported
 SCHEMA = "struct<score:double,spans:array<struct<start:int,end:int,marginal:double>>>"
 
@@ -243,8 +245,18 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
         """Scores, and the offending spans as code-point offsets with their marginals."""
-        split = [(t or "").lower().split() for t in texts]
         spans: list[list[dict]] = [[] for _ in texts]
+        scores = np.empty(len(texts))
+        start, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= SLICE or i + 1 == len(texts):  # words of a slice at a time are held
+                scores[start : i + 1] = self._score(texts[start : i + 1], spans, start)
+                start, size = i + 1, 0
+        return scores, spans
+
+    def _score(self, texts: list[str | None], spans: list[list[dict]], offset: int) -> np.ndarray:
+        split = [(t or "").lower().split() for t in texts]
         peak, count = np.full(len(split), -12.0), np.zeros(len(split))
         for at, p, first in self.marginals(split):
             top = np.clip(np.maximum.reduceat(p, first), 1e-6, 1 - 1e-6)
@@ -253,12 +265,9 @@ class Scorer:
             for k in np.flatnonzero(top >= SPAN_AT):
                 end = first[k + 1] if k + 1 < len(first) else len(p)
                 hits = {int(i): float(p[first[k] + i]) for i in np.flatnonzero(p[first[k] : end] >= SPAN_AT)}
-                spans[at[k]] = [{"start": w.start(), "end": w.end(), "marginal": hits[i]} for i, w in enumerate(re.finditer(r"\S+", texts[at[k]])) if i in hits]
+                spans[offset + at[k]] = [{"start": w.start(), "end": w.end(), "marginal": hits[i]} for i, w in enumerate(re.finditer(r"\S+", texts[at[k]])) if i in hits]
         a, b, c = self.field.calibration
-        return sigmoid(a * peak + b * count + c), spans
-
-
-_scorers: dict[int, Scorer] = {}  # of this Python worker, by the model's number
+        return sigmoid(a * peak + b * count + c)
 
 
 def toxicity(field: Field) -> Callable:
@@ -267,10 +276,7 @@ def toxicity(field: Field) -> Callable:
 
     @F.arrow_udf(SCHEMA)
     def crf(text: pa.Array) -> pa.Array:
-        if number not in _scorers:
-            _scorers.clear()
-            _scorers[number] = Scorer(field)
-        scores, spans = _scorers[number].score(text.to_pylist())
+        scores, spans = held(("toxicity", number), lambda: Scorer(field)).score(text.to_pylist())
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, kinds)], names=["score", "spans"])
 
