@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphward.functions.text import let, lstrip, regex, strip, truncated
 
@@ -39,7 +41,6 @@ SEAMS = (
 )
 NOTHING_LEFT = "nothing is left: the whole text was made of risky phrases."
 WELL_BEHAVED = "the text was fine already; spacing only."
-REWRITE = "struct<rewritten:string,notes:array<string>,diff:array<string>>"
 
 
 def secret_kind(excerpt: Column) -> Column:
@@ -103,17 +104,20 @@ def capitalised(text: Column) -> Column:
     return let(let(text, starts), opening)
 
 
-@F.arrow_udf("array<string>")
-def _diff(before: pa.Array, after: pa.Array, label: pa.Array) -> pa.Array:
-    def lines(a: str | None, b: str | None, to: str) -> list[str]:
-        return list(difflib.unified_diff((a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True), fromfile="original", tofile=to, n=2))
+def with_unified_diff(df: DataFrame, before: str, after: str, label: str, out: str = "diff") -> DataFrame:
+    """``df`` with array column ``out``: the lines of a unified diff of two of its columns, two lines around each change."""
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))])
 
-    return pa.array([lines(*row) for row in zip(before.to_pylist(), after.to_pylist(), label.to_pylist(), strict=True)], pa.list_(pa.string()))
+    def lines(a: str | None, b: str | None) -> list[str]:
+        return list(difflib.unified_diff((a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True), fromfile="original", tofile=label, n=2))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(names.index(before)).to_pylist(), batch.column(names.index(after)).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([lines(*p) for p in pairs], pa.list_(pa.string()))], names=[*names, out])
 
-def unified_diff(before: Column, after: Column, label: str = "safer remix") -> Column:
-    """Lines of a unified diff with two lines around each change."""
-    return _diff(before, after, F.lit(label))
+    return df.mapInArrow(run, schema)
 
 
 NO_NOTES = "array<string>"
@@ -141,9 +145,12 @@ def _without_filler(state: Column) -> Column:
         n = F.size(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)))
         return F.struct(F.regexp_replace(s["text"], pattern, " ").alias("text"), s["notes"].alias("notes"), (s["filler"] + n).alias("filler"))
 
+    def passing(before: Column, pattern: str) -> Column:
+        return let(before, lambda s: step(s, pattern))
+
     state = let(state, lambda s: F.struct(s["text"].alias("text"), s["notes"].alias("notes"), F.lit(0).alias("filler")))
     for p in FLUFF:
-        state = let(state, lambda s, p=p: step(s, regex(p, True)))
+        state = passing(state, regex(p, True))
 
     def noted(s: Column) -> Column:
         line = F.concat(F.lit("trimmed "), s["filler"].cast("string"), F.when(s["filler"] == 1, " filler word").otherwise(" filler words"))
