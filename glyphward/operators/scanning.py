@@ -108,8 +108,13 @@ def scan_routed(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def explode_findings(scanned: DataFrame, *keys: str) -> DataFrame:
-    """A row for each finding, with its position from 0."""
-    return scanned.select(*keys, F.posexplode("findings").alias("position", "finding")).select(*keys, "position", "finding.*")
+    """A row for each finding, with its position from 0.
+
+    The array goes through a filter that keeps everything: of a plain column the optimizer would
+    pull every field that is used out below the generator, and so scan the text once for each.
+    """
+    whole = F.filter("findings", lambda f: f["id"].isNotNull())
+    return scanned.select(*keys, F.posexplode(whole).alias("position", "finding")).select(*keys, "position", "finding.*")
 
 
 def register_rule(rule: Rule, pack: str = DEFAULT) -> None:

@@ -59,7 +59,7 @@ def _literal(text: str) -> str:
 
 
 # Syntax that Java reads as Python does. Anything else, and whatever can match the empty string, is left to Python.
-_SHARED = re.compile(r"(?:[^\\()\[\]{}|*+?^$]|\\[dDwWsSbB.\-+*?()\[\]{}|^$/]|\((?:\?:)?|\)|\[\^?[A-Za-z0-9_.@ %+-]+\]|\{\d+(?:,\d*)?\}|[|*+?^$])*")
+_SHARED = re.compile(r"(?:[^\\()\[\]{}|*+?^$]|\\[dDwWsSbB.\-+*?()\[\]{}|^$/]|\((?!\?)|\(\?:|\)|\[\^?[A-Za-z0-9_.@ %+-]+\]|\{\d+(?:,\d*)?\}|[|*+?^$])*")
 
 
 def runs_in_java(pattern: str) -> bool:

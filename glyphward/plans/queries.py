@@ -19,7 +19,8 @@ from glyphward.packs import prompt_safety as ps
 from glyphward.packs.personal_info import PersonalInfoPack
 from glyphward.plans import duck
 from glyphward.plans.seeds import MARKDOWN, PROMPTS, quoted, seed
-from glyphward.sources.files import table
+from glyphward.sources.files import spread
+from glyphward.sources.files import table as read_table
 from glyphward.sources.templates import body, header, slugify, templates_df, title_of
 from glyphward.sources.traces import scan_trace, trace_text
 from glyphward.streaming.scans import scan_stream, to_parquet
@@ -31,6 +32,14 @@ PII = next(r for r in ps.RULES if r.id == "pii_and_secrets")
 PERSONAL = {"strings": {"words": ["anea", "The and"], "accounts": ["@mail"]}, "regex": {"numbers": [r"\b\d{3}-\d{4}\b"], "broken": ["(unclosed"]}}
 
 
+TEXTS = ("documents", "pages", "conversations")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, name)
+    return spread(rows) if name in TEXTS else rows
+
+
 def add(name: str, run: Query, sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql:
@@ -284,7 +293,7 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphward-stream-")
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "documents").schema
+    schema = read_table(spark, sf_dir, "documents").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/documents.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet")
     query = to_parquet(scan_stream(source).select("doc_id", "findings"), f"{base}/out", f"{base}/state", once=True)
     query.awaitTermination()

@@ -28,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL = 16 << 20  # bytes of a table for each core, below which it is dealt anew
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is so small that its files would keep only a few of them busy.
+
+    Scanning text is bound by the processor, and a small table is often one file with one row group.
+    Larger tables are left as they are: they have splits enough, and no shuffle is worth their bytes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A JSON object to a line; null fields are left out."""
     df.write.json(path)
