@@ -48,7 +48,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     once, repeated = (save(leaders.join(often, leaders.doc_id == often.id, how).select("doc_id"), "leaders") for how in ("left_anti", "left_semi"))
     same = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return docs.join(once, "doc_id", "left_semi").unionByName(same).unionByName(nameless).select(*docs.columns)
+    # merged at every size: the ids grow with the documents, so they are no table to broadcast
+    return docs.join(once.hint("merge"), "doc_id", "left_semi").unionByName(same).unionByName(nameless).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
