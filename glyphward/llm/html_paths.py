@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphward.llm.tables import small_batches
+
 # Tags and words by which pages mark what is not article text.
 SKIPPED = frozenset("script style noscript template iframe svg math canvas object audio video head title select option textarea button datalist".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -191,4 +193,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     def text_of(column: pa.Array) -> pa.Array:
         return pa.array([main_text(x) for x in column.to_pylist()], pa.string())
 
-    return pages.select("page_id", "url", text_of(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return small_batches(pages).select("page_id", "url", text_of(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

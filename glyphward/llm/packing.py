@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphward.llm.tables import save
+from glyphward.llm.tables import save, small_batches
 from glyphward.llm.worker import held
 
-MAX_CACHED_WORDS = 150_000  # of a Python worker; the caches start anew beyond it
+MAX_CACHED_WORDS = 80_000  # of a Python worker; the caches start anew beyond it
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, part int, nth long"
 
 
@@ -100,12 +100,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                     length = min(capacity, n - at)
                     rows.append((doc_id, at, length, ids[4 * at : 4 * (at + length)], n, part, int(counts[length])))
                     counts[length] += 1
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield _piece_batch(rows)
                     rows = []
             yield _piece_batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:

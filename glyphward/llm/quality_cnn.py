@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphward.llm.labelled import Sample, labelled_sample, logistic, sigmoid
+from glyphward.llm.tables import small_batches
 from glyphward.llm.worker import held
 
 WIDTH = 6  # bytes under a filter; even, as scoring looks bytes up in pairs
 FILTERS = 16
 SEGMENT = 256  # a chunk is two segments, so chunks overlap by half
 STRIPE = 64 * SEGMENT  # bytes that are convolved at once
-MANY = 4 << 20  # bytes of texts that are scored together
+MANY = 1 << 20  # bytes of texts that are scored together
 
 
 @dataclass
@@ -159,4 +160,4 @@ def score_quality(docs: DataFrame, net: Network, column: str = "quality") -> Dat
 
     Null and empty texts count as one chunk of padding. Repeated rows score alike; other columns stay.
     """
-    return docs.withColumn(column, quality(net)(F.col("text").cast("binary")))
+    return small_batches(docs).withColumn(column, quality(net)(F.col("text").cast("binary")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphward.llm.components import components
-from glyphward.llm.tables import save
+from glyphward.llm.tables import save, small_batches
 
 RADIUS = 3
 ONE_FLIP = 64  # codes up to this one stand for at most one flipped bit
@@ -68,7 +68,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row for each row of ``docs``; fp holds the 64 bits as a long. Null text counts as empty."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 

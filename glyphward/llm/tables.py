@@ -42,6 +42,17 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+TEXTS_IN_BATCH = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after setting the rows that its session hands to a Python worker at once to TEXTS_IN_BATCH at most: rows that hold whole texts are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= TEXTS_IN_BATCH:
+        df.sparkSession.conf.set(key, str(TEXTS_IN_BATCH))
+    return df
+
+
 def fold_of(doc_id: str, folds: int):
     """crc32 of the id as text, modulo ``folds``: the held-out rule of the scored operators."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

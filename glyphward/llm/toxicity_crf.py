@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphward.llm.labelled import Sample, labelled_sample, logistic, sigmoid
+from glyphward.llm.tables import small_batches
 from glyphward.llm.worker import held
 
 PREFIXES = (4, 5, 6, 7)
@@ -29,7 +30,7 @@ WINDOW = 48  # words in a training sequence
 BLOCK = 128  # words in a block of the scan
 MANY = 400_000  # words that are scanned together
 SLICE = 1 << 21  # characters of texts that are split into words together
-MAX_CACHED_WORDS = 120_000
+MAX_CACHED_WORDS = 60_000
 SPAN_AT = 0.5  # marginal from which a word is reported
 SCHEMA = "struct<score:double,spans:array<struct<start:int,end:int,marginal:double>>>"
 
@@ -294,4 +295,4 @@ def score_toxicity(docs: DataFrame, field: Field, column: str = "toxicity") -> D
     Whole texts are scored. Null and empty texts have no words: their score is that of a document
     whose every marginal is least, and no spans. Repeated rows score alike; other columns stay.
     """
-    return docs.withColumn(column, toxicity(field)(F.col("text")))
+    return small_batches(docs).withColumn(column, toxicity(field)(F.col("text")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 from typing import Any
 
@@ -11,6 +13,17 @@ _held: dict[Any, Any] = {}
 def held(key: Any, make: Callable[[], Any]) -> Any:
     """The value for ``key``, made on first use. Only the latest is kept, so a worker that serves several operators in turn holds one model."""
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _give_back()
         _held[key] = make()
     return _held[key]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where its C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
