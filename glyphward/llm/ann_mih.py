@@ -151,7 +151,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5) -> Da
     drawn = [r["embedding"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()]
     sizes = [len(v) for v in drawn]
     dims = max(set(sizes), key=lambda n: (sizes.count(n), n), default=0)
-    sample = np.array([v for v in drawn if len(v) == dims], np.float64).reshape(-1, dims)
+    sample = np.array([v for v in drawn if len(v) == dims], np.float64).reshape(-1, dims) if dims else np.zeros((0, 0))
     norms = np.sqrt((sample * sample).sum(axis=1))
     if not (norms > 0).any():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from glyphward.llm.tables import save
 
 ROUNDS = 12
+DEEP = 15  # rounds after which the cells are written, as a plan cannot nest without end
 FLATTEN = 0.75  # targets are proportional to tokens to this power, unless they are given
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -37,18 +38,11 @@ def topic(text: Column) -> Column:
     )
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """``docs`` with struct column ``cell``: source, lang, topic (a column of that name wins), tokens. Null source and language are cells of their own."""
+def cell(docs: DataFrame) -> Column:
+    """struct(source, lang, topic, tokens) of a document; a column named topic wins over :func:`topic`. Null source and language are values of their own."""
     kind = F.col("topic") if "topic" in docs.columns else topic(F.col("text"))
-    return docs.withColumn(
-        "cell",
-        F.struct(
-            F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-            F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-            F.coalesce(kind.cast("string"), F.lit("")).alias("topic"),
-            tokens(F.col("text")).alias("tokens"),
-        ),
-    )
+    named = zip(DIMENSIONS, (F.col("source"), F.col("lang"), kind), strict=True)
+    return F.struct(*(F.coalesce(c.cast("string"), F.lit("")).alias(d) for d, c in named), tokens(F.col("text")).alias("tokens"))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -70,7 +64,9 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
             # every cell carries its part of its value's share, so that the sum over cells is that over values
             now = now.withColumn(f"{d}_target", F.pow(held, FLATTEN)).withColumn(f"{d}_part", F.col(f"{d}_target") / F.count("*").over(by))
             now = now.withColumn(f"{d}_target", F.col(f"{d}_target") / F.sum(f"{d}_part").over(Window.partitionBy(F.lit(0)))).drop(f"{d}_part")
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k and k % DEEP == 0:
+            now = save(now, "raked").repartition(1)
         for d in DIMENSIONS:
             held = F.sum("weight").over(Window.partitionBy(d))
             now = now.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"{d}_target") / held).otherwise(F.lit(0.0)))
@@ -101,21 +97,28 @@ def inclusion(raked: DataFrame, keep: float) -> DataFrame:
     return now.withColumn("probability", F.when(F.col("weight") > 0, F.coalesce(F.least(F.lit(1.0), c * rate), F.lit(1.0))).otherwise(F.lit(0.0))).drop("place", "c")
 
 
-def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
-    """``docs`` with columns cell (source, lang, topic, tokens), weight, probability and drawn.
+def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 42, column: str = "mix") -> DataFrame:
+    """``docs`` with struct column ``column``: source, lang, topic, tokens, weight, probability and drawn.
 
     probability: that of :func:`inclusion` for the document's cell. Repeated rows share their draw.
-    Null texts count as empty, one token. Other columns stay. No rows give no rows.
+    Null texts count as empty, one token. Other columns stay, whatever their names; one named
+    ``column`` is replaced. No rows give no rows.
     """
-    marked = with_cells(docs)
-    sums = marked.groupBy("cell.source", "cell.lang", "cell.topic").agg(F.sum("cell.tokens").alias("tokens"))
+    marked = docs.withColumn(column, cell(docs))
+    own = F.col(column)
+    sums = marked.groupBy(*(own[d].alias(d) for d in DIMENSIONS)).agg(F.sum(own["tokens"]).alias("tokens"))
     cells = save(inclusion(rake(sums, targets, rounds), keep), "cells")
-    cells = cells.select(F.struct(*DIMENSIONS).alias("at"), "weight", "probability")
-    at = F.struct(*(F.col(f"cell.{d}").alias(d) for d in DIMENSIONS))
-    joined = marked.join(cells, at == F.col("at")).drop("at")
-    return joined.withColumn("drawn", draw(F.col("doc_id"), F.col("text"), seed) < F.col("probability"))
+    rates = cells.select(F.struct(*DIMENSIONS).alias(f"{column} at"), F.struct("weight", "probability").alias(f"{column} rate"))
+    joined = marked.join(rates, F.struct(*(own[d].alias(d) for d in DIMENSIONS)) == F.col(f"{column} at"))
+    rate = F.col(f"{column} rate")
+    drawn = draw(F.col("doc_id"), F.col("text"), seed) < rate["probability"]
+    whole = F.struct(*(own[c].alias(c) for c in (*DIMENSIONS, "tokens")), *(rate[c].alias(c) for c in ("weight", "probability")), drawn.alias("drawn"))
+    return joined.withColumn(column, whole).drop(f"{column} at", f"{column} rate")
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """The documents drawn by :func:`calibrated`, with the columns of ``docs``."""
-    return calibrated(docs, targets, keep, rounds, seed).where("drawn").select(*docs.columns)
+    column = "mix"
+    while column in docs.columns:
+        column += " "
+    return calibrated(docs, targets, keep, rounds, seed, column).where(F.col(column)["drawn"]).select(*docs.columns)

@@ -47,7 +47,8 @@ class Scorer:
         """(segment maxima of all texts in a row, number of segments of each); a text has one at least."""
         sizes = np.array([-(-(len(t) + WIDTH) // SEGMENT) for t in texts], np.int64)
         data = np.zeros(int(sizes.sum()) * SEGMENT + WIDTH, np.uint8)
-        for start, t in zip((np.cumsum(sizes) - sizes) * SEGMENT, texts, strict=True):
+        # a filter's width of padding before each text, so that no filter sees two texts
+        for start, t in zip((np.cumsum(sizes) - sizes) * SEGMENT + WIDTH, texts, strict=True):
             data[start : start + len(t)] = np.frombuffer(t, np.uint8)
         pair = data[:-1].astype(np.uint16) << 8
         pair |= data[1:]

@@ -135,9 +135,8 @@ WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.n_turns = o.n_turns AND p.rol
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, raked weight, probability and draw of every document."""
-    mixed = calibrated(table(spark, sf_dir, "documents"))
-    cell = [F.col(f"cell.{c}").alias(c) for c in (*DIMENSIONS, "tokens")]
-    return mixed.select("doc_id", *cell, F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "drawn")
+    mixed = calibrated(table(spark, sf_dir, "documents")).select("doc_id", "mix.*")
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
 def _mixing_sql() -> str:
