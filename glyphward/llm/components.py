@@ -31,6 +31,13 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return done
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs below one root only, and no root below another."""
+    if not edges.groupBy("hi").count().where("count > 1").isEmpty():
+        return False
+    return edges.select("lo").distinct().join(edges.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
@@ -45,9 +52,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         drop(now)
         now = _star(wide, both=False)
         drop(wide)
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.col("lo").cast("decimal(38,0)"))).first()
-        # the forest is done when every tree is a star: no root is itself below another
-        if mark == tuple(seen) or now.select("lo").distinct().join(now.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty():
+        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.col("lo").cast("decimal(38,0)"))).first())
+        if mark == seen or _is_forest_of_stars(now):
             break
-        mark = tuple(seen)
+        mark = seen
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

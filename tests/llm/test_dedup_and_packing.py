@@ -79,6 +79,26 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").isEmpty()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(9, 5), (9, 1), (8, 5), (8, 2)]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            lo, hi = sorted((find(a), find(b)))
+            top[hi] = lo
+    rows = components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert len(rows) == len({r["node"] for r in rows})
+    assert {r["node"]: r["root"] for r in rows} == {x: find(x) for x in top}
+
+
 def test_query_and_odd_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
     got = q.QUERIES["op3_simhash_near_dedup"](spark, sf_dir).toPandas().sort_values("doc_id")
