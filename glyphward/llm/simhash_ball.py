@@ -113,7 +113,9 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_pairs(prints: DataFrame) -> DataFrame:
     """Distinct links (a, b) between different fingerprints of ``prints`` (fp), enough to join all that are within RADIUS of each other."""
-    variants = prints.select("fp").mapInArrow(_variants, "variant long, code short")
+    # fingerprints are few bytes but make many rows, so they are dealt by number, not by size
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = prints.select("fp").repartition(tasks, "fp").mapInArrow(_variants, "variant long, code short")
     met = variants.repartition("variant").sortWithinPartitions("variant").mapInArrow(_links, "a long, b long")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
