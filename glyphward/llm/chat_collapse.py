@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STRIDE = 256  # turns of a conversation that are hashed in a row
-
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, place, prefix, last): the hash of the turns up to each place, from 1, and whether it is the last.
