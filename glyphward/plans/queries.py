@@ -113,7 +113,6 @@ add(
 )
 
 # whole scans
-_COUNTS = {s: f"coalesce(count(*) FILTER (severity = '{s}'), 0)" for s in SEVERITIES}
 _RESULT = f"""results AS (SELECT d.doc_id, d.lang, d.source, d.text, coalesce(max(severity_rank), 1) AS risk_rank, {", ".join(f"count(severity) FILTER (severity = '{s}') AS n_{s}" for s in SEVERITIES)}, count(f.id) AS n_findings
   FROM seeded d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY ALL)"""
 _FOUND = f"WITH {duck.SEEDED}, found AS MATERIALIZED {duck.prompt_findings()}"
