@@ -96,7 +96,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = token[2].lower()
         if token[1]:
-            if tag in BLOCKS:
+            if tag in BLOCKS or tag in SKIPPED:
                 close()
                 pop(tag)
             elif tag == "a":
@@ -117,7 +117,7 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCKS or (tag in SKIPPED and tag not in VOID):
             close()
             if tag in ENDS_P:
-                pop("p", HELD)
+                pop("p", HELD | SKIPPED)
             if tag == "li":
                 pop("li", frozenset(("ul", "ol", "menu")))
             elif tag in ("td", "th", "tr"):

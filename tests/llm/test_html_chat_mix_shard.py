@@ -30,6 +30,20 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+SKIPPED_PAGES = [
+    ("<main><h1>T</h1><video></video><p>long text</p><p>more</p></main>", "T\nlong text\nmore"),
+    ("<body><button>Menu</button><main><p>One, two.</p><svg><path d='M0'/><text>no</text></svg><p>Three.</p></main></body>", "One, two.\nThree."),
+    ("<select><option>a<option>b</select><article><p>One, two.</p><select><option>c</option></select><p>Three.</p></article>", "One, two.\nThree."),
+    ("<svg/><article><p>One, <button><div>no</div></button>two.</p><video><p>no</video><p>Three.</p></article>", "One,\ntwo.\nThree."),
+    ("<article><p>One.</p>" + "".join(f"<{t}>no</{t}>" for t in "template math canvas object audio video select option button datalist".split()) + "<p>Two.</p></article>", "One.\nTwo."),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), SKIPPED_PAGES)
+def test_skipped_elements_end(page, want):
+    assert main_text(page) == want
+
+
 def test_page_query(spark, sf_dir):
     got = {r["page_id"]: r for r in q.QUERIES["op7_html_extraction"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
