@@ -118,9 +118,10 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     """(lengths in order, how many sequences have them) for all lengths of ``histogram``.
 
     Lengths go in from the longest down, all packs with one pattern at a time; each goes to the
-    pattern with the most space left, that is to the shortest packs, and opens new packs only if it
-    fits in none. Every step uses up a length or a pattern, so the number of patterns is at most
-    twice that of the lengths, whatever the number of documents.
+    pattern with the most space left, that is to the shortest packs. What fits in none opens new
+    packs and fills them with pieces of its own length, so a common length shares its sequences too.
+    A length adds two patterns at most, full packs and one with the rest, or one where it splits a
+    pattern, so their number is at most twice that of the lengths, whatever the number of documents.
     """
     open_packs: dict[int, list[tuple[list[int], int]]] = {}
     spaces: list[int] = []  # negated, a heap
@@ -136,7 +137,12 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
         while left:
             space = -spaces[0] if spaces else -1
             if space < length:
-                put([length], left, capacity - length)
+                each = capacity // length
+                full, rest = divmod(left, each)
+                if full:
+                    put([length] * each, full, capacity - each * length)
+                if rest:
+                    put([length] * rest, 1, capacity - rest * length)
                 break
             lengths, count = open_packs[space].pop()
             if not open_packs[space]:

@@ -136,6 +136,24 @@ def test_shortest_pack_first():
     assert shortest_pack_first({}, 64) == []
 
 
+@pytest.mark.parametrize("hot", [2, 100, 400, 1000, 2000])
+def test_a_common_length_shares_sequences(hot):
+    rng = random.Random(2)
+    histogram = {n: rng.randint(1, 4) for n in rng.sample(range(1, 3000), 300)}
+    histogram[hot] = histogram.get(hot, 0) + sum(histogram.values()) // 2
+    patterns = shortest_pack_first(histogram, 4096)
+    assert all(sum(lengths) <= 4096 for lengths, _ in patterns) and len(patterns) <= 2 * len(histogram)
+    assert sum(count for _, count in patterns) <= 1.03 * sum(n * k for n, k in histogram.items()) / 4096 + 1
+    assert sum(count for _, count in shortest_pack_first({hot: 10_000}, 4096)) == -(-10_000 // (4096 // hot))
+
+
+def test_packing_hot_length(spark):
+    rows = spark.range(500).selectExpr("id AS doc_id", "'many words here' AS text")  # 4 tokens each
+    out = pack(rows, q.tokenizer_path(), 18).toPandas()
+    assert len(out) == 500 and set(out.length) == {4} and sorted(set(out.sequence_id)) == list(range(125))
+    assert all(sorted(part.offset) == [0, 4, 8, 12] for _, part in out.groupby("sequence_id"))
+
+
 def test_word_tokens_are_those_of_the_tokenizer():
     words = WordTokens(q.tokenizer_path())
     texts = ["", "Hello, WORLD!! don't stop", "İstanbul Straße ÉTÉ été. ǅ", "x<|endoftext|>y <|startoftext|>", "a b c\x1cd\x85e", "é Å.,", "123 4.5 中文字。 😀!? ..,;", "Σίσυφος ΟΔΟΣ", "we're they'll 'tis 's", "x" * 3000, "word, word. word; word: word!?"]
