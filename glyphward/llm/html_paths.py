@@ -3,8 +3,8 @@
 A page is read into text blocks, each with its root-to-leaf path of tags. For every path the
 length of its text and its punctuation are summed over its blocks and divided by their number;
 the two ratios are smoothed along the page, fused by product, and blocks over a share of the mean
-are content. The least container around nearly all content is the article; it is returned whole
-except for what is marked as boilerplate, so short paragraphs beside long ones stay.
+are content. The least container around all content and its heading is the article; it is returned
+whole except for what is marked as boilerplate, so short paragraphs beside long ones stay.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HELD = frozenset("html body div main article section center td table tbody tr header".split())  # containers that may hold an article
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCKS - {"html", "body", "head", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 
 TOKEN = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+|[^>]*)>")
 NAMES = re.compile(r"(?is)\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。、]")
 SHARE = 0.35  # of the mean fused ratio from which a block is content
-WHOLE = 0.75  # of the content that the article's container holds
 
 
 @dataclass
@@ -162,24 +162,17 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     chosen = content(found)
-    weight: dict[int, int] = defaultdict(int)
-    total = 0
-    for b, yes in zip(found, chosen, strict=True):
-        if yes:
-            total += len(b.text)
-            for n in b.nodes:
-                weight[n] += len(b.text)
-    region, tags = 0, {n: t for b in found for n, t in zip(b.nodes, b.path)}
-    for b in found:
-        if weight.get(b.nodes[-1] if b.nodes else 0, 0) or not b.nodes:
-            best = 0
-            for n in b.nodes:
-                if tags[n] not in HELD or weight[n] < WHOLE * total:
-                    break
-                best = n
-                if tags[n] in ("article", "main"):
-                    break
-            region = max(region, best)  # numbers grow downwards, so the deepest that holds WHOLE
+    wanted = [b for b, yes in zip(found, chosen, strict=True) if yes or "h1" in b.path]
+    titles = [b for b in found[: chosen.index(True)] if not HEADINGS.isdisjoint(b.path)]
+    wanted += titles[-1:]  # the heading nearest before the content
+    first, last = min(wanted, key=lambda b: b.nodes), max(wanted, key=lambda b: b.nodes)
+    region = 0
+    for n, m, tag in zip(first.nodes, last.nodes, first.path):  # what these two share, all in between share
+        if n != m or tag not in HELD:
+            break
+        region = n
+        if tag in ("article", "main"):
+            break
     return "\n".join(b.text for b in found if not region or region in b.nodes)
 
 

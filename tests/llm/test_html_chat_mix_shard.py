@@ -44,6 +44,29 @@ def test_skipped_elements_end(page, want):
     assert main_text(page) == want
 
 
+LONG = "<p>" + "One, two. " * 40 + "</p>"
+UNEVEN_PAGES = [
+    f"<body><div id=content><section>{LONG * 4}</section><section>{LONG}<p>End.</p></section></div></body>",
+    f"<body><article>{LONG * 4}</article><article>{LONG}<p>End.</p></article></body>",
+    f"<table><tr><td>{LONG * 4}<td>{LONG}</table>",
+    f"<body><div><h1>Title</h1><p>By name</p><div>{LONG * 5}</div></div></body>",
+    f"<body><div><h2>Title</h2><div>{LONG * 5}</div></div></body>",
+    f"<body><div>{LONG * 4}<h1>Part two</h1></div><div>{LONG}</div></body>",
+]
+
+
+@pytest.mark.parametrize("page", UNEVEN_PAGES)
+def test_all_content_stays(page):
+    want = [" ".join(x.split()) for x in re.split("<[^>]*>", page)]
+    assert main_text(page) == "\n".join(x for x in want if x)
+    assert main_text(f"<nav>menu</nav>{page}<footer>f</footer>") == main_text(page)
+
+
+def test_what_lies_beside_the_content_goes():
+    page = f"<body><ul><li><a href=x>Home</a><li><a href=y>Shop</a></ul><div><h1>Title</h1>{LONG * 6}</div><ul><li>x<li>y</ul></body>"
+    assert main_text(page) == "\n".join(["Title", *["One, two. " * 39 + "One, two."] * 6])
+
+
 def test_page_query(spark, sf_dir):
     got = {r["page_id"]: r for r in q.QUERIES["op7_html_extraction"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
