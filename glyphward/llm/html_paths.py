@@ -3,7 +3,8 @@
 A page is read into text blocks, each with its root-to-leaf path of tags. For every path the
 length of its text and its punctuation are summed over its blocks and divided by their number;
 the two ratios are smoothed along the page, fused by product, and blocks over a share of the mean
-are content. The least container around all content and its heading is the article; it is returned
+are content. A class or id that names boilerplate hides an element unless it holds most of the
+content that would be left. The least container around all content and its heading is the article; it is returned
 whole except for what is marked as boilerplate, so short paragraphs beside long ones stay.
 """
 
@@ -33,13 +34,16 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HELD = frozenset("html body div main article section center td table tbody tr header".split())  # containers that may hold an article
+ARTICLES = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCKS - {"html", "body", "head", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 
 TOKEN = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+|[^>]*)>")
 NAMES = re.compile(r"(?is)\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。、]")
+NEGATED = frozenset("has no with without".split())  # what follows these in a name is beside the element, not in it
 SHARE = 0.35  # of the mean fused ratio from which a block is content
+MOST = 2 / 3  # of the content left by which an element named as boilerplate is not
 
 
 @dataclass
@@ -47,6 +51,7 @@ class Block:
     text: str
     path: tuple[str, ...]
     nodes: tuple[int, ...]
+    named: tuple[int, ...] = ()  # those of the nodes that are named as boilerplate
 
 
 def _is_marked(tag: str, attributes: str, in_article: bool) -> bool:
@@ -58,15 +63,27 @@ def _is_marked(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" and m[2] is None and m[4] is None or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+    return False
+
+
+def _is_named(tag: str, attributes: str) -> bool:
+    if not attributes or tag in ("html", "body", "main", "article"):
+        return False
+    for m in NAMES.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                for part in re.split(r"[^a-z]+", name):
+                    if part in NEGATED:
+                        break
+                    if part in MARKS:
+                        return True
     return False
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, without those inside boilerplate."""
+    """The text blocks of a page in order, without those inside boilerplate; what is so by name only is there, see ``named``."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, whether it or an ancestor is boilerplate
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, whether it or an ancestor is boilerplate, whether it is by name
     parts: list[str] = []
     number, at, links = 0, 0, 0
 
@@ -75,7 +92,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text and not (stack and stack[-1][2]):
-                out.append(Block(text, tuple(s[0] for s in stack) + ("a",) * bool(links), tuple(s[1] for s in stack)))
+                out.append(Block(text, tuple(s[0] for s in stack) + ("a",) * bool(links), tuple(s[1] for s in stack), tuple(s[1] for s in stack if s[3])))
 
     def pop(tag: str, within: frozenset[str] = frozenset()) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -131,7 +148,7 @@ def blocks(page: str) -> list[Block]:
             if not token[3].endswith("/") or tag in BLOCKS:
                 number += 1
                 hidden = bool(stack) and stack[-1][2]
-                stack.append((tag, number, hidden or _is_marked(tag, token[3], any(s[0] in ("article", "main") for s in stack))))
+                stack.append((tag, number, hidden or _is_marked(tag, token[3], any(s[0] in ("article", "main") for s in stack)), _is_named(tag, token[3])))
     close()
     return out
 
@@ -156,12 +173,53 @@ def content(found: list[Block]) -> list[bool]:
     return [x >= least for x in fused]
 
 
+def unnamed(found: list[Block], chosen: list[bool]) -> list[Block]:
+    """``found`` without the blocks in elements that are boilerplate by name.
+
+    From the largest down, those around an article first, an element with MOST of the content that
+    would be left is a wrapper, not boilerplate; beside an article that is left, only if it is around
+    an article or heading or inside one.
+    """
+    left, beside = 0, False  # content left, whether an article is
+    held: dict[int, list[tuple[int, bool, tuple[int, ...]]]] = defaultdict(list)  # outermost named element: its blocks
+    sizes: dict[int, int] = defaultdict(int)
+    around: set[int] = set()
+
+    def add(size: int, article: bool, named: tuple[int, ...]) -> None:
+        nonlocal left, beside
+        if named:
+            held[named[0]].append((size, article, named[1:]))
+            sizes[named[0]] += size
+        else:
+            left += size
+            beside |= article
+
+    for b, yes in zip(found, chosen, strict=True):
+        article = not ARTICLES.isdisjoint(b.path)
+        if article or "h1" in b.path:
+            around.update(b.named)
+        add(len(b.text) if yes else 0, article, b.named)
+    wrappers: set[int] = set()
+    while may := [n for n, size in sizes.items() if size and size >= MOST * (left + size) and (n in around or not beside)]:
+        n = max(may, key=lambda n: (n in around, sizes[n]))
+        wrappers.add(n)
+        del sizes[n]
+        for block in held.pop(n):
+            add(*block)
+    return [b for b in found if wrappers.issuperset(b.named)]
+
+
 def main_text(page: str | None) -> str:
     """The article of one page: its blocks joined by newlines; empty for null, empty and text-free pages."""
     found = blocks(page or "")
     if not found:
         return ""
     chosen = content(found)
+    if any(b.named for b in found):
+        found = unnamed(found, chosen)
+        if not found:
+            return ""
+        chosen = content(found)
     wanted = [b for b, yes in zip(found, chosen, strict=True) if yes or "h1" in b.path]
     titles = [b for b in found[: chosen.index(True)] if not HEADINGS.isdisjoint(b.path)]
     wanted += titles[-1:]  # the heading nearest before the content
@@ -171,7 +229,7 @@ def main_text(page: str | None) -> str:
         if n != m or tag not in HELD:
             break
         region = n
-        if tag in ("article", "main"):
+        if tag in ARTICLES:
             break
     return "\n".join(b.text for b in found if not region or region in b.nodes)
 

@@ -67,6 +67,23 @@ def test_what_lies_beside_the_content_goes():
     assert main_text(page) == "\n".join(["Title", *["One, two. " * 39 + "One, two."] * 6])
 
 
+@pytest.mark.parametrize("mark", ["class='layout has-sidebar'", "class='no-sidebar'", "id='page-with-nav'", "class=post-with-comments", "class='sidebar-right layout'", "id=notice"])
+def test_a_name_does_not_hide_the_page(mark):
+    inner = f"<h1>Title</h1>{LONG * 3}<div class='share'>Share this.</div><div id=comments><p>Nice post, thanks.</p></div>"
+    want = "\n".join(["Title", *["One, two. " * 39 + "One, two."] * 3])
+    for page in (f"<body><div {mark}>{inner}</div></body>", f"<section {mark}><article>{inner}</article></section>", f"<div class=widget><div {mark}>{inner}</div></div>"):
+        assert main_text(page) == want
+    assert main_text(f"<body><div {mark}>{inner}</div><div class=sidebar>{LONG}</div></body>") == want
+
+
+def test_names_hide_lesser_parts():
+    page = f"<body><div class=nav>Home, shop.</div><div>{LONG * 2}</div><div class=sidebar>{LONG}</div><div class=no-ads>{LONG}</div></body>"
+    assert main_text(page).count("\n") == 2
+    assert main_text("<div class=ad>Buy this, buy that, buy it now.</div><article><p>A b.</p></article>") == "A b."
+    assert main_text("<div class=ad>Buy this, buy that, buy it now.</div><div class=sidebar-left><article><p>A b.</p></article></div>") == "A b."
+    assert main_text("<div class=ad hidden>Buy.</div>") == ""
+
+
 def test_page_query(spark, sf_dir):
     got = {r["page_id"]: r for r in q.QUERIES["op7_html_extraction"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
