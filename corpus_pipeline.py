@@ -14,8 +14,8 @@ from glyphward.llm.mixing_ipf import mix
 from glyphward.llm.packing import pack_digests
 from glyphward.llm.quality_cnn import fit_quality, score_quality
 from glyphward.llm.queries import tokenizer_path
-from glyphward.llm.simhash_ball import near_duplicates
-from glyphward.llm.tables import drop, save, table
+from glyphward.llm.simhash_ball import fingerprint_of, fingerprints, print_groups
+from glyphward.llm.tables import drop, save, small_batches, table
 from glyphward.llm.toxicity_crf import fit_toxicity, score_toxicity
 
 TOXIC_FROM = 0.3
@@ -37,19 +37,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group.
+    """One row of each near-duplicate group: that of the smallest id, then of the smallest text.
 
-    Rows that repeat an id count as one document, of which one row stays if any leads its group. Rows
-    without an id belong to groups but cannot lead them; one of each distinct text stays.
+    Groups are of texts, so an id on texts of several groups can lead each of them. A group without
+    ids is led by its smallest text.
     """
-    groups = save(near_duplicates(docs), "groups")
-    leaders = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    often = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    prints = save(fingerprints(docs), "prints")
+    groups = print_groups(prints)
+    leaders = save(prints.join(groups, "fp").where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "leaders")
+    often = prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
     once, repeated = (save(leaders.join(often, leaders.doc_id == often.id, how).select("doc_id"), "leaders") for how in ("left_anti", "left_semi"))
-    same = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    # rows that their id does not tell apart: their group is that of their text
+    alike = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull())).dropDuplicates(["doc_id", "text"])
+    alike = small_batches(alike).withColumn(MARK, fingerprint_of(F.col("text").cast("binary")))
+    alike = alike.join(groups, alike[MARK] == groups.fp).where(alike.doc_id.eqNullSafe(groups.component_id))
+    row = F.struct(*(alike[c] for c in docs.columns))
+    least = alike.groupBy("root").agg(F.min_by(row, F.struct(alike.text)).alias(MARK)).select(f"{MARK}.*")
     # merged at every size: the ids grow with the documents, so they are no table to broadcast
-    return docs.join(once.hint("merge"), "doc_id", "left_semi").unionByName(same).unionByName(nameless).select(*docs.columns)
+    return docs.join(once.hint("merge"), "doc_id", "left_semi").select(*docs.columns).unionByName(least)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphward.llm.components import components
 from glyphward.llm.tables import save, small_batches
@@ -72,6 +73,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
+@F.arrow_udf(T.LongType())
+def fingerprint_of(column: pa.Array) -> pa.Array:
+    """The fp of each text, cast to binary."""
+    return pa.array(np.fromiter((fingerprint(t.as_py()) for t in column), np.uint64, len(column)).view(np.int64))
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars of the buckets in a stream that is sorted by variant; at most one bucket is carried over."""
     masks, _, _ = flip_masks()
@@ -120,6 +127,16 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def print_groups(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id): the component of each fingerprint of ``prints`` (doc_id, fp), told by its smallest fingerprint, and its smallest id, null if it has none."""
+    groups = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "groups")
+    tree = components(near_pairs(groups.select("fp")), "a", "b")
+    roots = save(tree.join(groups, tree.node == groups.fp).select("fp", "root", "least_id"), "roots")
+    best = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    linked = save(roots.join(save(best, "best"), "root").select("fp", "root", "component_id"), "linked")
+    return save(groups.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")), "ids")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of ``docs``.
 
@@ -129,10 +146,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and take the smallest id that is not null; extra columns are ignored; no rows give no rows.
     """
     prints = save(fingerprints(docs), "prints")
-    groups = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "groups")
-    tree = components(near_pairs(groups.select("fp")), "a", "b")
-    roots = save(tree.join(groups, tree.node == groups.fp).select("fp", "root", "least_id"), "roots")
-    best = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = save(roots.join(save(best, "best"), "root").select("fp", "component_id"), "linked")
-    ids = save(groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "ids")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(print_groups(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

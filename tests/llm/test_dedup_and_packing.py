@@ -122,6 +122,24 @@ def test_pipeline_dedup_keeps_one_of_each(spark):
     assert out.columns == rows.columns and sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 2]
 
 
+def test_pipeline_dedup_leads_each_group_once(spark):
+    import corpus_pipeline
+
+    rows = [
+        (1, "one id on this text"), (1, "and on quite another one"), (5, "AND on quite another one"),  # leads two groups
+        (7, "led by seven only here"), (7, "Led By seven only here"), (9, "led by seven only HERE"),
+        (None, "no id on any of these"), (None, "NO id on any of these"), (None, "no ID on any of these"),
+        (None, "a near copy of three"), (3, "A near copy of three"),
+        (None, None), (None, ""), (8, "alone on its own text"),
+    ]
+    table = spark.createDataFrame([(d, t, "en", "s", 9) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.simhash_near_dedup(spark, table, "")
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    want = [(1, "one id on this text"), (1, "and on quite another one"), (7, "Led By seven only here"), (None, "NO id on any of these"), (3, "A near copy of three"), (None, None), (8, "alone on its own text")]
+    assert got == sorted(want, key=str) and out.columns == table.columns
+    assert corpus_pipeline.simhash_near_dedup(spark, table.limit(0), "").isEmpty()
+
+
 def test_shortest_pack_first():
     rng = random.Random(1)
     for _ in range(20):
