@@ -5,9 +5,11 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
+from glyphward.llm import packing
 from glyphward.llm import queries as q
 from glyphward.llm.components import components
 from glyphward.llm.packing import WordTokens, pack, shortest_pack_first
@@ -175,8 +177,25 @@ def test_packing_hot_length(spark):
 def test_word_tokens_are_those_of_the_tokenizer():
     words = WordTokens(q.tokenizer_path())
     texts = ["", "Hello, WORLD!! don't stop", "İstanbul Straße ÉTÉ été. ǅ", "x<|endoftext|>y <|startoftext|>", "a b c\x1cd\x85e", "é Å.,", "123 4.5 中文字。 😀!? ..,;", "Σίσυφος ΟΔΟΣ", "we're they'll 'tis 's", "x" * 3000, "word, word. word; word: word!?"]
-    for t in texts:
-        assert np.frombuffer(words.encode(t.encode()), "<u4").tolist() == words.whole.encode(t, add_special_tokens=False).ids, t
+    rng = random.Random(5)
+    letters = "abcXYZéÉüßñİıſKΣσς'.,!?;:*&%#$<>|0129٣ \t\n\x0b\x1c\x85 \u0301中文😀ǅ’`´_-"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    ids, ends = words.encode(pa.array(texts, pa.large_string()), 2)
+    assert len(ends) == len(texts) and ends[-1] == len(ids)
+    for t, part in zip(texts, np.split(ids, ends[:-1])):
+        assert part.tolist() == [*words.whole.encode(t, add_special_tokens=False).ids, 2], t
+    again, _ = words.encode(pa.array(texts, pa.large_string()), 2)
+    assert again.tolist() == ids.tolist()
+
+
+def test_word_cache_forgets_what_is_not_used(monkeypatch):
+    monkeypatch.setattr(packing, "YOUNG_WORDS", 50)
+    words = WordTokens(q.tokenizer_path())
+    for i in range(0, 900, 30):
+        texts = [f"the word{'abcdefghij'[i % 7]} " + " ".join(f"x{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'abcdefghijklmnopqrstuvwxyz'[k // 26]}" for k in range(i % 600, i % 600 + 30))]
+        ids, _ = words.encode(pa.array(texts, pa.large_string()), 2)
+        assert ids.tolist() == [*words.whole.encode(texts[0], add_special_tokens=False).ids, 2]
+        assert len(words.young) + len(words.old) < 200
 
 
 def test_packing_round_trip(spark, sf_dir):
