@@ -7,28 +7,26 @@ radius R, two codes within R differ by at most R // m bits in one of m substring
 those beyond R % m + 1), so probing all values that near retrieves every code within R; these are
 checked on the whole code and reranked by the cosine of the original vectors. R is learned: the
 neighbours of a bounded sample of queries are found exactly, over all rows, and R covers the wanted
-share of them.
+share of them. The commonest numbers of components each have rotations and a radius of their own;
+vectors of any other number are compared with every row of theirs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphward.llm.vector_blocks import best, block_search, usable
+from glyphward.llm.vector_blocks import Found, best, block_search, rows_of, usable
 
 SAMPLE = 8_192  # vectors that the rotations are learned from
 PROBES = 96  # queries that the radius is learned from
 WANTED = 0.985  # share of their neighbours within the radius
 ROTATIONS = 2
+CODED = 4  # numbers of components that have codes: the commonest
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 256
-SCHEMA = "query_id long, vec_id long, score double, distance int"
 
 
 @dataclass
@@ -68,14 +66,14 @@ class Index:
     first: np.ndarray  # (m, 257): where the rows of each value start
 
 
-def build(coder: Coder, ids: np.ndarray, data: np.ndarray) -> Index:
+def build(coder: Coder | None, ids: np.ndarray, data: np.ndarray) -> Index:
     vectors = data.astype(np.float64)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     real = norms > 0
     ids, vectors, norms = ids[real], vectors[real], norms[real]
-    codes = coder.codes(vectors / norms[:, None])
+    codes = coder.codes(vectors / norms[:, None]) if coder else np.zeros((len(ids), 0), np.uint8)
     order = np.argsort(codes, axis=0, kind="stable").T
-    first = np.stack([np.searchsorted(codes[order[j], j], np.arange(257)) for j in range(codes.shape[1])])
+    first = np.array([np.searchsorted(codes[order[j], j], np.arange(257)) for j in range(codes.shape[1])])
     return Index(ids, vectors, norms, codes, np.ascontiguousarray(order), first)
 
 
@@ -103,16 +101,23 @@ def _cosines(index: Index, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (index.vectors[rows] * query).sum(axis=1) / (index.norms[rows] * np.sqrt((query * query).sum()))
 
 
-def nearest(coder: Coder, index: Index, query_id: int, query: np.ndarray, k: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, cosines, code distances) of the k nearest rows found; the radius doubles until there are k or every row is in reach."""
+def nearest(coder: Coder | None, index: Index, query_id: int, query: np.ndarray, k: int, radius: int | None, held: int = 0) -> Found:
+    """The k nearest rows found, with their code distances.
+
+    The radius doubles until there are k with the ``held`` rows found before, or every row is in
+    reach. Without a coder or a radius every row is compared.
+    """
     query = query.astype(np.float64)
     bits = 8 * index.codes.shape[1]
-    code = coder.codes((query / np.sqrt((query * query).sum()))[None])[0]
+    code = coder.codes((query / np.sqrt((query * query).sum()))[None])[0] if coder else np.zeros(0, np.uint8)
     while True:
-        rows, distance = within(index, code, radius)
+        if radius is None or radius >= bits:
+            rows, distance = np.arange(len(index.ids)), np.bitwise_count(index.codes ^ code).sum(axis=1, dtype=np.int64)
+        else:
+            rows, distance = within(index, code, radius)
         others = index.ids[rows] != query_id
         rows, distance = rows[others], distance[others]
-        if len(rows) >= k or radius >= bits:
+        if radius is None or radius >= bits or len(rows) + held >= k:
             break
         radius = min(bits, 2 * max(radius, 1))
     rough = index.vectors[rows] @ query / index.norms[rows]
@@ -121,45 +126,53 @@ def nearest(coder: Coder, index: Index, query_id: int, query: np.ndarray, k: int
         rows, distance = rows[at], distance[at]
     cosine = _cosines(index, rows, query)
     order = np.lexsort((index.ids[rows], -cosine))[:k]
-    return index.ids[rows][order], cosine[order], distance[order]
+    return Found(index.ids[rows][order], cosine[order], distance[order].astype(np.int32))
+
+
+def _search(vectors: DataFrame, queries: DataFrame, coders: dict[int, Coder], radii: dict[int, int], k: int) -> DataFrame:
+    def prepare(ids: np.ndarray, data: np.ndarray) -> Index:
+        return build(coders.get(data.shape[1]), ids, data)
+
+    def search(index: Index, query_id: int, query: np.ndarray, before: Found | None) -> Found:
+        dims = len(query)
+        if not query.any():
+            return Found(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))
+        return nearest(coders.get(dims), index, query_id, query, k, radii.get(dims), len(before.ids) if before else 0)
+
+    return best(block_search(vectors, queries, prepare, search, k, "double", BLOCK_ROWS), k)
 
 
-def _search(vectors: DataFrame, queries: DataFrame, coder: Coder, k: int, radius: int) -> DataFrame:
-    def prepare(ids: np.ndarray, data: np.ndarray) -> Index | None:
-        return build(coder, ids, data) if data.shape[1] == len(coder.mean) else None
+def _sample(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
+    return vectors.where(F.size("embedding") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows)
 
-    def search(index: Index | None, ids: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for query_id, query in zip(ids.tolist(), data, strict=True) if index is not None else ():
-            if query.any():
-                found, cosine, distance = nearest(coder, index, query_id, query, k, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query_id)), pa.array(found), pa.array(cosine), pa.array(distance.astype(np.int32))], names=["query_id", "vec_id", "score", "distance"])
 
-    return block_search(vectors, queries, prepare, search, SCHEMA, BLOCK_ROWS, QUERY_ROWS)
+def learn_coders(vectors: DataFrame) -> dict[int, Coder]:
+    """A coder for each of the CODED commonest numbers of components, learned on at most SAMPLE vectors of it."""
+    sizes = vectors.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(CODED).collect()
+    coders = {}
+    for dims in [r["dims"] for r in sizes]:
+        sample = rows_of(_sample(vectors, dims, SAMPLE).select("embedding").toArrow().column(0).combine_chunks(), dims).astype(np.float64)
+        norms = np.sqrt((sample * sample).sum(axis=1))
+        if (norms > 0).any():
+            coders[dims] = learn_rotations(sample[norms > 0] / norms[norms > 0, None])
+    return coders
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each query by cosine, nearest first.
 
     ``vectors`` and ``queries`` have vec_id and embedding. Null, empty, zero and non-finite vectors
-    and rows without an id take no part, nor do vectors whose number of components is not the
-    sample's commonest; rows with the query's own id are not its candidates; a query with fewer
-    candidates gets all; ties go to the smaller id; repeated candidate rows each count; extra
-    columns are ignored. Every row is indexed; only the rotations and the radius come from samples.
+    and rows without an id take no part; a query meets the vectors with as many components; rows with
+    the query's own id are not its candidates; a query with fewer candidates gets all; ties go to the
+    smaller id; repeated candidate rows each count; extra columns are ignored. Every row is indexed;
+    only the rotations and the radii come from samples.
     """
     vectors, queries = usable(vectors), usable(queries)
-    spark = vectors.sparkSession
-    drawn = [r["embedding"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()]
-    sizes = [len(v) for v in drawn]
-    dims = max(set(sizes), key=lambda n: (sizes.count(n), n), default=0)
-    sample = np.array([v for v in drawn if len(v) == dims], np.float64).reshape(-1, dims) if dims else np.zeros((0, 0))
-    norms = np.sqrt((sample * sample).sum(axis=1))
-    if not (norms > 0).any():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    coder = learn_rotations(sample[norms > 0] / norms[norms > 0, None])
-    bits = coder.turn.shape[1]
-    probes = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES)
-    order = best(_search(vectors, probes, coder, k, bits), k, "score")
-    near = _search(vectors, probes, coder, k, bits).join(order.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi")
-    distances = np.array([r["distance"] for r in near.select("distance").collect()])
-    radius = int(np.quantile(distances, WANTED, method="higher")) if len(distances) else bits
-    return best(_search(vectors, queries, coder, k, radius), k, "score")
+    coders = learn_coders(vectors)
+    radii: dict[int, int] = {}
+    for dims, coder in coders.items():
+        exact = _search(vectors.where(F.size("embedding") == dims), _sample(queries, dims, PROBES), {dims: coder}, {}, k)
+        distances = exact.select("extra").toArrow().column(0).to_numpy()
+        if len(distances):
+            radii[dims] = int(np.quantile(distances, WANTED, method="higher"))
+    return _search(vectors, queries, coders, radii, k).drop("extra")

@@ -9,19 +9,15 @@ quantisation error could still lift to it are resolved with exact integers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphward.llm.vector_blocks import best, block_search, usable
+from glyphward.llm.vector_blocks import Found, best, block_search, usable
 
 BITS = 7  # slices kept of an attribute
 BLOCK_ROWS = 32_768
-QUERY_ROWS = 256
-SCHEMA = "query_id long, vec_id long, score long"
 
 
 @dataclass
@@ -154,11 +150,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
     def prepare(ids: np.ndarray, data: np.ndarray) -> Index:
         return build(ids, quantise(data, scale))
 
-    def search(index: Index, ids: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-        asked = quantise(data, scale)
-        for query_id, query in zip(ids.tolist(), asked, strict=True):
-            found, score = top_k(index, query_id, query, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query_id)), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+    def search(index: Index, query_id: int, query: np.ndarray, before: Found | None) -> Found:
+        found, score = top_k(index, query_id, quantise(query, scale), k)
+        return Found(found, score, np.zeros(len(found), np.int32))
 
-    found = block_search(usable(vectors), usable(queries), prepare, search, SCHEMA, BLOCK_ROWS, QUERY_ROWS)
-    return best(found, k, "score")
+    found = block_search(usable(vectors), usable(queries), prepare, search, k, "long", BLOCK_ROWS)
+    return best(found, k).drop("extra")

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from glyphward.llm import ann_mih, topk_bitslice, vector_blocks
 from glyphward.llm import queries as q
 from glyphward.llm.ann_mih import Coder, build, learn_rotations, nearest_neighbours, within
 from glyphward.llm.topk_bitslice import build as slice_index
@@ -78,3 +79,32 @@ def test_recall(spark):
         at = {v: k for k, v in enumerate(ids)}
         assert np.allclose(part.score, [cosine[at[v]] for v in part.vec_id], atol=1e-12) and list(part.score) == sorted(part.score, reverse=True)
     assert hits / n >= 0.9
+
+
+def test_vectors_of_several_sizes_in_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=n).round(2).tolist()) for i, n in enumerate([16] * 700 + [3] * 40 + [5] + [2] * 9 + [7] * 3 + [4] * 2)]
+    rows += rows[5:8]  # repeated rows each count
+    monkeypatch.setattr(ann_mih, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(topk_bitslice, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(vector_blocks, "LEAST_GROUP", 10)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    near = nearest_neighbours(table, table.where("vec_id % 50 = 0 or vec_id > 700"), 5).toPandas()
+    top = exact_top_k(table, table.where("vec_id % 50 = 0 or vec_id > 700"), 4, 64).toPandas()
+    hits = n = 0
+    for query_id, query in rows[:-3]:
+        if query_id % 50 and query_id <= 700:
+            continue
+        others = [(i, v) for i, v in rows if i != query_id and len(v) == len(query)]
+        x, ids = np.array([v for _, v in others]).reshape(-1, len(query)), np.array([i for i, _ in others], int)
+        score = np.floor(64 * x).astype(int) @ np.floor(64 * np.array(query)).astype(int)
+        part = top[top.query_id == query_id].sort_values("rank")
+        assert list(zip(part.vec_id, part.score)) == [(ids[j], score[j]) for j in np.lexsort((ids, -score))[:4]]
+        cosine = (x * query).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * np.dot(query, query))
+        part = near[near.query_id == query_id].sort_values("rank")
+        assert len(part) == min(5, len(ids)) and list(part["rank"]) == list(range(1, len(part) + 1))
+        want = [int(ids[j]) for j in np.lexsort((ids, -cosine))[:5]]
+        hits, n = hits + sum(a == b for a, b in zip(part.vec_id, want)), n + len(want)
+        if len(query) in (5, 7, 4, 2):
+            assert sorted(part.vec_id) == sorted(want)
+    assert hits / n >= 0.9
