@@ -1,18 +1,22 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is read into text blocks, each with its root-to-leaf path of tags. For every path the
-length of its text and its punctuation are summed over its blocks and divided by their number;
-the two ratios are smoothed along the page, fused by product, and blocks over a share of the mean
-are content. A class or id that names boilerplate hides an element unless it holds most of the
-content that would be left. The least container around all content and its heading is the article; it is returned
-whole except for what is marked as boilerplate, so short paragraphs beside long ones stay.
+A page is read into text blocks, each with its root-to-leaf path of tags (containers with their
+class). For every path the length of its text and its punctuation are summed over its blocks and
+divided by their number. The ratios are smoothed over the path tree, each with those of the paths
+beside it and beside its parent, fused by their geometric mean, and weighted by what the path tells:
+blocks of links only, copyright lines, semantic tags, roles and class names of boilerplate. A path
+is content if its fused ratio reaches a share of the page's mean over characters; the blocks of
+content paths are the article. Along the page, headings take the ratio of the text that they head,
+and gaps of up to two blocks between content blocks are closed.
+
+All weights are relative. A mark says nothing where it holds most of the page: a form or an element
+named as boilerplate that is around the whole article hides none of it.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,223 +25,317 @@ from pyspark.sql import functions as F
 
 from glyphward.llm.tables import small_batches
 
-# Tags and words by which pages mark what is not article text.
+# Tags by what they hold, and words by which pages name boilerplate.
 SKIPPED = frozenset("script style noscript template iframe svg math canvas object audio video head title select option textarea button datalist".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
-ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-MARKS = frozenset(
-    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar comment comments disqus reply replies respond related recommended share sharing social subscribe newsletter signup login search popup modal overlay paywall widget pager pagination".split()
-)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul title".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HELD = frozenset("html body div main article section center td table tbody tr header".split())  # containers that may hold an article
-ARTICLES = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLES = frozenset(("article", "main"))
+NAMED = frozenset("div section td table ul ol dl aside header footer form".split())  # containers whose class is part of a path
+MARKED_TAGS = frozenset("footer aside form dialog nav menu".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+MARKS = frozenset(
+    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar comment comments disqus reply replies respond related recommended share sharing social subscribe newsletter signup login search popup modal overlay paywall widget widgets pager pagination".split()
+)
+# marks that also name parts of articles
+AMBIGUOUS = frozenset("search share sharing notice notices alert menu related recommended reply replies respond rail pager popup".split())
+# words beside a mark in a name that do not change what it says
+AFFIXES = frozenset("main site page top bottom left right list area box section wrapper wrap container inner outer block bar primary secondary links items item buttons icons form content slot unit header panel".split())
+BARRIERS = SKIPPED | frozenset("html body div main article section center td table tbody tr header".split())  # a paragraph outside is not ended by a block inside
+CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+CELL_BARRIERS = {"td": ("table",), "th": ("table",), "tr": ("table",), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 ENDS_P = BLOCKS - {"html", "body", "head", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 
-TOKEN = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+|[^>]*)>")
-NAMES = re.compile(r"(?is)\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TAG_MARK = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。、]")
-NEGATED = frozenset("has no with without".split())  # what follows these in a name is beside the element, not in it
-SHARE = 0.35  # of the mean fused ratio from which a block is content
-MOST = 2 / 3  # of the content left by which an element named as boilerplate is not
+NOTICE = re.compile(r"(?i)(?:©|\(c\)|copyright\b|all rights reserved)")
+
+SHARE = 0.2  # of the page's mean ratio from which a path is content
+MARK = 0.08  # weight of a marked element
+HINT = 0.3  # the same inside an article, where the mark is ambiguous
+LEAST = 1e-9  # weight that marks inside marks leave at least
+LINKS = 0.1  # weight of blocks that are links only
+BESIDE = 0.02  # weight of what is outside articles on a page that has one with text
+MOST = 2 / 3  # of a page's ratios by which a mark says nothing
+HEADS = 3  # blocks in which the text of a heading begins
+GAP = 2  # blocks between content that are closed
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
-    nodes: tuple[int, ...]
-    named: tuple[int, ...] = ()  # those of the nodes that are named as boilerplate
-
-
-def _is_marked(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in BOILERPLATE or tag in SKIPPED or (tag == "header" and not in_article):
-        return True
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return False
-    for m in NAMES.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" and m[2] is None and m[4] is None or name == "role" and value in ROLES:
-            return True
-    return False
-
-
-def _is_named(tag: str, attributes: str) -> bool:
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return False
-    for m in NAMES.finditer(attributes):
-        if m[1].lower() in ("class", "id"):
-            for name in (m[2] or m[3] or m[4] or "").lower().split():
-                for part in re.split(r"[^a-z]+", name):
-                    if part in NEGATED:
-                        break
-                    if part in MARKS:
-                        return True
-    return False
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, without those inside boilerplate; what is so by name only is there, see ``named``."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, whether it or an ancestor is boilerplate, whether it is by name
-    parts: list[str] = []
-    number, at, links = 0, 0, 0
-
-    def close() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            parts.clear()
-            if text and not (stack and stack[-1][2]):
-                out.append(Block(text, tuple(s[0] for s in stack) + ("a",) * bool(links), tuple(s[1] for s in stack), tuple(s[1] for s in stack if s[3])))
-
-    def pop(tag: str, within: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
-
-    while True:
-        token = TOKEN.search(page, at)
-        if not token:
-            parts.append(page[at:])
-            break
-        parts.append(page[at : token.start()])
-        at = token.end()
-        if token[2] is None:
-            continue
-        tag = token[2].lower()
-        if token[1]:
-            if tag in BLOCKS or tag in SKIPPED:
-                close()
-                pop(tag)
-            elif tag == "a":
-                links = max(0, links - 1)
-            continue
+    path: int
+    kind: str  # "", "a" for links only, "©" for notices
+    heading: bool
+
+
+class Paths:
+    """The tag paths of a page, numbered so that a parent comes before its children."""
+
+    def __init__(self) -> None:
+        self.parent = [0]
+        self.mark = [1.0]  # weight of the last element as a marked one
+        self.article = [False]
+        self.numbers: dict[tuple[int, str, float], int] = {}
+
+    def below(self, parent: int, label: str, mark: float = 1.0, article: bool = False) -> int:
+        key = (parent, label, mark)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.parent)
+            self.parent.append(parent)
+            self.mark.append(mark)
+            self.article.append(article or self.article[parent])
+        return number
+
+
+def boilerplate_words(name: str) -> set[str]:
+    """The words for boilerplate in a class or id that is made of these and their affixes only, as in site-footer."""
+    parts = {p for p in re.split(r"[^a-z]+", name) if p}
+    return parts & MARKS if parts <= MARKS | AFFIXES else set()
+
+
+class _Page:
+    """One pass over a page; every step takes time in proportion to what it reads."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.paths = Paths()
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, int, bool]] = []  # tag, path, whether hidden
+        self.open: dict[str, list[int]] = {}  # places of each tag in the stack
+        self.parts: list[str] = []
+        self.linked = self.plain = 0  # characters of the open block inside and outside links
+        self.links = 0
+        self.no_more: dict[str, int] = {}  # quote: a place from which it does not occur any more
+        self._read()
+
+    def _text(self, begin: int, end: int) -> None:
+        if begin < end:
+            part = self.page[begin:end]
+            self.parts.append(part)
+            size = len(part.strip())
+            if self.links:
+                self.linked += size
+            else:
+                self.plain += size
+
+    def _close(self) -> None:
+        """End the open block."""
+        if self.parts:
+            hidden = bool(self.stack) and self.stack[-1][2]
+            text = "" if hidden else " ".join(html.unescape("".join(self.parts)).split())
+            if text:
+                tag, path, _ = self.stack[-1] if self.stack else ("", 0, False)
+                kind = "©" if not self.paths.article[path] and len(text) < 300 and NOTICE.match(text) else "a" if self.linked and not self.plain and tag not in HEADINGS else ""
+                if kind:
+                    path = self.paths.below(path, kind)
+                self.blocks.append(Block(text, path, kind, tag in HEADINGS))
+            self.parts.clear()
+        self.linked = self.plain = 0
+
+    def _last(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def _pop(self, tags: tuple[str, ...], barriers=()) -> None:
+        """Close the innermost open element of ``tags`` and all inside it, unless one of ``barriers`` is inside."""
+        at = self._last(tags)
+        if at >= 0 and at > self._last(barriers):
+            for tag, *_ in self.stack[at:]:
+                self.open[tag].pop()
+            del self.stack[at:]
+
+    def _end_of_tag(self, at: int) -> int:
+        """Place behind the ``>`` of the tag whose name ends at ``at``; quotes that never close are no quotes."""
+        page = self.page
+        while m := TAG_MARK.search(page, at):
+            mark, at = m[0], m.end()
+            if mark == ">":
+                return at
+            close = page.find(mark, at) if at < self.no_more.get(mark, len(page)) else -1
+            if close < 0:
+                self.no_more[mark] = min(at, self.no_more.get(mark, at))
+            else:
+                at = close + 1
+        return len(page)
+
+    def _read(self) -> None:
+        page, at, begin = self.page, 0, 0
+        while True:
+            lt = page.find("<", at)
+            if lt < 0:
+                break
+            after = page[lt + 1 : lt + 2]
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                to = end + 3 if end >= 0 else len(page)
+            elif after in ("!", "?"):
+                end = page.find(">", lt)
+                to = end + 1 if end >= 0 else len(page)
+            else:
+                name = NAME.match(page, lt + 2 if after == "/" else lt + 1)
+                if not name:
+                    at = lt + 1  # a plain "<"
+                    continue
+                to = self._end_of_tag(name.end())
+                self._text(begin, lt)
+                if after == "/":
+                    self._end(name[0].lower())
+                else:
+                    to = self._begin(name[0].lower(), page[name.end() : to - 1] if page[to - 1] == ">" else page[name.end() : to], to)
+                at = begin = to
+                continue
+            self._text(begin, lt)
+            at = begin = to
+        self._text(begin, len(page))
+        self._close()
+
+    def _end(self, tag: str) -> None:
+        if tag in BLOCKS or tag in SKIPPED:
+            self._close()
+            self._pop((tag,))
+        elif tag == "a":
+            self.links = max(0, self.links - 1)
+
+    def _begin(self, tag: str, attributes: str, to: int) -> int:
+        """Take an opening tag; the place where reading goes on."""
         if tag in RAW:
-            end = re.compile(rf"(?i)</{tag}\s*>").search(page, at)
-            at = end.end() if end else len(page)
-            if tag != "title":
-                parts.append(" " if tag == "textarea" else "")
-            continue
+            end = re.compile(rf"(?i)</{tag}\s*>").search(self.page, to)
+            return end.end() if end else len(self.page)
         if tag == "br":
-            parts.append(" ")
+            self.parts.append(" ")
         elif tag == "hr":
-            close()
+            self._close()
         elif tag == "a":
-            links += 1
+            self.links += 1
         elif tag in BLOCKS or (tag in SKIPPED and tag not in VOID):
-            close()
+            self._close()
             if tag in ENDS_P:
-                pop("p", HELD | SKIPPED)
-            if tag == "li":
-                pop("li", frozenset(("ul", "ol", "menu")))
-            elif tag in ("td", "th", "tr"):
-                for cell in ("td", "th", *(("tr",) if tag == "tr" else ())):
-                    pop(cell, frozenset(("table",)))
-            elif tag in ("dt", "dd"):
-                pop("dt", frozenset(("dl",)))
-                pop("dd", frozenset(("dl",)))
-            elif tag == "body":
-                pop("head")
-            if not token[3].endswith("/") or tag in BLOCKS:
-                number += 1
-                hidden = bool(stack) and stack[-1][2]
-                stack.append((tag, number, hidden or _is_marked(tag, token[3], any(s[0] in ("article", "main") for s in stack)), _is_named(tag, token[3])))
-    close()
+                self._pop(("p",), BARRIERS)
+            for cell in CELLS.get(tag, ()):
+                self._pop((cell,), CELL_BARRIERS[tag])
+            if tag == "body":
+                self._pop(("head",))
+            if tag in HEADINGS:
+                self._pop(tuple(HEADINGS), BARRIERS)
+            if not attributes.endswith("/") or tag in BLOCKS:
+                self._push(tag, attributes)
+        return to
+
+    def _push(self, tag: str, attributes: str) -> None:
+        above = self.stack[-1][1] if self.stack else 0
+        hidden = (bool(self.stack) and self.stack[-1][2]) or tag in SKIPPED
+        inside = self.paths.article[above]
+        marks = {tag} if tag in MARKED_TAGS or (tag == "header" and not inside) else set()
+        names: list[str] = []
+        if attributes and not hidden and tag not in ("html", "body"):
+            for m in ATTRIBUTE.finditer(attributes):
+                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                if name == "hidden":
+                    hidden = True
+                elif name == "role" and value in ROLES:
+                    marks.add(value)
+                elif name in ("class", "id") and tag not in HEADINGS:
+                    own = value.split()
+                    names += own if name == "class" else []
+                    if tag not in ARTICLES:
+                        marks.update(*map(boilerplate_words, own))
+        label = f"{tag}.{' '.join(names)}" if names and tag in NAMED else tag
+        mark = 1.0 if not marks else HINT if inside and marks <= AMBIGUOUS else MARK
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, self.paths.below(above, label, mark, tag in ARTICLES), hidden))
+
+
+def path_ratios(found: list[Block], paths: Paths) -> list[float]:
+    """The smoothed and fused ratio of every path, without weights; zero for paths without text of their own.
+
+    The length and the punctuation of a path are means over its blocks. Each is averaged with the mean
+    of the paths beside it (those with its parent) and of those beside its parent.
+    """
+    n = len(paths.parent)
+    own, beside = ([[0, 0, 0] for _ in range(n)] for _ in range(2))
+    for b in found:
+        size, points = len(b.text), len(PUNCTUATION.findall(b.text))
+        for sums in (own[b.path], beside[paths.parent[b.path]]):
+            sums[0] += size
+            sums[1] += points
+            sums[2] += 1
+    out = [0.0] * n
+    for p in range(n):
+        if own[p][2]:
+            up = paths.parent[p]
+            near = [own[p], beside[up], beside[paths.parent[up]] if up else (0, 0, 0)]
+            length, points = (sum(s[k] / s[2] for s in near if s[2]) / len(near) for k in (0, 1))
+            out[p] = (length * (1 + points)) ** 0.5
     return out
 
 
-def _smooth(values: list[float]) -> list[float]:
-    edge = [values[0], *values, values[-1]]
-    return [(a + 2 * b + c) / 4 for a, b, c in zip(edge, edge[1:], edge[2:])]
-
+def path_weights(found: list[Block], paths: Paths, ratios: list[float]) -> list[float]:
+    """What the marks of every path leave of its ratio.
 
-def content(found: list[Block]) -> list[bool]:
-    """Which blocks pass the threshold on the fused tag-path ratios."""
-    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
-    for b in found:
-        s = sums[b.path]
-        s[0] += len(b.text)
-        s[1] += len(PUNCTUATION.findall(b.text))
-        s[2] += 1
-    length = _smooth([sums[b.path][0] / sums[b.path][2] for b in found])
-    points = _smooth([sums[b.path][1] / sums[b.path][2] for b in found])
-    fused = [(x * (1 + y) / (3 if b.path[-1:] == ("a",) else 1)) for x, y, b in zip(length, points, found, strict=True)]
-    least = SHARE * sum(fused) / len(fused)
-    return [x >= least for x in fused]
-
-
-def unnamed(found: list[Block], chosen: list[bool]) -> list[Block]:
-    """``found`` without the blocks in elements that are boilerplate by name.
-
-    From the largest down, those around an article first, an element with MOST of the content that
-    would be left is a wrapper, not boilerplate; beside an article that is left, only if it is around
-    an article or heading or inside one.
+    Where an article or main element has text that is not links only, all else counts little. A marked element counts little unless it holds MOST of the ratios that are left in the
+    element around it.
     """
-    left, beside = 0, False  # content left, whether an article is
-    held: dict[int, list[tuple[int, bool, tuple[int, ...]]]] = defaultdict(list)  # outermost named element: its blocks
-    sizes: dict[int, int] = defaultdict(int)
-    around: set[int] = set()
-
-    def add(size: int, article: bool, named: tuple[int, ...]) -> None:
-        nonlocal left, beside
-        if named:
-            held[named[0]].append((size, article, named[1:]))
-            sizes[named[0]] += size
-        else:
-            left += size
-            beside |= article
-
-    for b, yes in zip(found, chosen, strict=True):
-        article = not ARTICLES.isdisjoint(b.path)
-        if article or "h1" in b.path:
-            around.update(b.named)
-        add(len(b.text) if yes else 0, article, b.named)
-    wrappers: set[int] = set()
-    while may := [n for n, size in sizes.items() if size and size >= MOST * (left + size) and (n in around or not beside)]:
-        n = max(may, key=lambda n: (n in around, sizes[n]))
-        wrappers.add(n)
-        del sizes[n]
-        for block in held.pop(n):
-            add(*block)
-    return [b for b in found if wrappers.issuperset(b.named)]
+    n = len(paths.parent)
+    lone = any(paths.article[b.path] and not b.kind for b in found)
+    weight = [1.0] * n
+    held = [0.0] * n
+    for b in found:
+        base = (BESIDE if lone and not paths.article[b.path] else 1.0) * (1.0 if b.kind == "" else LINKS)
+        weight[b.path] = base
+        held[b.path] += base * ratios[b.path]
+    for p in range(n - 1, 0, -1):
+        held[paths.parent[p]] += held[p]
+    marks = [1.0] * n
+    for p in range(1, n):
+        up = paths.parent[p]
+        marks[p] = max(LEAST, marks[up] * (paths.mark[p] if held[p] < MOST * held[up] else 1.0))
+    return [w * m for w, m in zip(weight, marks, strict=True)]
+
+
+def content(found: list[Block], paths: Paths) -> list[bool]:
+    """Which blocks are content: those of the paths over the threshold, and what smoothing along the page adds."""
+    ratios = path_ratios(found, paths)
+    weights = path_weights(found, paths, ratios)
+    score = [r * w for r, w in zip(ratios, weights, strict=True)]
+    characters = sum(len(b.text) * weights[b.path] for b in found)
+    mean = sum(score[b.path] * len(b.text) * weights[b.path] for b in found) / characters
+    least = SHARE * mean
+    chosen = [score[b.path] >= least for b in found]
+    for i in range(len(found) - 1, -1, -1):  # a heading goes with the text after it
+        b = found[i]
+        if not chosen[i] and b.heading:
+            near = [j for j in range(i + 1, min(len(found), i + 1 + HEADS)) if chosen[j]]
+            chosen[i] = bool(near) and max(score[found[j].path] for j in near) * weights[b.path] >= least
+    last = -1
+    for i, b in enumerate(found):  # a short gap between content blocks is content, unless it is marked as something else
+        if chosen[i]:
+            if last >= 0 and 0 < i - last - 1 <= GAP:
+                for j in range(last + 1, i):
+                    level = weights[found[j].path] / (LINKS if found[j].kind == "a" else 1.0)
+                    chosen[j] = level >= min(weights[found[last].path], weights[b.path])
+            last = i
+    return chosen
 
 
 def main_text(page: str | None) -> str:
     """The article of one page: its blocks joined by newlines; empty for null, empty and text-free pages."""
-    found = blocks(page or "")
-    if not found:
+    read = _Page(page or "")
+    if not read.blocks:
         return ""
-    chosen = content(found)
-    if any(b.named for b in found):
-        found = unnamed(found, chosen)
-        if not found:
-            return ""
-        chosen = content(found)
-    wanted = [b for b, yes in zip(found, chosen, strict=True) if yes or "h1" in b.path]
-    titles = [b for b in found[: chosen.index(True)] if not HEADINGS.isdisjoint(b.path)]
-    wanted += titles[-1:]  # the heading nearest before the content
-    first, last = min(wanted, key=lambda b: b.nodes), max(wanted, key=lambda b: b.nodes)
-    region = 0
-    for n, m, tag in zip(first.nodes, last.nodes, first.path):  # what these two share, all in between share
-        if n != m or tag not in HELD:
-            break
-        region = n
-        if tag in ARTICLES:
-            break
-    return "\n".join(b.text for b in found if not region or region in b.nodes)
+    return "\n".join(b.text for b, yes in zip(read.blocks, content(read.blocks, read.paths), strict=True) if yes)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): one row for each row of ``pages``; extra columns are ignored.
 
-    Null html counts as empty. Repeated rows stay. Whole pages are read, however long.
+    Null html counts as empty. Repeated rows stay. Whole pages are read, however long, deep or broken,
+    in time in proportion to their length.
     """
 
     @F.arrow_udf("string")

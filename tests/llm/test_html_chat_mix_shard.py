@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphward.llm import queries as q
 from glyphward.llm.chat_collapse import collapse_and_render
-from glyphward.llm.html_paths import extract_main_text, main_text
+from glyphward.llm.html_paths import _Page, extract_main_text, main_text, path_ratios
 from glyphward.llm.mixing_ipf import calibrated, mix, rake
 from glyphward.llm.sharding import shard_by_bytes
 
@@ -161,3 +161,75 @@ def test_pipeline_runs(spark, sf_dir):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
     assert 0 < out.select("doc_id").distinct().count() < docs.count()
     assert out.join(docs, "doc_id", "left_anti").isEmpty() and out.where(F.col("length") > 4096).isEmpty()
+
+
+PARA = "A sentence of some length, with a comma, that goes on for a while. And another one follows it here."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><p><a href=/>Home</a></p>{f'<p>{PARA}</p>' * 5}<p>Copyright 2020 by us.</p></body>", [PARA] * 5),
+        (f"<body><form action=x><div id=nav><a href=a>One</a> <a href=b>Two</a></div><h1>Title</h1>{f'<p>{PARA}</p>' * 4}<div class=footer>Imprint</div></form></body>", ["Title", *[PARA] * 4]),
+        (f"<body><form><div><article><h1>T</h1><p>{PARA}</p></article></div></form></body>", ["T", PARA]),
+        (f"<article><h1>T</h1><p>{PARA}</p><h2 id='search'>Search trees</h2><p>{PARA}</p><h2 id='related-work'>Related work</h2><p>{PARA}</p></article>", ["T", PARA, "Search trees", PARA, "Related work", PARA]),
+        (f"<article><p>{PARA}</p><div class='share-price'>It rose by 3 %.</div><p>{PARA}</p><section id='menu-of-the-day'><p>Soup, then fish.</p></section></article>", [PARA, "It rose by 3 %.", PARA, "Soup, then fish."]),
+        (f"<article><p>{PARA}</p><section id=search><h2>Search</h2><p>{PARA}</p></section></article>", [PARA, "Search", PARA]),
+        (f"<main><h1>T</h1><p>{PARA}</p><ul><li>one<li>two<li>three</ul><p>{PARA}</p><div class=share>Share this</div><section class=comments><p>{PARA}</p></section></main>", ["T", PARA, "one", "two", "three", PARA]),
+        (f"<body><div class=page><div class=main-menu><a href=x>Home</a></div><div class=text><h1>T</h1><p>{PARA}</p><p>Short.</p><p>{PARA}</p><p>End</p></div><div class=site-footer><p>{PARA}</p></div></div></body>", ["T", PARA, "Short.", PARA, "End"]),
+        (f"<article><p>{PARA}</p><p><a href=x>A link alone</a></p><p>{PARA}</p><p>All rights reserved.</p></article>", [PARA, "A link alone", PARA, "All rights reserved."]),
+    ],
+)
+def test_paths_decide(page, want):
+    assert main_text(page) == "\n".join(want)
+
+
+def plain_ratios(blocks, parent):
+    """Path by path from the definition."""
+    out = {}
+    for p in {b.path for b in blocks}:
+        groups = [[b for b in blocks if b.path == p], [b for b in blocks if parent[b.path] == parent[p]], [b for b in blocks if parent[b.path] == parent[parent[p]]] if parent[p] else []]
+        means = [[sum(f(b.text) for b in g) / len(g) if g else 0 for g in groups] for f in (len, lambda t: sum(c in ".,;:!?…。、" for c in t))]
+        length, points = (sum(m) / 3 for m in means)
+        out[p] = (length * (1 + points)) ** 0.5
+    return out
+
+
+def test_path_ratios_are_those_of_the_definition(sf_dir):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist()[:20] + [f"<div><p>{PARA}<ul><li>a, b<li><a>c</a></ul><table><tr><td>x<td>{PARA}</table></div>", "<p>a<p>b."]
+    for page in pages:
+        read = _Page(page)
+        got = path_ratios(read.blocks, read.paths)
+        for p, ratio in plain_ratios(read.blocks, read.paths.parent).items():
+            assert got[p] == pytest.approx(ratio)
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<div>" * n + PARA + "</div>" * n,
+        lambda n: "<blockquote class=a>" * n + PARA,
+        lambda n: f"<p>{PARA}</p><button>" + "<blockquote>" * n,
+        lambda n: "<p title=\"x>text " * n + PARA,
+        lambda n: "<a href='x>text " + "<b a=\"c>d " * n + PARA,
+        lambda n: "<a " + "b=\"c\" d='e' " * n + ">" + PARA,
+        lambda n: "</ul></p></x>" * n + PARA,
+        lambda n: "<!-- " * n + PARA,
+        lambda n: f"<ul>{'<li>x</b>' * n}</ul>{PARA}",
+        lambda n: "<form class=ad>x" * n + PARA,
+        lambda n: "<" * n + PARA,
+    ],
+)
+def test_time_grows_with_the_page(make):
+    import time
+
+    def seconds(n):
+        page = make(n)
+        began = time.perf_counter()
+        main_text(page)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 40 * max(seconds(10_000), 0.02)
