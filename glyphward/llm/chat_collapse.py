@@ -20,7 +20,8 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = turns.withColumn("place", F.row_number().over(order))
-    parts = ("place", F.coalesce(F.col("role"), F.lit("\x00")), F.coalesce(F.col("text"), F.lit("\x00")))
+    # whether a column is null is hashed beside it: no text stands for a null
+    parts = ("place", *(c for x in ("role", "text") for c in (F.col(x).isNull(), F.coalesce(F.col(x), F.lit("")))))
     one, two = F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return placed.select(

@@ -104,6 +104,18 @@ def test_conversations(spark):
     assert collapse_and_render(table.limit(0)).isEmpty()
 
 
+def test_null_texts_differ_from_all_others(spark):
+    rows = [(1, 0, "user", None), (2, 0, "user", "\x00"), (2, 1, "a", "x"), (3, 0, None, "q"), (4, 0, "\x00", "q"), (4, 1, "a", "x"), (5, 0, "user", ""), (6, 0, None, None), (6, 1, "a", "b"), (7, 0, None, None)]
+    got = {r["conv_id"] for r in collapse_and_render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1, 2, 3, 4, 5, 6}
+
+
+def test_a_long_conversation_and_its_snapshots(spark):
+    turns = [(c, i, "user", f"turn {i}") for c, n in ((1, 3000), (2, 2999), (3, 1500), (4, 3000)) for i in range(n)]
+    rows = collapse_and_render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r["conv_id"], r["n_turns"], r["copies"], r["text"].count("<|user|>")) for r in rows] == [(1, 3000, 2, 3000)]
+
+
 def test_raking_reaches_the_marginals(spark):
     cells = [("a", "en", "t"), ("a", "de", "u"), ("b", "en", "u"), ("b", "de", "t"), ("b", "fr", "t"), ("c", "en", "t")]
     table = spark.createDataFrame([(*c, 100 * (i + 1)) for i, c in enumerate(cells)], "source string, lang string, topic string, tokens long")
