@@ -1,23 +1,25 @@
 """Toxic spans by a linear-chain conditional random field over the words of a document.
 
-The labels are of documents, so the words of the training sample get theirs from it: a word is
-labelled toxic in a toxic document if itself or one of its prefixes occurs in toxic documents
-only, oftener than chance allows among all features tried. The field has an emission weight for
-each word and prefix, transitions between the two states and start weights, fitted to the
-likelihood of the labelled sequences. Forward-backward gives each word's marginal; the largest
-marginal and the expected number of toxic words give a document's score.
+The labels are of documents, so the words of the training sample get theirs in two steps. First a
+word of a toxic document is labelled toxic if itself or one of its prefixes occurs in toxic
+documents only, oftener than chance allows among all features tried. Then the field that these
+labels gave labels the words of toxic documents anew by its own marginals, and is fitted on. The
+field has an emission weight for each word and prefix and for the words beside, transitions between
+the two states and start weights, fitted to the likelihood of all words of the sample.
+Forward-backward gives each word's marginal; the largest marginal and the expected number of toxic
+words give a document's score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,15 @@ from glyphward.llm.tables import small_batches
 from glyphward.llm.worker import held
 
 PREFIXES = (4, 5, 6, 7)
+OWN = 1 + len(PREFIXES)  # features of a word itself
 WINDOW = 48  # words in a training sequence
+BATCH = 2_000  # training sequences in a step
+LEAST_STEPS = 12  # for each epoch asked for
 BLOCK = 128  # words in a block of the scan
-MANY = 400_000  # words that are scanned together
-SLICE = 1 << 21  # characters of texts that are split into words together
-MAX_CACHED_WORDS = 60_000
+SLICE = 1 << 21  # characters of texts that are scanned together
+YOUNG_WORDS = 100_000  # words whose emissions a Python worker keeps for sure; as many older ones may be there
 SPAN_AT = 0.5  # marginal from which a word is reported
+WORD = re.compile(r"[^ \t-\r]+")  # as the scan cuts words
 SCHEMA = "struct<score:double,spans:array<struct<start:int,end:int,marginal:double>>>"
 
 
@@ -47,79 +52,221 @@ class Field:
     bias: float
     start: tuple[float, float]
     steps: tuple[tuple[float, float], tuple[float, float]]
-    calibration: tuple[float, float, float]
+    calibration: tuple[float, ...]  # of the document's measures, then the intercept
+    before: dict[str, float] = field(default_factory=dict)  # what a word adds to the next one
+    after: dict[str, float] = field(default_factory=dict)  # and to the one before it
 
 
-def toxic_features(texts: list[str], y: np.ndarray) -> set[str]:
-    """Features that occur in documents of label 1 only (2 % of others allowed), in more of them than chance explains at 5 % over all features."""
-    ones, zeros = Counter(), Counter()
-    for text, label in zip(texts, y, strict=True):
-        if label:
-            ones.update({f for w in set(text.lower().split()) for f in features(w)})
-    a, b = int(y.sum()), int((1 - y).sum())
+@dataclass
+class Words:
+    """Documents as words: the distinct ones in small case, a code for each word in turn, and the number of words of each document."""
+
+    distinct: list[str]
+    codes: np.ndarray
+    counts: np.ndarray
+
+    @property
+    def document(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+
+def split_words(texts: pa.Array) -> Words:
+    """``texts``: large_string without nulls, cut at ASCII white space."""
+    split = pc.ascii_split_whitespace(texts)
+    flat, counts = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.not_equal(flat, "")
+    if not pc.all(full).as_py():  # white space at either end leaves empty parts
+        mask = full.to_numpy(zero_copy_only=False)
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[mask], minlength=len(counts))
+        flat = flat.filter(full)
+    words = flat.dictionary_encode()
+    return Words([w.lower() for w in words.dictionary.to_pylist()], words.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts)
+
+
+def _feature_table(distinct: list[str]) -> tuple[list[str], np.ndarray]:
+    """(features, ids of the features of each word): id 0 stands for none."""
+    index: dict[str, int] = {"": 0}
+    table = np.zeros((len(distinct), OWN), np.int32)
+    for row, word in zip(table, distinct, strict=True):
+        for k, f in enumerate(features(word)):
+            row[k] = index.setdefault(f, len(index))
+    return list(index), table
+
+
+def copies(words: Words, seeds: int = 4, run: int = 5) -> np.ndarray:
+    """A group number for each document: documents are copies if any of ``seeds`` least hashes of their runs of ``run`` words are equal."""
+    n, codes = len(words.counts), words.codes.astype(np.uint64)
+    top = np.arange(n)
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    at = np.flatnonzero(words.counts)
+    begin = (np.cumsum(words.counts) - words.counts)[at]
+    document = words.document
+    for seed in range(seeds):
+        h = np.full(len(codes), 0x9E3779B97F4A7C15 * (2 * seed + 1) & (1 << 64) - 1, np.uint64)
+        for k in range(run):  # runs are cut at the end of a document
+            inside = np.arange(len(codes)) + k < len(codes)
+            inside[inside] = document[k:] == document[: len(codes) - k]
+            following = np.zeros(len(codes), np.uint64)
+            following[inside] = codes[np.flatnonzero(inside) + k] + np.uint64(1)
+            h = (h ^ following) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+        least = np.minimum.reduceat(h, begin) if len(at) else h
+        order = np.argsort(least, kind="stable")
+        for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            if least[i] == least[j]:
+                a, b = sorted((root(int(at[i])), root(int(at[j]))))
+                top[b] = a
+    return np.array([root(i) for i in range(n)], np.int64)
+
+
+def toxic_features(words: Words, table: np.ndarray, size: int, y: np.ndarray) -> np.ndarray:
+    """Which features occur in documents of label 1 only (2 % of others allowed), in more of them than chance explains at 5 % over all features.
+
+    Copies count once, as they do not tell of each other.
+    """
+    docs, group = np.zeros((2, size), np.int64), copies(words)  # documents of each label that have a feature
+    begin = np.cumsum(words.counts) - words.counts
+    total = [0, 0]
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        own = own[np.argsort(group[own], kind="stable")]
+        for same in np.split(own, np.flatnonzero(np.diff(group[own])) + 1) if len(own) else []:
+            codes = np.unique(np.concatenate([words.codes[begin[i] : begin[i] + words.counts[i]] for i in same]))
+            docs[label][np.unique(table[codes])] += 1
+            total[label] += 1
+    b, a = total
     if not a or not b:
-        return set()
-    least = max(3.0, math.log(max(len(ones), 2) / 0.05) / math.log((a + b) / a))
-    ones = {f: n for f, n in ones.items() if n >= least}
-    for text, label in zip(texts, y, strict=True):
-        if not label:
-            zeros.update({f for w in set(text.lower().split()) for f in features(w) if f in ones})
-    return {f for f, n in ones.items() if zeros[f] / b <= 0.02 * n / a}
-
-
-def fit(sample: Sample, seed: int = 7) -> Field:
-    """Label the words of the sample, fit the field to windows of them and calibrate document scores."""
-    bad = toxic_features(sample.texts, sample.y)
+        return np.zeros(size, bool)
+    least = max(3.0, math.log(max(int((docs[1] > 0).sum()), 2) / 0.05) / math.log((a + b) / a))
+    found = (docs[1] >= least) & (docs[0] / b <= 0.02 * docs[1] / a)
+    found[0] = False
+    return found
+
+
+def fit(sample: Sample, seed: int = 7, epochs: int = 8, again: int = 4) -> Field:
+    """Label the words of the sample, fit the field to all of them, label and fit again, and calibrate document scores."""
+    words = split_words(pa.array(sample.texts, pa.large_string()))
+    names, table = _feature_table(words.distinct)
+    bad = toxic_features(words, table, len(names), sample.y)
+    seen = np.bincount(table[words.codes].ravel(), minlength=len(names)) > 1
+    keep = np.flatnonzero(seen)
+    keep = keep[keep > 0]
+    number = np.zeros(len(names), np.int32)
+    number[keep] = np.arange(1, len(keep) + 1)
+    toxic_word = bad[table].any(axis=1)
+    table = number[table]
+    names = ["", *(names[i] for i in keep)]
+
+    in_toxic = (sample.y == 1)[words.document]
+    gold = toxic_word[words.codes] & in_toxic
     rng = np.random.default_rng(seed)
-    windows: list[tuple[list[str], list[int]]] = []
-    for text, label in zip(sample.texts, sample.y, strict=True):
-        words = text.lower().split()
-        toxic = [bool(label) and any(f in bad for f in features(w)) for w in words] if label else [False] * len(words)
-        for i in [*[i for i, x in enumerate(toxic) if x][:6], *rng.integers(0, max(1, len(words)), 2)]:
-            at = max(0, int(i) - int(rng.integers(0, WINDOW)))
-            if words[at : at + WINDOW]:
-                windows.append((words[at : at + WINDOW], [int(x) for x in toxic[at : at + WINDOW]]))
-    seen = Counter(f for part, _ in windows for w in part for f in features(w))
-    index = {f: i + 1 for i, f in enumerate(f for f, n in seen.items() if n > 1)}
-    del seen
-    ids = np.zeros((len(windows), WINDOW, 1 + len(PREFIXES)), np.int32)
-    gold, mask = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), bool)
-    for r, (part, labels) in enumerate(windows):
-        gold[r, : len(part)], mask[r, : len(part)] = labels, True
-        for t, w in enumerate(part):
-            for k, f in enumerate(features(w)):
-                ids[r, t, k] = index.get(f, 0)
-    del windows
-    w, bias, start, steps = _likelihood(ids, gold, mask, len(index) + 1)
-    field = Field({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, bias, start, steps, (0.0, 0.0, 0.0))
-
-    scorer, parts = Scorer(field), [np.empty((0, 2))]
-    for at in range(0, len(sample.texts), 100):
-        parts.append(np.stack(scorer.summaries([t.lower().split() for t in sample.texts[at : at + 100]]), axis=1))
-    balance = np.where(sample.y == 1, sample.prior / max(sample.y.mean(), 1e-9), (1 - sample.prior) / max(1 - sample.y.mean(), 1e-9))
+    model = _Model(len(names))
+    places = _windows(words.counts)
+    ids = _ids(words, table)
+    if gold.any():
+        model.learn(ids, gold, places, epochs, rng)
+        # what the field itself finds in toxic documents
+        gold = in_toxic & (gold | (_marginals_of(model, words, ids) >= SPAN_AT))
+        model.learn(ids, gold, places, again, rng)
+    del ids, places
+
+    def kept(w: np.ndarray, first: int = 0) -> dict[str, float]:
+        return {names[i][first:]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.02)}
+
+    own, before, after = model.tables()
+    done = Field(kept(own), float(model.bias[0]), tuple(model.start.tolist()), tuple(map(tuple, model.steps.tolist())), (0.0, 0.0, 0.0, 0.0), kept(before), kept(after))
     if len(set(sample.y)) > 1:
-        field.calibration = tuple(logistic(np.concatenate(parts), sample.y, balance).tolist())
+        scorer = Scorer(done)
+        parts = [scorer.summaries(split_words(pa.array(sample.texts[at : at + 100], pa.large_string()))) for at in range(0, len(sample.texts), 100)]
+        balance = np.where(sample.y == 1, sample.prior / sample.y.mean(), (1 - sample.prior) / (1 - sample.y.mean()))
+        done.calibration = tuple(logistic(np.concatenate([np.stack(p, axis=1) for p in parts]), sample.y, balance).tolist())
     else:
-        field.calibration = (0.0, 0.0, math.log(max(sample.prior, 1e-6) / max(1 - sample.prior, 1e-6)))
-    return field
-
-
-def _likelihood(ids: np.ndarray, gold: np.ndarray, mask: np.ndarray, size: int, rounds: int = 80, rate: float = 0.15, ridge: float = 2e-4):
-    """Maximise the conditional likelihood of the windows by Adam over the whole sample: (weights, bias, start, transitions)."""
-    n, length, _ = ids.shape if len(ids) else (0, WINDOW, 0)
-    theta = np.zeros(size + 1 + 2 + 4)  # weights (the first is of unseen features, zero), bias, start, transitions
-    theta[size] = -2.0
-    if not n:
-        return theta[:size], float(theta[size]), (0.0, 0.0), ((0.0, 0.0), (0.0, 0.0))
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    both = mask[:, 1:] & mask[:, :-1]
-    flat, total = ids.reshape(-1), mask.sum()
-    for k in range(1, rounds + 1):
-        weights, bias, start, steps = theta[:size], theta[size], theta[size + 1 : size + 3], theta[size + 3 :].reshape(2, 2)
-        x = np.exp(np.clip(weights[ids].sum(axis=2) + bias, -30, 30)) * mask + ~mask
-        m = np.exp(steps)
+        done.calibration = (0.0, 0.0, 0.0, math.log(max(sample.prior, 1e-6) / max(1 - sample.prior, 1e-6)))
+    return done
+
+
+def _windows(counts: np.ndarray) -> np.ndarray:
+    """(windows, WINDOW) places of all words, every document cut into windows; -1 behind its end."""
+    each = -(-counts // WINDOW)
+    document = np.repeat(np.arange(len(counts)), each)
+    within = (np.arange(len(document)) - np.repeat(np.cumsum(each) - each, each)) * WINDOW
+    first = (np.cumsum(counts) - counts)[document] + within
+    place = first[:, None] + np.arange(WINDOW)
+    return np.where(np.arange(WINDOW) < (counts[document] - within)[:, None], place, -1)
+
+
+def _ids(words: Words, table: np.ndarray) -> np.ndarray:
+    """(words, OWN + 2) feature ids of each word: its own, and the whole words before and after it in its document."""
+    out = np.zeros((len(words.codes) + 1, OWN + 2), np.int32)  # the last row is of no word
+    out[:-1, :OWN] = table[words.codes]
+    whole, document = table[words.codes, 0], words.document
+    same = document[1:] == document[:-1]
+    out[1:-1, OWN] = np.where(same, whole[:-1], 0)
+    out[:-2, OWN + 1] = np.where(same, whole[1:], 0)
+    return out
+
+
+class _Model:
+    """Parameters of the field under Adam: three tables of weights (own features, word before, word after), bias, start and transitions."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.theta = np.zeros(3 * size + 7)
+        self.theta[3 * size] = -2.0
+        self.first, self.second = np.zeros_like(self.theta), np.zeros_like(self.theta)
+        self.step = 0
+        self.offset = np.array([0] * OWN + [size, 2 * size])
+
+    @property
+    def bias(self) -> np.ndarray:
+        return self.theta[3 * self.size :][:1]
+
+    @property
+    def start(self) -> np.ndarray:
+        return self.theta[3 * self.size + 1 :][:2]
+
+    @property
+    def steps(self) -> np.ndarray:
+        return self.theta[3 * self.size + 3 :].reshape(2, 2)
+
+    def tables(self) -> np.ndarray:
+        return self.theta[: 3 * self.size].reshape(3, self.size)
+
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        return self.theta[ids + self.offset].sum(axis=-1) + self.bias
+
+    def learn(self, ids: np.ndarray, gold: np.ndarray, places: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+        truth = np.r_[gold, False].astype(np.int64)
+        epochs = max(epochs, epochs * LEAST_STEPS // -(-len(places) // BATCH))  # a small sample is gone over oftener
+        for epoch in range(epochs):
+            order = rng.permutation(len(places))
+            rate = 0.15 if epoch < 0.75 * epochs else 0.04
+            for at in range(0, len(order), BATCH):
+                pick = places[order[at : at + BATCH]]
+                self._update(self._gradient(ids[pick], truth[pick], pick >= 0), rate)
+
+    def _update(self, g: np.ndarray, rate: float, ridge: float = 2e-5) -> None:
+        self.step += 1
+        g += ridge * self.theta
+        self.first += 0.1 * (g - self.first)
+        self.second += 0.01 * (g * g - self.second)
+        self.theta -= rate * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-6)
+        self.theta[[0, self.size, 2 * self.size]] = 0  # no feature
+
+    def _gradient(self, ids: np.ndarray, gold: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Of the mean negative log likelihood of windows, by forward-backward."""
+        n, length, _ = ids.shape
+        size, m = 3 * self.size, np.exp(self.steps)
+        x = np.exp(np.clip(self.emissions(ids), -30, 30)) * mask + ~mask
+        both = mask[:, 1:] & mask[:, :-1]
         alpha, beta = np.empty((length, n, 2)), np.ones((length, n, 2))
-        alpha[0] = np.exp(start) * np.c_[np.ones(n), x[:, 0]]
+        alpha[0] = np.exp(self.start) * np.c_[np.ones(n), x[:, 0]]
         alpha[0] /= alpha[0].sum(axis=1, keepdims=True)
         for t in range(1, length):
             alpha[t] = (alpha[t - 1] @ m) * np.c_[np.ones(n), x[:, t]]
@@ -129,69 +276,74 @@ def _likelihood(ids: np.ndarray, gold: np.ndarray, mask: np.ndarray, size: int,
             beta[t] /= beta[t].sum(axis=1, keepdims=True)
         p = alpha * beta
         p = (p / p.sum(axis=2, keepdims=True))[:, :, 1].T
-        pair = alpha[:-1, :, :, None] * m * (beta[1:] * np.stack([np.ones_like(x[:, 1:]), x[:, 1:]], axis=2).transpose(1, 0, 2))[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
         gap = (p - gold) * mask
-        g = np.empty_like(theta)
-        g[:size] = np.bincount(flat, np.repeat(gap.reshape(-1), ids.shape[2]), size)
-        g[0] = 0
+        pairs = np.zeros(4)
+        for t in range(length - 1):
+            pair = alpha[t, :, :, None] * m * (beta[t + 1] * np.c_[np.ones(n), x[:, t + 1]])[:, None, :]
+            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            pairs += (pair * both[:, t, None, None]).sum(axis=0).ravel()
+        g = np.empty_like(self.theta)
+        g[:size] = np.bincount((ids + self.offset).ravel(), np.repeat(gap.ravel(), ids.shape[2]), size)
         g[size] = gap.sum()
         g[size + 1 : size + 3] = (-gap[:, 0].sum(), gap[:, 0].sum())
-        real = np.bincount((2 * gold[:, :-1] + gold[:, 1:])[both], minlength=4)
-        g[size + 3 :] = (pair * both.T[:, :, None, None]).sum(axis=(0, 1)).reshape(4) - real
-        g = g / total + ridge * theta / 10
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        theta -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-6)
-        theta[0] = 0
-    t = theta[size + 3 :]
-    return theta[:size], float(theta[size]), (float(theta[size + 1]), float(theta[size + 2])), ((float(t[0]), float(t[1])), (float(t[2]), float(t[3])))
-
+        g[size + 3 :] = pairs - np.bincount((2 * gold[:, :-1] + gold[:, 1:])[both], minlength=4)
+        return g / max(1, mask.sum())
 
-class Emissions(dict):
-    """Emission weight of state 1 by raw word, computed on first use; bounded by the owner."""
-
-    def __init__(self, field: Field):
-        super().__init__()
-        self.weights, self.bias = field.weights.get, field.bias
 
-    def __missing__(self, word: str) -> float:
-        get = self.weights
-        found = self[word] = self.bias + sum(get(f, 0.0) for f in features(word))
-        return found
+def _marginals_of(model: _Model, words: Words, ids: np.ndarray) -> np.ndarray:
+    """Marginals of all words, document by document as in scoring."""
+    e = np.concatenate([model.emissions(ids[at : at + 100_000]) for at in range(0, len(words.codes), 100_000)] or [np.zeros(0)])[: len(words.codes)]
+    counts = words.counts[words.counts > 0]
+    chain = Scorer(Field({}, 0.0, tuple(model.start.tolist()), tuple(map(tuple, model.steps.tolist())), (0.0, 0.0, 0.0)))._chain
+    return chain(e, np.cumsum(counts) - counts) if len(e) else e
 
 
 class Scorer:
     def __init__(self, field: Field):
-        self.field, self.emissions = field, Emissions(field)
-
-    def summaries(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each document the largest logit of a marginal and the logarithm of one plus the expected toxic words."""
-        peak, count = np.full(len(split), -12.0), np.zeros(len(split))
-        for at, p, first in self.marginals(split):
+        self.field = field
+        self.young: dict[str, tuple[float, float, float]] = {}
+        self.old: dict[str, tuple[float, float, float]] = {}
+
+    def _weights(self, distinct: list[str]) -> np.ndarray:
+        """(words, 3): what each word adds to its own emission, to that of the next word and to that of the word before."""
+        f, young, old = self.field, self.young, self.old
+        own, before, after = f.weights.get, f.before.get, f.after.get
+        out = np.empty((len(distinct), 3))
+        for row, word in enumerate(distinct):
+            w = young.get(word)
+            if w is None:
+                w = old.get(word)
+                if w is None:
+                    names = features(word)
+                    whole = names[0] if names else ""
+                    w = (f.bias + sum([own(x, 0.0) for x in names]), before(whole, 0.0), after(whole, 0.0))
+                young[word] = w
+            out[row] = w
+        if len(young) > YOUNG_WORDS:
+            self.young, self.old = {}, young
+        return out
+
+    def marginals(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(documents that have words, marginals of state 1 of all words in a row, where each of these documents starts)."""
+        w = self._weights(words.distinct)
+        e = w[words.codes, 0]
+        document = words.document
+        same = document[1:] == document[:-1]
+        e[1:] += np.where(same, w[words.codes[:-1], 1], 0)
+        e[:-1] += np.where(same, w[words.codes[1:], 2], 0)
+        at = np.flatnonzero(words.counts)
+        first = (np.cumsum(words.counts) - words.counts)[at]
+        return at, self._chain(e, first) if len(e) else e, first
+
+    def summaries(self, words: Words, marginals: tuple | None = None) -> tuple[np.ndarray, ...]:
+        """For each document the largest logit of a marginal, and the logarithms of one plus the expected toxic words and all words."""
+        peak, count = np.full(len(words.counts), -12.0), np.zeros(len(words.counts))
+        at, p, first = marginals or self.marginals(words)
+        if len(at):
             top = np.clip(np.maximum.reduceat(p, first), 1e-6, 1 - 1e-6)
             peak[at] = np.maximum(np.log(top / (1 - top)), -12)
             count[at] = np.log1p(np.add.reduceat(np.where(p > 0.05, p, 0), first))
-        return peak, count
-
-    def marginals(self, split: list[list[str]]):
-        """Yield (documents, marginals of state 1 of their words in a row, where each document starts); documents without words are left out."""
-        if len(self.emissions) > MAX_CACHED_WORDS:
-            self.emissions.clear()
-        at: list[int] = []
-        n = 0
-        for i, words in enumerate(split):
-            if words:
-                at.append(i)
-                n += len(words)
-            if at and (n >= MANY or i + 1 == len(split)):
-                e = np.fromiter((x for k in at for x in map(self.emissions.__getitem__, split[k])), np.float64, n)
-                first = np.r_[0, np.cumsum([len(split[k]) for k in at])[:-1]]
-                yield np.array(at), self._chain(e, first), first
-                at, n = [], 0
-        if at:
-            e = np.fromiter((x for k in at for x in map(self.emissions.__getitem__, split[k])), np.float64, n)
-            first = np.r_[0, np.cumsum([len(split[k]) for k in at])[:-1]]
-            yield np.array(at), self._chain(e, first), first
+        return peak, count, np.log1p(words.counts)
 
     def _chain(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Forward-backward over documents in a row, as one chain that forgets its state at the start of each.
@@ -244,40 +396,41 @@ class Scorer:
             b0, b1 = b0 * z, b1 * z
         return f.T.reshape(-1)[:n]
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
+    def score(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
         """Scores, and the offending spans as code-point offsets with their marginals."""
-        spans: list[list[dict]] = [[] for _ in texts]
-        scores = np.empty(len(texts))
-        start, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= SLICE or i + 1 == len(texts):  # words of a slice at a time are held
-                scores[start : i + 1] = self._score(texts[start : i + 1], spans, start)
-                start, size = i + 1, 0
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        spans: list[list[dict]] = [[] for _ in range(len(column))]
+        scores = np.empty(len(column))
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
+        at = 0
+        while at < len(column):  # the words of a slice at a time are held
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE)))
+            scores[at:to] = self._score(column.slice(at, to - at), spans, at)
+            at = to
         return scores, spans
 
-    def _score(self, texts: list[str | None], spans: list[list[dict]], offset: int) -> np.ndarray:
-        split = [(t or "").lower().split() for t in texts]
-        peak, count = np.full(len(split), -12.0), np.zeros(len(split))
-        for at, p, first in self.marginals(split):
-            top = np.clip(np.maximum.reduceat(p, first), 1e-6, 1 - 1e-6)
-            peak[at] = np.maximum(np.log(top / (1 - top)), -12)
-            count[at] = np.log1p(np.add.reduceat(np.where(p > 0.05, p, 0), first))
-            for k in np.flatnonzero(top >= SPAN_AT):
-                end = first[k + 1] if k + 1 < len(first) else len(p)
-                hits = {int(i): float(p[first[k] + i]) for i in np.flatnonzero(p[first[k] : end] >= SPAN_AT)}
-                spans[offset + at[k]] = [{"start": w.start(), "end": w.end(), "marginal": hits[i]} for i, w in enumerate(re.finditer(r"\S+", texts[at[k]])) if i in hits]
-        a, b, c = self.field.calibration
-        return sigmoid(a * peak + b * count + c)
+    def _score(self, texts: pa.Array, spans: list[list[dict]], offset: int) -> np.ndarray:
+        words = split_words(texts)
+        at, p, first = found = self.marginals(words)
+        measures = self.summaries(words, found)
+        hits = np.flatnonzero(p >= SPAN_AT)
+        document = np.searchsorted(first, hits, "right") - 1
+        for k in np.unique(document):
+            own = {int(i - first[k]): float(p[i]) for i in hits[document == k]}
+            text = texts[int(at[k])].as_py()
+            spans[offset + at[k]] = [{"start": w.start(), "end": w.end(), "marginal": own[i]} for i, w in enumerate(WORD.finditer(text)) if i in own]
+        *weights, intercept = self.field.calibration
+        return sigmoid(sum(w * x for w, x in zip(weights, measures)) + intercept)
 
 
 def toxicity(field: Field) -> Callable:
     """A column function: text -> struct(score, spans) by ``field``."""
-    number = hash((field.bias, field.start, field.steps, field.calibration, len(field.weights)))
+    number = hash((field.bias, field.start, field.steps, field.calibration, len(field.weights), len(field.before)))
 
     @F.arrow_udf(SCHEMA)
     def crf(text: pa.Array) -> pa.Array:
-        scores, spans = held(("toxicity", number), lambda: Scorer(field)).score(text.to_pylist())
+        scores, spans = held(("toxicity", number), lambda: Scorer(field)).score(text)
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, kinds)], names=["score", "spans"])
 
@@ -295,4 +448,4 @@ def score_toxicity(docs: DataFrame, field: Field, column: str = "toxicity") -> D
     Whole texts are scored. Null and empty texts have no words: their score is that of a document
     whose every marginal is least, and no spans. Repeated rows score alike; other columns stay.
     """
-    return small_batches(docs).withColumn(column, toxicity(field)(F.col("text")))
+    return small_batches(docs).withColumn(column, toxicity(field)(F.make_valid_utf8(F.col("text"))))
