@@ -87,8 +87,12 @@ class Scorer:
         return np.concatenate(out)
 
 
-def fit(sample: Sample, chunks_each: int = 4, epochs: int = 8, batch: int = 128, seed: int = 11) -> Network:
-    """Learn filters and layers from random chunks of the sample by Adam; then calibrate on whole documents."""
+def fit(sample: Sample, epochs: int = 6, batch: int = 128, seed: int = 11) -> Network:
+    """Learn filters and layers from all chunks of the sample by Adam; then calibrate on whole documents.
+
+    A document's chunks share its weight by the root of their number, so that a very long one counts
+    for more than a short one, but not for as many as it has chunks.
+    """
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.25, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), 0.0, np.zeros(4))
     texts = [t.encode() for t in sample.texts]
@@ -96,23 +100,28 @@ def fit(sample: Sample, chunks_each: int = 4, epochs: int = 8, batch: int = 128,
         net.calibration[3] = math.log(max(sample.prior, 1e-6) / max(1 - sample.prior, 1e-6))
         return net
     size = 2 * SEGMENT
-    rows, y = [], []
-    for t, label in zip(texts, sample.y, strict=True):
-        for at in rng.integers(0, max(1, len(t) - size), min(chunks_each, 1 + len(t) // SEGMENT)):
-            rows.append(np.frombuffer(t[at : at + size].ljust(size + WIDTH, b"\0"), np.uint8))
-            y.append(label)
-    x, y = np.stack(rows), np.array(y, np.float32)
-    share = y.mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    # every text is cut into chunks; they are read from one row of bytes
+    number = np.array([max(1, -(-len(t) // size)) for t in texts])
+    data = np.zeros(int(number.sum()) * size + WIDTH, np.uint8)
+    for start, t in zip((np.cumsum(number) - number) * size, texts, strict=True):
+        data[start : start + len(t)] = np.frombuffer(t, np.uint8)
+    first, behind = np.arange(number.sum()) * size, np.arange(size + WIDTH)
+    last = np.zeros(len(first), bool)
+    last[np.cumsum(number) - 1] = True
+    y = np.repeat(sample.y, number).astype(np.float32)
+    weight = np.repeat(1 / np.sqrt(number), number).astype(np.float32)
+    for label in (0, 1):
+        weight[y == label] *= 0.5 / weight[y == label].sum() * len(y)
     params = [net.table, net.bias, net.dense, np.zeros(1, np.float32)]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     k = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(x))
+        order = rng.permutation(len(first))
         rate = 0.02 if epoch < epochs - 3 else 0.005
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            xb, n = x[pick], len(pick)
+            xb, n = data[first[pick][:, None] + behind], len(pick)
+            xb[last[pick], size:] = 0  # what follows is another text
             response = params[0][0].take(xb[:, :size], axis=0)
             for j in range(1, WIDTH):
                 response += params[0][j].take(xb[:, j : j + size], axis=0)
@@ -128,7 +137,7 @@ def fit(sample: Sample, chunks_each: int = 4, epochs: int = 8, batch: int = 128,
                 table[j] = np.bincount(hit.ravel(), back.ravel(), 256 * FILTERS).reshape(256, FILTERS)
             grads = [table, back.sum(axis=0), hidden.T @ gap + 1e-4 * params[2], gap.sum(keepdims=True)]
             k += 1
-            for p, g, f, s in zip(params, grads, first, second, strict=True):
+            for p, g, f, s in zip(params, grads, mean, square, strict=True):
                 f += 0.1 * (g - f)
                 s += 0.01 * (g * g - s)
                 p -= (rate * (f / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-7)).astype(np.float32)

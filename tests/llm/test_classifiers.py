@@ -5,6 +5,7 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from glyphward.llm import queries as q
 from glyphward.llm.labelled import Sample, logistic, sigmoid
 from glyphward.llm.quality_cnn import SEGMENT, WIDTH, Network, fit_quality, score_quality
 from glyphward.llm.quality_cnn import Scorer as Net
-from glyphward.llm.toxicity_crf import Field, Scorer, features, fit, fit_toxicity, score_toxicity
+from glyphward.llm.toxicity_crf import Field, Scorer, _ids, _Model, _windows, copies, features, fit, fit_toxicity, score_toxicity, split_words
 
 FIELD = Field({"wbad": 4.0, "4awfu": 3.0, "wfine": -1.0}, -2.0, (0.3, -0.3), ((0.5, -0.4), (-0.7, 0.9)), (1.0, 0.5, 0.0))
 
@@ -30,14 +31,14 @@ def brute_marginals(words):
 
 def test_forward_backward_is_exact():
     docs = [["bad", "fine", "x", "awful", "bad."], ["fine"], ["x"] * 9, ["awfully", "bad"]]
-    (at, p, first), = list(Scorer(FIELD).marginals(docs))
+    at, p, first = Scorer(FIELD).marginals(split_words(pa.array([" ".join(d) for d in docs], pa.large_string())))
     for k, words in zip(at, docs):
         assert np.allclose(p[first[k] : first[k] + len(words)], brute_marginals(words), atol=1e-9)
 
 
 def test_long_texts_cross_blocks():
     words = (["x", "fine", "bad"] * 700)[:1999]
-    (_, p, _), = list(Scorer(FIELD).marginals([words]))
+    _, p, _ = Scorer(FIELD).marginals(split_words(pa.array([" ".join(words)], pa.large_string())))
     a, m = np.exp(FIELD.start), np.exp(np.array(FIELD.steps))
     e = [np.array([1, math.exp(FIELD.bias + sum(FIELD.weights.get(f, 0) for f in features(w)))]) for w in words]
     alpha = [a * e[0] / (a * e[0]).sum()]
@@ -71,7 +72,55 @@ def test_fit_learns_words_and_prefixes():
     field = fit(Sample(texts, np.array(y), 0.25))
     score, spans = Scorer(field).score(["w1 w2 IDIOT, w3", "w4 zorgxnew w5", "w6 w7 w8"])
     assert score[0] > 0.5 and score[1] > 0.5 and score[2] < 0.3 and len(spans[0]) == len(spans[1]) == 1 and not spans[2]
-    assert fit(Sample([], np.array([], int), 0.5)).calibration[2] == 0.0
+    assert fit(Sample([], np.array([], int), 0.5)).calibration[-1] == 0.0
+
+
+def test_words_beside_count():
+    field = Field({"wbad": 2.0}, -1.0, FIELD.start, FIELD.steps, (1.0, 0.0, 0.0), {"wso": 1.5}, {"wyou": -0.7})
+    words = "so bad you so x".split()
+    e = [-1.0, -1 + 2 + 1.5 - 0.7, -1.0, -1.0, -1 + 1.5]
+    got = Scorer(field).marginals(split_words(pa.array(["  " + "\t ".join(words) + "\n", "", "bad", "you"], pa.large_string())))
+    total, one = 0.0, np.zeros(5)
+    for y in product((0, 1), repeat=5):
+        s = math.exp(field.start[y[0]] + sum(e[i] for i in range(5) if y[i]) + sum(field.steps[a][b] for a, b in zip(y, y[1:])))
+        total, one = total + s, one + s * np.array(y)
+    assert list(got[0]) == [0, 2, 3] and np.allclose(got[1][:5], one / total, atol=1e-9) and list(got[2]) == [0, 5, 6]
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    words = split_words(pa.array(["a b c a d", "c c", "", "d a b"], pa.large_string()))
+    table = rng.integers(0, 6, (len(words.distinct), 5)).astype(np.int32)
+    ids, places = _ids(words, table), _windows(words.counts)
+    gold = np.r_[rng.integers(0, 2, len(words.codes)), 0]
+    model = _Model(6)
+    model.theta[:] = rng.normal(0, 0.5, len(model.theta))
+    model.theta[[0, 6, 12]] = 0
+
+    def loss():
+        e, out = model.emissions(ids), 0.0
+        for row in places:
+            at = row[row >= 0]
+            paths = {y: sum(e[i] for i, k in zip(at, y) if k) + model.start[y[0]] + sum(model.steps[a, b] for a, b in zip(y, y[1:])) for y in product((0, 1), repeat=len(at))}
+            out += math.log(sum(map(math.exp, paths.values()))) - paths[tuple(gold[at])]
+        return out / (places >= 0).sum()
+
+    got = model._gradient(ids[places], gold[places], places >= 0)
+    for k in [1, 3, 5, 7, 8, 13, 16, *range(18, 25)]:
+        model.theta[k] += 1e-5
+        up = loss()
+        model.theta[k] -= 2e-5
+        down = loss()
+        model.theta[k] += 1e-5
+        assert got[k] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_copies_are_told():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(300)], 80)) for _ in range(30)]
+    texts += [texts[0], texts[0] + " more", texts[1].replace(texts[1].split()[40], "x"), "", "w1 w2"]
+    group = copies(split_words(pa.array(texts, pa.large_string())))
+    assert group[30] == group[31] == group[0] and group[32] == group[1] and len(set(group)) == 32
 
 
 def brute_chunks(net, text):
