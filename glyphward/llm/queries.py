@@ -180,3 +180,25 @@ ORACLES["op8_mixing"] = _mixing_sql()
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, by bytes, over forty shards."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
+
+
+ORACLES["op9_sharding"] = """
+WITH table_of AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS i))
+), texts AS (
+  SELECT digest, h, list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS b
+  FROM (SELECT md5(coalesce(text, '')) AS digest, any_value(hex(encode(coalesce(text, '')))) AS h FROM documents GROUP BY 1)
+), sums AS (
+  SELECT digest, CAST(length(h) // 2 + 16 AS BIGINT) AS size, CAST(xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS BIGINT) AS text_crc32 FROM texts, table_of
+), records AS (
+  SELECT row_number() OVER (ORDER BY digest, doc_id NULLS FIRST) AS nth, CAST(doc_id AS BIGINT) AS doc_id, digest, size, text_crc32
+  FROM (SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents) JOIN sums USING (digest)
+), placed AS (
+  SELECT *, sum(size) OVER () AS total, sum(size) OVER (ORDER BY nth) AS ends, sum(size) OVER (PARTITION BY digest) AS group_bytes FROM records
+), dealt AS (
+  SELECT *, CAST(least(39, floor(CASE WHEN group_bytes <= total / 64 / 40 THEN max(ends) OVER (PARTITION BY digest) - group_bytes / 2 ELSE ends - size / 2 END * 40 / total)) AS INTEGER) AS shard FROM placed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
+"""

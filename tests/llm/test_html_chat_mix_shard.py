@@ -11,7 +11,9 @@ from glyphward.llm import queries as q
 from glyphward.llm.chat_collapse import collapse_and_render
 from glyphward.llm.html_paths import _Page, extract_main_text, main_text, path_ratios
 from glyphward.llm.mixing_ipf import calibrated, mix, rake
-from glyphward.llm.sharding import shard_by_bytes
+from glyphward.llm import sharding
+from glyphward.llm.sharding import _key, fine_ranges, records, shard_by_bytes, splitters
+from glyphward.llm.tables import save
 
 PAGES = [
     (None, ""),
@@ -165,6 +167,54 @@ def test_sharding_hot_group(spark):
     assert shard_by_bytes(table.limit(0), 8).isEmpty()
 
 
+def plain_shards(docs, shards):
+    """By one sort: (doc_id, text, shard), sorted."""
+    import hashlib
+
+    rows = sorted((hashlib.md5((t or "").encode()).hexdigest(), -1 << 70 if d is None else d, d, t) for d, t in docs)
+    sizes = [len((t or "").encode()) + 16 for *_, t in rows]
+    total, groups, out, end = sum(sizes), {}, [], 0
+    for (digest, *_), n in zip(rows, sizes):
+        groups[digest] = groups.get(digest, 0) + n
+    ends = {}
+    for (digest, *_), n in zip(rows, sizes):
+        end += n
+        ends[digest] = end
+    end = 0
+    for (digest, _, d, t), n in zip(rows, sizes):
+        end += n
+        middle = ends[digest] - groups[digest] / 2 if groups[digest] <= total / 64 / shards else end - n / 2
+        out.append((str(d), t or "", min(shards - 1, int(middle * shards / total))))
+    return sorted(out)
+
+
+def test_equal_rows_without_an_id_are_cut(spark):
+    docs = [(None, "all the same text")] * 60_000 + [(i, f"text {i % 700} " * (i % 7)) for i in range(20_000)] + [(3, "twice over")] * 9_000
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    keyed = records(table).withColumn("key", _key())
+    keyed = save(keyed, "test")
+    total = keyed.agg(F.sum("size")).first()[0]
+    cuts, sums, hot = fine_ranges(keyed, total, 8)
+    assert len(hot) >= 2 and sums.where(F.col("bytes") > 2 * total / (8 * 16)).isEmpty() and len(cuts) < 3 * 8 * 16
+    assert sums.agg(F.sum("bytes")).first()[0] == total
+    rows = shard_by_bytes(table, 8).toPandas().rename(columns={"size": "size_"})
+    text = {zlib.crc32((t or "").encode()): t or "" for _, t in docs}
+    got = sorted((str(None if d != d else int(d)), text[c], s) for d, c, s in zip(rows.doc_id, rows.text_crc32, rows.shard))
+    assert got == plain_shards(docs, 8)
+    for _, part in rows.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+
+
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SAMPLES_EACH", 0.4)  # so few that ranges come out uneven
+    docs = [(i, f"text {i} " * (1 + i % 5)) for i in range(6000)]
+    table = save(records(spark.createDataFrame(docs, "doc_id long, text string")).withColumn("key", _key()), "test")
+    total = table.agg(F.sum("size")).first()[0]
+    first = splitters(table.withColumn("range", F.lit(0)), total / 64, 17)
+    cuts, sums, _ = fine_ranges(table, total, 4)
+    assert len(cuts) > len(first) and sums.where((F.col("bytes") > 2 * total / 64) & (F.col("n") > 1)).isEmpty()
+
+
 def test_pipeline_runs(spark, sf_dir):
     import corpus_pipeline
 
