@@ -126,11 +126,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     and text or have no id; null ids sort first in their group; extra columns are ignored; no rows
     give no rows.
     """
-    kept = save(records(docs), "records")
-    keyed = kept.withColumn("key", _key())
+    keyed = save(records(docs).withColumn("key", _key()), "records")
     total = int(keyed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()["total"])
     cuts, sums, hot = fine_ranges(keyed, total, shards)
-    ranged = keyed.withColumn("range", range_of(F.col("key"), cuts))
+    # written, as the optimizer would carry the search for the range into the table of ranges
+    ranged = save(keyed.withColumn("range", range_of(F.col("key"), cuts)), "ranged")
+    drop(keyed)
 
     before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("range_start"))
@@ -143,7 +144,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     middle = F.when(whole, F.col("group_end") - F.col("group_bytes") / 2).otherwise(F.col("end") - F.col("size") / 2)
     shard = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(total, 1)))).cast("int")
     dealt = save(placed.select("doc_id", "size", "text_crc32", "key", "range", shard.alias("shard")), "dealt")
-    drop(kept, sums)
+    drop(ranged, sums)
 
     counts = dealt.groupBy("shard", "range").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
