@@ -1,21 +1,27 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
-Documents are counted in cells of source, language and topic. Raking multiplies the token weight of
-every cell in turn by what each marginal lacks, until the weighted tokens have the target marginals.
-A document is then kept with the probability that its cell's weight calls for, scaled so that the
-wanted share of all tokens is expected to stay; a cell that would need more than it has gives all,
-and the others make up for it. The draw is a hash of the id, the same in every run and everywhere.
+Documents are counted in cells of source, language and topic. Every value of a dimension has a target
+of tokens: its share of those that are to stay, but no more than it has; what it lacks the others
+make up for by their shares. Raking starts all cells at one rate and multiplies the rates in turn by
+what each marginal lacks, where no cell gives more than all it has. So the rates are the calibrated
+probabilities by which documents are drawn, and the drawn tokens have the target marginals as far as
+cells allow. The draw is a hash of the id, the same in every run and everywhere.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphward.llm.tables import save
+from glyphward.llm.tables import drop, save
 
-ROUNDS = 12
-DEEP = 15  # rounds after which the cells are written, as a plan cannot nest without end
+ROUNDS = 24
+DEEP = 12  # rounds after which the cells are written, as a plan cannot nest without end
+SETTLED = 1e-12  # change of a marginal in a round below which raking ends
+GAP = 1e-3  # share of tokens by which a marginal may miss its target without a warning
+SMALL = 200_000  # cells that are raked in a single stage; more are raked by joins with the marginals
 FLATTEN = 0.75  # targets are proportional to tokens to this power, unless they are given
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -38,40 +44,130 @@ def topic(text: Column) -> Column:
     )
 
 
-def cell(docs: DataFrame) -> Column:
-    """struct(source, lang, topic, tokens) of a document; a column named topic wins over :func:`topic`. Null source and language are values of their own."""
-    kind = F.col("topic") if "topic" in docs.columns else topic(F.col("text"))
-    named = zip(DIMENSIONS, (F.col("source"), F.col("lang"), kind), strict=True)
+def cell(docs: DataFrame, kind: Column | None = None) -> Column:
+    """struct(source, lang, topic, tokens) of a document; ``kind`` is the topic, :func:`topic` of the text by default. Null source and language are values of their own."""
+    named = zip(DIMENSIONS, (F.col("source"), F.col("lang"), topic(F.col("text")) if kind is None else kind), strict=True)
     return F.struct(*(F.coalesce(c.cast("string"), F.lit("")).alias(d) for d, c in named), tokens(F.col("text")).alias("tokens"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, tokens, weight): the raked token weight of each cell, all summing to one.
+def marginal_targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float) -> DataFrame:
+    """(dimension, value, tokens, target): the tokens of each marginal and how many of them are to stay, ``keep`` of all in each dimension.
 
-    ``cells`` has a row for each cell with its tokens. ``targets`` gives the shares of a dimension's
-    values (values it leaves out get none); dimensions that it leaves out get shares in proportion to
-    tokens to the power FLATTEN. The cells, a row for each combination that occurs, go to one
-    partition, so all rounds run in a single stage without another exchange.
+    ``targets`` gives the shares of a dimension's values (values it leaves out get none); dimensions
+    that it leaves out get shares in proportion to tokens to the power FLATTEN. A value gets
+    min(tokens, c * share); c is found on the driver from sums over values, a dimension in a row.
     """
-    now = cells.repartition(1).withColumn("weight", F.col("tokens").cast("double"))
+    pair = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS))).alias("pair")
+    held = cells.select(pair, "tokens").groupBy("pair.dimension", "pair.value").agg(F.sum("tokens").alias("tokens"))
+    share = F.pow(F.col("tokens").cast("double"), FLATTEN)
+    for d, shares in (targets or {}).items():
+        given = F.create_map(*(F.lit(x) for p in shares.items() for x in p)) if shares else F.lit(None).cast("map<string,double>")
+        share = F.when(F.col("dimension") == d, F.coalesce(given[F.col("value")].cast("double"), F.lit(0.0))).otherwise(share)
+    marginals = save(held.withColumn("share", share), "marginals")
+    scale: dict[str, float] = dict.fromkeys(DIMENSIONS, 0.0)
+    while True:
+        full = _of_dimension(scale) * F.col("share") >= F.col("tokens")
+        sums = marginals.groupBy("dimension").agg(F.sum("tokens").alias("all"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("given"), F.sum(F.when(~full, F.col("share")).otherwise(0.0)).alias("sharing"))
+        new = {r["dimension"]: (keep * r["all"] - r["given"]) / r["sharing"] if r["sharing"] > 0 else scale[r["dimension"]] for r in sums.collect()}
+        if all(new.get(d, s) <= s * (1 + 1e-12) for d, s in scale.items()):
+            break
+        scale = {d: max(s, new.get(d, s)) for d, s in scale.items()}
+    wanted = F.least(F.col("tokens").cast("double"), _of_dimension(scale) * F.col("share"))
+    out = save(marginals.select("dimension", "value", "tokens", wanted.alias("target")), "targets")
+    drop(marginals)
+    return out
+
+
+def _of_dimension(values: dict[str, float]) -> Column:
+    return F.create_map(*(F.lit(x) for p in values.items() for x in p))[F.col("dimension")]
+
+
+def _of(marginals: DataFrame, d: str, column: str) -> DataFrame:
+    """(value of dimension ``d``, ``column`` under the dimension's name)."""
+    return marginals.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col(column).alias(f"{d}_{column}"))
+
+
+def _given(rate: Column) -> Column:
+    return F.col("tokens") * F.least(F.lit(1.0), rate)
+
+
+def _rake_small(cells: DataFrame, marginals: DataFrame, keep: float, rounds: int) -> DataFrame:
+    """All rounds in a single stage over one partition."""
+    now = cells
     for d in DIMENSIONS:
-        by = Window.partitionBy(d)
-        if targets and d in targets:
-            shares = F.create_map(*(F.lit(x) for pair in targets[d].items() for x in pair))
-            now = now.withColumn(f"{d}_target", F.coalesce(shares[F.col(d)], F.lit(0.0)))
-        else:
-            held = F.sum(F.col("tokens").cast("double")).over(by)
-            # every cell carries its part of its value's share, so that the sum over cells is that over values
-            now = now.withColumn(f"{d}_target", F.pow(held, FLATTEN)).withColumn(f"{d}_part", F.col(f"{d}_target") / F.count("*").over(by))
-            now = now.withColumn(f"{d}_target", F.col(f"{d}_target") / F.sum(f"{d}_part").over(Window.partitionBy(F.lit(0)))).drop(f"{d}_part")
-    for k in range(rounds):
-        if k and k % DEEP == 0:
-            now = save(now, "raked").repartition(1)
+        now = now.join(_of(marginals, d, "target"), d)
+    now = save(now.repartition(1).withColumn("rate", F.lit(float(keep))), "raked")
+    done = 0
+    while done < rounds:
+        before, step = now, now.drop("was").repartition(1).withColumn("was", F.least(F.lit(1.0), F.col("rate")))
+        for _ in range(min(DEEP, rounds - done)):
+            for d in DIMENSIONS:
+                held = F.sum(_given(F.col("rate"))).over(Window.partitionBy(d))
+                step = step.withColumn("rate", F.when(held > 0, F.col("rate") * F.col(f"{d}_target") / held).otherwise(F.lit(0.0)))
+        now = save(step, "raked")
+        drop(before)
+        done += DEEP
+        moved = now.agg(F.max(F.abs(F.least(F.lit(1.0), F.col("rate")) - F.col("was")))).first()[0]
+        if (moved or 0.0) < SETTLED:
+            break
+    return now.select(*DIMENSIONS, "tokens", "rate")
+
+
+def _rake_large(cells: DataFrame, marginals: DataFrame, keep: float, rounds: int) -> DataFrame:
+    """A factor for each value of each dimension; a round is an aggregation of the cells for each dimension."""
+    factors = {d: _of(marginals.withColumn("factor", F.lit(float(keep) if d == DIMENSIONS[0] else 1.0)), d, "factor") for d in DIMENSIONS}
+
+    def rated() -> DataFrame:
+        now = cells
+        for d in DIMENSIONS:
+            now = now.join(factors[d], d)  # broadcast only where Spark finds the written table small enough
+        rate = F.lit(1.0)
         for d in DIMENSIONS:
-            held = F.sum("weight").over(Window.partitionBy(d))
-            now = now.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"{d}_target") / held).otherwise(F.lit(0.0)))
-    total = F.sum("weight").over(Window.partitionBy(F.lit(0)))
-    return now.select(*DIMENSIONS, "tokens", F.when(total > 0, F.col("weight") / total).otherwise(F.lit(0.0)).alias("weight"))
+            rate = rate * F.col(f"{d}_factor")
+        return now.withColumn("rate", rate)
+
+    kept: dict[str, DataFrame] = {}
+    for _ in range(rounds):
+        moved = 0.0
+        for d in DIMENSIONS:
+            held = rated().groupBy(d).agg(F.sum(_given(F.col("rate"))).alias("held"))
+            lack = F.when(F.col("held") > 0, F.col(f"{d}_target") / F.col("held")).otherwise(F.lit(0.0))
+            now = save(held.join(_of(marginals, d, "target"), d).join(factors[d], d).select(d, (F.col(f"{d}_factor") * lack).alias(f"{d}_factor"), F.abs(lack - 1).alias("lack")), "factors")
+            moved = max(moved, now.agg(F.max(F.when(F.col(f"{d}_factor") > 0, F.col("lack")))).first()[0] or 0.0)
+            factors[d] = now.drop("lack")
+            if d in kept:
+                drop(kept[d])
+            kept[d] = now
+        if moved < SETTLED:
+            break
+    return rated().select(*DIMENSIONS, "tokens", "rate")
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
+    """(source, lang, topic, tokens, weight, probability): the share of each cell in the tokens that stay, and the rate at which it gives its own.
+
+    ``cells`` has a row for each cell with its tokens. At most ``small`` cells are raked in one stage;
+    more stay dealt over all tasks and only marginals are gathered. Warns if a marginal still misses
+    its target by GAP of all tokens that stay, as where single cells have too little.
+    """
+    cells = save(cells, "sums")
+    marginals = marginal_targets(cells, targets, keep)
+    raked = (_rake_small if cells.count() <= small else _rake_large)(cells, marginals, keep, rounds)
+    out = save(raked.select(*DIMENSIONS, "tokens", F.least(F.lit(1.0), F.col("rate")).alias("probability")), "rates")
+    total = out.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 0.0
+    gap = marginal_gap(out, marginals)
+    if gap > GAP:
+        warnings.warn(f"marginals miss their targets by up to {gap:.2%} of the mix", stacklevel=2)
+    weight = F.col("tokens") * F.col("probability") / F.lit(total) if total else F.lit(0.0)
+    return out.withColumn("weight", weight)
+
+
+def marginal_gap(raked: DataFrame, marginals: DataFrame) -> float:
+    """The largest difference between the expected tokens of a dimension's values and their targets, as a share of all targets of the dimension."""
+    pair = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS))).alias("pair")
+    got = raked.select(pair, (F.col("tokens") * F.col("probability")).alias("got")).groupBy("pair.dimension", "pair.value").agg(F.sum("got").alias("got"))
+    rows = got.join(marginals, ["dimension", "value"]).groupBy("dimension").agg((F.sum(F.abs(F.col("got") - F.col("target"))) / F.nullif(F.sum("target"), F.lit(0.0))).alias("gap"))
+    return rows.agg(F.max("gap")).first()[0] or 0.0
 
 
 def draw(doc_id: Column, text: Column, seed: int) -> Column:
@@ -80,34 +176,18 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def inclusion(raked: DataFrame, keep: float) -> DataFrame:
-    """``raked`` with column probability: min(1, c * weight / tokens), c such that the expected tokens are ``keep`` of all.
-
-    Cells stand in order of falling weight for each token. If those before a cell give all they have,
-    the rest must share what is still wanted by weight; the first cell that this leaves at one or
-    below tells c.
-    """
-    rate = F.col("weight") / F.col("tokens")
-    every = Window.partitionBy(F.lit(0))
-    order = every.orderBy(rate.desc(), *DIMENSIONS)
-    given = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sharing = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    now = raked.withColumn("place", F.row_number().over(order)).withColumn("c", (F.lit(float(keep)) * F.sum("tokens").over(every) - given) / F.nullif(sharing, F.lit(0.0)))
-    c = F.min_by("c", F.when(F.col("c") * rate <= 1, F.col("place"))).over(every)
-    return now.withColumn("probability", F.when(F.col("weight") > 0, F.coalesce(F.least(F.lit(1.0), c * rate), F.lit(1.0))).otherwise(F.lit(0.0))).drop("place", "c")
-
-
-def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 42, column: str = "mix") -> DataFrame:
+def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 42, column: str = "mix", kind: Column | None = None) -> DataFrame:
     """``docs`` with struct column ``column``: source, lang, topic, tokens, weight, probability and drawn.
 
-    probability: that of :func:`inclusion` for the document's cell. Repeated rows share their draw.
-    Null texts count as empty, one token. Other columns stay, whatever their names; one named
-    ``column`` is replaced. No rows give no rows.
+    weight and probability: those of :func:`rake` for the document's cell. ``kind`` is a column for the
+    topic, as of a classifier; columns of ``docs`` that happen to be named topic do not count.
+    Repeated rows share their draw. Null texts count as empty, one token. Other columns stay, whatever
+    their names; one named ``column`` is replaced. No rows give no rows.
     """
-    marked = docs.withColumn(column, cell(docs))
+    marked = docs.withColumn(column, cell(docs, kind))
     own = F.col(column)
     sums = marked.groupBy(*(own[d].alias(d) for d in DIMENSIONS)).agg(F.sum(own["tokens"]).alias("tokens"))
-    cells = save(inclusion(rake(sums, targets, rounds), keep), "cells")
+    cells = save(rake(sums, targets, keep, rounds), "cells")
     rates = cells.select(F.struct(*DIMENSIONS).alias(f"{column} at"), F.struct("weight", "probability").alias(f"{column} rate"))
     joined = marked.join(rates, F.struct(*(own[d].alias(d) for d in DIMENSIONS)) == F.col(f"{column} at"))
     rate = F.col(f"{column} rate")
@@ -116,9 +196,9 @@ def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = No
     return joined.withColumn(column, whole).drop(f"{column} at", f"{column} rate")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 42, kind: Column | None = None) -> DataFrame:
     """The documents drawn by :func:`calibrated`, with the columns of ``docs``."""
     column = "mix"
     while column in docs.columns:
         column += " "
-    return calibrated(docs, targets, keep, rounds, seed, column).where(F.col(column)["drawn"]).select(*docs.columns)
+    return calibrated(docs, targets, keep, rounds, seed, column, kind).where(F.col(column)["drawn"]).select(*docs.columns)

@@ -150,24 +150,22 @@ WITH docs AS (
     CAST(greatest(1, ceil(length(text) / 4)) AS BIGINT) AS tokens,
     CAST('0x' || substring(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), md5(text))), 1, 12) AS BIGINT) / 281474976710656.0 AS draw
   FROM docs
-), r0 AS (
-  SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight FROM marked GROUP BY ALL
+), sums AS (
+  SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM marked GROUP BY ALL
 )"""]
     for d in DIMENSIONS:
-        steps.append(f"t_{d} AS (SELECT {d}, power(sum(tokens), {FLATTEN}) / sum(power(sum(tokens), {FLATTEN})) OVER () AS share FROM r0 GROUP BY {d})")
+        steps.append(f"""s_{d} AS (SELECT {d}, sum(tokens) AS held, power(sum(tokens), {FLATTEN}) AS share FROM sums GROUP BY {d}
+), c_{d} AS (
+  SELECT *, row_number() OVER o AS place, (0.5 * sum(held) OVER () - coalesce(sum(held) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(share) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+  FROM s_{d} WINDOW o AS (ORDER BY share / held DESC, {d})
+), t_{d} AS (SELECT {d}, least(held, share * (SELECT arg_min(c, place) FROM c_{d} WHERE c * share <= held)) AS target_{d} FROM c_{d})""")
+    steps.append("r0 AS MATERIALIZED (SELECT sums.*, target_source, target_lang, target_topic, CAST(0.5 AS DOUBLE) AS rate FROM sums JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
     n = 0
     for _ in range(ROUNDS):
         for d in DIMENSIONS:
-            steps.append(f"r{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * share / sum(weight) OVER (PARTITION BY {d}) AS weight FROM r{n} JOIN t_{d} USING ({d}))")
+            steps.append(f"r{n + 1} AS MATERIALIZED (SELECT * REPLACE (rate * target_{d} / sum(tokens * least(1.0, rate)) OVER (PARTITION BY {d}) AS rate) FROM r{n})")
             n += 1
-    steps.append(f"""raked AS MATERIALIZED (SELECT source, lang, topic, tokens, weight / sum(weight) OVER () AS weight FROM r{n}
-), placed AS (
-  SELECT *, row_number() OVER o AS place,
-    (0.5 * sum(tokens) OVER () - coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
-  FROM raked WINDOW o AS (ORDER BY weight / tokens DESC, source, lang, topic)
-), cells AS (
-  SELECT source, lang, topic, weight, least(1.0, (SELECT arg_min(c, place) FROM placed WHERE c * weight / tokens <= 1) * weight / tokens) AS probability FROM placed
-)""")
+    steps.append(f"""cells AS MATERIALIZED (SELECT source, lang, topic, least(1.0, rate) AS probability, tokens * least(1.0, rate) / sum(tokens * least(1.0, rate)) OVER () AS weight FROM r{n})""")
     return ",\n".join(steps) + """
 SELECT doc_id, m.source, m.lang, m.topic, m.tokens, round(c.weight, 6) AS weight, round(c.probability, 6) AS probability, m.draw < c.probability AS drawn
 FROM marked m JOIN cells c USING (source, lang, topic)"""

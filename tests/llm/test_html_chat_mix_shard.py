@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glyphward.llm import queries as q
 from glyphward.llm.chat_collapse import collapse_and_render
 from glyphward.llm.html_paths import _Page, extract_main_text, main_text, path_ratios
-from glyphward.llm.mixing_ipf import calibrated, mix, rake
+from glyphward.llm.mixing_ipf import calibrated, cell, marginal_gap, marginal_targets, mix, rake
 from glyphward.llm import sharding
 from glyphward.llm.sharding import _key, fine_ranges, records, shard_by_bytes, splitters
 from glyphward.llm.tables import save
@@ -122,12 +122,67 @@ def test_raking_reaches_the_marginals(spark):
     cells = [("a", "en", "t"), ("a", "de", "u"), ("b", "en", "u"), ("b", "de", "t"), ("b", "fr", "t"), ("c", "en", "t")]
     table = spark.createDataFrame([(*c, 100 * (i + 1)) for i, c in enumerate(cells)], "source string, lang string, topic string, tokens long")
     targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.5, "de": 0.4, "fr": 0.1}, "topic": {"t": 0.6, "u": 0.4}}
-    rows = rake(table, targets, rounds=60).toPandas()
+    rows = rake(table, targets, keep=0.1, rounds=60).toPandas()
     for d, shares in targets.items():
         for value, share in rows.groupby(d).weight.sum().items():
             assert abs(share - shares[value]) < 1e-3
 
 
+def plain_rake(cells, keep, rounds):
+    """Cell by cell, with capped rates."""
+    target = {}
+    total = sum(cells.values())
+    for k in range(3):
+        held = {}
+        for c, n in cells.items():
+            held[c[k]] = held.get(c[k], 0) + n
+        low, high = 0.0, 1e18
+        for _ in range(300):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(n, c * n**0.75) for n in held.values()) < keep * total else (low, c)
+        target[k] = {v: min(n, high * n**0.75) for v, n in held.items()}
+    rate = dict.fromkeys(cells, keep)
+    for _ in range(rounds):
+        for k in range(3):
+            given = {}
+            for c, n in cells.items():
+                given[c[k]] = given.get(c[k], 0) + n * min(1, rate[c])
+            rate = {c: r * target[k][c[k]] / given[c[k]] for c, r in rate.items()}
+    return {c: min(1, r) for c, r in rate.items()}, target
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_raking_with_caps(spark, small):
+    import random
+
+    rng = random.Random(3)
+    cells = {(f"s{i}", f"l{j}", f"t{k}"): int(10 ** rng.uniform(0, 5)) for i in range(7) for j in range(3) for k in range(4) if rng.random() < 0.7}
+    table = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    rows = rake(table, None, keep=0.6, rounds=6, small=small).collect()
+    want, target = plain_rake(cells, 0.6, 6)
+    assert len(rows) == len(cells)
+    for r in rows:
+        assert r["probability"] == pytest.approx(want[r["source"], r["lang"], r["topic"]], rel=1e-6)
+    got = marginal_targets(table, None, 0.6).collect()
+    for r in got:
+        assert r["target"] == pytest.approx(target[("source", "lang", "topic").index(r["dimension"])][r["value"]], rel=1e-6)
+
+
+def test_marginal_gap_at_the_default_rounds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cells = save(docs.withColumn("c", cell(docs)).groupBy("c.source", "c.lang", "c.topic").agg(F.sum("c.tokens").alias("tokens")), "test")
+    marginals = marginal_targets(cells, None, 0.5)
+    assert marginal_gap(rake(cells, None, 0.5), marginals) < 0.02
+    assert marginals.groupBy("dimension").agg(F.sum("target").alias("t")).agg(F.max("t") - F.min("t")).first()[0] < 1e-3
+
+
+def test_topic_is_a_parameter(spark):
+    docs = spark.createDataFrame([(i, "word " * 9, "s", "en", "x") for i in range(50)], "doc_id long, text string, source string, lang string, topic string")
+    assert {r[0] for r in calibrated(docs).select("mix.topic").collect()} == {"short prose"}
+    assert {r[0] for r in calibrated(docs, kind=F.concat(F.col("topic"), F.lit("!"))).select("mix.topic").collect()} == {"x!"}
+    assert mix(docs, kind=F.col("topic")).columns == docs.columns
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, "word " * (1 + i % 50), "big" if i % 3 else "small", "en" if i % 2 else None, 1) for i in range(2000)] + [(None, None, None, None, 1), (7, "x", "big", "en", 1)], "doc_id long, text string, source string, lang string, weight int")
     rows = calibrated(docs, keep=0.5).select("mix.*").toPandas()
