@@ -56,4 +56,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if mark == seen or _is_forest_of_stars(now):
             break
         mark = seen
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    out = now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    out.kept_at = now.kept_at  # what :func:`drop` deletes once the result has been read
+    return out

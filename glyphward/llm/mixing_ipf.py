@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from glyphward.llm.tables import drop, save
 
-ROUNDS = 24
-DEEP = 12  # rounds after which the cells are written, as a plan cannot nest without end
-SETTLED = 1e-12  # change of a marginal in a round below which raking ends
-GAP = 1e-3  # share of tokens by which a marginal may miss its target without a warning
+ROUNDS = 12  # between two looks at the marginals
+LOOKS = 5  # at most
+GAP = 1e-3  # share of the tokens that stay by which marginals may miss their targets; raking ends there
 SMALL = 200_000  # cells that are raked in a single stage; more are raked by joins with the marginals
 FLATTEN = 0.75  # targets are proportional to tokens to this power, unless they are given
 DIMENSIONS = ("source", "lang", "topic")
@@ -91,73 +90,62 @@ def _given(rate: Column) -> Column:
     return F.col("tokens") * F.least(F.lit(1.0), rate)
 
 
-def _rake_small(cells: DataFrame, marginals: DataFrame, keep: float, rounds: int) -> DataFrame:
-    """All rounds in a single stage over one partition."""
-    now = cells
+def _rake_small(now: DataFrame, marginals: DataFrame, rounds: int) -> DataFrame:
+    """``rounds`` rounds over (source, lang, topic, tokens, rate) in a single stage over one partition."""
     for d in DIMENSIONS:
         now = now.join(_of(marginals, d, "target"), d)
-    now = save(now.repartition(1).withColumn("rate", F.lit(float(keep))), "raked")
-    done = 0
-    while done < rounds:
-        before, step = now, now.drop("was").repartition(1).withColumn("was", F.least(F.lit(1.0), F.col("rate")))
-        for _ in range(min(DEEP, rounds - done)):
-            for d in DIMENSIONS:
-                held = F.sum(_given(F.col("rate"))).over(Window.partitionBy(d))
-                step = step.withColumn("rate", F.when(held > 0, F.col("rate") * F.col(f"{d}_target") / held).otherwise(F.lit(0.0)))
-        now = save(step, "raked")
-        drop(before)
-        done += DEEP
-        moved = now.agg(F.max(F.abs(F.least(F.lit(1.0), F.col("rate")) - F.col("was")))).first()[0]
-        if (moved or 0.0) < SETTLED:
-            break
+    now = now.repartition(1)
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            held = F.sum(_given(F.col("rate"))).over(Window.partitionBy(d))
+            now = now.withColumn("rate", F.when(held > 0, F.col("rate") * F.col(f"{d}_target") / held).otherwise(F.lit(0.0)))
     return now.select(*DIMENSIONS, "tokens", "rate")
 
 
-def _rake_large(cells: DataFrame, marginals: DataFrame, keep: float, rounds: int) -> DataFrame:
-    """A factor for each value of each dimension; a round is an aggregation of the cells for each dimension."""
-    factors = {d: _of(marginals.withColumn("factor", F.lit(float(keep) if d == DIMENSIONS[0] else 1.0)), d, "factor") for d in DIMENSIONS}
+def _rake_large(cells: DataFrame, marginals: DataFrame, rounds: int) -> DataFrame:
+    """The same with a factor for each value of each dimension; a round is an aggregation of the cells for each dimension."""
+    factors = {d: _of(marginals.withColumn("factor", F.lit(1.0)), d, "factor") for d in DIMENSIONS}
+    kept: dict[str, DataFrame] = {}
 
     def rated() -> DataFrame:
-        now = cells
+        now, rate = cells, F.col("rate")
         for d in DIMENSIONS:
             now = now.join(factors[d], d)  # broadcast only where Spark finds the written table small enough
-        rate = F.lit(1.0)
-        for d in DIMENSIONS:
             rate = rate * F.col(f"{d}_factor")
-        return now.withColumn("rate", rate)
+        return now.select(*DIMENSIONS, "tokens", rate.alias("rate"))
 
-    kept: dict[str, DataFrame] = {}
     for _ in range(rounds):
-        moved = 0.0
         for d in DIMENSIONS:
             held = rated().groupBy(d).agg(F.sum(_given(F.col("rate"))).alias("held"))
             lack = F.when(F.col("held") > 0, F.col(f"{d}_target") / F.col("held")).otherwise(F.lit(0.0))
-            now = save(held.join(_of(marginals, d, "target"), d).join(factors[d], d).select(d, (F.col(f"{d}_factor") * lack).alias(f"{d}_factor"), F.abs(lack - 1).alias("lack")), "factors")
-            moved = max(moved, now.agg(F.max(F.when(F.col(f"{d}_factor") > 0, F.col("lack")))).first()[0] or 0.0)
-            factors[d] = now.drop("lack")
+            now = save(held.join(_of(marginals, d, "target"), d).join(factors[d], d).select(d, (F.col(f"{d}_factor") * lack).alias(f"{d}_factor")), "factors")
             if d in kept:
                 drop(kept[d])
-            kept[d] = now
-        if moved < SETTLED:
-            break
-    return rated().select(*DIMENSIONS, "tokens", "rate")
+            factors[d] = kept[d] = now
+    return rated()
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.5, rounds: int = ROUNDS, looks: int = LOOKS, small: int = SMALL) -> DataFrame:
     """(source, lang, topic, tokens, weight, probability): the share of each cell in the tokens that stay, and the rate at which it gives its own.
 
-    ``cells`` has a row for each cell with its tokens. At most ``small`` cells are raked in one stage;
-    more stay dealt over all tasks and only marginals are gathered. Warns if a marginal still misses
-    its target by GAP of all tokens that stay, as where single cells have too little.
+    ``cells`` has a row for each cell with its tokens. After every ``rounds`` rounds the marginals are
+    looked at; raking ends when they miss their targets by GAP at most, or with a warning after
+    ``looks`` looks, as where single cells have too little. At most ``small`` cells are raked in one
+    stage; more stay dealt over all tasks and only marginals are gathered.
     """
     cells = save(cells, "sums")
     marginals = marginal_targets(cells, targets, keep)
-    raked = (_rake_small if cells.count() <= small else _rake_large)(cells, marginals, keep, rounds)
-    out = save(raked.select(*DIMENSIONS, "tokens", F.least(F.lit(1.0), F.col("rate")).alias("probability")), "rates")
+    step = _rake_small if cells.count() <= small else _rake_large
+    now, gap = cells.withColumn("rate", F.lit(float(keep))), 0.0
+    for _ in range(looks):
+        now = save(step(now, marginals, rounds), "raked")
+        out = now.withColumn("probability", F.least(F.lit(1.0), F.col("rate"))).drop("rate")
+        gap = marginal_gap(out, marginals)
+        if gap <= GAP:
+            break
+    else:
+        warnings.warn(f"marginals miss their targets by {gap:.2%} of the mix", stacklevel=2)
     total = out.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 0.0
-    gap = marginal_gap(out, marginals)
-    if gap > GAP:
-        warnings.warn(f"marginals miss their targets by up to {gap:.2%} of the mix", stacklevel=2)
     weight = F.col("tokens") * F.col("probability") / F.lit(total) if total else F.lit(0.0)
     return out.withColumn("weight", weight)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphward.llm.components import components
-from glyphward.llm.tables import save, small_batches
+from glyphward.llm.tables import drop, save, small_batches
 
 RADIUS = 3
 ONE_FLIP = 64  # codes up to this one stand for at most one flipped bit
@@ -90,6 +90,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.repeat(np.minimum.reduceat(c, first), sizes)
         at = np.flatnonzero((least <= ONE_FLIP) & (c != least))
         hub, leaf = v[at] ^ masks[least[at]], v[at] ^ masks[c[at]]
+        near = np.bitwise_count(hub ^ leaf) <= RADIUS  # colliding pairs are verified
+        hub, leaf = hub[near], leaf[near]
         return pa.RecordBatch.from_arrays([pa.array(hub.view(np.int64)), pa.array(leaf.view(np.int64))], names=["a", "b"])
 
     for b in batches:
@@ -132,9 +134,11 @@ def print_groups(prints: DataFrame) -> DataFrame:
     groups = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "groups")
     tree = components(near_pairs(groups.select("fp")), "a", "b")
     roots = save(tree.join(groups, tree.node == groups.fp).select("fp", "root", "least_id"), "roots")
-    best = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = save(roots.join(save(best, "best"), "root").select("fp", "root", "component_id"), "linked")
-    return save(groups.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")), "ids")
+    best = save(roots.groupBy("root").agg(F.min("least_id").alias("component_id")), "best")
+    linked = save(roots.join(best, "root").select("fp", "root", "component_id"), "linked")
+    done = save(groups.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")), "ids")
+    drop(tree, groups, roots, best, linked)
+    return done
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def test_raking_reaches_the_marginals(spark):
     cells = [("a", "en", "t"), ("a", "de", "u"), ("b", "en", "u"), ("b", "de", "t"), ("b", "fr", "t"), ("c", "en", "t")]
     table = spark.createDataFrame([(*c, 100 * (i + 1)) for i, c in enumerate(cells)], "source string, lang string, topic string, tokens long")
     targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.5, "de": 0.4, "fr": 0.1}, "topic": {"t": 0.6, "u": 0.4}}
-    rows = rake(table, targets, keep=0.1, rounds=60).toPandas()
+    rows = rake(table, targets, keep=0.1).toPandas()
     for d, shares in targets.items():
         for value, share in rows.groupby(d).weight.sum().items():
             assert abs(share - shares[value]) < 1e-3
@@ -158,7 +158,7 @@ def test_raking_with_caps(spark, small):
     rng = random.Random(3)
     cells = {(f"s{i}", f"l{j}", f"t{k}"): int(10 ** rng.uniform(0, 5)) for i in range(7) for j in range(3) for k in range(4) if rng.random() < 0.7}
     table = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
-    rows = rake(table, None, keep=0.6, rounds=6, small=small).collect()
+    rows = rake(table, None, keep=0.6, rounds=6, looks=1, small=small).collect()
     want, target = plain_rake(cells, 0.6, 6)
     assert len(rows) == len(cells)
     for r in rows:
@@ -172,7 +172,7 @@ def test_marginal_gap_at_the_default_rounds(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     cells = save(docs.withColumn("c", cell(docs)).groupBy("c.source", "c.lang", "c.topic").agg(F.sum("c.tokens").alias("tokens")), "test")
     marginals = marginal_targets(cells, None, 0.5)
-    assert marginal_gap(rake(cells, None, 0.5), marginals) < 0.02
+    assert marginal_gap(rake(cells, None, 0.5), marginals) < 1e-3
     assert marginals.groupBy("dimension").agg(F.sum("target").alias("t")).agg(F.max("t") - F.min("t")).first()[0] < 1e-3
 
 
