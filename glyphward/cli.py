@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from glyphward import __version__
 from glyphward.functions.severity import SEVERITIES
-from glyphward.operators.registry import DEFAULT, all_packs, packs_df
+from glyphward.operators.registry import DEFAULT, all_packs, get_pack, packs_df
 from glyphward.operators.reports import check, report, status_line
-from glyphward.operators.scanning import scan
+from glyphward.operators.scanning import scan_by
 from glyphward.sources.files import read_texts, route
 from glyphward.sources.templates import templates_df, user_templates
-from glyphward.sources.traces import scan_trace
+from glyphward.sources.traces import trace_text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -50,18 +50,18 @@ def _input(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def _scanned(rows: DataFrame, args: argparse.Namespace) -> DataFrame:
-    out = None
-    for name in all_packs():
-        own = rows.where(F.col("pack") == name).drop("pack")
-        part = scan_trace(own, designer_mode=args.designer).drop("trace_text") if args.trace and name == DEFAULT else scan(own, name, force_optional=args.designer)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All rows in one pass, each by its pack; traces in the texts of the default pack are read as such if asked for."""
+    if not args.trace:
+        return scan_by(rows, force_optional=args.designer)
+    joined = F.when(F.col("pack") == DEFAULT, trace_text(F.col("text"))).otherwise(F.col("text"))
+    return scan_by(rows.withColumn("trace_text", joined), text_col="trace_text", force_optional=args.designer).drop("trace_text")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("glyphward").getOrCreate()
     if args.command == "packs":
+        get_pack("personal-info").reload()
         packs_df(spark).show(truncate=False)
         return 0
     if args.command == "templates":
@@ -80,11 +80,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     done = _scanned(rows, args)
     if args.command == "check":
-        done = check(done, args.fail_on)
-        for r in done.select("file_path", "failed", status_line(F.col("findings")).alias("status"), "pack").toLocalIterator():
+        failed = False
+        for r in check(done, args.fail_on).select("failed", status_line(F.col("findings")).alias("status"), "pack").toLocalIterator():
+            failed |= r["failed"]
             if not args.quiet:
                 print(f"{'FAIL' if r['failed'] else 'OK'}: {r['status']} (pack: {r['pack']}, threshold: {args.fail_on})")
-        return int(not done.where("failed").isEmpty())
+        return int(failed)
     line = F.to_json(F.struct(*done.columns)) if args.json else report(F.col("findings"), F.col("overall_risk"), F.col("token_count"), F.col("pack"))
     for r in done.select(line.alias("line")).toLocalIterator():
         print(r["line"])

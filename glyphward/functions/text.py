@@ -60,6 +60,11 @@ def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
     return out
 
 
+def folded(text: Column) -> Column:
+    """Small letters, with those of other letters that patterns take for ASCII ones whatever the case: what a text must hold can be looked up here."""
+    return F.lower(F.translate(text, "ſ\u212aıİ", "skii"))
+
+
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
@@ -75,16 +80,44 @@ def spans(text: Column, pattern: str) -> Column:
     matches themselves give them by running lengths. Rows without a match run one search only.
     """
     step = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
+    # the gap after the last match has no match beside it
+    real = F.filter(step, lambda x: x["match"].isNotNull())
+    placed = let(real, lambda r: F.when(F.size(r) <= RUN, _placed(r, F.lit(0))).otherwise(_placed_by_runs(r)))
+    return F.when(text.rlike(pattern), placed).otherwise(no_spans())
+
+
+RUN = 128  # matches that are placed one after the other
+
+
+def _placed(steps: Column, start: Column) -> Column:
+    """The spans of (gap, match) steps from an offset on. Every append copies what there is, so only few are taken at once."""
 
     def add(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
         end = begin + F.length(x["match"])
         return F.struct(end.alias("at"), F.array_append(state["found"], span(begin, end, x["match"])).alias("found"))
 
-    # the gap after the last match has no match beside it
-    real = F.filter(step, lambda x: x["match"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(real, start, add, lambda s: s["found"])).otherwise(no_spans())
+    return F.aggregate(steps, F.struct(start.cast("int").alias("at"), no_spans().alias("found")), add, lambda s: s["found"])
+
+
+def _placed_by_runs(steps: Column) -> Column:
+    """The same for many: the lengths of runs of RUN steps, and of runs of these, give where each run starts."""
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda i: F.slice(xs, i * RUN + 1, RUN))
+    total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["match"]))
+
+    def starts(sizes: Column, first: Column) -> Column:
+        add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["found"], s["at"]).alias("found"))
+        return F.aggregate(sizes, F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("found")), add, lambda s: s["found"])
+
+    def all_starts(sizes: Column) -> Column:
+        outer = cut(sizes)
+        firsts = let(F.transform(outer, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x)), lambda n: starts(n, F.lit(0)))
+        return F.flatten(F.zip_with(outer, firsts, starts))
+
+    def place(runs: Column) -> Column:
+        return F.flatten(F.zip_with(runs, let(F.transform(runs, total), all_starts), _placed))
+
+    return let(cut(steps), place)
 
 
 def truncated(text: Column, limit: int = 60) -> Column:

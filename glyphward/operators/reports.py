@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphward.functions.severity import GLYPHS, RANKS, SEVERITIES, rank
 from glyphward.functions.text import let, strip
-from glyphward.operators.registry import resolve
+from glyphward.operators.registry import DEFAULT, all_packs, resolve
 from glyphward.operators.rewriting import with_unified_diff
 from glyphward.operators.rules import PackLike
 from glyphward.operators.scanning import WHITE_SPACE, findings as findings_of, overall
@@ -79,7 +81,8 @@ def grouped_by_rule(scanned: DataFrame, *keys: str) -> DataFrame:
 
     ids = F.array_distinct(F.transform("findings", lambda f: f["id"]))
     held = scanned.select(*keys, let(ids, group).alias("groups"), F.greatest(F.size(ids) - MOST_GROUPS, F.lit(0)).alias("n_more"))
-    return held.select(*keys, "n_more", F.posexplode("groups").alias("place", "g")).select(*keys, "place", "g.first.*", "g.n", "g.extra_excerpts", "n_more")
+    whole = F.filter("groups", lambda g: g["n"] > 0)  # everything; of a plain column the optimizer would pull out every field below the generator
+    return held.select(*keys, "n_more", F.posexplode(whole).alias("place", "g")).select(*keys, "place", "g.first.*", "g.n", "g.extra_excerpts", "n_more")
 
 
 def report(found: Column, risk: Column, tokens: Column, pack: Column) -> Column:
@@ -101,28 +104,44 @@ def report(found: Column, risk: Column, tokens: Column, pack: Column) -> Column:
     return F.concat_ws("\n\n", F.array(head), F.transform(found, card))
 
 
+def by_pack(scanned: DataFrame, pack: PackLike | str | None, value: Callable[[PackLike], Column]) -> Column:
+    """``value`` of ``pack``; without one that of the pack which the row's column pack names, or of the default where there is no such pack."""
+    if pack is not None or "pack" not in scanned.columns:
+        return value(resolve(pack))
+    named = {name: value(p) for name, p in all_packs().items() if name != DEFAULT}
+    out = None
+    for name, column in named.items():
+        out = F.when(F.col("pack") == name, column) if out is None else out.when(F.col("pack") == name, column)
+    own = value(resolve(None))
+    return own if out is None else out.otherwise(own)
+
+
 def rewrite(scanned: DataFrame, pack: PackLike | str | None = None, text_col: str = "text", designer_mode: bool = False) -> DataFrame:
-    """``scanned`` with rewritten and notes. A pack that cannot rewrite leaves the text and says so."""
-    pack = resolve(pack)
+    """``scanned`` with rewritten and notes, by ``pack`` or by the one that made each row's scan. A pack that cannot rewrite leaves the text and says so."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    done = pack.rewrite(text, F.col("findings"), F.lit(designer_mode) | F.coalesce(F.col("optional_rules_active"), F.lit(False)))
-    if done is None:
-        done = F.struct(text.alias("rewritten"), F.array(F.lit(f"The {pack.label} pack does not support rewriting.")).alias("notes"))
+    designer = F.lit(designer_mode) | F.coalesce(F.col("optional_rules_active"), F.lit(False))
+
+    def rewritten(p: PackLike) -> Column:
+        done = p.rewrite(text, F.col("findings"), designer)
+        if done is None:
+            done = F.struct(text.alias("rewritten"), F.array(F.lit(f"The {p.label} pack does not support rewriting.")).alias("notes"))
+        return done
+
+    done = by_pack(scanned, pack, rewritten)
     return scanned.withColumn("__done", done).withColumns({"rewritten": F.col("__done.rewritten"), "notes": F.col("__done.notes")}).drop("__done")
 
 
 def with_diff(rewritten: DataFrame, pack: PackLike | str | None = None, text_col: str = "text") -> DataFrame:
-    """``rewritten`` with diff, the lines of a unified diff; the only step of a rewrite that runs in Python."""
-    own = resolve(pack).name == "personal-info"
+    """``rewritten`` with diff, the lines of a unified diff, named by the row's pack as in :func:`rewrite`; the only step of a rewrite that runs in Python."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = rewritten.withColumn("__before", text if own else strip(text))
-    return with_unified_diff(rows, "__before", "rewritten", "redacted" if own else "safer remix").drop("__before")
+    own = by_pack(rewritten, pack, lambda p: F.lit(p.name == "personal-info"))
+    rows = rewritten.withColumns({"__before": F.when(own, text).otherwise(strip(text)), "__label": F.when(own, "redacted").otherwise("safer remix")})
+    return with_unified_diff(rows, "__before", "rewritten", "__label").drop("__before", "__label")
 
 
 def delta(rewritten: DataFrame, pack: PackLike | str | None = None, text_col: str = "text") -> DataFrame:
-    """``rewritten`` with the scan of the new text beside that of the old: risk_after, n_before, n_after, rank_change and outcome."""
-    pack = resolve(pack)
-    again = rewritten.withColumn("findings_after", findings_of(F.col("rewritten"), pack, False))
+    """``rewritten`` with the scan of the new text, by the same pack, beside that of the old: risk_after, n_before, n_after, rank_change and outcome."""
+    again = rewritten.withColumn("findings_after", by_pack(rewritten, pack, lambda p: findings_of(F.col("rewritten"), p, False)))
     changed = F.col("rewritten") != F.coalesce(F.col(text_col), F.lit(""))
     return again.withColumns(
         {
@@ -135,8 +154,13 @@ def delta(rewritten: DataFrame, pack: PackLike | str | None = None, text_col: st
     )
 
 
+def without_findings(scanned: DataFrame) -> DataFrame:
+    """The scanned rows without any finding."""
+    return scanned.where(F.size("findings") == 0)
+
+
 def clean_rows(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """The rows without any finding (an anti-join)."""
+    """The rows without any finding in a table of findings (an anti-join)."""
     return rows.join(found.select(key).distinct(), key, "left_anti")
 
 

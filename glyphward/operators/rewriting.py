@@ -19,6 +19,7 @@ REMOVED = (
     ("role_escalation", r"(?i:\byou are (now )?(the (ultimate|only|best|world.?s (best|top))|my personal|the sole)\s+[^.]{0,60}[.]?)"),
     ("overconfidence", r"(?i:\b(make it (?:\w+\s+){0,2}(?:perfect|best|most amazing|award.?(?:winning|level))|do not hold back|go wild|surprise me with your genius|be the most creative)\b)"),
 )
+# The other patterns of the rewriter, with what is put in their place.
 ARTIST = r"\b(?i:in the (?:exact )?style of|like the work of|à la|in the manner of)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}"
 FLUFF = (
     r"\b(?:super|very|extremely|incredibly|absolutely|completely)\s+",
@@ -77,24 +78,42 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def tidy(text: Column) -> Column:
-    """Mend what removals leave: dangling openings, connectives and punctuation, doubled spaces, small letters at sentence starts."""
+    """Mend what removals leave: dangling openings, connectives and punctuation, doubled spaces, small letters at sentence starts.
+
+    Each run of replacements is behind one search for all of its patterns: where none matches, none changes the text.
+    """
+    orphans = [(regex(p + rest, True), "$1") for p in ORPHANS for rest in (r"\s*([.!?,;])", r"\s+([A-Z])")]
     for _ in range(2):
-        for p in ORPHANS:
-            text = F.regexp_replace(text, regex(p + r"\s*([.!?,;])", True), "$1")
-            text = F.regexp_replace(text, regex(p + r"\s+([A-Z])", True), "$1")
+        text = _where_any(text, _any_of(ORPHANS, True), orphans)
         text = F.regexp_replace(lstrip(text), regex(r"(\A|[.!?]\s+)(and|but|or|then|also)\s+", True), "$1")
-    for p, r in SEAMS:
-        text = F.regexp_replace(text, regex(p), r)
+    text = _where_any(text, _any_of([p for p, _ in SEAMS]), [(regex(p), r) for p, r in SEAMS])
     return capitalised(text)
 
 
+def _any_of(patterns, ignore_case: bool = False) -> str:
+    """A pattern that matches wherever one of ``patterns`` does; without their word borders, which are slow to tell, it matches more."""
+    return regex("|".join(f"(?:{p})" for p in patterns).replace(r"\b", ""), ignore_case)
+
+
+def _where_any(text: Column, guard: str, replacements: list[tuple[str, str]]) -> Column:
+    """``text`` after all replacements, if ``guard`` matches it."""
+
+    def replaced(t: Column) -> Column:
+        out = t
+        for p, r in replacements:
+            out = F.regexp_replace(out, p, r)
+        return F.when(t.rlike(guard), out).otherwise(t)
+
+    return let(text, replaced)
+
+
 def capitalised(text: Column) -> Column:
     """Sentence starts in capitals, unless the word has capitals inside; the first word not if it looks like an identifier."""
     first = regex(r"([.!?]\s+)([a-z])(?!\w*\p{IsUppercase})")
 
     def starts(t: Column) -> Column:
         parts = F.zip_with(F.split(t, first, -1), F.transform(F.regexp_extract_all(t, F.lit(first), F.lit(0)), F.upper), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        return lstrip(F.array_join(parts, ""))
+        return lstrip(F.when(t.rlike(first), F.array_join(parts, "")).otherwise(t))
 
     def opening(t: Column) -> Column:
         word = F.regexp_extract(t, regex(r"\A\S+"), 0)
@@ -105,16 +124,16 @@ def capitalised(text: Column) -> Column:
 
 
 def with_unified_diff(df: DataFrame, before: str, after: str, label: str, out: str = "diff") -> DataFrame:
-    """``df`` with array column ``out``: the lines of a unified diff of two of its columns, two lines around each change."""
+    """``df`` with array column ``out``: the lines of a unified diff of two of its columns, two lines around each change; column ``label`` names the new text."""
     names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))])
 
-    def lines(a: str | None, b: str | None) -> list[str]:
-        return list(difflib.unified_diff((a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True), fromfile="original", tofile=label, n=2))
+    def lines(a: str | None, b: str | None, name: str) -> list[str]:
+        return list(difflib.unified_diff((a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True), fromfile="original", tofile=name, n=2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(names.index(before)).to_pylist(), batch.column(names.index(after)).to_pylist(), strict=True)
+            pairs = zip(*(batch.column(names.index(c)).to_pylist() for c in (before, after, label)), strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([lines(*p) for p in pairs], pa.list_(pa.string()))], names=[*names, out])
 
     return df.mapInArrow(run, schema)
@@ -148,9 +167,13 @@ def _without_filler(state: Column) -> Column:
     def passing(before: Column, pattern: str) -> Column:
         return let(before, lambda s: step(s, pattern))
 
-    state = let(state, lambda s: F.struct(s["text"].alias("text"), s["notes"].alias("notes"), F.lit(0).alias("filler")))
-    for p in FLUFF:
-        state = passing(state, regex(p, True))
+    def all_passes(s: Column) -> Column:
+        out = counted = F.struct(s["text"].alias("text"), s["notes"].alias("notes"), F.lit(0).alias("filler"))
+        for p in FLUFF:
+            out = passing(out, regex(p, True))
+        return F.when(s["text"].rlike(_any_of(FLUFF, True)), out).otherwise(counted)
+
+    state = let(state, all_passes)
 
     def noted(s: Column) -> Column:
         line = F.concat(F.lit("trimmed "), s["filler"].cast("string"), F.when(s["filler"] == 1, " filler word").otherwise(" filler words"))

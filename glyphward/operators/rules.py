@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphward.functions.text import SPAN, no_spans, regex, spans, token_estimate
+from glyphward.functions.text import SPAN, contains_any, no_spans, regex, spans, token_estimate
 
 Spans = Callable[[Column], Column]
 PythonDetector = Callable[[str], list[tuple[int, int, str]]]
@@ -48,15 +48,19 @@ class Rule:
     confidence: float = 0.82
     optional: bool = False
     hint: str | None = None
+    quick: str | None = None  # the same pattern for Java only, where that needs less backtracking
+    needs: tuple[str, ...] = ()  # one of these, in small letters, is in every text with a match; looked for before the pattern is
 
     @property
     def kind(self) -> str:
         return "pattern" if self.pattern else "columns" if self.columns else "python" if self.python else "none"
 
-    def spans(self, text: Column) -> Column:
-        """array of (start, end, excerpt)."""
+    def spans(self, text: Column, low: Column | None = None) -> Column:
+        """array of (start, end, excerpt); ``low`` is :func:`folded` of the text, if it is at hand."""
+        if self.needs and low is not None:
+            return F.when(contains_any(low, self.needs), self.spans(text)).otherwise(no_spans())
         if self.pattern:
-            return spans(text, regex(self.pattern, self.ignore_case))
+            return spans(text, regex(self.quick or self.pattern, self.ignore_case))
         if self.columns:
             return self.columns(text)
         if self.python:

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import replace
+from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphward.functions.severity import RANKS, name_of
-from glyphward.functions.text import is_blank, let, strip
-from glyphward.operators.registry import BUILT_IN, DEFAULT, get_pack, pack_for_text, resolve
+from glyphward.functions.text import folded, is_blank, let, strip
+from glyphward.operators.registry import DEFAULT, all_packs, get_pack, pack_for_text, resolve
 from glyphward.operators.rules import PackLike, Rule
 
 FINDING = "struct<id:string,category:string,severity:string,start:int,end:int,excerpt:string,message:string,suggestion:string,confidence:double>"
 WHITE_SPACE = "(whitespace)"
+LOW, ACTIVE = "__folded", "__active"
 
 
-def _found(rule: Rule, ordinal: int, text: Column) -> Column:
+def _found(rule: Rule, ordinal: int, text: Column, low: Column) -> Column:
     """The findings of a rule with what they are ordered by in front: severity, category, rule, place among its matches."""
 
     def finding(s: Column, i: Column) -> Column:
@@ -37,30 +38,37 @@ def _found(rule: Rule, ordinal: int, text: Column) -> Column:
             F.lit(float(rule.confidence)).alias("confidence"),
         )
 
-    return F.transform(rule.spans(text), finding)
+    return F.transform(rule.spans(text, low), finding)
 
 
 def _first_of_each(found: Column) -> Column:
-    """Of findings with equal rule id and start, the first."""
-    keys = F.transform(found, lambda f: F.struct(f["id"], f["start"]))
-    return let(keys, lambda k: F.filter(found, lambda f, i: F.array_position(k, F.struct(f["id"], f["start"])) == i + 1))
+    """Of findings of one rule id with equal starts, the first."""
+    placed = F.sort_array(F.transform(found, lambda f, i: F.struct(f["start"].alias("start"), i.alias("i"), f.alias("f"))))
+    first = let(placed, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["start"] != x["start"])))
+    return F.transform(first, lambda x: x["f"])
 
 
 def optional_active(text: Column, pack: PackLike, force: Column) -> Column:
     return ~is_blank(text) & (force | pack.wants_optional(text))
 
 
-def findings(text: Column, pack: PackLike, force: Column | bool = False) -> Column:
-    """array of findings, most severe first, then by category, rule and place; empty for blank and null texts."""
+def findings(text: Column, pack: PackLike, force: Column | bool = False, low: Column | None = None, active: Column | None = None) -> Column:
+    """array of findings, most severe first, then by category, rule and place; empty for blank and null texts.
+
+    ``low`` (see :func:`folded`) and ``active`` (see :func:`optional_active`) may be columns that hold them already.
+    """
+    low = folded(text) if low is None else low
     force = F.lit(force) if isinstance(force, bool) else force
-    active = optional_active(text, pack, force)
+    active = optional_active(text, pack, force) if active is None else active
     none = F.array().cast("array<struct<by_severity:int,category:string,ordinal:int,nth:int,id:string,severity:string,start:int,end:int,excerpt:string,message:string,suggestion:string,confidence:double>>")
-    parts = []
+    parts: dict[str, list[Column]] = {}
     for i, rule in enumerate(pack.rules):
-        part = _found(rule, i, text)
-        parts.append(F.when(active, part).otherwise(none) if rule.optional else part)
-    every = let(F.concat(none, *parts), _first_of_each)
-    shown = F.transform(F.array_sort(every), lambda f: F.struct(*(f[c].alias(c) for c in ("id", "category", "severity", "start", "end", "excerpt", "message", "suggestion", "confidence"))))
+        part = _found(rule, i, text, low)
+        parts.setdefault(rule.id, []).append(F.when(active, part).otherwise(none) if rule.optional else part)
+    # matches of one pattern never start at one place
+    clash = {r.id for r in pack.rules if r.kind != "pattern" or len(parts[r.id]) > 1}
+    every = F.concat(none, *(_first_of_each(F.concat(none, *own)) if name in clash else own[0] for name, own in parts.items()))
+    shown = F.transform(F.sort_array(every), lambda f: F.struct(*(f[c].alias(c) for c in ("id", "category", "severity", "start", "end", "excerpt", "message", "suggestion", "confidence"))))
     return F.when(is_blank(text), F.array().cast(f"array<{FINDING}>")).otherwise(shown.cast(f"array<{FINDING}>"))
 
 
@@ -78,15 +86,18 @@ def scan(df: DataFrame, pack: PackLike | str | None = None, text_col: str = "tex
     pack = resolve(pack)
     text = F.coalesce(F.col(text_col), F.lit(""))
     force = F.lit(force_optional) if isinstance(force_optional, bool) else force_optional
-    out = df.withColumn("findings", findings(text, pack, force))
+    # what several rules ask for is computed once, in a projection below
+    held = df.withColumns({LOW: folded(text), ACTIVE: F.when(~is_blank(text), optional_active(text, pack, force))})
+    active = F.coalesce(F.col(ACTIVE), F.lit(False))
+    out = held.withColumn("findings", findings(text, pack, force, F.col(LOW), active))
     return out.withColumns(
         {
             "pack": F.lit(pack.name),
             "overall_risk": overall(F.col("findings")),
             "token_count": F.when(is_blank(text), F.lit(0)).otherwise(pack.estimate_tokens(text)),
-            "optional_rules_active": F.when(~is_blank(text), optional_active(text, pack, force)),
+            "optional_rules_active": F.col(ACTIVE),
         }
-    )
+    ).drop(LOW, ACTIVE)
 
 
 def scan_text(df: DataFrame, pack: PackLike | str | None = None, force_optional: bool = False) -> DataFrame:
@@ -97,14 +108,33 @@ def scan_prompt(df: DataFrame, designer_mode: bool = False) -> DataFrame:
     return scan(df, DEFAULT, force_optional=designer_mode)
 
 
+def scan_by(df: DataFrame, pack_col: str = "pack", text_col: str = "text", force_optional: bool = False) -> DataFrame:
+    """As :func:`scan`, each row by the pack that its column names, in one pass; packs that there are not count as the default."""
+    text, force = F.coalesce(F.col(text_col), F.lit("")), F.lit(force_optional)
+    known = all_packs()
+    name = F.when(F.col(pack_col).isin(*known), F.col(pack_col)).otherwise(DEFAULT)
+    held = df.withColumn("pack", name).withColumn(LOW, folded(text))
+
+    def each(value) -> Column:
+        out = None
+        for n, p in known.items():
+            out = F.when(F.col("pack") == n, value(p)) if out is None else out.when(F.col("pack") == n, value(p))
+        return out
+
+    held = held.withColumn(ACTIVE, F.when(~is_blank(text), each(lambda p: optional_active(text, p, force))))
+    out = held.withColumn("findings", each(lambda p: findings(text, p, force, F.col(LOW), F.coalesce(F.col(ACTIVE), F.lit(False)))))
+    return out.withColumns(
+        {
+            "overall_risk": overall(F.col("findings")),
+            "token_count": F.when(is_blank(text), F.lit(0)).otherwise(each(lambda p: p.estimate_tokens(text))),
+            "optional_rules_active": F.col(ACTIVE),
+        }
+    ).drop(LOW, ACTIVE)
+
+
 def scan_routed(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Each row by the pack that :func:`pack_for_text` names for it."""
-    routed = df.withColumn("__pack", pack_for_text(F.coalesce(F.col(text_col), F.lit(""))))
-    out = None
-    for name in BUILT_IN:
-        part = scan(routed.where(F.col("__pack") == name), name, text_col).drop("__pack")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return scan_by(df.withColumn("pack", pack_for_text(F.coalesce(F.col(text_col), F.lit("")))), "pack", text_col)
 
 
 def explode_findings(scanned: DataFrame, *keys: str) -> DataFrame:
@@ -117,7 +147,16 @@ def explode_findings(scanned: DataFrame, *keys: str) -> DataFrame:
     return scanned.select(*keys, F.posexplode(whole).alias("position", "finding")).select(*keys, "position", "finding.*")
 
 
-def register_rule(rule: Rule, pack: str = DEFAULT) -> None:
-    """Deprecated: add a rule to a pack at run time. Make a pack instead."""
+def register_rule(rule, pack: str = DEFAULT) -> None:
+    """Deprecated: add a rule to a pack at run time. Make a pack instead.
+
+    Any object with the attributes of a rule will do; what it lacks takes a rule's defaults, and one
+    without an id is passed over with a warning.
+    """
     warnings.warn("register_rule is deprecated; make a pack", DeprecationWarning, stacklevel=2)
-    get_pack(pack).rules.append(replace(rule))
+    defaults = {"category": "custom", "severity": "medium", "message": "A registered rule matches.", "suggestion": None}
+    values = {f.name: getattr(rule, f.name, defaults.get(f.name, f.default)) for f in fields(Rule)}
+    if not isinstance(values["id"], str) or values["severity"] not in RANKS:
+        warnings.warn(f"{rule!r} is no rule", stacklevel=2)
+        return
+    get_pack(pack).rules.append(Rule(**values))

@@ -15,13 +15,7 @@ from glyphward.operators.rules import Category, Pack, Rule, Template
 DIRECT_INJECTION = r"\b(ignore|disregard|forget|override)\s+(?:(?:all|previous|prior|above|earlier)\s+)+(instructions?|rules?|prompts?|directives?)"
 JAILBREAK = r"\b(DAN|jailbreak|developer mode|god mode|unrestricted mode|no limits|do anything now|act as if you have no restrictions)\b"
 ROLE = r"\b(you are (now )?(the (ultimate|only|best|world.?s (best|top))|my personal|the sole))"
-EMAIL = r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"
-PHONE_AREA = r"\(\d{3}\)[-.\s]?\d{3}[-.\s]?\d{4}"
-PHONE_PLAIN = r"\b\+?1?\d{3}[-.\s]\d{3}[-.\s]\d{4}\b"
-TOKEN = r"\b(?:sk|pk|ghp|gho|glpat|hf)_[a-zA-Z0-9]{20,}\b"
-CLOUD_KEY = r"\bAKIA[0-9A-Z]{16}\b"
-API_KEY = r"\bAIza[0-9A-Za-z\-_]{35}\b"
-PII = "(?:" + "|".join((EMAIL, PHONE_AREA, PHONE_PLAIN, TOKEN, CLOUD_KEY, API_KEY)) + ")"
+PII = r"(?:\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b|\(\d{3}\)[-.\s]?\d{3}[-.\s]?\d{4}|\b\+?1?\d{3}[-.\s]\d{3}[-.\s]\d{4}\b|\b(?:sk|pk|ghp|gho|glpat|hf)_[a-zA-Z0-9]{20,}\b|\bAKIA[0-9A-Z]{16}\b|\bAIza[0-9A-Za-z\-_]{35}\b)"
 DATA_EXFIL = r"\b(repeat|output|print|show|reveal|dump)\b(?:\s+\w+){0,3}\s+(?:system|hidden|initial|original|full)\s+(?:prompt|instructions|context|rules)"
 STRUCTURED = r"</?(system|tool|function|prompt|instruction|user|assistant)>"
 ARTISTS = ("Jessica Walsh", "Paula Scher", "David Carson", "Hayao Miyazaki", "Greg Rutkowski", "Alphonse Mucha", "Beeple", "James Jean", "Yoshitaka Amano", "Loish", "Sam Yang", "Artgerm")
@@ -36,6 +30,9 @@ REPEAT_SIZES = (6, 8, 10)
 REPEAT_LEAST_WORDS = 30
 REPEAT_MOST = 2
 
+# The name of an address cannot hold the sign after it, so it never needs to be given back.
+QUICK_PII = PII.replace("+@", "++@")
+
 
 def repetition(text: Column) -> Column:
     """Word runs of 6, 8 or 10 words that occur twice more after themselves; two at most.
@@ -59,7 +56,7 @@ def repetition(text: Column) -> Column:
 
     def spot(w: Column) -> Column:
         some = lambda often: F.when(F.size(often) > 0, let(find(w, often), lambda found: placed(w, found))).otherwise(no_spans())
-        return F.when(F.size(w) >= REPEAT_LEAST_WORDS, let(_frequent_grams(w), some)).otherwise(no_spans())
+        return F.when((F.size(w) >= REPEAT_LEAST_WORDS) & _repeats(w), let(_frequent_grams(w), some)).otherwise(no_spans())
 
     return let(words(text), spot)
 
@@ -67,9 +64,19 @@ def repetition(text: Column) -> Column:
 _NO_REPEATS = "array<struct<at:int,size:int,chunk:string>>"
 
 
+def _repeats(w: Column) -> Column:
+    """False only where no run of four words stands at three places: hashes of the runs, of which two at least would be repeats."""
+
+    def grams(h: Column) -> Column:
+        mixed = lambda x, i: x.bitwiseXOR(F.shiftleft(F.get(h, i + 1), 7)).bitwiseXOR(F.shiftright(F.get(h, i + 2), 9)).bitwiseXOR(F.shiftleft(F.get(h, i + 3), 23))
+        return F.transform(F.slice(h, F.lit(1), F.size(h) - 3), mixed)
+
+    return let(let(F.transform(w, lambda x: F.xxhash64(x)), grams), lambda g: F.size(g) - F.size(F.array_distinct(g)) >= 2)
+
+
 def _frequent_grams(w: Column) -> Column:
     """The runs of four words that stand at three places or more: in sorted order a run equals the second after it."""
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ")))
+    grams = F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ")))
     return let(grams, lambda ordered: F.array_distinct(F.filter(ordered, lambda g, i: F.coalesce(F.get(ordered, i + 2) == g, F.lit(False)))))
 
 
@@ -110,18 +117,18 @@ CATEGORIES = [
 ]
 
 RULES = [
-    Rule("direct_injection", "prompt_injection", "high", "The text tells the model to drop its instructions.", "Fence user text off and have the model read it as data.", pattern=DIRECT_INJECTION),
-    Rule("jailbreak_dan", "jailbreak", "critical", "The text calls up a persona without limits.", "Ask for the wanted tone instead of lifting limits.", pattern=JAILBREAK, hint="if bold output was the aim, ask for it: name the risk to take and what to leave out."),
-    Rule("role_escalation", "role_escalation", "high", "The text gives the model an absolute role.", "Give it a role with a scope.", pattern=ROLE, hint="if a firm position was the aim, ask for one in a bounded role."),
-    Rule("pii_and_secrets", "pii_leak", "high", "Personal data or a credential stands in the text.", "Redact it, or put a placeholder that is plainly made up.", pattern=PII, confidence=0.95),
-    Rule("data_exfil", "data_exfiltration", "high", "The text asks for hidden instructions.", "Leave the model's own instructions out of the request.", pattern=DATA_EXFIL),
-    Rule("structured_injection", "structured_injection", "medium", "A control tag stands in the text.", "Put raw input between delimiters of your own.", pattern=STRUCTURED),
+    Rule("direct_injection", "prompt_injection", "high", "The text tells the model to drop its instructions.", "Fence user text off and have the model read it as data.", pattern=DIRECT_INJECTION, needs=("ignore", "disregard", "forget", "override")),
+    Rule("jailbreak_dan", "jailbreak", "critical", "The text calls up a persona without limits.", "Ask for the wanted tone instead of lifting limits.", pattern=JAILBREAK, hint="if bold output was the aim, ask for it: name the risk to take and what to leave out.", needs=("dan", "jailbreak", "developer mode", "god mode", "unrestricted mode", "no limits", "do anything now", "act as if")),
+    Rule("role_escalation", "role_escalation", "high", "The text gives the model an absolute role.", "Give it a role with a scope.", pattern=ROLE, hint="if a firm position was the aim, ask for one in a bounded role.", needs=("you are ",)),
+    Rule("pii_and_secrets", "pii_leak", "high", "Personal data or a credential stands in the text.", "Redact it, or put a placeholder that is plainly made up.", pattern=PII, quick=QUICK_PII, confidence=0.95),
+    Rule("data_exfil", "data_exfiltration", "high", "The text asks for hidden instructions.", "Leave the model's own instructions out of the request.", pattern=DATA_EXFIL, needs=("prompt", "instructions", "context", "rules")),
+    Rule("structured_injection", "structured_injection", "medium", "A control tag stands in the text.", "Put raw input between delimiters of your own.", pattern=STRUCTURED, needs=("<",)),
     Rule("token_bomb", "token_bomb", "medium", "Long runs of words repeat.", "Say it once.", columns=repetition, confidence=0.7),
-    Rule("copyright_artist", "copyright_risk", "medium", "A style is asked for by an artist's name.", "Describe the look instead.", pattern=COPYRIGHT, optional=True, hint="say which qualities of that work are wanted; names are not needed."),
-    Rule("brand_impersonation", "brand_impersonation", "medium", "The text has the model speak for an organisation.", "Ask for the manner, not for the role.", pattern=BRAND, optional=True),
-    Rule("overconfidence", "overconfidence", "low", "A superlative stands where a goal should.", "Say what would make it good.", pattern=OVERCONFIDENCE, hint="if the boldest version was the aim, name what it should be bold in."),
-    Rule("vague_danger", "creative_drift", "low", "An open request without limits.", "Set one limit that must hold.", pattern=VAGUE, optional=True),
-    Rule("unknown_style_attribution", "copyright_risk", "low", "A style is asked for by a person's name.", "Describe the look instead.", columns=unknown_attribution, optional=True, confidence=0.7),
+    Rule("copyright_artist", "copyright_risk", "medium", "A style is asked for by an artist's name.", "Describe the look instead.", pattern=COPYRIGHT, optional=True, hint="say which qualities of that work are wanted; names are not needed.", needs=tuple(a.lower() for a in ARTISTS)),
+    Rule("brand_impersonation", "brand_impersonation", "medium", "The text has the model speak for an organisation.", "Ask for the manner, not for the role.", pattern=BRAND, optional=True, needs=("the official", "designer", "an employee of")),
+    Rule("overconfidence", "overconfidence", "low", "A superlative stands where a goal should.", "Say what would make it good.", pattern=OVERCONFIDENCE, hint="if the boldest version was the aim, name what it should be bold in.", needs=("make it ", "do not hold back", "go wild", "surprise me with your genius")),
+    Rule("vague_danger", "creative_drift", "low", "An open request without limits.", "Set one limit that must hold.", pattern=VAGUE, optional=True, needs=("come up with something ", "any idea is good", "no wrong answers", "just be creative", "blue sky thinking")),
+    Rule("unknown_style_attribution", "copyright_risk", "low", "A style is asked for by a person's name.", "Describe the look instead.", columns=unknown_attribution, optional=True, confidence=0.7, needs=("style of", "like the work of", "à la", "in the manner of")),
 ]
 
 TEMPLATES = [
@@ -133,7 +140,7 @@ TEMPLATES = [
 
 
 def looks_designed(text: Column) -> Column:
-    return contains_any(F.lower(text), DESIGN_SIGNALS)
+    return let(F.lower(text), lambda low: contains_any(low, DESIGN_SIGNALS))
 
 
 @dataclass
@@ -147,7 +154,7 @@ class PromptSafetyPack(Pack):
     templates: list[Template] = field(default_factory=lambda: list(TEMPLATES))
 
     def detects(self, text: Column) -> Column:
-        return contains_any(F.lower(text), PROMPT_SIGNALS)
+        return let(F.lower(text), lambda low: contains_any(low, PROMPT_SIGNALS))
 
     def wants_optional(self, text: Column) -> Column:
         return looks_designed(text)

@@ -112,6 +112,51 @@ def markdown_spans(rule: str, source: str = "seeded_md") -> str:
     return found
 
 
+def truncated(x: str, limit: int = 60) -> str:
+    return f"CASE WHEN length({stripped(x)}) > {limit} THEN substr({stripped(x)}, 1, {limit - 1}) || '…' ELSE {stripped(x)} END"
+
+
+def report(rules: list[Rule]) -> str:
+    """CTE ``cards`` (doc_id, cards) of ``found``."""
+    lines = ", ".join(f"({quoted(r.id)}, {quoted(r.severity.upper().ljust(8) + r.category.replace('_', ' ').title())}, {quoted(r.message)}, {quoted(r.suggestion)})" for r in rules)
+    indent = quoted(" " * 9)
+    cut = "CASE WHEN length(excerpt) < 140 THEN excerpt ELSE substr(excerpt, 1, 137) || '…' END"
+    return f"""cards AS (SELECT doc_id, string_agg(chr(10) || chr(10) || head || chr(10) || {indent} || message || chr(10) || {indent} || '“' || {cut} || '”' || chr(10) || {indent} || '→ ' || suggestion, '' ORDER BY position) AS cards
+      FROM found JOIN (VALUES {lines}) r(rule, head, message, suggestion) ON id = rule GROUP BY doc_id)"""
+
+
+def notes(rules: list[Rule]) -> str:
+    """SELECT of (doc_id, notes), after the steps of :func:`rewrite_steps`."""
+    hints = {r.id: r.hint for r in rules if r.hint}
+
+    def removed(step: str, pattern: str, hint: str | None, gate: str = "true") -> str:
+        m = f"regexp_extract_all({step}.t, {quoted(pattern)})"
+        shown = f"list_transform({m}, lambda x: 'removed: “' || {truncated('x')} || '”')"
+        tail = f"CASE WHEN len({m}) > 0 THEN [{quoted('  ↳ ' + hint)}] ELSE [] END" if hint else "[]"
+        return f"CASE WHEN {gate} THEN list_concat({shown}, {tail}) ELSE [] END"
+
+    secrets = f"list_transform(regexp_extract_all(s0.text, {quoted('(?i)' + ps.PII)}), lambda x: 'redacted: “' || {truncated('x')} || '” → [REDACTED:' || {KIND} || ']')"
+    parts = [secrets] + [removed(f"s{i}", p, hints.get(rule)) for i, (rule, p) in enumerate(rw.REMOVED)]
+    at = len(rw.REMOVED)
+    parts.append(removed(f"s{at}", rw.ARTIST, hints.get("copyright_artist"), "s0.designer"))
+    filler = " + ".join(f"len(regexp_extract_all(s{at + 1 + i}.t, {quoted('(?i)' + p)}))" for i, p in enumerate(rw.FLUFF))
+    parts.append(f"CASE WHEN {filler} > 0 THEN ['trimmed ' || ({filler}) || CASE WHEN {filler} = 1 THEN ' filler word' ELSE ' filler words' END] ELSE [] END")
+    every = parts[0]
+    for p in parts[1:]:
+        every = f"list_concat({every}, {p})"
+    joins = " ".join(f"JOIN s{i} USING (doc_id)" for i in range(1, at + 1 + len(rw.FLUFF)))
+    return f"""SELECT doc_id, array_to_string(CASE WHEN rewritten = '' THEN list_append(n, {quoted(rw.NOTHING_LEFT)}) WHEN len(n) = 0 THEN [{quoted(rw.WELL_BEHAVED)}] ELSE n END, chr(10)) AS notes
+      FROM (SELECT doc_id, rewritten.rewritten, {every} AS n FROM s0 {joins} JOIN rewritten USING (doc_id))"""
+
+
+def routed_findings() -> str:
+    """CTEs ``routed`` (doc_id, text, pack) and ``ranks`` (doc_id, pack, risk_rank) of seeded Markdown."""
+    parts = [f"SELECT doc_id, {RANKS[r.severity]} AS severity_rank FROM {markdown_spans(r.id)}" for r in md.RULES]
+    return f"""routed AS (SELECT doc_id, text, CASE WHEN {DETECTS} THEN 'prompt-safety' WHEN {MARKDOWN_DETECTS} THEN 'markdown' ELSE 'prompt-safety' END AS pack FROM seeded_md),
+    by_prompt AS (SELECT doc_id, max(severity_rank) AS r FROM {prompt_findings('seeded_md')} GROUP BY doc_id), by_markdown AS (SELECT doc_id, max(severity_rank) AS r FROM ({" UNION ALL ".join(parts)}) GROUP BY doc_id),
+    ranks AS (SELECT doc_id, pack, coalesce(CASE pack WHEN 'markdown' THEN m.r ELSE p.r END, 1) AS risk_rank FROM routed LEFT JOIN by_prompt p USING (doc_id) LEFT JOIN by_markdown m USING (doc_id))"""
+
+
 def replaced(text: str, pattern: str, put: str) -> str:
     return f"regexp_replace({text}, {quoted(pattern)}, {quoted(put.replace('$', chr(92)))}, 'g')"
 

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
+from pathlib import Path
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphward.functions.severity import SEVERITIES
+from glyphward.functions.severity import GLYPHS, SEVERITIES
 from glyphward.functions.text import token_estimate
 from glyphward.operators import registry, reports
 from glyphward.operators.rewriting import redact, secret_kind
-from glyphward.operators.rules import Rule
-from glyphward.operators.scanning import explode_findings, scan, scan_routed
+from glyphward.operators.rules import Pack, Rule
+from glyphward.operators.scanning import explode_findings, register_rule, scan, scan_routed
 from glyphward.packs import markdown as md
 from glyphward.packs import prompt_safety as ps
 from glyphward.packs.personal_info import PersonalInfoPack
 from glyphward.plans import duck
 from glyphward.plans.seeds import MARKDOWN, PROMPTS, quoted, seed
-from glyphward.sources.files import spread
 from glyphward.sources.files import table as read_table
-from glyphward.sources.templates import body, header, slugify, templates_df, title_of
-from glyphward.sources.traces import scan_trace, trace_text
+from glyphward.sources.files import route, shared_dir, texts
+from glyphward.sources.templates import body, header, parse_templates, prefill_title, prompts_df, slugify, template_by_id, templates_df, title_of
+from glyphward.sources.traces import looks_like_trace, scan_trace, trace_text
 from glyphward.streaming.scans import scan_stream, to_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +40,7 @@ TEXTS = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, name)
-    return spread(rows) if name in TEXTS else rows
+    return (texts if name in TEXTS else read_table)(spark, sf_dir, name)
 
 
 def add(name: str, run: Query, sql: str | None = None) -> None:
@@ -88,7 +91,7 @@ add("token_estimate", lambda s, d: table(s, d, "documents").select("doc_id", tok
 
 # single rules, optional ones both gated by the text and forced
 for _r in ps.RULES:
-    _sql = None if _r.id == "token_bomb" else f"WITH {duck.SEEDED} SELECT doc_id, {SPANS} FROM {duck.rule_spans(_r, f'(SELECT * FROM seeded WHERE {duck.GATE})' if _r.optional else 'seeded')}"
+    _sql = f"WITH {duck.SEEDED} SELECT doc_id, {SPANS} FROM {duck.rule_spans(_r, f'(SELECT * FROM seeded WHERE {duck.GATE})' if _r.optional else 'seeded')}"
     add(f"rule_{_r.id}", lambda s, d, r=_r: rule_rows(seeded(s, d), r, gate=ps.looks_designed(F.col("text")) if r.optional else None), _sql)
     if _r.optional:
         add(f"rule_{_r.id}_forced", lambda s, d, r=_r: rule_rows(seeded(s, d), r), f"WITH {duck.SEEDED} SELECT doc_id, {SPANS} FROM {duck.rule_spans(_r, 'seeded')}")
@@ -173,7 +176,7 @@ add(
 )
 add(
     "clean_docs",
-    lambda s, d: reports.clean_rows(seeded(s, d), explode_findings(scanned(s, d), "doc_id"), "doc_id").select("doc_id", "lang"),
+    lambda s, d: reports.without_findings(scanned(s, d)).select("doc_id", "lang"),
     f"{_FOUND} SELECT doc_id, lang FROM seeded WHERE doc_id NOT IN (SELECT doc_id FROM found)",
 )
 add(
@@ -181,8 +184,64 @@ add(
     lambda s, d: explode_findings(scanned(s, d), "doc_id").join(registry.rules_df(s).where("pack = 'prompt-safety'").select("id", "hint"), "id").where("hint IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")),
     f"{_FOUND} SELECT id, count(*) AS n FROM found WHERE id IN ({', '.join(quoted(r.id) for r in ps.RULES if r.hint)}) GROUP BY id",
 )
-add("report_text", lambda s, d: scanned(s, d).select("doc_id", reports.report(F.col("findings"), F.col("overall_risk"), F.col("token_count"), F.col("pack")).alias("report")))
-add("scan_routed", lambda s, d: scan_routed(seeded_md(s, d)).groupBy("pack", "overall_risk").agg(F.count("*").alias("n")))
+_GLYPH = f"(list_value({', '.join(quoted(GLYPHS[x]) for x in SEVERITIES)}))[risk_rank]"
+add(
+    "report_text",
+    lambda s, d: scanned(s, d).select("doc_id", reports.report(F.col("findings"), F.col("overall_risk"), F.col("token_count"), F.col("pack")).alias("report")),
+    f"""{_FOUND}, {_RESULT}, {duck.report(ps.RULES)} SELECT doc_id, {_GLYPH} || '  ' || upper({_NAMES}) || '   ' || CASE WHEN n_findings > 0 THEN {_STATUS} ELSE 'no issues detected' END
+    || '   ' || {duck.TOKENS} || ' tok   pack: prompt-safety' || coalesce(cards, '') AS report FROM results LEFT JOIN cards USING (doc_id)""",
+)
+add(
+    "scan_routed",
+    lambda s, d: scan_routed(seeded_md(s, d)).groupBy("pack", "overall_risk").agg(F.count("*").alias("n")),
+    f"WITH {duck.SEEDED_MD}, {duck.routed_findings()} SELECT pack, {_NAMES} AS overall_risk, count(*) AS n FROM ranks GROUP BY ALL",
+)
+add(
+    "route_files",
+    lambda s, d: route(table(s, d, "documents").withColumn("path", seed(F.col("doc_id"), _PATHS)), path_col="path").select("doc_id", "pack", "blank_input"),
+    f"""SELECT doc_id, CASE WHEN suffix IN ('.md', '.mdx', '.markdown') THEN 'markdown' WHEN suffix IN ('.prompt', '.llm') OR {duck.DETECTS} THEN 'prompt-safety' WHEN {duck.MARKDOWN_DETECTS} THEN 'markdown' ELSE 'prompt-safety' END AS pack,
+    NOT regexp_matches(text, '\\S') AS blank_input FROM (SELECT doc_id, text, lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) AS suffix FROM (SELECT doc_id, text, (list_value({", ".join(map(quoted, _PATHS))}))[doc_id % {len(_PATHS)} + 1] AS path FROM documents))""",
+)
+add(
+    "exit_codes",
+    lambda s, d: s.createDataFrame([(x, reports.exit_code(scanned(s, d), x)) for x in SEVERITIES], "fail_on string, code int"),
+    f"{_FOUND}, {_RESULT} SELECT fail_on, CAST(max(CASE WHEN risk_rank >= r THEN 1 ELSE 0 END) AS INTEGER) AS code FROM results, (VALUES {', '.join(f'({quoted(x)}, {i + 1})' for i, x in enumerate(SEVERITIES))}) t(fail_on, r) GROUP BY fail_on",
+)
+
+# more rules than a report shows
+_N_OPENING = 30
+OPENINGS = [Rule(f"opening_{i}", "openings", "low", f"The first {i + 1} words.", pattern=rf"\A(?:\S+[ \n]+){{{i}}}\S+") for i in range(_N_OPENING)]
+add(
+    "findings_by_rule_capped",
+    lambda s, d: reports.grouped_by_rule(scan(table(s, d, "documents"), Pack("openings", "Openings", "Words that a text begins with.", rules=list(OPENINGS))), "doc_id").select(
+        "doc_id", F.col("place").cast("long").alias("place"), "id", "excerpt", F.col("n").cast("long").alias("n"), F.col("n_more").cast("long").alias("n_more")
+    ),
+    "WITH found AS (" + " UNION ALL ".join(rf"SELECT doc_id, {i} AS place, '{r.id}' AS id, regexp_extract(text, {quoted(r.pattern)}) AS excerpt FROM documents WHERE regexp_matches(text, {quoted(r.pattern)})" for i, r in enumerate(OPENINGS))
+    + f") SELECT doc_id, CAST(place AS BIGINT) AS place, id, excerpt, CAST(1 AS BIGINT) AS n, CAST(greatest(count(*) OVER (PARTITION BY doc_id) - {reports.MOST_GROUPS}, 0) AS BIGINT) AS n_more FROM found QUALIFY place < {reports.MOST_GROUPS}",
+)
+
+# rules from elsewhere
+_AT = [Rule("at_signs", "signs", "low", "An at sign.", python=lambda text: [(i, i + 1, "@") for i, c in enumerate(text) if c == "@"])]
+add(
+    "python_detector",
+    lambda s, d: explode_findings(scan(table(s, d, "documents"), Pack("signs", "Signs", "At signs.", rules=list(_AT))), "doc_id").select("doc_id", "id", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "excerpt"),
+    f"SELECT doc_id, 'at_signs' AS id, CAST(span_start AS BIGINT) AS span_start, CAST(span_end AS BIGINT) AS span_end, excerpt FROM {duck.spans('documents', '@')}",
+)
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of another make, registered with the default pack and taken out again."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        register_rule(SimpleNamespace(id="mail_at", severity="high", pattern=r"\S+@[a-z]+"))
+    rules = registry.get_pack(registry.DEFAULT).rules
+    try:
+        return explode_findings(scan(table(spark, sf_dir, "documents")), "doc_id").where("id = 'mail_at'").select("doc_id", "id", "category", "severity", F.col("start").cast("long").alias("span_start"), "excerpt")
+    finally:
+        rules.pop()
+
+
+add("registered_rule", registered, f"SELECT doc_id, 'mail_at' AS id, 'custom' AS category, 'high' AS severity, CAST(span_start AS BIGINT) AS span_start, excerpt FROM {duck.spans('documents', r'\S+@[a-z]+')}")
 
 # catalogues
 add(
@@ -214,8 +273,21 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REWRITE = f"WITH {duck.SEEDED}, {duck.rewrite_steps()}"
 add("rewrite_full", lambda s, d: rewritten(s, d).select("doc_id", "rewritten"), f"{_REWRITE} SELECT doc_id, rewritten FROM rewritten")
-add("rewrite_notes", lambda s, d: rewritten(s, d).select("doc_id", F.concat_ws("\n", "notes").alias("notes")))
-add("rewrite_delta", lambda s, d: reports.delta(rewritten(s, d)).groupBy("overall_risk", "risk_after", "outcome").agg(F.count("*").alias("n"), F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after")))
+add("rewrite_notes", lambda s, d: rewritten(s, d).select("doc_id", F.concat_ws("\n", "notes").alias("notes")), f"{_REWRITE} {duck.notes(ps.RULES)}")
+add(
+    "rewrite_delta",
+    lambda s, d: reports.delta(rewritten(s, d)).groupBy("overall_risk", "risk_after", "outcome").agg(F.count("*").alias("n"), F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after"), F.sum("rank_change").alias("rank_change")),
+    f"""{_REWRITE}, again AS (SELECT doc_id, rewritten AS text FROM rewritten), found AS MATERIALIZED {duck.prompt_findings()}, found_again AS MATERIALIZED {duck.prompt_findings('again')},
+    a AS (SELECT doc_id, max(severity_rank) AS r, count(*) AS n FROM found GROUP BY doc_id), b AS (SELECT doc_id, max(severity_rank) AS r, count(*) AS n FROM found_again GROUP BY doc_id),
+    both_ranks AS (SELECT doc_id, text <> rewritten AS changed, coalesce(a.r, 1) AS ra, coalesce(b.r, 1) AS rb, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM rewritten LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id))
+    SELECT {_NAMES.replace('risk_rank', 'ra')} AS overall_risk, {_NAMES.replace('risk_rank', 'rb')} AS risk_after, CASE WHEN changed THEN 'changed' ELSE 'unchanged' END AS outcome, count(*) AS n,
+    CAST(sum(na) AS BIGINT) AS n_before, CAST(sum(nb) AS BIGINT) AS n_after, CAST(sum(rb - ra) AS BIGINT) AS rank_change FROM both_ranks GROUP BY ALL""",
+)
+add(
+    "rewrite_routed",
+    lambda s, d: reports.rewrite(scan_routed(seeded_md(s, d))).select("doc_id", "pack", "rewritten", F.col("notes")[0].startswith("The Markdown").alias("refused")),
+    f"WITH {duck.SEEDED_MD}, {duck.routed_findings()}, {duck.rewrite_steps('seeded_md')} SELECT doc_id, pack, CASE pack WHEN 'markdown' THEN routed.text ELSE rewritten END AS rewritten, pack = 'markdown' AS refused FROM routed JOIN rewritten USING (doc_id)",
+)
 add("unified_diff", lambda s, d: reports.with_diff(rewritten(s, d).select("doc_id", "text", "rewritten")).select("doc_id", F.size("diff").cast("long").alias("n_lines"), F.array_join("diff", "").alias("diff")))
 
 
@@ -226,6 +298,9 @@ def _conversations(spark: SparkSession, sf_dir: str, wrap: bool) -> DataFrame:
     return turns.select("conv_id", F.to_json(F.struct(messages.alias("messages")) if wrap else messages).alias("text"))
 
 
+_OPENINGS = ("", "[", ' {"a": 1}', 'log "Messages": ', "{", "x [", " ")
+
+
 def _trace_sizes(spark: SparkSession, sf_dir: str, wrap: bool) -> DataFrame:
     """What the trace adds to its raw text: the messages, each after a blank line."""
     rows = _conversations(spark, sf_dir, wrap)
@@ -236,7 +311,18 @@ def _trace_sizes(spark: SparkSession, sf_dir: str, wrap: bool) -> DataFrame:
 _EXTRA = "SELECT conv_id, string_agg(chr(10) || chr(10) || text, '' ORDER BY turn, role, text) AS extra FROM conversations WHERE regexp_matches(text, '\\S') GROUP BY conv_id"
 add("trace_object", lambda s, d: _trace_sizes(s, d, True), _EXTRA)
 add("trace_array", lambda s, d: _trace_sizes(s, d, False), _EXTRA)
-add("trace_scan", lambda s, d: explode_findings(scan_trace(_conversations(s, d, True)), "conv_id").groupBy("id", "severity").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("n_conversations")))
+_TRACES = """traces AS (SELECT conv_id AS doc_id, '{"messages":' || to_json(list({'role': role, 'content': text} ORDER BY turn, role, text)) || '}'
+  || coalesce(string_agg(chr(10) || chr(10) || text, '' ORDER BY turn, role, text) FILTER (regexp_matches(text, '\\S')), '') AS text FROM conversations GROUP BY conv_id)"""
+add(
+    "trace_scan",
+    lambda s, d: explode_findings(scan_trace(_conversations(s, d, True)), "conv_id").groupBy("id", "severity").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("n_conversations"), F.sum(F.col("start").cast("long")).alias("starts")),
+    f"WITH {_TRACES}, found AS {duck.prompt_findings('traces')} SELECT id, severity, count(*) AS n, count(DISTINCT doc_id) AS n_conversations, CAST(sum(span_start) AS BIGINT) AS starts FROM found GROUP BY ALL",
+)
+add(
+    "trace_detect",
+    lambda s, d: table(s, d, "documents").select("doc_id", looks_like_trace(F.concat(seed(F.col("doc_id"), _OPENINGS), "text")).alias("is_trace")),
+    f"SELECT doc_id, starts_with(x, '{{') OR starts_with(x, '[') OR contains(lower(substr(text, 1, 200)), '\"messages\"') AS is_trace FROM (SELECT *, regexp_replace(text, '^\\s+', '') AS x FROM (SELECT doc_id, (list_value({', '.join(map(quoted, _OPENINGS))}))[doc_id % {len(_OPENINGS)} + 1] || text AS text FROM documents))",
+)
 
 
 # personal information
@@ -257,7 +343,39 @@ add(
     lambda s, d: explode_findings(personal(s, d)[1], "doc_id").groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.sum("start").alias("starts")),
     f"WITH {_personal_sql()} SELECT category, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CAST(sum(span_start) AS BIGINT) AS starts FROM found GROUP BY category",
 )
-add("personal_redact", lambda s, d: (lambda p, rows: reports.rewrite(rows, p).select("doc_id", "rewritten", F.size("notes").cast("long").alias("n_notes")))(*personal(s, d)))
+_LISTED = quoted(r"(?i)\banea\b|\bThe and\b|@mail|\b\d{3}-\d{4}\b")
+add(
+    "personal_redact",
+    lambda s, d: (lambda p, rows: reports.rewrite(rows, p).select("doc_id", "rewritten", F.size("notes").cast("long").alias("n_notes")))(*personal(s, d)),
+    f"""SELECT doc_id, array_to_string(list_transform(g, lambda part, i: part || CASE WHEN i > len(m) THEN '' WHEN lower(m[i]) IN ('anea', 'the and') THEN '[REDACTED:words]' WHEN lower(m[i]) = '@mail' THEN '[REDACTED:accounts]' ELSE '[REDACTED:numbers]' END), '') AS rewritten,
+    CAST(greatest(1, len(m)) AS BIGINT) AS n_notes FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {_LISTED}) AS g, regexp_extract_all(coalesce(text, ''), {_LISTED}) AS m FROM documents)""",
+)
+_PYTHON_ONLY = {"regex": {"named": [r"(?P<sign>@)mail"], "ends": [r"\.\Z"]}}
+add(
+    "personal_python_patterns",
+    lambda s, d: explode_findings(scan(table(s, d, "documents"), PersonalInfoPack(config=_PYTHON_ONLY)), "doc_id").select("doc_id", "category", F.col("start").cast("long").alias("span_start"), "excerpt"),
+    f"SELECT doc_id, 'named' AS category, CAST(span_start AS BIGINT) AS span_start, excerpt FROM {duck.spans('documents', '@mail')} UNION ALL SELECT doc_id, 'ends', CAST(length(text) - 1 AS BIGINT), '.' FROM documents WHERE ends_with(text, '.')",
+)
+
+
+def personal_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules and categories of a configuration file, read, changed and read again."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder) / "personal.toml"
+        path.write_text('[strings]\nnames = ["Jane Roe", " "]\n', encoding="utf-8")
+        pack = PersonalInfoPack(path=path)
+        rows = [("first", r.id, r.category, float(r.confidence)) for r in pack.rules]
+        path.write_text('[strings]\nnames = ["Jane Roe"]\n[regex]\ncode_words = ["x-[0-9]+", "(open"]\n', encoding="utf-8")
+        pack.reload()
+        rows += [("again", r.id, c.label, float(r.confidence)) for r, c in zip(pack.rules, pack.categories, strict=True)]
+    return spark.createDataFrame(rows, "reading string, id string, category string, confidence double")
+
+
+add(
+    "personal_file",
+    personal_file,
+    "SELECT * FROM (VALUES ('first', 'personal_names_jane_roe', 'names', CAST(0.99 AS DOUBLE)), ('again', 'personal_names_jane_roe', 'Names', 0.99), ('again', 'personal_code_words_re_x_0_9_', 'Code Words', 0.95)) t(reading, id, category, confidence)",
+)
 add(
     "personal_not_configured",
     lambda s, d: explode_findings(scan(table(s, d, "documents"), PersonalInfoPack(config={})), "doc_id").select("doc_id", "id", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end")),
@@ -286,18 +404,37 @@ add(
 )
 
 
+_PREFILL = "substr(regexp_replace(regexp_replace(string_split(x, chr(10))[1], '^#+', ''), '^\\s+|\\s+$', '', 'g'), 1, 60)"
+add(
+    "prefill_title",
+    lambda s, d: seeded_md(s, d).select("doc_id", prefill_title(F.col("text")).alias("title")),
+    f"WITH {duck.SEEDED_MD} SELECT doc_id, {_PREFILL} AS title FROM (SELECT doc_id, {duck.stripped('text')} AS x FROM seeded_md)",
+)
+add(
+    "template_parse",
+    lambda s, d: parse_templates(_headed(s, d).withColumn("stem", F.concat(F.lit("my-page-"), F.col("page_id").cast("string")))),
+    """SELECT page_id, 'user:my-page-' || page_id AS id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'Heading ' || page_id END AS title, CASE WHEN page_id % 2 = 0 THEN 'a: b' ELSE 'personal' END AS category, '' AS description,
+    '# Heading ' || page_id || chr(10) || 'body' AS body FROM pages""",
+)
+add(
+    "prompt_lookup",
+    lambda s, d: prompts_df(s).unionByName(template_by_id(s, ps.TEMPLATES[1].id)).groupBy("id", "title").agg(F.count("*").alias("n"), F.max(F.size("tags")).cast("long").alias("n_tags")),
+    "SELECT * FROM (VALUES " + ", ".join(f"({quoted(t.id)}, {quoted(t.title)}, CAST({1 + (i == 1)} AS BIGINT), CAST(0 AS BIGINT))" for i, t in enumerate(ps.TEMPLATES)) + ") t(id, title, n, n_tags)",
+)
+
+
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as a stream of files, scanned, appended to a folder, and counted by kind."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphward-stream-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = read_table(spark, sf_dir, "documents").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/documents.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet")
     query = to_parquet(scan_stream(source).select("doc_id", "findings"), f"{base}/out", f"{base}/state", once=True)
     query.awaitTermination()
     rows = explode_findings(spark.read.parquet(f"{base}/out"), "doc_id").where("id = 'pii_and_secrets'")
-    return rows.groupBy(secret_kind(F.col("excerpt")).alias("kind")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(secret_kind(F.col("excerpt")).alias("kind")).agg(F.count("*").alias("n")).collect()  # a row for each kind of secret
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.createDataFrame(counts, "kind string, n long")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

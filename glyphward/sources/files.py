@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,18 +30,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SMALL = 16 << 20  # bytes of a table for each core, below which it is dealt anew
+TEXTS_IN_TASK = 32 << 20  # bytes of files in a task at most
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it is so small that its files would keep only a few of them busy.
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt over tasks of TEXTS_IN_TASK bytes, as many as there are cores at least.
 
-    Scanning text is bound by the processor, and a small table is often one file with one row group.
-    Larger tables are left as they are: they have splits enough, and no shuffle is worth their bytes.
+    Scanning text is bound by the processor, and a file is often one row group, which no split
+    divides: so its rows are dealt anew, in the same way at every size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    df = table(spark, sf_dir, name)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL * cores else df
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // TEXTS_IN_TASK)))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one for a session on one machine, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="glyphward-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def write_json(df: DataFrame, path: str) -> None:
