@@ -136,9 +136,12 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     cells = save(cells, "sums")
     marginals = marginal_targets(cells, targets, keep)
     step = _rake_small if cells.count() <= small else _rake_large
-    now, gap = cells.withColumn("rate", F.lit(float(keep))), 0.0
+    now, gap, before = cells.withColumn("rate", F.lit(float(keep))), 0.0, None
     for _ in range(looks):
         now = save(step(now, marginals, rounds), "raked")
+        if before is not None:
+            drop(before)
+        before = now
         out = now.withColumn("probability", F.least(F.lit(1.0), F.col("rate"))).drop("rate")
         gap = marginal_gap(out, marginals)
         if gap <= GAP:
@@ -147,7 +150,10 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
         warnings.warn(f"marginals miss their targets by {gap:.2%} of the mix", stacklevel=2)
     total = out.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 0.0
     weight = F.col("tokens") * F.col("probability") / F.lit(total) if total else F.lit(0.0)
-    return out.withColumn("weight", weight)
+    drop(cells, marginals)
+    out = out.withColumn("weight", weight)
+    out.kept_at = now.kept_at  # what :func:`drop` deletes once the result has been read
+    return out
 
 
 def marginal_gap(raked: DataFrame, marginals: DataFrame) -> float:
@@ -175,7 +181,9 @@ def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = No
     marked = docs.withColumn(column, cell(docs, kind))
     own = F.col(column)
     sums = marked.groupBy(*(own[d].alias(d) for d in DIMENSIONS)).agg(F.sum(own["tokens"]).alias("tokens"))
-    cells = save(rake(sums, targets, keep, rounds), "cells")
+    raked = rake(sums, targets, keep, rounds)
+    cells = save(raked, "cells")
+    drop(raked)
     rates = cells.select(F.struct(*DIMENSIONS).alias(f"{column} at"), F.struct("weight", "probability").alias(f"{column} rate"))
     joined = marked.join(rates, F.struct(*(own[d].alias(d) for d in DIMENSIONS)) == F.col(f"{column} at"))
     rate = F.col(f"{column} rate")

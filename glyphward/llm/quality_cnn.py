@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from glyphward.llm.labelled import Sample, labelled_sample, logistic, sigmoid
 from glyphward.llm.tables import small_batches
-from glyphward.llm.worker import held
+from glyphward.llm.worker import give_back, held
 
 WIDTH = 6  # bytes under a filter; even, as scoring looks bytes up in pairs
 FILTERS = 16
@@ -146,6 +146,8 @@ def fit(sample: Sample, epochs: int = 6, batch: int = 128, seed: int = 11) -> Ne
     features = np.concatenate([scorer.summaries(texts[i : i + 200]) for i in range(0, len(texts), 200)])
     balance = np.where(sample.y == 1, sample.prior / sample.y.mean(), (1 - sample.prior) / (1 - sample.y.mean()))
     net.calibration = logistic(features, sample.y, balance)
+    del data, first, behind, features
+    give_back()
     return net
 
 

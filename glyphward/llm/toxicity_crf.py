@@ -16,6 +16,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 
 from glyphward.llm.labelled import Sample, labelled_sample, logistic, sigmoid
 from glyphward.llm.tables import small_batches
-from glyphward.llm.worker import held
+from glyphward.llm.worker import give_back, held
 
 PREFIXES = (4, 5, 6, 7)
 OWN = 1 + len(PREFIXES)  # features of a word itself
 WINDOW = 48  # words in a training sequence
 BATCH = 2_000  # training sequences in a step
+HASHED = 22  # bits of a feature's hash
+MANY = 60_000  # words of the sample whose marginals are taken together
 LEAST_STEPS = 12  # for each epoch asked for
 BLOCK = 128  # words in a block of the scan
 SLICE = 1 << 21  # characters of texts that are scanned together
@@ -83,14 +86,32 @@ def split_words(texts: pa.Array) -> Words:
     return Words([w.lower() for w in words.dictionary.to_pylist()], words.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts)
 
 
-def _feature_table(distinct: list[str]) -> tuple[list[str], np.ndarray]:
-    """(features, ids of the features of each word): id 0 stands for none."""
+def _feature_table(distinct: list[str], times: np.ndarray, toxic: np.ndarray) -> tuple[list[str], np.ndarray, int]:
+    """(features, ids of the features of each word, number of features of toxic words); id 0 stands for none.
+
+    ``times`` counts the places of each word; ``toxic`` tells whether it is in a toxic document.
+    Features with a single place are left out: they are told by counts of their hashes, so that the
+    strings of these, most of all features, are never held.
+    """
+    places, in_toxic = np.zeros(1 << HASHED, np.uint8), np.zeros(1 << HASHED, bool)
+    hashes = np.full((len(distinct), OWN), -1, np.int32)
+    for row, word in zip(hashes, distinct, strict=True):
+        for k, f in enumerate(features(word)):
+            row[k] = crc32(f.encode()) & (1 << HASHED) - 1
+    for k in range(OWN):
+        real = hashes[:, k] >= 0
+        np.add.at(places, hashes[real, k], np.minimum(times[real], 2).astype(np.uint8))
+        np.minimum(places, 2, out=places)
+        in_toxic[hashes[real & toxic, k]] = True
+    often = (hashes >= 0) & (places[hashes] > 1)
+    del hashes
     index: dict[str, int] = {"": 0}
     table = np.zeros((len(distinct), OWN), np.int32)
-    for row, word in zip(table, distinct, strict=True):
-        for k, f in enumerate(features(word)):
-            row[k] = index.setdefault(f, len(index))
-    return list(index), table
+    for i in np.flatnonzero(often.any(axis=1)).tolist():
+        for k, f in enumerate(features(distinct[i])):
+            if often[i, k]:
+                table[i, k] = index.setdefault(f, len(index))
+    return list(index), table, int(in_toxic.sum())
 
 
 def copies(words: Words, seeds: int = 4, run: int = 5) -> np.ndarray:
@@ -125,8 +146,8 @@ def copies(words: Words, seeds: int = 4, run: int = 5) -> np.ndarray:
     return np.array([root(i) for i in range(n)], np.int64)
 
 
-def toxic_features(words: Words, table: np.ndarray, size: int, y: np.ndarray) -> np.ndarray:
-    """Which features occur in documents of label 1 only (2 % of others allowed), in more of them than chance explains at 5 % over all features.
+def toxic_features(words: Words, table: np.ndarray, size: int, tried: int, y: np.ndarray) -> np.ndarray:
+    """Which features occur in documents of label 1 only (2 % of others allowed), in more of them than chance explains at 5 % over all ``tried`` features.
 
     Copies count once, as they do not tell of each other.
     """
@@ -143,7 +164,7 @@ def toxic_features(words: Words, table: np.ndarray, size: int, y: np.ndarray) ->
     b, a = total
     if not a or not b:
         return np.zeros(size, bool)
-    least = max(3.0, math.log(max(int((docs[1] > 0).sum()), 2) / 0.05) / math.log((a + b) / a))
+    least = max(3.0, math.log(max(tried, 2) / 0.05) / math.log((a + b) / a))
     found = (docs[1] >= least) & (docs[0] / b <= 0.02 * docs[1] / a)
     found[0] = False
     return found
@@ -152,29 +173,23 @@ def toxic_features(words: Words, table: np.ndarray, size: int, y: np.ndarray) ->
 def fit(sample: Sample, seed: int = 7, epochs: int = 8, again: int = 4) -> Field:
     """Label the words of the sample, fit the field to all of them, label and fit again, and calibrate document scores."""
     words = split_words(pa.array(sample.texts, pa.large_string()))
-    names, table = _feature_table(words.distinct)
-    bad = toxic_features(words, table, len(names), sample.y)
-    seen = np.bincount(table[words.codes].ravel(), minlength=len(names)) > 1
-    keep = np.flatnonzero(seen)
-    keep = keep[keep > 0]
-    number = np.zeros(len(names), np.int32)
-    number[keep] = np.arange(1, len(keep) + 1)
-    toxic_word = bad[table].any(axis=1)
-    table = number[table]
-    names = ["", *(names[i] for i in keep)]
-
     in_toxic = (sample.y == 1)[words.document]
-    gold = toxic_word[words.codes] & in_toxic
+    n = len(words.distinct)
+    names, table, tried = _feature_table(words.distinct, np.bincount(words.codes, minlength=n), np.bincount(words.codes, in_toxic, n) > 0)
+    words.distinct = []
+    bad = toxic_features(words, table, len(names), tried, sample.y)
+    gold = bad[table].any(axis=1)[words.codes] & in_toxic
     rng = np.random.default_rng(seed)
     model = _Model(len(names))
     places = _windows(words.counts)
-    ids = _ids(words, table)
+    ids = _Ids(words, table)
     if gold.any():
         model.learn(ids, gold, places, epochs, rng)
         # what the field itself finds in toxic documents
         gold = in_toxic & (gold | (_marginals_of(model, words, ids) >= SPAN_AT))
         model.learn(ids, gold, places, again, rng)
-    del ids, places
+    del ids, places, gold, in_toxic, words, table
+    give_back()
 
     def kept(w: np.ndarray, first: int = 0) -> dict[str, float]:
         return {names[i][first:]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.02)}
@@ -201,15 +216,22 @@ def _windows(counts: np.ndarray) -> np.ndarray:
     return np.where(np.arange(WINDOW) < (counts[document] - within)[:, None], place, -1)
 
 
-def _ids(words: Words, table: np.ndarray) -> np.ndarray:
-    """(words, OWN + 2) feature ids of each word: its own, and the whole words before and after it in its document."""
-    out = np.zeros((len(words.codes) + 1, OWN + 2), np.int32)  # the last row is of no word
-    out[:-1, :OWN] = table[words.codes]
-    whole, document = table[words.codes, 0], words.document
-    same = document[1:] == document[:-1]
-    out[1:-1, OWN] = np.where(same, whole[:-1], 0)
-    out[:-2, OWN + 1] = np.where(same, whole[1:], 0)
-    return out
+class _Ids:
+    """Feature ids by places of words: those of the word itself, and the whole words before and after it in its document. Place -1 has none."""
+
+    def __init__(self, words: Words, table: np.ndarray):
+        none = len(table)
+        self.table = np.concatenate([table, np.zeros((1, OWN), np.int32)])
+        self.codes, self.before, self.after = (np.full(len(words.codes) + 1, none, np.int32) for _ in range(3))
+        self.codes[:-1] = words.codes
+        document = words.document
+        same = document[1:] == document[:-1]
+        self.before[1:-1] = np.where(same, words.codes[:-1], none)
+        self.after[:-2] = np.where(same, words.codes[1:], none)
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        beside = np.stack([self.table[x[places], 0] for x in (self.before, self.after)], axis=-1)
+        return np.concatenate([self.table[self.codes[places]], beside], axis=-1)
 
 
 class _Model:
@@ -241,7 +263,7 @@ class _Model:
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         return self.theta[ids + self.offset].sum(axis=-1) + self.bias
 
-    def learn(self, ids: np.ndarray, gold: np.ndarray, places: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    def learn(self, ids: _Ids, gold: np.ndarray, places: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
         truth = np.r_[gold, False].astype(np.int64)
         epochs = max(epochs, epochs * LEAST_STEPS // -(-len(places) // BATCH))  # a small sample is gone over oftener
         for epoch in range(epochs):
@@ -290,12 +312,18 @@ class _Model:
         return g / max(1, mask.sum())
 
 
-def _marginals_of(model: _Model, words: Words, ids: np.ndarray) -> np.ndarray:
-    """Marginals of all words, document by document as in scoring."""
-    e = np.concatenate([model.emissions(ids[at : at + 100_000]) for at in range(0, len(words.codes), 100_000)] or [np.zeros(0)])[: len(words.codes)]
-    counts = words.counts[words.counts > 0]
+def _marginals_of(model: _Model, words: Words, ids: _Ids) -> np.ndarray:
+    """Marginals of all words, some documents at a time as in scoring."""
     chain = Scorer(Field({}, 0.0, tuple(model.start.tolist()), tuple(map(tuple, model.steps.tolist())), (0.0, 0.0, 0.0)))._chain
-    return chain(e, np.cumsum(counts) - counts) if len(e) else e
+    counts = words.counts[words.counts > 0]
+    ends, out, at = np.cumsum(counts), [np.zeros(0)], 0
+    while at < len(counts):
+        begin = int(ends[at] - counts[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + MANY)))
+        e = model.emissions(ids[np.arange(begin, int(ends[to - 1]))])
+        out.append(chain(e, ends[at:to] - counts[at:to] - begin))
+        at = to
+    return np.concatenate(out)
 
 
 class Scorer:

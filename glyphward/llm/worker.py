@@ -15,12 +15,12 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     if key not in _held:
         if _held:
             _held.clear()
-            _give_back()
+            give_back()
         _held[key] = make()
     return _held[key]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system, where its C library can."""
     gc.collect()
     try:

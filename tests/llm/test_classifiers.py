@@ -13,7 +13,7 @@ from glyphward.llm import queries as q
 from glyphward.llm.labelled import Sample, logistic, sigmoid
 from glyphward.llm.quality_cnn import SEGMENT, WIDTH, Network, fit_quality, score_quality
 from glyphward.llm.quality_cnn import Scorer as Net
-from glyphward.llm.toxicity_crf import Field, Scorer, _ids, _Model, _windows, copies, features, fit, fit_toxicity, score_toxicity, split_words
+from glyphward.llm.toxicity_crf import Field, Scorer, _Ids, _Model, _windows, copies, features, fit, fit_toxicity, score_toxicity, split_words
 
 FIELD = Field({"wbad": 4.0, "4awfu": 3.0, "wfine": -1.0}, -2.0, (0.3, -0.3), ((0.5, -0.4), (-0.7, 0.9)), (1.0, 0.5, 0.0))
 
@@ -91,14 +91,14 @@ def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(3)
     words = split_words(pa.array(["a b c a d", "c c", "", "d a b"], pa.large_string()))
     table = rng.integers(0, 6, (len(words.distinct), 5)).astype(np.int32)
-    ids, places = _ids(words, table), _windows(words.counts)
+    ids, places = _Ids(words, table), _windows(words.counts)
     gold = np.r_[rng.integers(0, 2, len(words.codes)), 0]
     model = _Model(6)
     model.theta[:] = rng.normal(0, 0.5, len(model.theta))
     model.theta[[0, 6, 12]] = 0
 
     def loss():
-        e, out = model.emissions(ids), 0.0
+        e, out = model.emissions(ids[np.arange(len(words.codes))]), 0.0
         for row in places:
             at = row[row >= 0]
             paths = {y: sum(e[i] for i, k in zip(at, y) if k) + model.start[y[0]] + sum(model.steps[a, b] for a, b in zip(y, y[1:])) for y in product((0, 1), repeat=len(at))}
