@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import fields
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,29 @@ def findings(text: Column, pack: PackLike, force: Column | bool = False, low: Co
     return F.when(is_blank(text), F.array().cast(f"array<{FINDING}>")).otherwise(shown.cast(f"array<{FINDING}>"))
 
 
+_built: dict[tuple, Column] = {}
+MOST_BUILT = 32
+
+
+def _findings_by_columns(pack: PackLike, text_col: str) -> Column:
+    """:func:`findings` over the columns that a scan makes.
+
+    Such a column is some thousand calls to the JVM and says nothing of the rows, so it is kept for
+    the next scan by the same rules.
+    """
+    text, low, active = F.coalesce(F.col(text_col), F.lit("")), F.col(LOW), F.coalesce(F.col(ACTIVE), F.lit(False))
+    try:
+        key = (SparkContext._active_spark_context.applicationId, text_col, tuple(pack.rules))
+        found = _built.get(key)
+    except TypeError:  # rules from elsewhere need not be hashable
+        return findings(text, pack, False, low, active)
+    if found is None:
+        while len(_built) >= MOST_BUILT:
+            del _built[next(iter(_built))]
+        found = _built[key] = findings(text, pack, False, low, active)
+    return found
+
+
 def overall(found: Column) -> Column:
     """The greatest severity; low both without findings and with low ones only."""
     ranks = F.transform(found, lambda f: F.element_at(F.create_map(*(F.lit(x) for p in RANKS.items() for x in p)), f["severity"]))
@@ -88,8 +112,7 @@ def scan(df: DataFrame, pack: PackLike | str | None = None, text_col: str = "tex
     force = F.lit(force_optional) if isinstance(force_optional, bool) else force_optional
     # what several rules ask for is computed once, in a projection below
     held = df.withColumns({LOW: folded(text), ACTIVE: F.when(~is_blank(text), optional_active(text, pack, force))})
-    active = F.coalesce(F.col(ACTIVE), F.lit(False))
-    out = held.withColumn("findings", findings(text, pack, force, F.col(LOW), active))
+    out = held.withColumn("findings", _findings_by_columns(pack, text_col))
     return out.withColumns(
         {
             "pack": F.lit(pack.name),
@@ -122,7 +145,7 @@ def scan_by(df: DataFrame, pack_col: str = "pack", text_col: str = "text", force
         return out
 
     held = held.withColumn(ACTIVE, F.when(~is_blank(text), each(lambda p: optional_active(text, p, force))))
-    out = held.withColumn("findings", each(lambda p: findings(text, p, force, F.col(LOW), F.coalesce(F.col(ACTIVE), F.lit(False)))))
+    out = held.withColumn("findings", each(lambda p: _findings_by_columns(p, text_col)))
     return out.withColumns(
         {
             "overall_risk": overall(F.col("findings")),
