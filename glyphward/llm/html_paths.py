@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,13 +44,18 @@ MARKS = frozenset(
 # marks that also name parts of articles
 AMBIGUOUS = frozenset("search share sharing notice notices alert menu related recommended reply replies respond rail pager popup".split())
 # words beside a mark in a name that do not change what it says
-AFFIXES = frozenset("main site page top bottom left right list area box section wrapper wrap container inner outer block bar primary secondary links items item buttons icons form content slot unit header panel".split())
+AFFIXES = frozenset(
+    "main site page top bottom left right list area box section wrapper wrap container inner outer block bar primary secondary links items item buttons icons form content slot unit header panel user users reader readers visitor visitors post posts article articles story stories entry entries blog thread feed count body title meta privacy policy message text".split()
+)
+LISTED = frozenset("posts articles stories links buttons icons items entries news feed".split())  # affixes beside which no mark is ambiguous
+REMARKS = frozenset("comment comments disqus".split())  # marks of what readers wrote, which can be longer than the article
 BARRIERS = SKIPPED | frozenset("html body div main article section center td table tbody tr header".split())  # a paragraph outside is not ended by a block inside
 CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 CELL_BARRIERS = {"td": ("table",), "th": ("table",), "tr": ("table",), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 ENDS_P = BLOCKS - {"html", "body", "head", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")  # of a class or id, which may be joined by capitals
 TAG_MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。、]")
@@ -57,11 +63,13 @@ NOTICE = re.compile(r"(?i)(?:©|\(c\)|copyright\b|all rights reserved)")
 
 SHARE = 0.2  # of the page's mean ratio from which a path is content
 MARK = 0.08  # weight of a marked element
+REMARK = 0.005  # of one that is marked as comments of readers
 HINT = 0.3  # the same inside an article, where the mark is ambiguous
 LEAST = 1e-9  # weight that marks inside marks leave at least
 LINKS = 0.1  # weight of blocks that are links only
 BESIDE = 0.02  # weight of what is outside articles on a page that has one with text
 MOST = 2 / 3  # of a page's ratios by which a mark says nothing
+ALL = 0.9999  # by which a mark of comments says nothing
 HEADS = 3  # blocks in which the text of a heading begins
 GAP = 2  # blocks between content that are closed
 
@@ -94,10 +102,12 @@ class Paths:
         return number
 
 
-def boilerplate_words(name: str) -> set[str]:
-    """The words for boilerplate in a class or id that is made of these and their affixes only, as in site-footer."""
-    parts = {p for p in re.split(r"[^a-z]+", name) if p}
-    return parts & MARKS if parts <= MARKS | AFFIXES else set()
+@lru_cache(maxsize=1 << 14)
+def boilerplate_words(name: str) -> frozenset[str]:
+    """The words for boilerplate in a class or id that is made of these and their affixes only, as in site-footer or readerComments."""
+    parts = frozenset(p.lower() for p in PART.findall(name))
+    marks = parts & MARKS if parts <= MARKS | AFFIXES else frozenset()
+    return marks | {name} if marks and parts & LISTED else marks
 
 
 class _Page:
@@ -235,18 +245,20 @@ class _Page:
         names: list[str] = []
         if attributes and not hidden and tag not in ("html", "body"):
             for m in ATTRIBUTE.finditer(attributes):
-                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name == "hidden":
                     hidden = True
-                elif name == "role" and value in ROLES:
-                    marks.add(value)
+                elif name == "role" and value.lower() in ROLES:
+                    marks.add(value.lower())
+                elif name in ("itemprop", "itemtype") and value.rpartition("/")[2].lower() in REMARKS:
+                    marks.add("comment")
                 elif name in ("class", "id") and tag not in HEADINGS:
                     own = value.split()
-                    names += own if name == "class" else []
-                    if tag not in ARTICLES:
-                        marks.update(*map(boilerplate_words, own))
+                    names += map(str.lower, own) if name == "class" else []
+                    words = frozenset().union(*map(boilerplate_words, own))
+                    marks |= words & REMARKS if tag in ARTICLES else words
         label = f"{tag}.{' '.join(names)}" if names and tag in NAMED else tag
-        mark = 1.0 if not marks else HINT if inside and marks <= AMBIGUOUS else MARK
+        mark = 1.0 if not marks else REMARK if marks & REMARKS else HINT if inside and marks <= AMBIGUOUS else MARK
         self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, self.paths.below(above, label, mark, tag in ARTICLES), hidden))
 
@@ -278,8 +290,9 @@ def path_ratios(found: list[Block], paths: Paths) -> list[float]:
 def path_weights(found: list[Block], paths: Paths, ratios: list[float]) -> list[float]:
     """What the marks of every path leave of its ratio.
 
-    Where an article or main element has text that is not links only, all else counts little. A marked element counts little unless it holds MOST of the ratios that are left in the
-    element around it.
+    Where an article or main element has text that is not links only, all else counts little. A marked
+    element counts little unless it holds MOST of the ratios of the nearest element around it that
+    holds more than itself, and one of comments unless it holds ALL of the page's.
     """
     n = len(paths.parent)
     lone = any(paths.article[b.path] and not b.kind for b in found)
@@ -291,10 +304,12 @@ def path_weights(found: list[Block], paths: Paths, ratios: list[float]) -> list[
         held[b.path] += base * ratios[b.path]
     for p in range(n - 1, 0, -1):
         held[paths.parent[p]] += held[p]
-    marks = [1.0] * n
+    marks, around = [1.0] * n, [held[0]] * n
     for p in range(1, n):
         up = paths.parent[p]
-        marks[p] = max(LEAST, marks[up] * (paths.mark[p] if held[p] < MOST * held[up] else 1.0))
+        around[p] = held[up] if held[p] < ALL * held[up] else around[up]
+        least = ALL * held[0] if paths.mark[p] == REMARK else MOST * around[p]
+        marks[p] = max(LEAST, marks[up] * (paths.mark[p] if held[p] < least else 1.0))
     return [w * m for w, m in zip(weight, marks, strict=True)]
 
 

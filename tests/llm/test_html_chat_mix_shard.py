@@ -86,6 +86,27 @@ def test_names_hide_lesser_parts():
     assert main_text("<div class=ad hidden>Buy.</div>") == ""
 
 
+REMARKS = ["class=comments", "class='user-comments'", "class='reader-comments'", "id=disqus_thread", "class=postComments", "id=comments-12 class=list", "itemprop=comment", "itemtype='https://schema.org/Comment'"]
+
+
+@pytest.mark.parametrize("mark", REMARKS)
+@pytest.mark.parametrize("number", [2, 300])
+def test_comments_go_however_many(mark, number):
+    story = f"<h1>Title</h1>{LONG * 3}"
+    remarks = f"<section {mark}><h3>What readers say</h3>{LONG * number}</section>"
+    want = main_text(story)
+    assert want.startswith("Title") and want.count("\n") == 3
+    for page in (f"<article>{story}{remarks}</article>", f"<div><div class=story>{story}</div>{remarks}</div>", f"<main><article>{story}</article><div>{remarks}</div></main>"):
+        assert main_text(page) == want
+
+
+def test_comments_that_are_articles():
+    remarks = f"<article class=comment>{LONG}</article>" * 5
+    assert main_text(f"<main><article>{LONG * 3}</article>{remarks}</main>") == main_text(LONG * 3)
+    assert main_text(f"<div class=comments>{LONG * 3}</div>") == main_text(LONG * 3)  # nothing else is there
+    assert main_text(f"<main><article>{LONG * 3}</article><div class=relatedPosts>{LONG}</div></main>").count("\n") == 2
+
+
 def test_page_query(spark, sf_dir):
     got = {r["page_id"]: r for r in q.QUERIES["op7_html_extraction"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
