@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphward.llm import queries as q
-from glyphward.llm.chat_collapse import collapse_and_render
+from glyphward.llm.chat_collapse import collapse_and_render, cut_conversations, dealt, prefix_hashes
 from glyphward.llm.html_paths import _Page, extract_main_text, main_text, path_ratios
 from glyphward.llm.mixing_ipf import calibrated, cell, marginal_gap, marginal_targets, mix, rake
 from glyphward.llm import sharding
@@ -139,6 +139,24 @@ def test_a_long_conversation_and_its_snapshots(spark):
     assert [(r["conv_id"], r["n_turns"], r["copies"], r["text"].count("<|user|>")) for r in rows] == [(1, 3000, 2, 3000)]
 
 
+def test_conversations_in_many_ranges(spark):
+    import random
+
+    rng = random.Random(11)
+    logs = {c: [(rng.choice("ua"), rng.choice(("x", "y", None))) for _ in range(n)] for c, n in ((1, 700), (2, 3), (5, 1), (9, 400))}
+    logs |= {3: logs[1][:699], 4: logs[1][:350], 6: logs[2][:2], 7: list(logs[1]), 8: logs[1][:350] + logs[9], 10: logs[9][:399] + [("u", "z")]}
+    turns = spark.createDataFrame([(c, i // 2, f"{i % 2}{role}", text) for c, log in logs.items() for i, (role, text) in enumerate(log)], "conv_id long, turn long, role string, text string")
+    ranged = dealt(turns)
+    cut = {r["conv_id"] for r in cut_conversations(ranged).collect()}
+    assert cut and cut == {r["conv_id"] for r in ranged.groupBy("conv_id").agg(F.count_distinct("range").alias("n")).where("n > 1").collect()}
+    last = {r["conv_id"]: r["place"] for r in prefix_hashes(ranged).where("last").collect()}
+    assert last == {c: len(log) for c, log in logs.items()}
+    got = {r["conv_id"]: (r["n_turns"], r["copies"]) for r in collapse_and_render(turns).collect()}
+    whole = {c: tuple(log) for c, log in logs.items()}
+    kept = {c for c, log in whole.items() if not any(o != log and o[: len(log)] == log for o in whole.values())}
+    assert got == {c: (len(whole[c]), sum(o == whole[c] for o in whole.values())) for c in kept if c == min(o for o in whole if whole[o] == whole[c])}
+
+
 def test_raking_reaches_the_marginals(spark):
     cells = [("a", "en", "t"), ("a", "de", "u"), ("b", "en", "u"), ("b", "de", "t"), ("b", "fr", "t"), ("c", "en", "t")]
     table = spark.createDataFrame([(*c, 100 * (i + 1)) for i, c in enumerate(cells)], "source string, lang string, topic string, tokens long")
