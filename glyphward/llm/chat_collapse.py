@@ -12,7 +12,7 @@ conversation hold is put in front.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphward.llm.tables import drop, save
@@ -21,10 +21,15 @@ KEY = 64  # characters of a text by which turns that are alike in all else are d
 
 
 def dealt(turns: DataFrame) -> DataFrame:
-    """``turns`` with the number of their range in the order of (conv_id, turn, role, text), written to the shared folder."""
+    """``turns`` in the order of (conv_id, turn, role, text), with the number of their range, one that grows inside it, and two 64-bit hashes of (role, text); written to the shared folder.
+
+    What follows reads texts for rendering only.
+    """
     tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = turns.repartitionByRange(tasks, "conv_id", "turn", "role", F.substring("text", 1, KEY))
-    return save(ranged.withColumn("range", F.spark_partition_id()), "turns")
+    ranged = turns.repartitionByRange(tasks, "conv_id", "turn", "role", F.substring("text", 1, KEY)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    # whether a column is null is hashed beside it: no text stands for a null
+    parts = [c for x in ("role", "text") for c in (F.col(x).isNull(), F.coalesce(F.col(x), F.lit("")))]
+    return save(ranged.withColumns({"range": F.spark_partition_id(), "nth": F.monotonically_increasing_id(), "h1": F.xxhash64(*parts), "h2": F.xxhash64(F.lit(1), *parts)}), "turns")
 
 
 def cut_conversations(ranged: DataFrame) -> DataFrame:
@@ -47,16 +52,14 @@ def cut_conversations(ranged: DataFrame) -> DataFrame:
 
 
 def _order() -> Window:
-    return Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text")
+    return Window.partitionBy("conv_id", "range").orderBy("nth")
 
 
 def _placed(ranged: DataFrame, cuts: DataFrame, how: str) -> DataFrame:
-    """``ranged`` with the columns of ``cuts``, its place in the conversation, from 1, and two 64-bit hashes of (place, role, text)."""
-    held = ranged.join(F.broadcast(cuts), ["conv_id", "range"], how)
+    """``ranged`` with the columns of ``cuts``, the place of each turn in its conversation, from 1, and two 64-bit hashes of (place, role, text)."""
+    held = ranged.select("conv_id", "range", "nth", "h1", "h2").join(F.broadcast(cuts), ["conv_id", "range"], how)
     placed = held.withColumn("place", F.row_number().over(_order()) + F.coalesce("places", F.lit(0)))
-    # whether a column is null is hashed beside it: no text stands for a null
-    parts: tuple[Column | str, ...] = ("place", *(c for x in ("role", "text") for c in (F.col(x).isNull(), F.coalesce(F.col(x), F.lit("")))))
-    return placed.withColumns({"one": F.xxhash64(*parts), "two": F.xxhash64(F.lit(1), *parts)})
+    return placed.withColumns({"one": F.xxhash64("place", "h1", "h2"), "two": F.xxhash64(F.lit(1), "place", "h1", "h2")})
 
 
 def prefix_hashes(ranged: DataFrame) -> DataFrame:
