@@ -61,6 +61,37 @@ def secret_kind(excerpt: Column) -> Column:
     )
 
 
+CHUNK = 4096  # characters; to find a place in a text, all before it is read
+MANY = 16  # spans from which a text is cut into chunks first
+
+
+def chunks_of(text: Column, spans: Column) -> Column:
+    """``text`` cut into chunks, if there are many ``spans`` to take from it; else an empty array."""
+    last = F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / CHUNK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(F.size(spans) > MANY, cut).otherwise(F.array().cast("array<string>"))
+
+
+def part_of(text: Column, chunks: Column, start: Column, size: Column) -> Column:
+    """``size`` characters of ``text`` from ``start`` (from 0), out of its chunks where these will do."""
+    i = F.floor(start / CHUNK).cast("int")
+    near = F.substring(F.concat(F.get(chunks, i), F.coalesce(F.get(chunks, i + 1), F.lit(""))), start % CHUNK + 1, size)
+    return F.when((i < F.size(chunks)) & (size <= CHUNK), near).otherwise(F.substring(text, start + 1, size))
+
+
+def replace_apart(text: Column, spans: Column, chunks: Column) -> Column:
+    """As :func:`replace_spans` for spans with the last first; where there are many that do not overlap, in time in proportion to the text."""
+
+    def joined(xs: Column) -> Column:
+        ends = lambda i: F.when(i > 0, F.get(xs, i - 1)["end"]).otherwise(F.lit(0))
+        piece = lambda s, i: let(ends(i), lambda at: F.concat(part_of(text, chunks, at, s["start"] - at), s["put"]))
+        tail = F.substring(text, F.element_at(xs, -1)["end"] + 1, F.length(text))
+        apart = ~F.exists(F.transform(xs, lambda s, i: s["start"] < ends(i)), lambda x: x)
+        return F.when((F.size(chunks) > 0) & apart, F.concat(F.array_join(F.transform(xs, piece), ""), tail))
+
+    return F.coalesce(F.when(F.size(chunks) > 0, let(F.reverse(spans), joined)), replace_spans(text, spans))
+
+
 def replace_spans(text: Column, spans: Column) -> Column:
     """``text`` with each (start, end, put) replaced, in the given order and each in what the ones before have left."""
     return F.aggregate(spans, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), s["put"], F.substring(t, s["end"] + 1, F.length(t))))
@@ -74,7 +105,8 @@ def from_the_end(spans: Column, put) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with every (start, end, excerpt) replaced by its kind in brackets."""
-    return replace_spans(text, from_the_end(spans, lambda s: F.concat(F.lit("[REDACTED:"), secret_kind(s["excerpt"]), F.lit("]"))))
+    ordered = from_the_end(spans, lambda s: F.concat(F.lit("[REDACTED:"), secret_kind(s["excerpt"]), F.lit("]")))
+    return let(ordered, lambda xs: let(chunks_of(text, xs), lambda chunks: replace_apart(text, xs, chunks)))
 
 
 def tidy(text: Column) -> Column:
@@ -187,15 +219,16 @@ def safe_rewrite(text: Column, findings: Column, designer: Column, hints: dict[s
 
     Spans are applied to the text as it was scanned, which is stripped afterwards.
     """
-    held = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    put = lambda s: F.concat(F.lit("[REDACTED:"), secret_kind(held(s)), F.lit("]"))
-    secrets = from_the_end(F.filter(findings, lambda f: (f["id"] == "pii_and_secrets") & (f["end"] <= F.length(text))), put)
 
-    def redacted(spans: Column) -> Column:
-        notes = F.transform(F.reverse(spans), lambda s: F.concat(F.lit("redacted: “"), truncated(held(s)), F.lit("” → "), s["put"]))
-        return F.struct(strip(replace_spans(text, spans)).alias("text"), notes.cast(NO_NOTES).alias("notes"))
+    def redacted(found: Column, chunks: Column) -> Column:
+        held = lambda s, value: let(part_of(text, chunks, s["start"], s["end"] - s["start"]), value)
+        put = lambda s: held(s, lambda x: F.concat(F.lit("[REDACTED:"), secret_kind(x), F.lit("]")))
+        note = lambda s: held(s, lambda x: F.concat(F.lit("redacted: “"), truncated(x), F.lit("” → "), s["put"]))
+        done = lambda xs: F.struct(strip(replace_apart(text, xs, chunks)).alias("text"), F.transform(F.reverse(xs), note).cast(NO_NOTES).alias("notes"))
+        return let(from_the_end(found, put), done)
 
-    state = let(secrets, redacted)
+    secrets = let(F.length(text), lambda n: F.filter(findings, lambda f: (f["id"] == "pii_and_secrets") & (f["end"] <= n)))
+    state = let(secrets, lambda found: let(chunks_of(text, found), lambda chunks: redacted(found, chunks)))
     for rule, p in REMOVED:
         state = _without(state, regex(p), hints.get(rule))
     state = _without_filler(_without(state, regex(ARTIST), hints.get("copyright_artist"), designer))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphward.operators import reports
-from glyphward.operators.rewriting import tidy
+from glyphward.operators.rewriting import chunks_of, replace_apart, tidy
 from glyphward.operators.scanning import scan
 from glyphward.packs.personal_info import PersonalInfoPack
 
@@ -70,3 +70,27 @@ def test_personal_redaction_with_overlaps(spark):
     assert r["rewritten"] == want and len(r["notes"]) == 2
     none = reports.rewrite(scan(spark.createDataFrame([(" nothing ",)], "text string"), pack), pack).first()
     assert none["rewritten"] == " nothing " and "none of the listed" in none["notes"][0]
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_many_spans(spark, apart):
+    import random
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcé😀 ") for _ in range(20_000))
+    places = sorted(rng.sample(range(19_000), 200))
+    spans = [(a, min(a + rng.randint(1, 60), b) if apart else a + rng.randint(1, 300), f"<{a}>") for a, b in zip(places, [*places[1:], 20_000])]
+    spans += [(19_000, 19_000 + (5 if apart else 900), "<end>")]
+    want = text
+    for a, b, put in reversed(spans):
+        want = want[:a] + put + want[b:]
+    rows = spark.createDataFrame([(text, list(reversed(spans)))], "text string, spans array<struct<start:int,end:int,put:string>>")
+    chunks = chunks_of(F.col("text"), F.col("spans"))
+    assert rows.select(replace_apart(F.col("text"), F.col("spans"), chunks)).first()[0] == want
+
+
+def test_long_texts_of_addresses(spark):
+    rows = spark.createDataFrame([(n, " ".join(f"Write to u{i}@a.org now." for i in range(n))) for n in (3, 3000)], "n int, text string")
+    for r in reports.rewrite(scan(rows)).collect():
+        assert r["rewritten"] == " ".join(["Write to [REDACTED:email] now."] * r["n"])
+        assert list(r["notes"]) == [f"redacted: “u{i}@a.org” → [REDACTED:email]" for i in range(r["n"])]
