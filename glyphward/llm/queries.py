@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from glyphward.llm.ann_mih import nearest_neighbours
 from glyphward.llm.chat_collapse import collapse_and_render
 from glyphward.llm.html_paths import extract_main_text
+from glyphward.llm.importance_resampling import importance_ranks
 from glyphward.llm.mixing_ipf import DIMENSIONS, FLATTEN, ROUNDS, calibrated
 from glyphward.llm.packing import pack_digests
+from glyphward.llm.prefix_tree_join import jaccard_groups
 from glyphward.llm.quality_cnn import fit_quality, score_quality
 from glyphward.llm.sharding import shard_by_bytes
 from glyphward.llm.simhash_ball import near_duplicates
@@ -200,3 +202,78 @@ WITH table_of AS (
 )
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
 """
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's texts."""
+    return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op11_importance_resampling"] = rf"""
+WITH table_of AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS i))
+), texts AS (
+  SELECT 0 AS side, row_number() OVER () AS row_id, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark
+), worded AS MATERIALIZED (
+  SELECT side, row_id, doc_id, list_filter(string_split_regex({_SMALL}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM texts
+), grams AS (
+  SELECT side, row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM worded
+), counted AS MATERIALIZED (
+  SELECT side, row_id, f, count(*) AS n FROM grams GROUP BY ALL
+), hexed AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), hashed AS MATERIALIZED (
+  SELECT f, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 10000 AS bucket
+  FROM hexed, table_of
+), held AS MATERIALIZED (
+  SELECT side, row_id, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM held GROUP BY bucket
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS g FROM sums
+), weights AS (
+  SELECT row_id, sum(n) AS n_features, sum(n * g) AS weight FROM held JOIN gain USING (bucket) WHERE side = 0 GROUP BY row_id
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM worded LEFT JOIN weights USING (row_id) WHERE side = 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of its shingle set and group of every document."""
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_ngram_jaccard_join"] = rf"""
+WITH worded AS (
+  SELECT row_number() OVER () AS row_id, doc_id, list_filter(string_split_regex({_SMALL}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT row_id, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM worded
+), distinct_sets AS MATERIALIZED (
+  SELECT row_number() OVER () AS set_id, s, len(s) AS n FROM (SELECT DISTINCT list_sort(s) AS s FROM sets WHERE len(s) > 0)
+), shingles AS MATERIALIZED (
+  SELECT set_id, n, unnest(s) AS x FROM distinct_sets
+), pairs AS (
+  SELECT a.set_id AS a, b.set_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.set_id < b.set_id AND 100 * b.n >= 90 * a.n AND 100 * a.n >= 90 * b.n
+  GROUP BY a.set_id, b.set_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), links AS MATERIALIZED (
+  SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
+), members AS MATERIALIZED (
+  SELECT row_id, doc_id, len(sets.s) AS n, set_id FROM sets LEFT JOIN distinct_sets d ON d.s = list_sort(sets.s)
+), reach AS (
+  WITH RECURSIVE r AS (SELECT set_id AS a, set_id AS b FROM distinct_sets UNION SELECT r.a, links.b FROM r JOIN links ON r.b = links.a) SELECT * FROM r
+), least AS (
+  SELECT a AS set_id, min(doc_id) AS component_id FROM reach JOIN members ON set_id = b GROUP BY a
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id FROM members LEFT JOIN least USING (set_id)
+"""
