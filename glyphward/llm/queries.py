@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphward.llm.ann_mih import nearest_neighbours
 from glyphward.llm.chat_collapse import collapse_and_render
+from glyphward.llm.conversation_trie import conversation_trie
 from glyphward.llm.html_paths import extract_main_text
 from glyphward.llm.importance_resampling import importance_ranks
 from glyphward.llm.mixing_ipf import DIMENSIONS, FLATTEN, ROUNDS, calibrated
@@ -277,3 +278,43 @@ WITH worded AS (
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id FROM members LEFT JOIN least USING (set_id)
 """
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_conversation_trie"] = r"""
+WITH table_of AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS i))
+), original AS MATERIALIZED (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, o.t AS own, CAST(xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda c, x: xor(c >> 8, table_of.t[(xor(c, x) & 255) + 1]))) % 6 AS BIGINT) AS h FROM original o, table_of
+), rebuilt AS MATERIALIZED (
+  SELECT heads.conv_id, list_concat(coalesce(f.t, [])[1:h], own[h + 1:]) AS t FROM heads LEFT JOIN original f ON f.conv_id = heads.conv_id - heads.conv_id % 100
+), steps AS (
+  SELECT conv_id, len(t) AS size, unnest(range(0, len(t) + 1)) AS depth, t FROM rebuilt
+), nodes AS MATERIALIZED (
+  SELECT row_number() OVER () AS node, * FROM (
+    SELECT depth, t[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+      sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM steps GROUP BY ALL)
+), own AS MATERIALIZED (
+  SELECT node, depth, prefix, conv_id, n_convs, ends_sha256, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(prefix[depth]['text']) END AS saved FROM nodes
+), parents AS MATERIALIZED (
+  SELECT c.node, p.node AS parent, p.conv_id AS parent_conv_id FROM own c JOIN own p ON p.depth = c.depth - 1 AND p.prefix = c.prefix[1:c.depth - 1]
+), children AS MATERIALIZED (
+  SELECT parent AS node, count(*) AS n_children FROM parents GROUP BY parent
+), below AS (
+  WITH RECURSIVE r AS (SELECT node AS top, node AS low FROM own UNION ALL SELECT parents.parent, r.low FROM r JOIN parents ON parents.node = r.top) SELECT * FROM r
+), sums AS (
+  SELECT top AS node, sum(o.saved) AS saved_tokens, count(*) FILTER (c.node IS NULL) AS n_leaves FROM below JOIN own o ON o.node = low LEFT JOIN children c ON c.node = low GROUP BY top
+)
+SELECT o.conv_id, o.depth, p.parent_conv_id, o.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums s USING (node) LEFT JOIN parents p USING (node) LEFT JOIN children c USING (node)
+"""
