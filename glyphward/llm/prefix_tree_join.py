@@ -1,14 +1,13 @@
 """Set-similarity join of word n-grams by prefix trees.
 
-Every distinct set of shingles is ordered by how many sets hold each shingle, rarest first, so two
-sets that link share a shingle among the first few of both: their prefixes, one more than the number
-of shingles that a partner may lack. Sets that share one meet in a task, which puts them into a
-prefix tree in that order and walks it once for all of them: what a path has in common with each set
-is counted once for all sets below, and a subtree is left as soon as what remains of its sets is too
-short to bring any of them over the threshold.
-
 Shingles that stand in exactly the same sets are one atom with a weight. That loses nothing, as
-overlaps are sums of weights, and makes paths and prefixes short. It takes these steps:
+overlaps are sums of weights, and makes sets short. Every distinct set is put into one global order
+of the atoms: first those of no other set, then by weight, the greatest first. Two sets that link
+share an atom among the first few of both, their prefixes, which weigh one more than what a partner
+may lack. Sets that share one meet in a task, which puts them into a prefix tree in that order and
+walks it once for all of them: what a path has in common with each set is counted once for all sets
+below, and a subtree is left as soon as what remains of its sets is too short to bring any of them
+over the threshold. It takes these steps:
 
 1. equal texts, or texts with equal sets, become one set with a key (64 bits and the size);
 2. shingles are dealt to buckets, where those of a single set only count; the others get the
@@ -16,9 +15,10 @@ overlaps are sums of weights, and makes paths and prefixes short. It takes these
    their own and are dealt by set, so none gathers its sets in one task);
 3. sets with too many shingles that no other set has cannot link and go no further;
 4. each remaining set is sent, as atoms, to the group of each atom of its prefix; groups of more
-   than BLOCK sets are cut into blocks, which give the links inside them;
-5. cut groups whose sets then lie in several components are compared block by block in pairs, so no
-   link is lost; mostly there are none.
+   than BLOCK sets are cut into blocks, which give the links inside them, and cut anew if their sets
+   do not lie in one component by then;
+5. cut groups that still do not are compared block by block in pairs, so no link is lost; mostly
+   there are none.
 
 A block links sets that are not yet connected there, so it gives fewer links than it has sets.
 """
@@ -26,6 +26,7 @@ A block links sets that are not yet connected there, so it gives fewer links tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,12 @@ from glyphward.llm.wordcodes import BY_SPACE, slices, words_of
 
 WORDS = 3  # of a shingle
 LEAST, OF = 90, 100  # sets link when OF * intersection >= LEAST * union
-BUCKET = 1 << 20  # shingles in a bucket, about
+BUCKET = 1 << 21  # shingles in a bucket, about
 HELD = 1 << 21  # shingles that a task gathers before it deals them
 SEEN = 1 << 18  # keys of sets that a task remembers, so that it sends copies once
 SAMPLE = 4_096  # sets in which frequent shingles are looked for, or 1 in SAMPLE_RATE if that is more
 SAMPLE_RATE = 50_000
 FREQUENT = 20  # times in the sample
-HOT = np.iinfo(np.int32).max  # the count of sets of a frequent shingle: last in the order
 BLOCK = 1_024  # sets in a tree at most
 
 U = np.uint64
@@ -126,7 +126,7 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, buckets: int, hot: np.ndarray, words: int) -> DataFrame:
-    """(bucket, keys, sizes, counts, shingles): the shingles of all sets in packed rows; those in ``hot`` in the buckets from ``buckets`` on, by set."""
+    """(bucket, keys, counts, shingles): the shingles of all sets in packed rows; those in ``hot`` in the buckets from ``buckets`` on, by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -143,17 +143,16 @@ def _dealt(docs: DataFrame, buckets: int, hot: np.ndarray, words: int) -> DataFr
                 bucket = np.where(is_hot, buckets + by_set[of], bucket)
             order = np.argsort(bucket, kind="stable")
             bucket, of, shingles = bucket[order], of[order], shingles[order]
-            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (of[1:] != of[:-1])]
-            run_at = np.flatnonzero(new)  # runs of a set in a bucket
+            run_at = _runs(bucket, of, np.arange(len(of)) >> 8)  # runs of a set in a bucket, of 256 at most
             run_bucket, run_set = bucket[run_at], of[run_at]
-            run_count = np.diff(np.r_[run_at, len(bucket)]).astype(np.int32)
+            run_count = (np.diff(np.r_[run_at, len(bucket)]) - 1).astype(np.uint8)
             row_at = np.flatnonzero(np.r_[True, run_bucket[1:] != run_bucket[:-1]])
             row_to = np.r_[row_at[1:], len(run_bucket)]
             at = np.r_[run_at, len(bucket)]
             cells = lambda x: [x[a:z].tobytes() for a, z in zip(row_at, row_to, strict=True)]
             data = [shingles[at[a] : at[z]].tobytes() for a, z in zip(row_at, row_to, strict=True)]
-            columns = [pa.array(run_bucket[row_at]), *(pa.array(x, pa.binary()) for x in (cells(keys[run_set]), cells(sizes[run_set].astype(np.int32)), cells(run_count), data))]
-            return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "sizes", "counts", "shingles"])
+            columns = [pa.array(run_bucket[row_at]), *(pa.array(x, pa.binary()) for x in (cells(keys[run_set]), cells(run_count), data))]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "counts", "shingles"])
 
         for b in batches:
             texts = b.column(0).cast(pa.large_string())
@@ -171,7 +170,7 @@ def _dealt(docs: DataFrame, buckets: int, hot: np.ndarray, words: int) -> DataFr
         if held:
             yield flush()
 
-    return _texts(docs).mapInArrow(run, "bucket int, keys binary, sizes binary, counts binary, shingles binary")
+    return _texts(docs).mapInArrow(run, "bucket int, keys binary, counts binary, shingles binary")
 
 
 def _numbers(cells: list[bytes], kind: str) -> np.ndarray:
@@ -213,9 +212,9 @@ def _atoms_of_buckets(buckets: int):
         for t in _by_key(batches):
             bucket = t.column("bucket")[0].as_py()
             shingle = _numbers(_cells(t, "shingles"), "u8")
-            counts, run_keys, run_sizes = (_numbers(_cells(t, c), kind) for c, kind in (("counts", "i4"), ("keys", "i8"), ("sizes", "i4")))
-            keys, first, of_run = np.unique(run_keys, return_index=True, return_inverse=True)
-            of = np.repeat(of_run.ravel(), counts)
+            counts = _numbers(_cells(t, "counts"), "u1").astype(np.int64) + 1
+            keys, of_run = np.unique(_numbers(_cells(t, "keys"), "i8"), return_inverse=True)
+            of = np.repeat(of_run.ravel().astype(np.int32), counts)
             order = np.lexsort((of, shingle))
             shingle, of = shingle[order], of[order]
             at = _runs(shingle, of)  # copies of a set in several tasks
@@ -231,8 +230,6 @@ def _atoms_of_buckets(buckets: int):
             entry = np.repeat(shared, df)
             of, run_of = of[entry], np.repeat(np.arange(len(df)), df)[entry]
             atom, which = np.unique(signature[run_of], return_inverse=True)
-            atom_df = np.zeros(len(atom), np.int32)
-            atom_df[which] = df[run_of] if bucket < buckets else HOT
             order = np.lexsort((which, of))
             of, which = of[order], which[order]
             at = _runs(of, which)
@@ -240,68 +237,83 @@ def _atoms_of_buckets(buckets: int):
             of, which = of[at], which[at].astype(np.int32)
             some = np.unique(of)  # sets with an atom here
             local = np.searchsorted(some, of)
-            row = (keys[some], run_sizes[first][some], np.bincount(local, weights=weight, minlength=len(some)).astype(np.int32), np.bincount(local, minlength=len(some)).astype(np.int32), which, weight, atom.view(np.int64), atom_df)
+            row = (keys[some], np.bincount(local, weights=weight, minlength=len(some)).astype(np.int32), np.bincount(local, minlength=len(some)).astype(np.int32), which, weight, atom.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row)], names=["bucket", *_BUCKET])
 
     return run
 
 
-_BUCKET = ("keys", "sizes", "shared", "entries", "atoms", "weights", "signatures", "dfs")
+_BUCKET = ("keys", "shared", "entries", "atoms", "weights", "signatures")
+
+
+SIZES = -1  # stands for a bucket in rows that tell the sizes of whole sets
 
 
-def _counts_by_set(buckets: int):
-    """(part, bucket, keys, sizes, shared): what each bucket knows of its sets, dealt by set."""
+def _by_set(buckets: int):
+    """(part, bucket, keys, counts) dealt by set, of rows (bucket, keys, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, *cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys, sizes, shared = (np.frombuffer(x, k) for x, k in zip(cells, ("i8", "i4", "i4"), strict=True))
-                if not len(keys):
-                    continue
+                keys, counts = (np.frombuffer(x, k) for x, k in zip(cells, ("i8", "i4"), strict=True))
                 part = ((_mixed(keys.view(U)) >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 at = _runs(part[order])
+                if not len(at):
+                    continue
                 cut = lambda x: [y.tobytes() for y in np.split(x[order], at[1:])]  # noqa: B023, E731
-                columns = [pa.array(part[order][at]), pa.array(np.full(len(at), bucket, np.int32)), *(pa.array(cut(x), pa.binary()) for x in (keys, sizes, shared))]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "keys", "sizes", "shared"])
+                columns = [pa.array(part[order][at]), pa.array(np.full(len(at), bucket, np.int32)), *(pa.array(cut(x), pa.binary()) for x in (keys, counts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "keys", "counts"])
 
     return run
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, keys, counts) of rows (key, n)."""
+    for b in batches:
+        columns = [pa.array([SIZES], pa.int32()), *(pa.array([c.to_numpy().astype(k).tobytes()], pa.binary()) for c, k in zip(b.columns, ("i8", "i4"), strict=True))]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "counts"])
+
+
 def _possible(least: int, of: int):
-    """(bucket, alive): for each bucket its sets that have enough shared shingles over all buckets to link."""
+    """(bucket, alive, sizes): for each bucket its sets that have enough shared shingles over all buckets to link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches):
-            cells = _cells(t, "keys")
+            cells, bucket = _cells(t, "keys"), t.column("bucket").to_numpy()
             keys, where = np.unique(_numbers(cells, "i8"), return_inverse=True)
+            where, counts = where.ravel(), _numbers(_cells(t, "counts"), "i4")
+            whole = np.repeat(bucket == SIZES, [len(c) // 8 for c in cells])
             size = np.zeros(len(keys), np.int64)
-            size[where] = _numbers(_cells(t, "sizes"), "i4")
-            shared = np.bincount(where, weights=_numbers(_cells(t, "shared"), "i4"), minlength=len(keys)).astype(np.int64)
+            size[where[whole]] = counts[whole]
+            shared = np.bincount(where[~whole], weights=counts[~whole], minlength=len(keys)).astype(np.int64)
             alive = (of * shared >= least * size)[where]  # a partner has least / of of it at least
             ends = np.cumsum([len(c) // 8 for c in cells])
-            out = [keys[where][a:z][alive[a:z]].tobytes() for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-            rows = [i for i, x in enumerate(out) if x]
-            yield pa.RecordBatch.from_arrays([t.column("bucket").combine_chunks().take(pa.array(rows, pa.int64())), pa.array([out[i] for i in rows], pa.binary())], names=["bucket", "alive"])
+            held = [where[a:z][alive[a:z]] for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+            rows = [i for i, x in enumerate(held) if len(x) and bucket[i] != SIZES]
+            columns = [pa.array(bucket[rows]), *(pa.array([x[held[i]].astype(k).tobytes() for i in rows], pa.binary()) for x, k in ((keys, "i8"), (size, "i4")))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "alive", "sizes"])
 
     return run
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, df, signature, weight): the atoms of the sets of a bucket that may link."""
+    """(key, n, signature, weight): the atoms of the sets of a bucket that may link."""
     for b in batches:
         for row in b.to_pylist():
-            alive = np.unique(_numbers(row["alive"], "i8"))
-            keys, sizes, _, entries, atoms, weights, signatures, dfs = (np.frombuffer(row[c], k) for c, k in zip(_BUCKET, ("i8", "i4", "i4", "i4", "i4", "i4", "i8", "i4"), strict=True))
+            alive, first = np.unique(_numbers([x["alive"] for x in row["possible"]], "i8"), return_index=True)
+            size = _numbers([x["sizes"] for x in row["possible"]], "i4")[first]
+            keys, _, entries, atoms, weights, signatures = (np.frombuffer(row[c], k) for c, k in zip(_BUCKET, ("i8", "i4", "i4", "i4", "i4", "i8"), strict=True))
+            at = np.minimum(np.searchsorted(alive, keys), len(alive) - 1)
             of = np.repeat(np.arange(len(keys)), entries)
-            kept = np.isin(keys, alive)[of]
+            kept = (alive[at] == keys)[of]
             of, atoms, weights = of[kept], atoms[kept], weights[kept]
             for a in range(0, len(of), 1 << 16):
                 i, x = of[a : a + (1 << 16)], atoms[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(sizes[i]), pa.array(dfs[x]), pa.array(signatures[x]), pa.array(weights[a : a + (1 << 16)])], names=["key", "n", "df", "signature", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(size[at[i]]), pa.array(signatures[x]), pa.array(weights[a : a + (1 << 16)])], names=["key", "n", "signature", "weight"])
 
 
-_SET = "key long, n int, signatures binary, dfs binary, weights binary, prefix array<long>"
+_SET = "key long, n int, signatures binary, weights binary, prefix array<long>"
 
 
 def _ordered_sets(least: int, of: int):
@@ -311,21 +323,21 @@ def _ordered_sets(least: int, of: int):
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "n", "signatures", "dfs", "weights", "prefix"])
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "n", "signatures", "weights", "prefix"])
 
         for t in _by_key(batches):
             key, n = t.column("key")[0].as_py(), t.column("n")[0].as_py()
-            df, signature, weight = (t.column(c).to_numpy() for c in ("df", "signature", "weight"))
-            order = np.lexsort((signature, df))
-            df, signature, weight = df[order], signature[order], weight[order]
-            at = _runs(df, signature)  # parts of an atom from several buckets
-            weight = np.add.reduceat(weight, at).astype(np.int32)
-            df, signature = df[at], signature[at]
+            signature, weight = (t.column(c).to_numpy() for c in ("signature", "weight"))
+            order = np.argsort(signature, kind="stable")
+            at = _runs(signature[order])  # parts of an atom from several buckets
+            signature, weight = signature[order][at], np.add.reduceat(weight[order], at).astype(np.int32)
+            order = np.lexsort((signature, -weight))
+            signature, weight = signature[order], weight[order]
             lacking = n - -(-least * n // of)  # shingles that a partner may lack at most
             alone = n - int(weight.sum())
             before = alone + np.cumsum(weight) - weight
-            rows.append((key, n, signature.tobytes(), df.tobytes(), weight.tobytes(), signature[before <= lacking].tolist()))
+            rows.append((key, n, signature.tobytes(), weight.tobytes(), signature[before <= lacking].tolist()))
             if len(rows) >= 1_000:
                 yield batch()
                 rows = []
@@ -335,17 +347,17 @@ def _ordered_sets(least: int, of: int):
     return run
 
 
-def tree_links(n: np.ndarray, sizes: np.ndarray, signature: np.ndarray, df: np.ndarray, weight: np.ndarray, label: np.ndarray | None = None, least: int = LEAST, of: int = OF) -> list[tuple[int, int]]:
+def tree_links(n: np.ndarray, sizes: np.ndarray, signature: np.ndarray, weight: np.ndarray, label: np.ndarray | None = None, least: int = LEAST, of: int = OF) -> list[tuple[int, int]]:
     """Links (i, j) that join the sets of a block into the components that all their links make.
 
     ``n``: the sizes of the sets in shingles; ``sizes``: in atoms, which follow each other in
-    ``signature``, ``df`` and ``weight``. Sets with equal ``label`` count as joined already.
+    ``signature`` and ``weight``, which is the same wherever an atom stands. Sets with equal ``label`` count as joined already.
     """
     count = len(n)
     label = np.arange(count) if label is None else np.unique(label, return_inverse=True)[1].ravel()
     sid = np.repeat(np.arange(count), sizes)
-    order = np.lexsort((sid, signature, df))
-    sid, weight, at = sid[order], weight[order].astype(np.int64), _runs(df[order], signature[order])
+    order = np.lexsort((sid, signature, -weight))
+    sid, weight, at = sid[order], weight[order].astype(np.int64), _runs(signature[order])
     held = np.diff(np.r_[at, len(sid)])
     # atoms of the same sets of this block go together; those of one set are of no use
     marks = np.random.default_rng(0).integers(0, 1 << 63, count, dtype=np.int64)
@@ -426,7 +438,7 @@ def _linked(least: int, of: int):
             keys, label = t.column("key").to_numpy(), t.column("label").to_numpy()
             cells = _cells(t, "signatures")
             sizes = np.array([len(c) // 8 for c in cells])
-            found = tree_links(t.column("n").to_numpy(), sizes, _numbers(cells, "i8"), _numbers(_cells(t, "dfs"), "i4"), _numbers(_cells(t, "weights"), "i4"), label, least, of)
+            found = tree_links(t.column("n").to_numpy(), sizes, _numbers(cells, "i8"), _numbers(_cells(t, "weights"), "i4"), label, least, of)
             if found:
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[i], keys[j])), pa.array(np.maximum(keys[i], keys[j]))], names=["a", "b"])
@@ -436,7 +448,7 @@ def _linked(least: int, of: int):
 
 def _compared(sets: DataFrame, members: DataFrame, least: int, of: int) -> DataFrame:
     """Links inside the blocks of ``members`` (block, key, label)."""
-    whole = members.join(sets.select("key", "n", "signatures", "dfs", "weights"), "key").select("block", "key", "label", "n", "signatures", "dfs", "weights")
+    whole = members.join(sets.select("key", "n", "signatures", "weights"), "key").select("block", "key", "label", "n", "signatures", "weights")
     return whole.repartition("block").sortWithinPartitions("block", "key").mapInArrow(_linked(least, of), "a long, b long").distinct()
 
 
@@ -449,38 +461,48 @@ def ordered_sets(docs: DataFrame, sets: DataFrame, words: int = WORDS, least: in
     dealt = _dealt(docs, buckets, frequent_shingles(sets), words).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     schema = "bucket int, " + ", ".join(f"{c} binary" for c in _BUCKET)
     postings = save(dealt.mapInArrow(_atoms_of_buckets(buckets), schema), "postings")
-    counts = postings.select("bucket", "keys", "sizes", "shared").mapInArrow(_counts_by_set(buckets), "part int, bucket int, keys binary, sizes binary, shared binary")
-    alive = counts.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_possible(least, of), "bucket int, alive binary")
-    alive = alive.groupBy("bucket").agg(F.collect_list("alive").alias("alive"))  # keys of the sets of one bucket
-    entries = postings.join(alive.hint("merge"), "bucket").select(*_BUCKET, "alive").mapInArrow(_entries, "key long, n int, df int, signature long, weight int")
+    sizes = sets.where("n > 0").select("key", "n").distinct().mapInArrow(_sizes, "bucket int, keys binary, counts binary")
+    counts = postings.select("bucket", "keys", F.col("shared").alias("counts")).union(sizes).mapInArrow(_by_set(buckets), "part int, bucket int, keys binary, counts binary")
+    alive = counts.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_possible(least, of), "bucket int, alive binary, sizes binary")
+    alive = alive.groupBy("bucket").agg(F.collect_list(F.struct("alive", "sizes")).alias("possible"))  # the sets of one bucket
+    entries = postings.join(alive.hint("merge"), "bucket").select(*_BUCKET, "possible").mapInArrow(_entries, "key long, n int, signature long, weight int")
     out = save(entries.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_ordered_sets(least, of), _SET), "ordered")
     drop(postings)
     return out
 
 
+def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(atom, key, sets, label): the rows of ``members`` whose atom has sets of several components."""
+    placed = members.join(joined.hint("merge"), members.key == joined.node, "left").select("atom", "key", "sets", F.coalesce("root", "key").alias("label"))
+    apart = placed.groupBy("atom").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("atom")
+    return placed.join(apart.hint("merge"), "atom")
+
+
 def set_components(sets: DataFrame, least: int = LEAST, of: int = OF, block: int = BLOCK) -> DataFrame:
     """(node, root) of the sets in ``sets``, a table of :func:`ordered_sets`, that have a link."""
     prefixes = sets.select("key", F.explode("prefix").alias("atom"))
     groups = save(prefixes.groupBy("atom").agg(F.count("*").alias("sets")).where("sets > 1"), "groups")
     members = save(prefixes.join(groups.hint("merge"), "atom").select("atom", "key", "sets"), "members")
-    cut = F.pmod(F.xxhash64("key", "atom"), F.ceil(F.col("sets") / block))
-    links = save(_compared(sets, members.select(F.xxhash64("atom", cut).alias("block"), "key", F.col("key").alias("label")), least, of), "links")
-    joined = components(links, "a", "b")
-    large = members.where(F.col("sets") > block)
-    if not large.isEmpty():
-        # groups that were cut and are not whole by now: each part with each other one
-        placed = large.join(joined.hint("merge"), large.key == joined.node, "left").select("atom", "key", "sets", F.coalesce("root", "key").alias("label"))
-        apart = placed.groupBy("atom").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("atom")
-        parts = F.ceil(F.col("sets") * 2 / block).cast("int")
-        left = placed.join(apart.hint("merge"), "atom").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key"), "parts").cast("int"))
-        pairs = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other")
-        both = F.xxhash64("atom", F.least("own", "other"), F.greatest("own", "other"))
-        more = save(_compared(sets, pairs.select(both.alias("block"), "key", "label"), least, of), "links")
-        if not more.isEmpty():
-            drop(joined)
-            joined = components(links.union(more), "a", "b")
-        drop(more)
-    drop(groups, members, links)
+    cut = lambda salt: F.xxhash64("atom", F.pmod(F.xxhash64("key", "atom", F.lit(salt)), F.ceil(F.col("sets") / block))).alias("block")
+    links = [save(_compared(sets, members.select(cut(0), "key", F.col("key").alias("label")), least, of), "links")]
+    joined = components(links[0], "a", "b")
+    large, used = members.where(F.col("sets") > block), []
+    for again in (True, False):
+        left = save(_apart(large, joined), "apart")
+        used.append(left)
+        if left.isEmpty():
+            break
+        if again:
+            blocks = left.select(cut(1), "key", "label")
+        else:  # each part with each other one
+            parts = left.withColumn("parts", F.ceil(F.col("sets") * 2 / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+            pairs = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other")
+            blocks = pairs.select(F.xxhash64("atom", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "key", "label")
+        links.append(save(_compared(sets, blocks, least, of), "links"))
+        drop(joined)
+        joined = components(reduce(DataFrame.union, links), "a", "b")
+        large = left.drop("label")
+    drop(groups, members, *links, *used)
     return joined
 
 
