@@ -25,7 +25,7 @@ LONGEST = 3  # words of the longest n-gram
 LEAST_WORDS = 20
 PERCENT = 5
 SEED = 42
-STEP = 16  # bits of a score that its bin leaves open: at most 2^16 scores in a bin
+STEP = 10  # bits of a score that its bin leaves open: at most 2^10 scores in a bin
 COPIES = 1 << 16  # equal rows that are written out together
 
 
