@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 from glyphward.llm.components import components
 from glyphward.llm.tables import drop, save, small_batches
 from glyphward.llm.wordcodes import BY_SPACE, slices, words_of
+from glyphward.llm.worker import give_back
 
 WORDS = 3  # of a shingle
 LEAST, OF = 90, 100  # sets link when OF * intersection >= LEAST * union
 BUCKET = 1 << 21  # shingles in a bucket, about
-HELD = 1 << 21  # shingles that a task gathers before it deals them
+HELD = 1 << 19  # shingles that a task gathers before it deals them
 SEEN = 1 << 18  # keys of sets that a task remembers, so that it sends copies once
 SAMPLE = 4_096  # sets in which frequent shingles are looked for, or 1 in SAMPLE_RATE if that is more
 SAMPLE_RATE = 50_000
@@ -167,6 +168,7 @@ def _dealt(docs: DataFrame, buckets: int, hot: np.ndarray, words: int) -> DataFr
                 if held >= HELD:
                     yield flush()
                     parts, held = [], 0
+                    give_back()
         if held:
             yield flush()
 
@@ -215,9 +217,9 @@ def _atoms_of_buckets(buckets: int):
             counts = _numbers(_cells(t, "counts"), "u1").astype(np.int64) + 1
             keys, of_run = np.unique(_numbers(_cells(t, "keys"), "i8"), return_inverse=True)
             of = np.repeat(of_run.ravel().astype(np.int32), counts)
-            order = np.lexsort((of, shingle))
+            order = np.lexsort((of, shingle)).astype(np.int32)
             shingle, of = shingle[order], of[order]
-            at = _runs(shingle, of)  # copies of a set in several tasks
+            at = _runs(shingle, of).astype(np.int32)  # copies of a set in several tasks
             shingle, of = shingle[at], of[at]
             begin = _runs(shingle)
             df = np.diff(np.r_[begin, len(shingle)])
@@ -228,7 +230,7 @@ def _atoms_of_buckets(buckets: int):
             else:
                 signature, shared = shingle[begin], np.ones(len(begin), bool)
             entry = np.repeat(shared, df)
-            of, run_of = of[entry], np.repeat(np.arange(len(df)), df)[entry]
+            of, run_of = of[entry], np.repeat(np.arange(len(df), dtype=np.int32), df)[entry]
             atom, which = np.unique(signature[run_of], return_inverse=True)
             order = np.lexsort((which, of))
             of, which = of[order], which[order]
@@ -239,6 +241,9 @@ def _atoms_of_buckets(buckets: int):
             local = np.searchsorted(some, of)
             row = (keys[some], np.bincount(local, weights=weight, minlength=len(some)).astype(np.int32), np.bincount(local, minlength=len(some)).astype(np.int32), which, weight, atom.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row)], names=["bucket", *_BUCKET])
+            if len(order) > HELD:
+                del t, shingle, of, order, at, begin, df, entry, run_of, which, weight, row
+                give_back()
 
     return run
 
@@ -442,6 +447,8 @@ def _linked(least: int, of: int):
             if found:
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[i], keys[j])), pa.array(np.maximum(keys[i], keys[j]))], names=["a", "b"])
+            if t.num_rows > 256:
+                give_back()
 
     return run
 
