@@ -27,9 +27,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# A run is looked at from its start only, and never given back: else a long one takes time with its square.
+RUN_OF_BLANKS = rf"(?<!{BLANK}){BLANK}++"
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, regex(rf"\A{BLANK}+|{BLANK}+\z"), "")
+    return F.regexp_replace(text, regex(rf"\A{BLANK}++|{RUN_OF_BLANKS}\z"), "")
 
 
 def lstrip(text: Column) -> Column:
@@ -73,24 +77,32 @@ def span(start: Column, end: Column, excerpt: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), excerpt.alias("excerpt"))
 
 
+def steps(text: Column, pattern: str, more: Callable[[Column, Column], list[Column]] = lambda gap, match: []) -> Column:
+    """array of (gap, match, ...) of a pattern that cannot match the empty string: the length of what lies before each match, the match, and what ``more`` makes of both."""
+    split, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    step = F.zip_with(split, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match"), *more(gap, match)))
+    return F.filter(step, lambda x: x["match"].isNotNull())  # the gap after the last match has no match beside it
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Every match of a pattern that cannot match the empty string: array of (start, end, excerpt), left to right.
 
     Spark has no function for the places of matches. The gaps between matches (a split) and the
     matches themselves give them by running lengths. Rows without a match run one search only.
     """
-    step = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
-    # the gap after the last match has no match beside it
-    real = F.filter(step, lambda x: x["match"].isNotNull())
-    placed = let(real, lambda r: F.when(F.size(r) <= RUN, _placed(r, F.lit(0))).otherwise(_placed_by_runs(r)))
-    return F.when(text.rlike(pattern), placed).otherwise(no_spans())
+    return F.when(text.rlike(pattern), let(steps(text, pattern), placed)).otherwise(no_spans())
 
 
 RUN = 128  # matches that are placed one after the other
 
 
+def placed(found: Column) -> Column:
+    """The spans of all :func:`steps`. Every append copies what there is, so many are taken run by run."""
+    return F.when(F.size(found) <= RUN, _placed(found, F.lit(0))).otherwise(_placed_by_runs(found))
+
+
 def _placed(steps: Column, start: Column) -> Column:
-    """The spans of (gap, match) steps from an offset on. Every append copies what there is, so only few are taken at once."""
+    """The spans of (gap, match) steps from an offset on."""
 
     def add(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
@@ -100,24 +112,28 @@ def _placed(steps: Column, start: Column) -> Column:
     return F.aggregate(steps, F.struct(start.cast("int").alias("at"), no_spans().alias("found")), add, lambda s: s["found"])
 
 
-def _placed_by_runs(steps: Column) -> Column:
-    """The same for many: the lengths of runs of RUN steps, and of runs of these, give where each run starts."""
-    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda i: F.slice(xs, i * RUN + 1, RUN))
-    total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["match"]))
+def _cut(xs: Column) -> Column:
+    """Runs of RUN elements of a non-empty array."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda i: F.slice(xs, i * RUN + 1, RUN))
+
 
-    def starts(sizes: Column, first: Column) -> Column:
+def running(sizes: Column) -> Column:
+    """The sums of what lies before each element of a non-empty array of whole numbers, by runs and runs of runs."""
+
+    def starts(run: Column, first: Column) -> Column:
         add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["found"], s["at"]).alias("found"))
-        return F.aggregate(sizes, F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("found")), add, lambda s: s["found"])
+        return F.aggregate(run, F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("found")), add, lambda s: s["found"])
 
-    def all_starts(sizes: Column) -> Column:
-        outer = cut(sizes)
-        firsts = let(F.transform(outer, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x)), lambda n: starts(n, F.lit(0)))
-        return F.flatten(F.zip_with(outer, firsts, starts))
+    outer = _cut(sizes)
+    firsts = let(F.transform(outer, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x)), lambda n: starts(n, F.lit(0)))
+    return F.flatten(F.zip_with(outer, firsts, starts))
 
-    def place(runs: Column) -> Column:
-        return F.flatten(F.zip_with(runs, let(F.transform(runs, total), all_starts), _placed))
 
-    return let(cut(steps), place)
+def _placed_by_runs(steps: Column) -> Column:
+    """As :func:`_placed` for many: the lengths of runs give where each starts."""
+    total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["match"]))
+    place = lambda runs: F.flatten(F.zip_with(runs, let(F.transform(runs, total), running), _placed))
+    return let(_cut(steps), place)
 
 
 def truncated(text: Column, limit: int = 60) -> Column:

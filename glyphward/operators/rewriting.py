@@ -40,6 +40,14 @@ SEAMS = (
     (r"[ \t]{2,}", " "),
     (r"\n{3,}", "\n\n"),
 )
+# The same patterns where Java needs other words for them: a repeated group that is never given back is a loop and
+# takes no stack, and a run of blanks is looked at from its start only.
+QUICK = {
+    REMOVED[0][1]: REMOVED[0][1].replace(r"\s+)+", r"\s++)++"),
+    SEAMS[0][0]: r"(?<!\s)\s++([.,;:!?])",
+    SEAMS[1][0]: r"([.!?])(?:\s*+[.!?])++",
+    FLUFF[2]: r"(?:,\s*+|(?<!\s)\s*+)\b(?:please|kindly|if you would be so kind)\b",
+}
 NOTHING_LEFT = "nothing is left: the whole text was made of risky phrases."
 WELL_BEHAVED = "the text was fine already; spacing only."
 
@@ -118,13 +126,13 @@ def tidy(text: Column) -> Column:
     for _ in range(2):
         text = _where_any(text, _any_of(ORPHANS, True), orphans)
         text = F.regexp_replace(lstrip(text), regex(r"(\A|[.!?]\s+)(and|but|or|then|also)\s+", True), "$1")
-    text = _where_any(text, _any_of([p for p, _ in SEAMS]), [(regex(p), r) for p, r in SEAMS])
+    text = _where_any(text, _any_of([p for p, _ in SEAMS]), [(regex(QUICK.get(p, p)), r) for p, r in SEAMS])
     return capitalised(text)
 
 
 def _any_of(patterns, ignore_case: bool = False) -> str:
     """A pattern that matches wherever one of ``patterns`` does; without their word borders, which are slow to tell, it matches more."""
-    return regex("|".join(f"(?:{p})" for p in patterns).replace(r"\b", ""), ignore_case)
+    return regex("|".join(f"(?:{QUICK.get(p, p)})" for p in patterns).replace(r"\b", ""), ignore_case)
 
 
 def _where_any(text: Column, guard: str, replacements: list[tuple[str, str]]) -> Column:
@@ -202,7 +210,7 @@ def _without_filler(state: Column) -> Column:
     def all_passes(s: Column) -> Column:
         out = counted = F.struct(s["text"].alias("text"), s["notes"].alias("notes"), F.lit(0).alias("filler"))
         for p in FLUFF:
-            out = passing(out, regex(p, True))
+            out = passing(out, regex(QUICK.get(p, p), True))
         return F.when(s["text"].rlike(_any_of(FLUFF, True)), out).otherwise(counted)
 
     state = let(state, all_passes)
@@ -230,7 +238,7 @@ def safe_rewrite(text: Column, findings: Column, designer: Column, hints: dict[s
     secrets = let(F.length(text), lambda n: F.filter(findings, lambda f: (f["id"] == "pii_and_secrets") & (f["end"] <= n)))
     state = let(secrets, lambda found: let(chunks_of(text, found), lambda chunks: redacted(found, chunks)))
     for rule, p in REMOVED:
-        state = _without(state, regex(p), hints.get(rule))
+        state = _without(state, regex(QUICK.get(p, p)), hints.get(rule))
     state = _without_filler(_without(state, regex(ARTIST), hints.get("copyright_artist"), designer))
     state = let(state, lambda s: F.struct(strip(tidy(s["text"])).alias("rewritten"), s["notes"].alias("notes")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
@@ -49,6 +50,7 @@ class Rule:
     optional: bool = False
     hint: str | None = None
     quick: str | None = None  # the same pattern for Java only, where that needs less backtracking
+    closes: str | None = None  # every match ends with this: what lies behind the last one is not searched
     needs: tuple[str, ...] = ()  # one of these, in small letters, is in every text with a match; looked for before the pattern is
 
     @property
@@ -59,8 +61,11 @@ class Rule:
         """array of (start, end, excerpt); ``low`` is :func:`folded` of the text, if it is at hand."""
         if self.needs and low is not None:
             return F.when(contains_any(low, self.needs), self.spans(text)).otherwise(no_spans())
+        if self.pattern and not self.quick and repeats_a_group(self.pattern) and (found := python_matches(self.pattern, self.ignore_case)):
+            return python_spans(found)(text)
         if self.pattern:
-            return spans(text, regex(self.quick or self.pattern, self.ignore_case))
+            held = F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, self.closes, -1))) if self.closes else text
+            return spans(held, regex(self.quick or self.pattern, self.ignore_case))
         if self.columns:
             return self.columns(text)
         if self.python:
@@ -68,6 +73,23 @@ class Rule:
         return no_spans()
 
 
+_REPEATED_GROUP = re.compile(r"(?<!\\)\)(?:[*+](?!\+)|\{\d+,\}(?!\+)|\{(?:\d*,)?\d{3,}\}(?!\+))")
+
+
+def repeats_a_group(pattern: str) -> bool:
+    """Whether a group of the pattern is repeated often or without end. Java takes a piece of its stack for each repeat, and a long text would end its process."""
+    return bool(_REPEATED_GROUP.search(pattern))
+
+
+def python_matches(pattern: str, ignore_case: bool = True) -> PythonDetector | None:
+    """A detector of the matches of a pattern by Python, which keeps no stack of repeats; None where Python cannot read it."""
+    try:
+        compiled = re.compile(pattern, re.IGNORECASE if ignore_case else 0)
+    except re.error:
+        return None
+    return lambda text: [(m.start(), m.end(), m.group(0)) for m in compiled.finditer(text)]
+
+
 def python_spans(detect: PythonDetector) -> Spans:
     """A Python detector as a column function, Arrow batch by Arrow batch."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphward.functions.severity import RANKS, name_of
 from glyphward.functions.text import folded, is_blank, let, strip
-from glyphward.operators.registry import DEFAULT, all_packs, get_pack, pack_for_text, resolve
+from glyphward.operators.registry import DEFAULT, all_packs, pack_for_text, resolve
 from glyphward.operators.rules import PackLike, Rule
 
 FINDING = "struct<id:string,category:string,severity:string,start:int,end:int,excerpt:string,message:string,suggestion:string,confidence:double>"
@@ -170,7 +170,7 @@ def explode_findings(scanned: DataFrame, *keys: str) -> DataFrame:
     return scanned.select(*keys, F.posexplode(whole).alias("position", "finding")).select(*keys, "position", "finding.*")
 
 
-def register_rule(rule, pack: str = DEFAULT) -> None:
+def register_rule(rule, pack: PackLike | str = DEFAULT) -> None:
     """Deprecated: add a rule to a pack at run time. Make a pack instead.
 
     Any object with the attributes of a rule will do; what it lacks takes a rule's defaults, and one
@@ -182,4 +182,4 @@ def register_rule(rule, pack: str = DEFAULT) -> None:
     if not isinstance(values["id"], str) or values["severity"] not in RANKS:
         warnings.warn(f"{rule!r} is no rule", stacklevel=2)
         return
-    get_pack(pack).rules.append(Rule(**values))
+    resolve(pack).rules.append(Rule(**values))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphward.functions.text import count_of, let, regex, span, spans
+from glyphward.functions.text import count_of, let, no_spans, placed, regex, running, span, spans, steps
 from glyphward.operators.rules import Category, Pack, Rule, Template
 
 # The patterns of the rules and how many findings of each a document can have.
@@ -22,17 +22,35 @@ MARKERS = ("\n# ", "\n## ", "\n- ", "\n* ", "](", "```")
 TRAILING_EXCERPT = "  ← trailing whitespace"
 
 
+LINE_BLANK = r"[[\s\x1c-\x1f]&&[^\n]]"
+
+
 def trailing_whitespace(text: Column) -> Column:
-    found = spans(text, regex(r"[[\s\x1c-\x1f]&&[^\n]]+(?=\n|\z)"))
+    found = spans(text, regex(rf"(?<!{LINE_BLANK}){LINE_BLANK}++(?=\n|\z)"))
     return F.slice(F.transform(found, lambda s: span(s["start"], s["end"], F.lit(TRAILING_EXCERPT))), 1, MOST["trailing_whitespace"])
 
 
+def _ticks(part: Column) -> Column:
+    """Backticks of a part of a text, less one for each pair that stands together."""
+    return count_of(part, "`") - count_of(part, "``")
+
+
 def bare_urls(text: Column) -> Column:
-    def outside_code(s: Column) -> Column:
-        before = F.substring(text, F.lit(1), s["start"])
-        return (count_of(before, "`") - count_of(before, "``")) % 2 == 0
+    """Addresses before which an even number of backticks stands.
+
+    No run of backticks goes over the start of an address or over its end, so what is counted in the
+    parts between adds up to what is counted from the start of the text.
+    """
+
+    def outside_code(found: Column) -> Column:
+        before = running(F.transform(found, lambda x: (x["in_gap"] + x["in_match"]) % 2))
+        even = F.zip_with(before, found, lambda b, x: (b + x["in_gap"]) % 2 == 0)
+        kept = F.filter(F.zip_with(placed(found), even, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda x: x["e"])
+        return F.transform(F.slice(kept, 1, MOST["bare_url"]), lambda x: x["s"])
 
-    return F.slice(F.filter(spans(text, regex(BARE_URL)), outside_code), 1, MOST["bare_url"])
+    pattern = regex(BARE_URL)
+    counted = steps(text, pattern, lambda gap, match: [_ticks(gap).alias("in_gap"), _ticks(match).alias("in_match")])
+    return F.when(text.rlike(pattern), let(counted, outside_code)).otherwise(no_spans())
 
 
 def heading_jumps(text: Column) -> Column:
@@ -51,11 +69,11 @@ CATEGORIES = [Category("formatting", "Formatting"), Category("accessibility", "A
 
 RULES = [
     Rule("trailing_whitespace", "hygiene", "low", "A line ends in white space.", "Let the editor trim lines on save.", columns=trailing_whitespace, confidence=0.99),
-    Rule("missing_alt_text", "accessibility", "high", "An image has no alternative text, so it cannot be read out.", "Say in the brackets what the image shows.", pattern=MISSING_ALT, ignore_case=False, confidence=0.95),
+    Rule("missing_alt_text", "accessibility", "high", "An image has no alternative text, so it cannot be read out.", "Say in the brackets what the image shows.", pattern=MISSING_ALT, ignore_case=False, confidence=0.95, closes=")"),
     Rule("bare_url", "links", "low", "A plain address stands in the prose.", "Give the link a text that tells where it leads.", columns=bare_urls),
     Rule("heading_jump", "formatting", "medium", "A heading skips a level of the outline.", "Go down one heading level at a time.", columns=heading_jumps, confidence=0.9),
     Rule("todo_comment", "hygiene", "medium", "An open task marker is left in the text.", "Settle it or file it before publishing.", columns=todos),
-    Rule("lazy_link_text", "accessibility", "medium", "A link text does not say where it leads.", "Name the target in the link text.", pattern=LAZY_LINK, confidence=0.95),
+    Rule("lazy_link_text", "accessibility", "medium", "A link text does not say where it leads.", "Name the target in the link text.", pattern=LAZY_LINK, confidence=0.95, closes=")"),
     Rule("multiple_blank_lines", "hygiene", "low", "Several blank lines in a row.", "One blank line between blocks is enough.", pattern=BLANK_LINES, ignore_case=False),
 ]
 

@@ -16,9 +16,9 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphward.functions.text import is_blank, no_spans, span
-from glyphward.operators.rewriting import from_the_end, replace_spans
-from glyphward.operators.rules import Category, Pack, Rule
+from glyphward.functions.text import is_blank, let, no_spans, span
+from glyphward.operators.rewriting import chunks_of, from_the_end, part_of, replace_apart, replace_spans
+from glyphward.operators.rules import Category, Pack, Rule, python_matches, repeats_a_group
 
 CONFIG_VARIABLE = "GLYPHWARD_PERSONAL_CONFIG"
 NOT_CONFIGURED = "personal_info_not_configured"
@@ -64,12 +64,7 @@ _SHARED = re.compile(r"(?:[^\\()\[\]{}|*+?^$]|\\[dDwWsSbB.\-+*?()\[\]{}|^$/]|\((
 
 def runs_in_java(pattern: str) -> bool:
     compiled = re.compile(pattern, re.IGNORECASE)
-    return bool(_SHARED.fullmatch(pattern)) and not compiled.search("") and not any(m.end() == m.start() for t in ("a", "1 a", "\n") for m in compiled.finditer(t))
-
-
-def _python_finder(pattern: str):
-    compiled = re.compile(pattern, re.IGNORECASE)
-    return lambda text: [(m.start(), m.end(), m.group(0)) for m in compiled.finditer(text)]
+    return bool(_SHARED.fullmatch(pattern)) and not repeats_a_group(pattern) and not compiled.search("") and not any(m.end() == m.start() for t in ("a", "1 a", "\n") for m in compiled.finditer(t))
 
 
 def build_rules(config: dict[str, Any]) -> list[Rule]:
@@ -82,7 +77,7 @@ def build_rules(config: dict[str, Any]) -> list[Rule]:
             native = runs_in_java(pattern)
         except re.error:
             continue
-        own: dict[str, Any] = {"pattern": pattern} if native else {"python": _python_finder(pattern)}
+        own: dict[str, Any] = {"pattern": pattern} if native else {"python": python_matches(pattern)}
         rules.append(Rule(f"personal_{category}_re_{_slug(pattern)}", category, "high", f"A listed pattern matches the text: {category.replace('_', ' ')}.", "Redact or replace it before sharing.", confidence=0.95, **own))
     return rules
 
@@ -124,13 +119,26 @@ class PersonalInfoPack(Pack):
             return None
         real = F.filter(findings, lambda f: f["id"] != NOT_CONFIGURED)
         put = lambda s: F.concat(F.lit("[REDACTED:"), s["category"], F.lit("]"))
-        start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("notes"))
+
+        def note(held: Column, f: Column) -> Column:
+            shown = F.when(F.length(held) > 60, F.concat(F.substring(held, 1, 57), F.lit("…"))).otherwise(held)
+            return F.concat(F.lit("redacted: “"), shown, F.lit("” → "), f["put"])
 
         def add(s: Column, f: Column) -> Column:
             held = F.substring(s["text"], f["start"] + 1, f["end"] - f["start"])
-            shown = F.when(F.length(held) > 60, F.concat(F.substring(held, 1, 57), F.lit("…"))).otherwise(held)
-            note = F.concat(F.lit("redacted: “"), shown, F.lit("” → "), f["put"])
-            return F.struct(replace_spans(s["text"], F.array(f)).alias("text"), F.concat(F.array(note), s["notes"]).alias("notes"))
+            return F.struct(replace_spans(s["text"], F.array(f)).alias("text"), F.concat(F.array(note(held, f)), s["notes"]).alias("notes"))
+
+        def one_by_one(spans: Column) -> Column:
+            start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("notes"))
+            return F.aggregate(spans, start, add, lambda s: F.struct(s["text"].alias("rewritten"), s["notes"].alias("notes")))
+
+        def at_once(spans: Column, chunks: Column) -> Column:
+            """Spans apart hold what the text as scanned has there."""
+            notes = F.transform(F.reverse(spans), lambda f: note(part_of(text, chunks, f["start"], f["end"] - f["start"]), f))
+            return F.struct(replace_apart(text, spans, chunks).alias("rewritten"), notes.alias("notes"))
+
+        def done(spans: Column) -> Column:
+            apart = ~F.exists(F.transform(spans, lambda s, i: F.coalesce(s["end"] > F.get(spans, i - 1)["start"], F.lit(False))), lambda x: x)
+            return F.when(apart, let(chunks_of(text, spans), lambda chunks: at_once(spans, chunks))).otherwise(one_by_one(spans))
 
-        done = F.aggregate(from_the_end(real, put), start, add, lambda s: F.struct(s["text"].alias("rewritten"), s["notes"].alias("notes")))
-        return F.when(F.size(real) > 0, done).otherwise(F.struct(text.alias("rewritten"), F.array(F.lit(NOTHING_FOUND)).alias("notes")))
+        return F.when(F.size(real) > 0, let(from_the_end(real, put), done)).otherwise(F.struct(text.alias("rewritten"), F.array(F.lit(NOTHING_FOUND)).alias("notes")))

@@ -32,18 +32,21 @@ REPEAT_MOST = 2
 
 # The name of an address cannot hold the sign after it, so it never needs to be given back.
 QUICK_PII = PII.replace("+@", "++@")
+# No word that may be repeated begins one that may follow, so the repeats are never given back: Java then loops instead of calling itself.
+QUICK_INJECTION = DIRECT_INJECTION.replace(r"\s+)+", r"\s++)++")
 
 
 def repetition(text: Column) -> Column:
     """Word runs of 6, 8 or 10 words that occur twice more after themselves; two at most.
 
     For a run to fire, the four words after its first one must stand in the text three times, as
-    whole words. Texts without such a gram are done after one sort; in the others only runs with
-    such a gram are counted, one at a time, until two have fired.
+    whole words. Texts without such a gram are done after one look at hashes. In the others the
+    places with such a gram are sorted by the words inside their run, so those that may fire are
+    found beside each other; these are counted in what follows them, until two have fired.
     """
 
-    def find(w: Column, often: Column) -> Column:
-        return F.aggregate(F.concat(*(_repeat_places(w, often, size) for size in REPEAT_SIZES)), F.array().cast(_NO_REPEATS), lambda found, p: _counted(w, found, p))
+    def find(w: Column, at: Column) -> Column:
+        return F.aggregate(F.concat(*(_repeat_places(w, at, size) for size in REPEAT_SIZES)), F.array().cast(_NO_REPEATS), lambda found, p: _counted(w, found, p))
 
     def placed(w: Column, found: Column) -> Column:
         total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
@@ -55,8 +58,9 @@ def repetition(text: Column) -> Column:
         return let(F.split(text, regex(WORD), -1), lambda gaps: F.transform(found, lambda p: place(gaps, p)))
 
     def spot(w: Column) -> Column:
-        some = lambda often: F.when(F.size(often) > 0, let(find(w, often), lambda found: placed(w, found))).otherwise(no_spans())
-        return F.when((F.size(w) >= REPEAT_LEAST_WORDS) & _repeats(w), let(_frequent_grams(w), some)).otherwise(no_spans())
+        some = lambda at: F.when(F.size(at) > 0, let(find(w, at), lambda found: placed(w, found))).otherwise(no_spans())
+        looked = let(_grams(w), lambda g: F.when(F.size(g) - F.size(F.array_distinct(g)) >= 2, let(_frequent(g), some)).otherwise(no_spans()))
+        return F.when(F.size(w) >= REPEAT_LEAST_WORDS, looked).otherwise(no_spans())
 
     return let(words(text), spot)
 
@@ -64,27 +68,57 @@ def repetition(text: Column) -> Column:
 _NO_REPEATS = "array<struct<at:int,size:int,chunk:string>>"
 
 
-def _repeats(w: Column) -> Column:
-    """False only where no run of four words stands at three places: hashes of the runs, of which two at least would be repeats."""
+def _grams(w: Column) -> Column:
+    """Hashes of the runs of four words."""
 
     def grams(h: Column) -> Column:
         mixed = lambda x, i: x.bitwiseXOR(F.shiftleft(F.get(h, i + 1), 7)).bitwiseXOR(F.shiftright(F.get(h, i + 2), 9)).bitwiseXOR(F.shiftleft(F.get(h, i + 3), 23))
         return F.transform(F.slice(h, F.lit(1), F.size(h) - 3), mixed)
 
-    return let(let(F.transform(w, lambda x: F.xxhash64(x)), grams), lambda g: F.size(g) - F.size(F.array_distinct(g)) >= 2)
+    return let(F.transform(w, lambda x: F.xxhash64(x)), grams)
 
 
-def _frequent_grams(w: Column) -> Column:
-    """The runs of four words that stand at three places or more: in sorted order a run equals the second after it."""
-    grams = F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ")))
-    return let(grams, lambda ordered: F.array_distinct(F.filter(ordered, lambda g, i: F.coalesce(F.get(ordered, i + 2) == g, F.lit(False)))))
+def _frequent(grams: Column) -> Column:
+    """Where the grams stand that stand at three places or more, from 0: in sorted order one equals the second after or before it, or both beside it."""
+    ordered = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("at"))))
+    same = lambda xs, x, i: F.coalesce(F.get(xs, i)["g"] == x["g"], F.lit(False))
+    often = lambda xs: F.filter(xs, lambda x, i: same(xs, x, i + 2) | same(xs, x, i - 2) | (same(xs, x, i - 1) & same(xs, x, i + 1)))
+    return F.transform(let(ordered, often), lambda x: x["at"])
 
 
-def _repeat_places(w: Column, often: Column, size: int) -> Column:
-    last = F.size(w) - 3 * size
-    every = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    near = F.filter(every, lambda i: F.array_contains(often, F.array_join(F.slice(w, i + 2, F.lit(4)), " ")))
-    return F.transform(near, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size")))
+def _repeat_places(w: Column, grams_at: Column, size: int) -> Column:
+    """(at, size) of the runs of ``size`` words that may occur twice more after themselves, in order.
+
+    An occurrence holds the inner words whole; its first word ends like the run's and its last word
+    begins like it. So runs are sorted by their inner words and the first one from its end, and by
+    their inner words and the last one: what goes on like a run's word follows it. A run that has
+    two such places in both orders may fire; whether it does is told at once where it is repeated
+    word for word, as then the later places follow it too, and by a look at all places otherwise.
+    """
+    inner = lambda at: F.xxhash64(F.array_join(F.slice(w, at + 2, F.lit(size - 2)), " "))
+    first, last = lambda at: F.reverse(F.get(w, at)), lambda at: F.get(w, at + size - 1)
+    place = lambda at: F.struct(inner(at).alias("inner"), first(at).alias("first"), last(at).alias("last"), at.alias("at"))
+    by_last = lambda x: F.struct(x["inner"], x["last"], x["at"])
+    near = F.filter(F.transform(grams_at, lambda p: p - 1), lambda at: (at >= 0) & (at <= F.size(w) - size))
+    in_time = lambda x: x["at"] <= F.size(w) - 3 * size
+
+    def twice_more(xs: Column, word: str) -> Column:
+        """Where the runs stand of which two other places begin with their ``word``, in the order of it."""
+        like = lambda x, y: (y["inner"] == x["inner"]) & y[word].startswith(x[word])
+        same = lambda x, y: (y["inner"] == x["inner"]) & (y[word] == x[word])
+        two = lambda x, i: like(x, F.get(xs, i + 2)) | (same(x, F.get(xs, i - 1)) & like(x, F.get(xs, i + 1))) | same(x, F.get(xs, i - 2))
+        return F.transform(F.filter(xs, lambda x, i: in_time(x) & F.coalesce(two(x, i), F.lit(False))), lambda x: x["at"])
+
+    def chosen(xs: Column) -> Column:
+        again = lambda x, y: (x["inner"] == y["inner"]) & (x["first"] == y["first"]) & (x["last"] == y["last"])
+        told = F.transform(F.filter(xs, lambda x, i: in_time(x) & F.coalesce(again(x, F.get(xs, i + 2)), F.lit(False))), lambda x: x["at"])
+        inside = lambda x, y: (y["inner"] == x["inner"]) & (y["at"] >= x["at"] + size) & y["first"].startswith(x["first"]) & y["last"].startswith(x["last"])
+        fires = lambda at: let(place(at), lambda x: F.size(F.filter(xs, lambda y: inside(x, y))) >= 2)
+        may = lambda ys: F.array_intersect(twice_more(xs, "first"), twice_more(ys, "last"))
+        rest = let(F.sort_array(F.transform(xs, by_last)), lambda ys: F.filter(F.array_except(may(ys), told), fires))
+        return F.transform(F.sort_array(F.concat(told, rest)), lambda at: F.struct(at.alias("at"), F.lit(size).alias("size")))
+
+    return let(F.sort_array(F.transform(near, place)), chosen)
 
 
 def _counted(w: Column, found: Column, p: Column) -> Column:
@@ -117,7 +151,7 @@ CATEGORIES = [
 ]
 
 RULES = [
-    Rule("direct_injection", "prompt_injection", "high", "The text tells the model to drop its instructions.", "Fence user text off and have the model read it as data.", pattern=DIRECT_INJECTION, needs=("ignore", "disregard", "forget", "override")),
+    Rule("direct_injection", "prompt_injection", "high", "The text tells the model to drop its instructions.", "Fence user text off and have the model read it as data.", pattern=DIRECT_INJECTION, quick=QUICK_INJECTION, needs=("ignore", "disregard", "forget", "override")),
     Rule("jailbreak_dan", "jailbreak", "critical", "The text calls up a persona without limits.", "Ask for the wanted tone instead of lifting limits.", pattern=JAILBREAK, hint="if bold output was the aim, ask for it: name the risk to take and what to leave out.", needs=("dan", "jailbreak", "developer mode", "god mode", "unrestricted mode", "no limits", "do anything now", "act as if")),
     Rule("role_escalation", "role_escalation", "high", "The text gives the model an absolute role.", "Give it a role with a scope.", pattern=ROLE, hint="if a firm position was the aim, ask for one in a bounded role.", needs=("you are ",)),
     Rule("pii_and_secrets", "pii_leak", "high", "Personal data or a credential stands in the text.", "Redact it, or put a placeholder that is plainly made up.", pattern=PII, quick=QUICK_PII, confidence=0.95),

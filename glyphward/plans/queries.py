@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import tempfile
 import uuid
 import warnings
@@ -204,7 +205,7 @@ add(
 )
 add(
     "exit_codes",
-    lambda s, d: s.createDataFrame([(x, reports.exit_code(scanned(s, d), x)) for x in SEVERITIES], "fail_on string, code int"),
+    lambda s, d: _gates(scanned(s, d)).select("fail_on", (F.col("n_failed") > 0).cast("int").alias("code")),
     f"{_FOUND}, {_RESULT} SELECT fail_on, CAST(max(CASE WHEN risk_rank >= r THEN 1 ELSE 0 END) AS INTEGER) AS code FROM results, (VALUES {', '.join(f'({quoted(x)}, {i + 1})' for i, x in enumerate(SEVERITIES))}) t(fail_on, r) GROUP BY fail_on",
 )
 
@@ -230,15 +231,12 @@ add(
 
 
 def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule of another make, registered with the default pack and taken out again."""
+    """A rule of another make, registered with a copy of the default pack, which nobody else sees."""
+    pack = dataclasses.replace(registry.get_pack(registry.DEFAULT), rules=list(ps.RULES))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        register_rule(SimpleNamespace(id="mail_at", severity="high", pattern=r"\S+@[a-z]+"))
-    rules = registry.get_pack(registry.DEFAULT).rules
-    try:
-        return explode_findings(scan(table(spark, sf_dir, "documents")), "doc_id").where("id = 'mail_at'").select("doc_id", "id", "category", "severity", F.col("start").cast("long").alias("span_start"), "excerpt")
-    finally:
-        rules.pop()
+        register_rule(SimpleNamespace(id="mail_at", severity="high", pattern=r"\S+@[a-z]+"), pack)
+    return explode_findings(scan(table(spark, sf_dir, "documents"), pack), "doc_id").where("id = 'mail_at'").select("doc_id", "id", "category", "severity", F.col("start").cast("long").alias("span_start"), "excerpt")
 
 
 add("registered_rule", registered, f"SELECT doc_id, 'mail_at' AS id, 'custom' AS category, 'high' AS severity, CAST(span_start AS BIGINT) AS span_start, excerpt FROM {duck.spans('documents', r'\S+@[a-z]+')}")
