@@ -77,20 +77,21 @@ def span(start: Column, end: Column, excerpt: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), excerpt.alias("excerpt"))
 
 
-def steps(text: Column, pattern: str, more: Callable[[Column, Column], list[Column]] = lambda gap, match: []) -> Column:
+def steps(text: Column, pattern: str | Column, more: Callable[[Column, Column], list[Column]] = lambda gap, match: []) -> Column:
     """array of (gap, match, ...) of a pattern that cannot match the empty string: the length of what lies before each match, the match, and what ``more`` makes of both."""
-    split, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    split, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
     step = F.zip_with(split, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match"), *more(gap, match)))
     return F.filter(step, lambda x: x["match"].isNotNull())  # the gap after the last match has no match beside it
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """Every match of a pattern that cannot match the empty string: array of (start, end, excerpt), left to right.
 
     Spark has no function for the places of matches. The gaps between matches (a split) and the
     matches themselves give them by running lengths. Rows without a match run one search only.
     """
-    return F.when(text.rlike(pattern), let(steps(text, pattern), placed)).otherwise(no_spans())
+    there = text.rlike(pattern) if isinstance(pattern, str) else F.rlike(text, pattern)
+    return F.when(there, let(steps(text, pattern), placed)).otherwise(no_spans())
 
 
 RUN = 128  # matches that are placed one after the other

@@ -42,7 +42,8 @@ def read_config(path: Path) -> dict[str, Any] | None:
         return None
 
 
-def _entries(config: dict[str, Any], section: str) -> list[tuple[str, str]]:
+def entries(config: dict[str, Any], section: str) -> list[tuple[str, str]]:
+    """(category, text) of a section, blank ones left out."""
     table = config.get(section)
     lists = table.items() if isinstance(table, dict) else ()
     return [(category, x) for category, values in lists if isinstance(values, list) for x in values if isinstance(x, str) and x.strip()]
@@ -70,9 +71,9 @@ def runs_in_java(pattern: str) -> bool:
 def build_rules(config: dict[str, Any]) -> list[Rule]:
     """A rule for each listed string, then for each listed pattern; broken patterns are passed over."""
     rules = []
-    for category, text in _entries(config, "strings"):
+    for category, text in entries(config, "strings"):
         rules.append(Rule(f"personal_{category}_{_slug(text)}", category, "high", f"A listed string stands in the text: {category.replace('_', ' ')}.", "Redact or replace it before sharing.", pattern=_literal(text), confidence=0.99))
-    for category, pattern in _entries(config, "regex"):
+    for category, pattern in entries(config, "regex"):
         try:
             native = runs_in_java(pattern)
         except re.error:

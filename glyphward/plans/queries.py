@@ -14,11 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphward.functions.severity import GLYPHS, SEVERITIES
-from glyphward.functions.text import token_estimate
+from glyphward.functions.text import strip, token_estimate
 from glyphward.operators import registry, reports
+from glyphward.operators.attribution import findings_by_message
+from glyphward.operators.dictionary import find_listed
+from glyphward.operators.diffs import hunk_rows, patched, reversed_hunks, with_hunks
 from glyphward.operators.rewriting import redact, secret_kind
 from glyphward.operators.rules import Pack, Rule
 from glyphward.operators.scanning import explode_findings, register_rule, scan, scan_routed
+from glyphward.operators.sql import register_detector
 from glyphward.packs import markdown as md
 from glyphward.packs import prompt_safety as ps
 from glyphward.packs.personal_info import PersonalInfoPack
@@ -230,6 +234,15 @@ add(
 )
 
 
+def _sql_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same detector as a table function, joined laterally in SQL."""
+    register_detector(spark, "at_signs", _AT[0].python)
+    return spark.sql("SELECT d.doc_id, f.nth + 1L AS k, CAST(f.start AS BIGINT) AS span_start, CAST(f.end AS BIGINT) AS span_end, f.excerpt FROM {docs} AS d, LATERAL at_signs(d.text) AS f", docs=table(spark, sf_dir, "documents"))
+
+
+add("sql_detector", _sql_detector, f"SELECT doc_id, {SPANS} FROM {duck.spans('documents', '@')}")
+
+
 def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule of another make, registered with a copy of the default pack, which nobody else sees."""
     pack = dataclasses.replace(registry.get_pack(registry.DEFAULT), rules=list(ps.RULES))
@@ -289,6 +302,24 @@ add(
 add("unified_diff", lambda s, d: reports.with_diff(rewritten(s, d).select("doc_id", "text", "rewritten")).select("doc_id", F.size("diff").cast("long").alias("n_lines"), F.array_join("diff", "").alias("diff")))
 
 
+
+def _hunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_hunks(rewritten(spark, sf_dir).select("doc_id", strip(F.col("text")).alias("before"), "rewritten"), "before", "rewritten")
+
+
+add(
+    "diff_patch",
+    lambda s, d: _hunked(s, d).select("doc_id", patched(F.col("before"), F.col("hunks")).alias("after_patch"), patched(F.col("rewritten"), reversed_hunks(F.col("hunks"))).alias("back_again"), (F.size("hunks") > 0).alias("changed")),
+    f"{_REWRITE} SELECT doc_id, rewritten AS after_patch, {duck.stripped('text')} AS back_again, {duck.stripped('text')} <> rewritten AS changed FROM rewritten",
+)
+add(
+    "diff_balance",
+    lambda s, d: hunk_rows(_hunked(s, d), "doc_id").groupBy("doc_id").agg((F.sum("n_new") - F.sum("n_old")).alias("more_lines"), F.sum(F.expr("aggregate(new_lines, 0L, (a, x) -> a + length(x)) - aggregate(old_lines, 0L, (a, x) -> a + length(x)) + n_new - n_old")).alias("more_characters")),
+    f"""{_REWRITE} SELECT doc_id, CAST(len(string_split(rewritten, chr(10))) - len(string_split({duck.stripped('text')}, chr(10))) AS BIGINT) AS more_lines, CAST(length(rewritten) - length({duck.stripped('text')}) AS BIGINT) AS more_characters
+    FROM rewritten WHERE {duck.stripped('text')} <> rewritten""",
+)
+
+
 # traces
 def _conversations(spark: SparkSession, sf_dir: str, wrap: bool) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m")))).alias("ms"))
@@ -323,6 +354,31 @@ add(
 )
 
 
+def _seeded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.lit("\n"), seed(F.col("conv_id") * 8 + F.col("turn"), PROMPTS)))
+
+
+def _by_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of traces by the message that they stand in."""
+    turns = _seeded_turns(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m")))).alias("ms"))
+    traces = turns.select("conv_id", F.to_json(F.struct(F.transform("ms", lambda x: x["m"]).alias("messages"))).alias("text"))
+    return findings_by_message(scan_trace(traces), "conv_id")
+
+
+_SEEDED_TURNS = f"turns AS (SELECT conv_id, turn, role, text || chr(10) || (list_value({', '.join(map(quoted, PROMPTS))}))[(conv_id * 8 + turn) % {len(PROMPTS)} + 1] AS text FROM conversations)"
+add(
+    "findings_by_message",
+    lambda s, d: _by_message(s, d).groupBy("conv_id", "message_nth", "role", "id").agg(F.count("*").alias("n"), F.sum(F.col("start_in_message").cast("long")).alias("starts"), F.count_if("crosses").alias("n_crossing")).withColumn("message_nth", F.col("message_nth").cast("long")),
+    f"""WITH {_SEEDED_TURNS}, wholes AS (SELECT conv_id AS doc_id, '{{"messages":' || to_json(list({{'role': role, 'content': text}} ORDER BY turn, role, text)) || '}}' AS raw,
+      string_agg(chr(10) || chr(10) || text, '' ORDER BY turn, role, text) AS added FROM turns GROUP BY conv_id), traces AS (SELECT doc_id, raw || added AS text FROM wholes),
+    ranges AS (SELECT conv_id, row_number() OVER w - 1 AS message_nth, role, length(raw) + 2 + coalesce(sum(length(text) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(text) AS size
+      FROM turns JOIN wholes ON doc_id = conv_id WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text) UNION ALL SELECT doc_id, -1, NULL, 0, length(raw) FROM wholes),
+    found AS MATERIALIZED {duck.prompt_findings('traces')}
+    SELECT doc_id AS conv_id, CAST(message_nth AS BIGINT) AS message_nth, role, id, count(*) AS n, CAST(sum(span_start - start) AS BIGINT) AS starts, count(*) FILTER (span_end > start + size) AS n_crossing
+    FROM found LEFT JOIN ranges ON ranges.conv_id = doc_id AND span_start >= start AND span_start < start + size GROUP BY ALL""",
+)
+
+
 # personal information
 def personal(spark: SparkSession, sf_dir: str) -> tuple[PersonalInfoPack, DataFrame]:
     pack = PersonalInfoPack(config=PERSONAL)
@@ -380,6 +436,29 @@ add(
     r"SELECT doc_id, 'personal_info_not_configured' AS id, CAST(0 AS BIGINT) AS span_start, CAST(1 AS BIGINT) AS span_end FROM documents WHERE regexp_matches(text, '\S')",
 )
 
+
+
+def _openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list that grows with the tables: the two different plain words that a document opens with, and the names of customers and parts."""
+    plain = "^[A-Za-z]+$"
+    two = table(spark, sf_dir, "documents").select(F.split(F.substring_index("text", " ", 2), " ").alias("w")).where((F.size("w") == 2) & F.col("w")[0].rlike(plain) & F.col("w")[1].rlike(plain) & (F.lower(F.col("w")[0]) != F.lower(F.col("w")[1])))
+    words = two.select(F.lit("openings").alias("category"), F.lower(F.array_join("w", " ")).alias("value"))
+    names = table(spark, sf_dir, "customer").select(F.lit("customers").alias("category"), F.col("c_name").alias("value")).union(table(spark, sf_dir, "part").select(F.lit("parts").alias("category"), F.col("p_name").alias("value")))
+    return words.union(names).distinct()
+
+
+add(
+    "dictionary_findings",
+    lambda s, d: find_listed(table(s, d, "documents"), _openings(s, d)).select("doc_id", "category", "value", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "excerpt"),
+    r"""WITH two AS (SELECT string_split(text, ' ')[1:2] AS w FROM documents),
+    listed AS MATERIALIZED (SELECT 'openings' AS category, lower(array_to_string(w, ' ')) AS value FROM two WHERE len(w) = 2 AND regexp_full_match(w[1], '[A-Za-z]+') AND regexp_full_match(w[2], '[A-Za-z]+') AND lower(w[1]) <> lower(w[2])
+      UNION SELECT 'customers', c_name FROM customer UNION SELECT 'parts', p_name FROM part),
+    pairs AS (SELECT doc_id, category, value, text, lower(text) AS low, lower(value) AS v FROM documents JOIN listed ON contains(lower(text), lower(value))),
+    places AS (SELECT doc_id, category, value, text, low, v, unnest(list_filter(range(1, length(low) - length(v) + 2), lambda i: substr(low, i, length(v)) = v)) AS i FROM pairs)
+    SELECT doc_id, category, value, i - 1 AS span_start, i - 1 + length(v) AS span_end, substr(text, i, length(v)) AS excerpt FROM places
+    WHERE (i = 1 OR NOT regexp_matches(substr(low, i - 1, 1), '[\pL\pN_]')) AND NOT regexp_matches(substr(low, i + length(v), 1), '[\pL\pN_]')""",
+)
+
 # templates
 _TITLE = r"regexp_extract(html, '<title>([^<]*)</title>', 1)"
 add(

@@ -13,6 +13,7 @@ from glyphward.operators.scanning import scan
 LIST_KEYS = ("content", "text", "message", "prompt")
 OBJECT_KEYS = ("messages", "steps", "trace", "history")
 MESSAGE_KEYS = ("content", "text")
+SEPARATOR = "\n\n"
 
 
 def _string(v: Column, key: str) -> Column:
@@ -32,7 +33,24 @@ def trace_text(text: Column) -> Column:
     listed = _texts(F.when(opening == "[", F.try_variant_get(parsed, "$", "array<variant>")), LIST_KEYS)
     named = F.concat(*(_texts(F.try_variant_get(parsed, f"$.{k}", "array<variant>"), MESSAGE_KEYS) for k in OBJECT_KEYS))
     parts = F.concat(F.array(text), F.when(opening == "[", listed).when(opening == "{", named).otherwise(F.array().cast("array<string>")))
-    return F.array_join(F.filter(parts, lambda x: ~is_blank(x)), "\n\n")
+    return F.array_join(F.filter(parts, lambda x: ~is_blank(x)), SEPARATOR)
+
+
+def trace_messages(text: Column) -> Column:
+    """array of (message, role, text): the parts that :func:`trace_text` joins, in its order; the raw trace is message -1, and a message with several texts has a part for each."""
+    opening = F.substring(strip(text), 1, 1)
+    parsed = F.when(opening.isin("{", "["), F.try_parse_json(text))
+    nothing = F.array().cast("array<variant>")
+
+    def of(items: Column, keys: tuple[str, ...]) -> Column:
+        parts = lambda v, i: F.array(*(F.struct(i.alias("message"), _string(v, "role").alias("role"), _string(v, k).alias("text")) for k in keys))
+        return F.flatten(F.transform(F.coalesce(items, nothing), parts))
+
+    listed = of(F.when(opening == "[", F.try_variant_get(parsed, "$", "array<variant>")), LIST_KEYS)
+    named = F.concat(*(of(F.try_variant_get(parsed, f"$.{k}", "array<variant>"), MESSAGE_KEYS) for k in OBJECT_KEYS))
+    raw = F.array(F.struct(F.lit(-1).alias("message"), F.lit(None).cast("string").alias("role"), text.alias("text")))
+    parts = F.concat(raw, F.when(opening == "[", listed).when(opening == "{", named).otherwise(F.slice(raw, 1, 0)))
+    return F.filter(parts, lambda x: ~is_blank(x["text"]))
 
 
 def looks_like_trace(text: Column) -> Column:
