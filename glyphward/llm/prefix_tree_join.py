@@ -15,10 +15,9 @@ over the threshold. It takes these steps:
    their own and are dealt by set, so none gathers its sets in one task);
 3. sets with too many shingles that no other set has cannot link and go no further;
 4. each remaining set is sent, as atoms, to the group of each atom of its prefix; groups of more
-   than BLOCK sets are cut into blocks, which give the links inside them, and cut anew if their sets
-   do not lie in one component by then;
-5. cut groups that still do not are compared block by block in pairs, so no link is lost; mostly
-   there are none.
+   than BLOCK sets are cut into blocks in two ways, and each block gives the links inside it;
+5. cut groups whose sets then still lie in several components are compared block by block in pairs,
+   so no link is lost; mostly there are none.
 
 A block links sets that are not yet connected there, so it gives fewer links than it has sets.
 """
@@ -26,7 +25,6 @@ A block links sets that are not yet connected there, so it gives fewer links tha
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -491,25 +489,23 @@ def set_components(sets: DataFrame, least: int = LEAST, of: int = OF, block: int
     groups = save(prefixes.groupBy("atom").agg(F.count("*").alias("sets")).where("sets > 1"), "groups")
     members = save(prefixes.join(groups.hint("merge"), "atom").select("atom", "key", "sets"), "members")
     cut = lambda salt: F.xxhash64("atom", F.pmod(F.xxhash64("key", "atom", F.lit(salt)), F.ceil(F.col("sets") / block))).alias("block")
-    links = [save(_compared(sets, members.select(cut(0), "key", F.col("key").alias("label")), least, of), "links")]
-    joined = components(links[0], "a", "b")
-    large, used = members.where(F.col("sets") > block), []
-    for again in (True, False):
+    large = members.where(F.col("sets") > block)
+    # groups that are cut are cut in two ways, so blocks of one way are joined by those of the other
+    blocks = members.select(cut(0), "key", F.col("key").alias("label")).union(large.select(cut(1), "key", F.col("key").alias("label")))
+    links = save(_compared(sets, blocks, least, of), "links")
+    joined = components(links, "a", "b")
+    used = [groups, members, links]
+    if not large.isEmpty():
         left = save(_apart(large, joined), "apart")
         used.append(left)
-        if left.isEmpty():
-            break
-        if again:
-            blocks = left.select(cut(1), "key", "label")
-        else:  # each part with each other one
+        if not left.isEmpty():  # each part with each other one
             parts = left.withColumn("parts", F.ceil(F.col("sets") * 2 / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), "parts").cast("int"))
             pairs = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other")
-            blocks = pairs.select(F.xxhash64("atom", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "key", "label")
-        links.append(save(_compared(sets, blocks, least, of), "links"))
-        drop(joined)
-        joined = components(reduce(DataFrame.union, links), "a", "b")
-        large = left.drop("label")
-    drop(groups, members, *links, *used)
+            both = F.xxhash64("atom", F.least("own", "other"), F.greatest("own", "other")).alias("block")
+            more = save(_compared(sets, pairs.select(both, "key", "label"), least, of), "links")
+            used += [more, joined]
+            joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
+    drop(*used)
     return joined
 
 
