@@ -7,7 +7,9 @@ beside it and beside its parent, fused by their geometric mean, and weighted by
 blocks of links only, copyright lines, semantic tags, roles and class names of boilerplate. A path
 is content if its fused ratio reaches a share of the page's mean over characters; the blocks of
 content paths are the article. Along the page, headings take the ratio of the text that they head,
-and gaps of up to two blocks between content blocks are closed.
+and gaps of up to two blocks between content blocks are closed. Inside an article or main element with
+content, paths without a mark are content however short: cells of tables, nested lists, and links
+that follow content, as lists of sources do.
 
 All weights are relative. A mark says nothing where it holds most of the page: a form or an element
 named as boilerplate that is around the whole article hides none of it.
@@ -59,6 +61,7 @@ PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")  # of a class or id, which ma
 TAG_MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。、]")
+UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 NOTICE = re.compile(r"(?i)(?:©|\(c\)|copyright\b|all rights reserved)")
 
 SHARE = 0.2  # of the page's mean ratio from which a path is content
@@ -246,7 +249,7 @@ class _Page:
         if attributes and not hidden and tag not in ("html", "body"):
             for m in ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name == "hidden":
+                if name == "hidden" or (name == "style" and UNSEEN.search(value)):
                     hidden = True
                 elif name == "role" and value.lower() in ROLES:
                     marks.add(value.lower())
@@ -335,6 +338,11 @@ def content(found: list[Block], paths: Paths) -> list[bool]:
                     level = weights[found[j].path] / (LINKS if found[j].kind == "a" else 1.0)
                     chosen[j] = level >= min(weights[found[last].path], weights[b.path])
             last = i
+    if any(chosen[i] and paths.article[b.path] for i, b in enumerate(found)):
+        for i, b in enumerate(found):  # in an article what no mark speaks against is content however short; links only where it goes on
+            plain = paths.article[b.path] and weights[b.path] >= (LINKS if b.kind == "a" else 1.0)
+            if plain and b.kind != "©" and (not b.kind or (i > 0 and chosen[i - 1] and paths.article[found[i - 1].path])):
+                chosen[i] = True
     return chosen
 
 

@@ -49,6 +49,12 @@ BLOCK = 1_024  # sets in a tree at most
 U = np.uint64
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, that of Arrow too."""
+    pa.default_memory_pool().release_unused()
+    give_back()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -166,7 +172,7 @@ def _dealt(docs: DataFrame, buckets: int, hot: np.ndarray, words: int) -> DataFr
                 if held >= HELD:
                     yield flush()
                     parts, held = [], 0
-                    give_back()
+                    _give_back()
         if held:
             yield flush()
 
@@ -241,7 +247,7 @@ def _atoms_of_buckets(buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in row)], names=["bucket", *_BUCKET])
             if len(order) > HELD:
                 del t, shingle, of, order, at, begin, df, entry, run_of, which, weight, row
-                give_back()
+                _give_back()
 
     return run
 
@@ -446,7 +452,7 @@ def _linked(least: int, of: int):
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[i], keys[j])), pa.array(np.maximum(keys[i], keys[j]))], names=["a", "b"])
             if t.num_rows > 256:
-                give_back()
+                _give_back()
 
     return run
 

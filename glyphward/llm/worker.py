@@ -7,8 +7,6 @@ import gc
 from collections.abc import Callable
 from typing import Any
 
-import pyarrow as pa
-
 _held: dict[Any, Any] = {}
 
 
@@ -25,7 +23,6 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
 def give_back() -> None:
     """Return freed memory to the system, where its C library can."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

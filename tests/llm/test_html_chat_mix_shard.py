@@ -389,3 +389,23 @@ def test_time_grows_with_the_page(make):
 
     seconds(1000)
     assert seconds(100_000) < 40 * max(seconds(10_000), 0.02)
+
+
+PROSE = "<p>This is a long paragraph, with some text, and more of it to read here.</p>" * 4
+
+
+@pytest.mark.parametrize(
+    ("inside", "there", "gone"),
+    [
+        ("<table>" + "".join(f"<tr><td>cell {i}</td><td>value {i}</td></tr>" for i in range(21)) + "</table>", [f"{x} {i}" for x in ("cell", "value") for i in range(21)], []),
+        ("<div class=facts><div><ul><li>One fact</li><li>Two</li><li>Three</li></ul></div></div>", ["One fact", "Two", "Three"], []),
+        ("<h2>Sources</h2><ul><li><a href=a>Paper A</a></li><li><a href=b>Paper B</a></li></ul>", ["Sources", "Paper A", "Paper B"], []),
+        ("<p style='color:red; display : none'>unseen words</p><p style='display:block'>seen words</p>", ["seen words"], ["unseen"]),
+        ("<ul class=share-links><li><a href=a>Tell a friend</a></li></ul><p>End.</p>", ["End."], ["friend"]),
+    ],
+)
+def test_all_of_an_article(inside, there, gone):
+    page = f"<body><nav><a href=x>Home</a><a href=y>About</a></nav><article>{PROSE}{inside}</article><footer>© x</footer></body>"
+    lines = main_text(page).split("\n")
+    assert [x for x in there if x not in lines] == []
+    assert not any(x in line for x in [*gone, "Home", "About"] for line in lines)
