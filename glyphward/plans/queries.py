@@ -18,6 +18,8 @@ from glyphward.functions.text import strip, token_estimate
 from glyphward.operators import registry, reports
 from glyphward.operators.attribution import findings_by_message
 from glyphward.operators.dictionary import find_listed
+from glyphward.operators.histories import as_of, findings_changed
+from glyphward.operators.sketches import distinct_texts, finding_sketches, is_near, merged, quantile
 from glyphward.operators.diffs import hunk_rows, patched, reversed_hunks, with_hunks
 from glyphward.operators.rewriting import redact, secret_kind
 from glyphward.operators.rules import Pack, Rule
@@ -28,11 +30,12 @@ from glyphward.packs import prompt_safety as ps
 from glyphward.packs.personal_info import PersonalInfoPack
 from glyphward.plans import duck
 from glyphward.plans.seeds import MARKDOWN, PROMPTS, quoted, seed
+from glyphward.sources import datasource
 from glyphward.sources.files import table as read_table
 from glyphward.sources.files import route, shared_dir, texts
 from glyphward.sources.templates import body, header, parse_templates, prefill_title, prompts_df, slugify, template_by_id, templates_df, title_of
 from glyphward.sources.traces import looks_like_trace, scan_trace, trace_text
-from glyphward.streaming.scans import scan_stream, to_parquet
+from glyphward.streaming.scans import findings_per_session, scan_stream, to_latest, to_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -254,26 +257,54 @@ def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("registered_rule", registered, f"SELECT doc_id, 'mail_at' AS id, 'custom' AS category, 'high' AS severity, CAST(span_start AS BIGINT) AS span_start, excerpt FROM {duck.spans('documents', r'\S+@[a-z]+')}")
 
-# catalogues
+# catalogues, each beside what the tables hold of it
+def _counted(found: DataFrame, *by: str) -> DataFrame:
+    return found.groupBy(*by).agg(F.count("*").alias("n_findings"))
+
+
+def _rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _counted(explode_findings(scanned(spark, sf_dir), "pack"), "pack", "id").union(_counted(explode_findings(scan(seeded_md(spark, sf_dir), "markdown"), "pack"), "pack", "id"))
+    rules = registry.rules_df(spark).where("pack <> 'personal-info'").select("pack", "ordinal", "id", "category", "severity", "confidence", "optional")
+    return F.broadcast(rules).join(n, ["pack", "id"], "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))  # a row for each rule
+
+
+_MD_COUNTS = " UNION ALL ".join(f"SELECT 'markdown' AS pack, {quoted(r.id)} AS id, {quoted(r.category)} AS category FROM {duck.markdown_spans(r.id)}" for r in md.RULES)
+_EVERY_FINDING = f"every_finding AS MATERIALIZED (SELECT 'prompt-safety' AS pack, id, category FROM {duck.prompt_findings()} UNION ALL {_MD_COUNTS})"
 add(
     "rule_catalog",
-    lambda s, d: registry.rules_df(s).where("pack <> 'personal-info'").select("pack", "ordinal", "id", "category", "severity", "confidence", "optional"),
-    "SELECT * FROM (VALUES " + ", ".join(f"({quoted(p)}, CAST({i} AS BIGINT), {quoted(r.id)}, {quoted(r.category)}, {quoted(r.severity)}, CAST({r.confidence} AS DOUBLE), {r.optional})" for p, rules in (("prompt-safety", ps.RULES), ("markdown", md.RULES)) for i, r in enumerate(rules)) + ") t(pack, ordinal, id, category, severity, confidence, optional)",
+    _rule_catalog,
+    f"WITH {duck.SEEDED}, {duck.SEEDED_MD}, {_EVERY_FINDING} SELECT t.*, (SELECT count(*) FROM every_finding f WHERE f.pack = t.pack AND f.id = t.id) AS n_findings FROM (VALUES " + ", ".join(f"({quoted(p)}, CAST({i} AS BIGINT), {quoted(r.id)}, {quoted(r.category)}, {quoted(r.severity)}, CAST({r.confidence} AS DOUBLE), {r.optional})" for p, rules in (("prompt-safety", ps.RULES), ("markdown", md.RULES)) for i, r in enumerate(rules)) + ") t(pack, ordinal, id, category, severity, confidence, optional)",
 )
+
+
+def _category_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _counted(explode_findings(scanned(spark, sf_dir), "pack"), "pack", "category").union(_counted(explode_findings(scan(seeded_md(spark, sf_dir), "markdown"), "pack"), "pack", "category"))
+    held = registry.categories_df(spark).where("pack <> 'personal-info'").select("pack", F.col("id").alias("category"), "label")
+    return F.broadcast(held).join(n, ["pack", "category"], "left").select("pack", F.col("category").alias("id"), "label", F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+
+
 add(
     "category_catalog",
-    lambda s, d: registry.categories_df(s).where("pack <> 'personal-info'").select("pack", "id", "label"),
-    "SELECT * FROM (VALUES " + ", ".join(f"({quoted(p)}, {quoted(c.id)}, {quoted(c.label)})" for p, cs in (("prompt-safety", ps.CATEGORIES), ("markdown", md.CATEGORIES)) for c in cs) + ") t(pack, id, label)",
+    _category_catalog,
+    f"WITH {duck.SEEDED}, {duck.SEEDED_MD}, {_EVERY_FINDING} SELECT t.*, (SELECT count(*) FROM every_finding f WHERE f.pack = t.pack AND f.category = t.id) AS n_findings FROM (VALUES " + ", ".join(f"({quoted(p)}, {quoted(c.id)}, {quoted(c.label)})" for p, cs in (("prompt-safety", ps.CATEGORIES), ("markdown", md.CATEGORIES)) for c in cs) + ") t(pack, id, label)",
 )
+
+
+def _texts_of_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents go to each pack."""
+    return seeded_md(spark, sf_dir).groupBy(registry.pack_for_text(F.col("text")).alias("pack")).agg(F.count("*").alias("n_texts"))
+
+
+_TEXTS_OF_PACKS = f"texts_of AS (SELECT CASE WHEN {duck.DETECTS} THEN 'prompt-safety' WHEN {duck.MARKDOWN_DETECTS} THEN 'markdown' ELSE 'prompt-safety' END AS pack FROM seeded_md)"
 add(
     "pack_catalog",
-    lambda s, d: registry.packs_df(s).where("name <> 'personal-info'").select("name", "is_default", "n_rules", "n_optional"),
-    f"SELECT * FROM (VALUES ('prompt-safety', true, CAST({len(ps.RULES)} AS BIGINT), CAST({sum(r.optional for r in ps.RULES)} AS BIGINT)), ('markdown', false, CAST({len(md.RULES)} AS BIGINT), CAST(0 AS BIGINT))) t(name, is_default, n_rules, n_optional)",
+    lambda s, d: F.broadcast(registry.packs_df(s).where("name <> 'personal-info'").select("name", "is_default", "n_rules", "n_optional")).join(_texts_of_packs(s, d).withColumnRenamed("pack", "name"), "name", "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(0))),
+    f"WITH {duck.SEEDED_MD}, {_TEXTS_OF_PACKS} SELECT t.*, (SELECT count(*) FROM texts_of x WHERE x.pack = t.name) AS n_texts FROM (VALUES ('prompt-safety', true, CAST({len(ps.RULES)} AS BIGINT), CAST({sum(r.optional for r in ps.RULES)} AS BIGINT)), ('markdown', false, CAST({len(md.RULES)} AS BIGINT), CAST(0 AS BIGINT))) t(name, is_default, n_rules, n_optional)",
 )
 add(
     "template_catalog",
-    lambda s, d: templates_df(s).select("pack", "id", "title", "category"),
-    "SELECT * FROM (VALUES " + ", ".join(f"({quoted(p)}, {quoted(t.id)}, {quoted(t.title)}, {quoted(t.category)})" for p, ts in (("prompt-safety", ps.TEMPLATES), ("markdown", md.TEMPLATES)) for t in ts) + ") t(pack, id, title, category)",
+    lambda s, d: F.broadcast(templates_df(s).select("pack", "id", "title", "category")).join(_texts_of_packs(s, d), "pack", "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(0))),
+    f"WITH {duck.SEEDED_MD}, {_TEXTS_OF_PACKS} SELECT t.*, (SELECT count(*) FROM texts_of x WHERE x.pack = t.pack) AS n_texts FROM (VALUES " + ", ".join(f"({quoted(p)}, {quoted(t.id)}, {quoted(t.title)}, {quoted(t.category)})" for p, ts in (("prompt-safety", ps.TEMPLATES), ("markdown", md.TEMPLATES)) for t in ts) + ") t(pack, id, title, category)",
 )
 
 
@@ -413,22 +444,26 @@ add(
 
 
 def personal_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules and categories of a configuration file, read, changed and read again."""
+    """Findings in the documents by the rules of a configuration file, read, changed and read again."""
+    docs, out = table(spark, sf_dir, "documents"), []
     with tempfile.TemporaryDirectory() as folder:
         path = Path(folder) / "personal.toml"
-        path.write_text('[strings]\nnames = ["Jane Roe", " "]\n', encoding="utf-8")
         pack = PersonalInfoPack(path=path)
-        rows = [("first", r.id, r.category, float(r.confidence)) for r in pack.rules]
-        path.write_text('[strings]\nnames = ["Jane Roe"]\n[regex]\ncode_words = ["x-[0-9]+", "(open"]\n', encoding="utf-8")
-        pack.reload()
-        rows += [("again", r.id, c.label, float(r.confidence)) for r, c in zip(pack.rules, pack.categories, strict=True)]
-    return spark.createDataFrame(rows, "reading string, id string, category string, confidence double")
+        for reading, lines in (("first", '[strings]\nnames = ["anea", " "]\n'), ("again", '[strings]\nnames = ["anea"]\n[regex]\ncode_words = ["@[a-z]+", "(open"]\n')):
+            path.write_text(lines, encoding="utf-8")
+            pack.reload()
+            labels = spark.createDataFrame([(c.id, c.label) for c in pack.categories], "category string, label string")
+            found = explode_findings(scan(docs, pack), "doc_id").groupBy("id", "category", "confidence").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+            out.append(found.join(F.broadcast(labels), "category").select(F.lit(reading).alias("reading"), "id", "label", "confidence", "n", "n_docs"))
+    return out[0].union(out[1])
 
 
+_NAMES_FOUND = f"SELECT doc_id FROM {duck.spans('documents', r'[b]anea[b]'.replace('[b]', chr(92) + 'b'))}"
 add(
     "personal_file",
     personal_file,
-    "SELECT * FROM (VALUES ('first', 'personal_names_jane_roe', 'names', CAST(0.99 AS DOUBLE)), ('again', 'personal_names_jane_roe', 'Names', 0.99), ('again', 'personal_code_words_re_x_0_9_', 'Code Words', 0.95)) t(reading, id, category, confidence)",
+    f"""SELECT reading, 'personal_names_anea' AS id, 'Names' AS label, CAST(0.99 AS DOUBLE) AS confidence, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_NAMES_FOUND}), (VALUES ('first'), ('again')) t(reading) GROUP BY reading
+    UNION ALL SELECT 'again', 'personal_code_words_re__a_z_', 'Code Words', 0.95, count(*), count(DISTINCT doc_id) FROM {duck.spans('documents', '@[a-z]+')} HAVING count(*) > 0""",
 )
 add(
     "personal_not_configured",
@@ -495,8 +530,8 @@ add(
 )
 add(
     "prompt_lookup",
-    lambda s, d: prompts_df(s).unionByName(template_by_id(s, ps.TEMPLATES[1].id)).groupBy("id", "title").agg(F.count("*").alias("n"), F.max(F.size("tags")).cast("long").alias("n_tags")),
-    "SELECT * FROM (VALUES " + ", ".join(f"({quoted(t.id)}, {quoted(t.title)}, CAST({1 + (i == 1)} AS BIGINT), CAST(0 AS BIGINT))" for i, t in enumerate(ps.TEMPLATES)) + ") t(id, title, n, n_tags)",
+    lambda s, d: F.broadcast(prompts_df(s).unionByName(template_by_id(s, ps.TEMPLATES[1].id)).groupBy("id", "title").agg(F.count("*").alias("n"), F.max(F.size("tags")).cast("long").alias("n_tags")).withColumn("pack", F.lit(registry.DEFAULT))).join(_texts_of_packs(s, d), "pack").drop("pack"),
+    f"WITH {duck.SEEDED_MD}, {_TEXTS_OF_PACKS} SELECT t.*, (SELECT count(*) FROM texts_of WHERE pack = 'prompt-safety') AS n_texts FROM (VALUES " + ", ".join(f"({quoted(t.id)}, {quoted(t.title)}, CAST({1 + (i == 1)} AS BIGINT), CAST(0 AS BIGINT))" for i, t in enumerate(ps.TEMPLATES)) + ") t(id, title, n, n_tags)",
 )
 
 
@@ -520,3 +555,98 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 add("stream_scan", stream_scan, f"SELECT {duck.KIND} AS kind, count(*) AS n FROM (SELECT excerpt AS x FROM {duck.spans('documents', ps.PII)}) GROUP BY 1")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written out as a file, with CRLF line ends and a byte that is no UTF-8, read back, and kept as a table."""
+    base = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    datasource.register(spark)
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat((F.col("doc_id") % 100).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    content = F.concat(F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8"), F.unhex(F.lit("FF")))
+    docs.select(name.alias("path"), content.alias("content")).write.format("glyphward_texts").mode("append").save(f"{base}/out")
+    read = spark.read.format("glyphward_texts").option("suffix", ".txt").load(f"{base}/out")
+    read.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "text").write.parquet(f"{base}/table")
+    _delete(spark, f"{base}/out")
+    return spark.read.parquet(f"{base}/table")
+
+
+add("files_round_trip", files_round_trip, "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(65533) AS text FROM documents")
+
+
+# scans over time
+def _findings_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the documents and of what the rewriter makes of them."""
+    first = rewritten(spark, sf_dir)
+    after = scan(first.select("doc_id", F.col("rewritten").alias("text")))
+    changed = findings_changed(explode_findings(first, "doc_id").select("doc_id", "id", "excerpt"), explode_findings(after, "doc_id").select("doc_id", "id", "excerpt"), "doc_id", "id", "excerpt")
+    return changed.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n_before", "n_after", "gone", "appeared", "kept")))
+
+
+add(
+    "findings_changed",
+    _findings_changed,
+    f"""{_REWRITE}, again AS (SELECT doc_id, rewritten AS text FROM rewritten), found AS MATERIALIZED {duck.prompt_findings()}, found_again AS MATERIALIZED {duck.prompt_findings('again')},
+    b AS (SELECT doc_id, id, excerpt, count(*) AS n FROM found GROUP BY ALL), a AS (SELECT doc_id, id, excerpt, count(*) AS n FROM found_again GROUP BY ALL),
+    both_sides AS (SELECT coalesce(a.id, b.id) AS id, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after FROM b FULL JOIN a ON a.doc_id = b.doc_id AND a.id = b.id AND a.excerpt = b.excerpt)
+    SELECT id, CAST(sum(n_before) AS BIGINT) AS n_before, CAST(sum(n_after) AS BIGINT) AS n_after, CAST(sum(greatest(n_before - n_after, 0)) AS BIGINT) AS gone, CAST(sum(greatest(n_after - n_before, 0)) AS BIGINT) AS appeared, CAST(sum(least(n_before, n_after)) AS BIGINT) AS kept
+    FROM both_sides GROUP BY id""",
+)
+
+
+def _scan_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every event of a user the risk of the latest document scanned by then: document d is scanned for user d % 1000 on a day of its own."""
+    day = F.timestamp_add("DAY", F.col("doc_id") % 360, F.lit("2024-01-01").cast("timestamp_ntz"))
+    scans = scanned(spark, sf_dir).select((F.col("doc_id") % 1000).alias("user_id"), day.alias("ts"), "doc_id", "overall_risk")
+    latest = scans.groupBy("user_id", "ts").agg(F.max(F.struct("doc_id", "overall_risk")).alias("x")).select("user_id", "ts", F.col("x.doc_id").alias("doc_id"), F.col("x.overall_risk").alias("risk"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return as_of(events, latest, ["user_id"], "ts").select("event_id", "doc_id", "risk")
+
+
+add(
+    "scan_as_of",
+    _scan_as_of,
+    f"""{_FOUND}, {_RESULT}, latest AS (SELECT doc_id % 1000 AS user_id, CAST('2024-01-01' AS TIMESTAMP) + to_days(CAST(doc_id % 360 AS INTEGER)) AS ts, max(doc_id) AS doc_id FROM seeded GROUP BY ALL)
+    SELECT e.event_id, l.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN {_NAMES} END AS risk FROM events e ASOF LEFT JOIN latest l ON e.user_id = l.user_id AND CAST(e.ts AS TIMESTAMP) >= l.ts LEFT JOIN results r ON r.doc_id = l.doc_id""",
+)
+
+
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of parts, by rule, language and source, put together by rule, beside the exact numbers."""
+    found = explode_findings(scanned(spark, sf_dir), "doc_id", "lang", "source").withColumn("size", F.col("end").cast("long") - F.col("start"))
+    parts = finding_sketches(found, "doc_id", "size", "id", "lang", "source")
+    exact = found.groupBy("id").agg(F.count_distinct("doc_id").alias("n_texts"), F.min("size").alias("least"), F.max("size").alias("most"))
+    near = is_near(distinct_texts(F.col("texts_sketch")), F.col("n_texts"))
+    middle = quantile(F.col("sizes_sketch"), 0.5).between(F.col("least"), F.col("most"))
+    return merged(parts, "id").join(exact, "id").select("id", "n", "n_texts", near.alias("texts_near"), middle.alias("median_inside"))
+
+
+add("finding_sketches", _sketches, f"{_FOUND} SELECT id, count(*) AS n, count(DISTINCT doc_id) AS n_texts, true AS texts_near, true AS median_inside FROM found GROUP BY id")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations read as a stream, a minute a turn, and the bursts of findings in them."""
+    base = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    at = F.timestamp_add("MINUTE", F.col("turn"), F.lit("2024-01-01").cast("timestamp")).alias("at")
+    _seeded_turns(spark, sf_dir).select("conv_id", at, "text").write.parquet(f"{base}/turns")
+    stream = spark.readStream.schema("conv_id long, at timestamp, text string").parquet(f"{base}/turns")
+    to_latest(findings_per_session(scan_stream(stream), "conv_id", "at", "90 seconds", "10 minutes"), f"{base}/out", f"{base}/state").awaitTermination()
+    _delete(spark, f"{base}/turns")
+    minute = lambda c: ((F.unix_timestamp(c) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / 60).cast("double")
+    return spark.read.parquet(f"{base}/out").select("conv_id", minute("start").alias("first_minute"), minute("end").alias("end_minute"), "n", F.array_join("rules", ",").alias("rules"), "worst")
+
+
+add(
+    "stream_sessions",
+    stream_sessions,
+    f"""WITH {_SEEDED_TURNS}, keyed AS (SELECT row_number() OVER () AS doc_id, conv_id, turn, text FROM turns), found AS MATERIALIZED {duck.prompt_findings('keyed')},
+    rows_of AS (SELECT conv_id, turn, id, severity_rank FROM found JOIN keyed USING (doc_id)),
+    minutes AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS burst FROM (SELECT DISTINCT conv_id, turn FROM rows_of))
+    SELECT conv_id, CAST(min(turn) AS DOUBLE) AS first_minute, max(turn) + 1.5::DOUBLE AS end_minute, count(*) AS n, array_to_string(list_sort(list_distinct(list(id))), ',') AS rules,
+      (list_value({', '.join(map(quoted, SEVERITIES))}))[max(severity_rank)] AS worst FROM rows_of JOIN minutes USING (conv_id, turn) GROUP BY conv_id, burst""",
+)
