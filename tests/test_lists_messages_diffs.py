@@ -121,4 +121,4 @@ def test_table_functions(spark):
     assert sorted(map(tuple, rows)) == [(1, 0, 1, 2, "1"), (1, 1, 3, 5, "22")]
     spark.createDataFrame([(1, "DAN"), (2, "fine")], "id int, text string").createOrReplaceTempView("held")
     register_findings(spark, "prompt-safety", "held", "held_findings")
-    assert [tuple(r) for r in spark.sql("SELECT id, text, excerpt FROM held_findings f" if False else "SELECT position, excerpt FROM held_findings").collect()] == [(0, "DAN")]
+    assert [tuple(r) for r in spark.sql("SELECT position, excerpt FROM held_findings").collect()] == [(0, "DAN")]
