@@ -66,8 +66,19 @@ class Index:
     first: np.ndarray  # (m, 257): where the rows of each value start
 
 
+SAFE = 1e140  # sizes of components, and their inverses, whose squares and sums of squares are exact enough
+
+
+def steadied(vectors: np.ndarray) -> np.ndarray:
+    """Vectors in double precision, those of very small or large components scaled by a power of two, which changes no cosine."""
+    vectors = vectors.astype(np.float64)
+    most = np.abs(vectors).max(axis=-1, keepdims=True, initial=0.0)
+    odd = (most > 0) & ((most > SAFE) | (most < 1 / SAFE))
+    return np.where(odd, np.ldexp(vectors, -np.frexp(most)[1]), vectors) if odd.any() else vectors
+
+
 def build(coder: Coder | None, ids: np.ndarray, data: np.ndarray) -> Index:
-    vectors = data.astype(np.float64)
+    vectors = steadied(data)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     real = norms > 0
     ids, vectors, norms = ids[real], vectors[real], norms[real]
@@ -107,7 +118,7 @@ def nearest(coder: Coder | None, index: Index, query_id: int, query: np.ndarray,
     The radius doubles until there are k with the ``held`` rows found before, or every row is in
     reach. Without a coder or a radius every row is compared.
     """
-    query = query.astype(np.float64)
+    query = steadied(query)
     bits = 8 * index.codes.shape[1]
     code = coder.codes((query / np.sqrt((query * query).sum()))[None])[0] if coder else np.zeros(0, np.uint8)
     while True:
@@ -152,6 +163,7 @@ def learn_coders(vectors: DataFrame) -> dict[int, Coder]:
     coders = {}
     for dims in [r["dims"] for r in sizes]:
         sample = rows_of(_sample(vectors, dims, SAMPLE).select("embedding").toArrow().column(0).combine_chunks(), dims).astype(np.float64)
+        sample = steadied(sample)
         norms = np.sqrt((sample * sample).sum(axis=1))
         if (norms > 0).any():
             coders[dims] = learn_rotations(sample[norms > 0] / norms[norms > 0, None])

@@ -30,9 +30,25 @@ class Index:
     everyone: np.ndarray
 
 
+MOST = 2.0**62  # size of an integer component
+LONG = 1 << 63
+
+
 def quantise(vectors: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x) in double precision, as 64-bit integers."""
-    return np.floor(scale * vectors.astype(np.float64)).astype(np.int64)
+    """floor(scale * x) in double precision, as 64-bit integers; OverflowError for what these cannot hold."""
+    whole = np.floor(scale * vectors.astype(np.float64))
+    if whole.size and not (np.abs(whole) < MOST).all():
+        raise OverflowError(f"a component times {scale} has more than 62 bits")
+    return whole.astype(np.int64)
+
+
+def _wide(index: Index, query: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, exact scores) of all rows of ``among``, in integers of any size; OverflowError for scores of more than 64 bits."""
+    at = _rows(among, len(index.ids))
+    exact = index.values[at].astype(object) @ query.astype(object)
+    if any(not -LONG <= x < LONG for x in exact):
+        raise OverflowError("an inner product has more than 64 bits")
+    return at, exact.astype(np.int64)
 
 
 def _bitmap(bits: np.ndarray, words: int) -> np.ndarray:
@@ -130,9 +146,12 @@ def _rows(bitmap: np.ndarray, n: int) -> np.ndarray:
 def top_k(index: Index, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, exact scores) of the k best rows of the block, ties to the smaller id; rows with the query's id are left out."""
     among = index.everyone & ~_bitmap(index.ids == query_id, len(index.everyone))
-    slices, error = scores(index, query)
-    at = candidates(index, slices, error, k, among)
-    exact = index.values[at] @ query
+    if np.abs(index.values).max(axis=0).astype(np.float64) @ np.abs(query).astype(np.float64) < MOST:  # no sum of this block can overflow
+        slices, error = scores(index, query)
+        at = candidates(index, slices, error, k, among)
+        exact = index.values[at] @ query
+    else:
+        at, exact = _wide(index, query, among)
     order = np.lexsort((index.ids[at], -exact))[:k]
     return index.ids[at][order], exact[order]
 
@@ -143,8 +162,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
     ``vectors`` and ``queries`` have vec_id and embedding. Null, empty and non-finite vectors and
     rows without an id take no part; rows with the query's own id are not its candidates; a query
     with fewer candidates gets all; ties go to the smaller id; repeated candidate rows each count;
-    extra columns are ignored. A query meets only vectors with as many components. Components must
-    keep inner products within 64 bits.
+    extra columns are ignored. A query meets only vectors with as many components. Where sums could
+    leave 64 bits they are taken in wider integers; components of more than 62 bits and scores of
+    more than 64 are an error.
     """
 
     def prepare(ids: np.ndarray, data: np.ndarray) -> Index:

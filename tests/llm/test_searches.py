@@ -1,6 +1,7 @@
 """Exact top-k and nearest neighbours against brute force."""
 
 import numpy as np
+import pytest
 
 from glyphward.llm import ann_mih, topk_bitslice, vector_blocks
 from glyphward.llm import queries as q
@@ -108,3 +109,20 @@ def test_vectors_of_several_sizes_in_many_tasks(spark, monkeypatch):
         if len(query) in (5, 7, 4, 2):
             assert sorted(part.vec_id) == sorted(want)
     assert hits / n >= 0.9
+
+
+def test_components_of_any_size(spark):
+    """Cosines of very small and very large vectors are those of their directions; inner products beyond 64 bits are an error, not a wrong number."""
+    rows = [(0, [1.0, 2.0, 2.0]), (1, [1e-200, 2e-200, 2e-200]), (2, [1e200, 2e200, 2.1e200]), (3, [-1.0, 0.0, 0.0]), (4, [0.0, 0.0, 0.0]), (50, [3e-250, 6e-250, 6e-250])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    near = {(r.query_id, r.rank): (r.vec_id, round(r.score, 6)) for r in got.collect()}
+    assert near[0, 1] == (1, 1.0) and near[0, 2] == (50, 1.0) and near[50, 1][0] == 0 and near[0, 3][0] == 2 and near[0, 4] == (3, -0.333333) and (0, 5) not in near
+    wide = spark.createDataFrame([(0, [3e9, 1.0]), (1, [0.5, 1.0]), (2, [1e3, -1.0]), (3, [1e3, 2.0])], "vec_id long, embedding array<double>")
+    best_of = {(r.rank): (r.vec_id, r.score) for r in exact_top_k(wide, wide.where("vec_id = 0"), k=3).collect()}
+    big = 3 * 10**9 * 1024
+    assert best_of == {1: (3, big * 1024000 + 2 * 1024**2), 2: (2, big * 1024000 - 1024**2), 3: (1, big * 512 + 1024**2)}
+    for bad in ([(0, [1e30]), (1, [1.0])], [(0, [1e10]), (1, [1e10])]):
+        rows = spark.createDataFrame(bad, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="bits"):
+            exact_top_k(rows, rows.where("vec_id = 0"), k=1).collect()
