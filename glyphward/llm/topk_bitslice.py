@@ -28,6 +28,7 @@ class Index:
     shift: np.ndarray  # bits dropped from each attribute
     slices: np.ndarray  # (dims * BITS, words): bit j of attribute d at row d * BITS + j
     everyone: np.ndarray
+    most: np.ndarray  # greatest size of each attribute
 
 
 MOST = 2.0**62  # size of an integer component
@@ -66,7 +67,7 @@ def build(ids: np.ndarray, values: np.ndarray) -> Index:
     shift = np.array([max(0, int(top).bit_length() - BITS) for top in above.max(axis=0)], np.int64)
     lead = (above >> shift).astype(np.uint8)
     slices = np.concatenate([_bitmap(((lead >> j) & 1).T.astype(bool), words)[:, None] for j in range(BITS)], axis=1)
-    return Index(ids, values, low, shift, slices.reshape(-1, words), _bitmap(np.ones(len(ids), bool), words))
+    return Index(ids, values, low, shift, slices.reshape(-1, words), _bitmap(np.ones(len(ids), bool), words), np.abs(values).max(axis=0).astype(np.float64))
 
 
 def _add(columns: dict[int, np.ndarray]) -> list[np.ndarray | None]:
@@ -146,7 +147,7 @@ def _rows(bitmap: np.ndarray, n: int) -> np.ndarray:
 def top_k(index: Index, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, exact scores) of the k best rows of the block, ties to the smaller id; rows with the query's id are left out."""
     among = index.everyone & ~_bitmap(index.ids == query_id, len(index.everyone))
-    if np.abs(index.values).max(axis=0).astype(np.float64) @ np.abs(query).astype(np.float64) < MOST:  # no sum of this block can overflow
+    if index.most @ np.abs(query).astype(np.float64) < MOST:  # no sum of this block can overflow
         slices, error = scores(index, query)
         at = candidates(index, slices, error, k, among)
         exact = index.values[at] @ query
