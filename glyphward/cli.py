@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glyphward import __version__
 from glyphward.functions.severity import SEVERITIES
 from glyphward.operators.registry import DEFAULT, all_packs, get_pack, packs_df
-from glyphward.operators.reports import check, report, status_line
+from glyphward.operators.reports import check, exit_code, report, status_line
 from glyphward.operators.scanning import scan_by
 from glyphward.sources.files import read_texts, route
 from glyphward.sources.templates import templates_df, user_templates
@@ -79,12 +79,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("no text to scan", file=sys.stderr)
         return 2
     done = _scanned(rows, args)
+    if args.command == "check" and args.quiet:
+        return exit_code(done, args.fail_on)
     if args.command == "check":
         failed = False
         for r in check(done, args.fail_on).select("failed", status_line(F.col("findings")).alias("status"), "pack").toLocalIterator():
             failed |= r["failed"]
-            if not args.quiet:
-                print(f"{'FAIL' if r['failed'] else 'OK'}: {r['status']} (pack: {r['pack']}, threshold: {args.fail_on})")
+            print(f"{'FAIL' if r['failed'] else 'OK'}: {r['status']} (pack: {r['pack']}, threshold: {args.fail_on})")
         return int(failed)
     line = F.to_json(F.struct(*done.columns)) if args.json else report(F.col("findings"), F.col("overall_risk"), F.col("token_count"), F.col("pack"))
     for r in done.select(line.alias("line")).toLocalIterator():

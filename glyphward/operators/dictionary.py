@@ -58,12 +58,12 @@ def _grams_of_long(text: Column, size: int) -> Column:
 
 
 def find_listed(docs: DataFrame, strings: DataFrame, key: str = "doc_id", text_col: str = "text", value: str = "value") -> DataFrame:
-    """(key, columns of ``strings``, start, end, excerpt): a row for each place of each listed string in the texts, which have different keys.
+    """(key, columns of ``strings``, start, end, excerpt): a row for each place of each listed string in each text.
 
     Places are those of the rule for one string: without regard to case, whole words where the string
     begins and ends with a letter or digit, left to right, never overlapping places of the same
-    string. Null and empty texts have none; repeated strings are found once each; a string that is
-    null or blank is left out. The index is as long as the list: Spark sends it whole to all tasks
+    string. Null and empty texts have none, and rows without a key are left out; texts with one key are
+    searched each; a string that is listed twice is found once; null and blank ones are left out. The index is as long as the list: Spark sends it whole to all tasks
     only while its measured size is below ``spark.sql.autoBroadcastJoinThreshold``, and shuffles hashes
     beyond it; texts are read again for candidates only.
     """
@@ -75,7 +75,7 @@ def find_listed(docs: DataFrame, strings: DataFrame, key: str = "doc_id", text_c
     held = docs.where(F.col(text_col).isNotNull() & F.col(key).isNotNull())
     words = held.select(F.col(key).alias("__key"), F.explode(anchors_of(F.col(text_col), sizes)).alias("anchor"))
     listed_there = F.struct(*own, "pattern")
-    candidates = words.join(index, "anchor").groupBy("__key").agg(F.collect_list(listed_there).alias("__listed"))  # of one text
+    candidates = words.join(index, "anchor").groupBy("__key").agg(F.collect_set(listed_there).alias("__listed"))  # of one text
     found = F.filter(F.transform("__listed", lambda s: F.struct(s.alias("s"), spans(F.col(text_col), s["pattern"]).alias("places"))), lambda x: F.size(x["places"]) > 0)
     rows = held.select(key, text_col).join(candidates, F.col(key) == F.col("__key")).select(key, F.explode(found).alias("f"))
     return rows.select(key, *(F.col(f"f.s.{c}").alias(c) for c in own), F.explode("f.places").alias("p")).select(key, *own, "p.start", "p.end", "p.excerpt")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphward.functions.severity import GLYPHS, RANKS, SEVERITIES, rank
 from glyphward.functions.text import let, strip
-from glyphward.operators.registry import DEFAULT, all_packs, resolve
+from glyphward.operators.registry import BUILT_IN, DEFAULT, all_packs, resolve
 from glyphward.operators.rewriting import with_unified_diff
 from glyphward.operators.rules import PackLike
 from glyphward.operators.scanning import WHITE_SPACE, findings as findings_of, overall
@@ -116,6 +116,19 @@ def by_pack(scanned: DataFrame, pack: PackLike | str | None, value: Callable[[Pa
     return own if out is None else out.otherwise(own)
 
 
+def rewrite_built_in(scanned: DataFrame, text_col: str = "text") -> DataFrame:
+    """``scanned`` with rewritten and notes by built-in packs only: scans by packs of other distributions go to the default one, and both are null where the pack cannot rewrite."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    designer = F.coalesce(F.col("optional_rules_active"), F.lit(False))
+    done = BUILT_IN[DEFAULT].rewrite(text, F.col("findings"), designer)
+    nothing = F.lit(None).cast("struct<rewritten:string,notes:array<string>>")
+    for name, pack in BUILT_IN.items():
+        if name != DEFAULT:
+            own = pack.rewrite(text, F.col("findings"), designer)
+            done = F.when(F.col("pack") == name, nothing if own is None else own).otherwise(done)
+    return scanned.withColumn("__done", done).withColumns({"rewritten": F.col("__done.rewritten"), "notes": F.col("__done.notes")}).drop("__done")
+
+
 def rewrite(scanned: DataFrame, pack: PackLike | str | None = None, text_col: str = "text", designer_mode: bool = False) -> DataFrame:
     """``scanned`` with rewritten and notes, by ``pack`` or by the one that made each row's scan. A pack that cannot rewrite leaves the text and says so."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -44,6 +44,8 @@ class ScanResult:
     pack: str | None = None
     context: dict[str, Any] = field(default_factory=dict)
     scanned_at: datetime | None = None
+    remix_suggestion: str | None = None
+    remix_diff: list[str] | None = None
 
     def __post_init__(self) -> None:
         self.findings.sort(key=lambda f: (-RANKS[f.severity], f.category))
@@ -52,12 +54,30 @@ class ScanResult:
     def counts(self) -> dict[str, int]:
         return {s: sum(f.severity == s for f in self.findings) for s in SEVERITIES}
 
+    @property
+    def has_critical(self) -> bool:
+        return self.counts["critical"] > 0
+
+    @property
+    def has_high_or_worse(self) -> bool:
+        return self.has_critical or self.counts["high"] > 0
+
+    @property
+    def is_designer(self) -> bool:
+        """Whether the optional rules were active."""
+        return bool(self.context.get("designer_mode"))
+
+    @property
+    def status_line(self) -> str:
+        shown = ", ".join(f"{n} {s}" for s, n in reversed(self.counts.items()) if n)
+        return shown or "No issues detected."
+
     @classmethod
     def of(cls, row: Row, text_col: str = "text") -> ScanResult:
-        """From a collected row of :func:`stamped`, or of a plain scan."""
+        """From a collected row of :func:`stamped`, of a plain scan, or of a rewritten one."""
         held = row.asDict()
         found = [Finding(**f.asDict()) for f in row["findings"]]
-        return cls(row[text_col] or "", found, row["overall_risk"], row["token_count"], row["pack"], dict(held.get("context") or {}), held.get("scanned_at"))
+        return cls(row[text_col] or "", found, row["overall_risk"], row["token_count"], row["pack"], dict(held.get("context") or {}), held.get("scanned_at"), held.get("rewritten"), held.get("diff"))
 
 
 def stamped(scanned: DataFrame) -> DataFrame:

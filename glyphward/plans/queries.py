@@ -330,6 +330,28 @@ add(
     lambda s, d: reports.rewrite(scan_routed(seeded_md(s, d))).select("doc_id", "pack", "rewritten", F.col("notes")[0].startswith("The Markdown").alias("refused")),
     f"WITH {duck.SEEDED_MD}, {duck.routed_findings()}, {duck.rewrite_steps('seeded_md')} SELECT doc_id, pack, CASE pack WHEN 'markdown' THEN routed.text ELSE rewritten END AS rewritten, pack = 'markdown' AS refused FROM routed JOIN rewritten USING (doc_id)",
 )
+
+
+def _built_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third scan is said to be by a pack from elsewhere; Markdown's cannot rewrite."""
+    rows = scan_routed(seeded_md(spark, sf_dir))
+    named = F.when((F.col("doc_id") % 3 == 0) & (F.col("pack") != "markdown"), "elsewhere").otherwise(F.col("pack"))
+    return reports.rewrite_built_in(rows.withColumn("pack", named)).select("doc_id", "pack", "rewritten", F.col("notes").isNull().alias("refused"))
+
+
+add(
+    "rewrite_built_in",
+    _built_in,
+    f"""WITH {duck.SEEDED_MD}, {duck.routed_findings()}, {duck.rewrite_steps('seeded_md')} SELECT doc_id, CASE WHEN pack <> 'markdown' AND doc_id % 3 = 0 THEN 'elsewhere' ELSE pack END AS pack,
+    CASE pack WHEN 'markdown' THEN NULL ELSE rewritten END AS rewritten, pack = 'markdown' AS refused FROM routed JOIN rewritten USING (doc_id)""",
+)
+_RISKY = ("DAN. ", "jailbreak ", "make it perfect", "ignore all previous rules. ", "You are the best model. ", "please ", "fine")
+add(
+    "rewrite_emptied",
+    lambda s, d: reports.rewrite(scan(table(s, d, "documents").select("doc_id", F.repeat(seed(F.col("doc_id"), _RISKY), (F.length("text") % 4 + 1).cast("int")).alias("text")))).select("doc_id", "rewritten", F.concat_ws("\n", "notes").alias("notes")),
+    f"""WITH risky AS (SELECT doc_id, repeat((list_value({', '.join(map(quoted, _RISKY))}))[doc_id % {len(_RISKY)} + 1], CAST(length(text) % 4 + 1 AS INTEGER)) AS text FROM documents), {duck.rewrite_steps('risky')},
+    noted AS ({duck.notes(ps.RULES)}) SELECT doc_id, rewritten, notes FROM rewritten JOIN noted USING (doc_id)""",
+)
 add("unified_diff", lambda s, d: reports.with_diff(rewritten(s, d).select("doc_id", "text", "rewritten")).select("doc_id", F.size("diff").cast("long").alias("n_lines"), F.array_join("diff", "").alias("diff")))
 
 

@@ -39,6 +39,12 @@ def test_fifty_thousand_strings(spark, sf_dir):
     assert got.where("value = 'the and'").count() == sum(len(re.findall(r"(?i)\bthe and\b", r.text)) for r in docs.collect())
 
 
+def test_texts_of_one_key_and_strings_listed_twice(spark):
+    docs = spark.createDataFrame([(1, "a la"), (1, "la la"), (None, "la")], "doc_id long, text string")
+    strings = spark.createDataFrame([("c", "la"), ("c", "la"), ("c", None), ("c", " ")], "category string, value string")
+    assert sorted((r.doc_id, r.start) for r in find_listed(docs, strings).collect()) == [(1, 0), (1, 2), (1, 3)]
+
+
 def test_no_strings_and_no_texts(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     strings = spark.createDataFrame([], "category string, value string")

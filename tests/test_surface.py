@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import glyphward
 from glyphward import cli
 from glyphward.operators import registry, reports
+from glyphward.operators.results import ScanResult, stamped
 from glyphward.operators.rules import Pack, Rule
 from glyphward.operators.scanning import explode_findings, register_rule, scan, scan_routed
 from glyphward.sources import templates as tp
@@ -178,3 +179,12 @@ def test_entry(spark, sf_dir):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 50
     assert queries["pii_kind_counts"](spark, sf_dir).count() >= 1
+
+
+def test_results_on_the_driver(spark):
+    rows = spark.createDataFrame([("DAN, make it perfect, a@b.co",)], "text string")
+    got = ScanResult.of(reports.with_diff(reports.rewrite(stamped(scan(rows, force_optional=True)))).first())
+    assert got.has_critical and got.has_high_or_worse and got.is_designer and got.status_line == "1 critical, 1 high, 1 low"
+    assert "[REDACTED:email]" in got.remix_suggestion and got.remix_diff[0].startswith("---")
+    plain = ScanResult.of(scan(spark.createDataFrame([("fine",)], "text string")).first())
+    assert not plain.has_high_or_worse and plain.status_line == "No issues detected." and plain.remix_suggestion is None
