@@ -77,19 +77,26 @@ class TextWriter(DataSourceArrowWriter):
         self.uri, self.overwrite, self.job = options["path"], overwrite, f"{STAGING}{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        """Stage the rows of a task; what a task that fails has staged goes at once."""
         system, base = _opened(self.uri)
         own, staged = f"{base}/{self.job}/{uuid.uuid4().hex}", []
-        system.create_dir(own, recursive=True)
-        for b in batches:
-            held = "content" if "content" in b.schema.names else "text"
-            for name, data in zip(b.column(b.schema.get_field_index("path")).to_pylist(), b.column(b.schema.get_field_index(held)).to_pylist(), strict=True):
-                place = posixpath.normpath(name or "")
-                if not name or place.startswith(("/", "..")) or place == ".":
-                    raise ValueError(f"{name!r} is no path below the folder")
-                at = f"{own}/{len(staged)}"
-                with system.open_output_stream(at) as f:
-                    f.write(data if isinstance(data, bytes) else (data or "").encode())
-                staged.append((at, place))
+        try:
+            for b in batches:
+                held = "content" if "content" in b.schema.names else "text"
+                for name, data in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("path", held)), strict=True):
+                    place = posixpath.normpath(name or "")
+                    if not name or place.startswith(("/", "..")) or place == ".":
+                        raise ValueError(f"{name!r} is no path below the folder")
+                    if not staged:
+                        system.create_dir(own, recursive=True)
+                    at = f"{own}/{len(staged)}"
+                    with system.open_output_stream(at) as f:
+                        f.write(data if isinstance(data, bytes) else (data or "").encode())
+                    staged.append((at, place))
+        except BaseException:
+            if staged:
+                system.delete_dir(own)
+            raise
         return Written(tuple(staged))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -101,13 +108,16 @@ class TextWriter(DataSourceArrowWriter):
         if len(set(names)) < len(names) or there:
             self.abort(messages)
             raise FileExistsError(f"several rows have one path, or it is there: {(there or names)[:3]}")
-        for folder in {posixpath.dirname(n) for n in names}:
+        for folder in {"", *(posixpath.dirname(n) for n in names)}:
             system.create_dir(f"{base}/{folder}", recursive=True)
         for at, place in moves:
             system.move(at, f"{base}/{place}")
-        system.delete_dir(f"{base}/{self.job}")
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
         system, base = _opened(self.uri)
         if system.get_file_info(f"{base}/{self.job}").type != fs.FileType.NotFound:
             system.delete_dir(f"{base}/{self.job}")
