@@ -12,7 +12,7 @@ from glyphward.functions.text import let, strip
 from glyphward.operators.registry import BUILT_IN, DEFAULT, all_packs, resolve
 from glyphward.operators.rewriting import with_unified_diff
 from glyphward.operators.rules import PackLike
-from glyphward.operators.scanning import WHITE_SPACE, findings as findings_of, overall
+from glyphward.operators.scanning import WHITE_SPACE, overall, scan, scan_by
 
 MOST_GROUPS = 25
 EXTRA_EXCERPTS = 4
@@ -154,7 +154,12 @@ def with_diff(rewritten: DataFrame, pack: PackLike | str | None = None, text_col
 
 def delta(rewritten: DataFrame, pack: PackLike | str | None = None, text_col: str = "text") -> DataFrame:
     """``rewritten`` with the scan of the new text, by the same pack, beside that of the old: risk_after, n_before, n_after, rank_change and outcome."""
-    again = rewritten.withColumn("findings_after", by_pack(rewritten, pack, lambda p: findings_of(F.col("rewritten"), p, False)))
+    # the new text is scanned as a column of its own, as any text is
+    first = {c: f"__first_{c}" for c in ("findings", "overall_risk", "token_count", "optional_rules_active", "pack") if c in rewritten.columns}
+    held = rewritten.withColumnsRenamed(first)
+    named = pack is None and "pack" in first
+    again = scan_by(held.withColumn("pack", F.col(first["pack"])), "pack", "rewritten") if named else scan(held, pack, "rewritten")
+    again = again.withColumnRenamed("findings", "findings_after").drop(*(c for c in first if c != "findings"), "overall_risk", "token_count", "optional_rules_active", "pack").withColumnsRenamed({v: k for k, v in first.items()})
     changed = F.col("rewritten") != F.coalesce(F.col(text_col), F.lit(""))
     return again.withColumns(
         {
