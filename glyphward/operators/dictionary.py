@@ -1,9 +1,11 @@
 """Long lists of strings: an inverted index of the list is joined to the words of the texts, and places are told in what remains.
 
 A rule for each string would be a column for each; here the list is a table and may be of any
-length. Every string has an anchor that stands in each text with a match: a word that is whole
-wherever the string is found, the longest one, else its first characters. Texts give each anchor that
-they hold once; what meets is a candidate, and only candidates are searched.
+length. Every string has an anchor that stands in each text with a match: two words that are whole
+and beside each other wherever the string is found, the longest ones, else the one such word, else its
+first characters. Texts give each anchor that they hold once; what meets is a candidate, and only
+candidates are searched. One word of two would do too, but one that is frequent in strings and in
+texts meets with the product of both.
 """
 
 from __future__ import annotations
@@ -11,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphward.functions.text import regex, spans
+from glyphward.functions.text import let, regex, spans
 
 GRAM = 3  # characters of an anchor that is no whole word, at most
+PAIR = -1  # the size of an anchor of two words
 WORD = regex(r"\w+")
 INNER_WORD = regex(r"(?<=\W)\w+(?=\W)")
 ENDS_IN_LETTERS = regex(r"\A[\p{L}\p{N}](?s:.*[\p{L}\p{N}])?\z")
@@ -30,20 +33,34 @@ def literal(value: Column) -> Column:
     return F.concat(F.lit(regex("", True)), F.when(value.rlike(ENDS_IN_LETTERS), F.concat(F.lit(r"\b"), quoted, F.lit(r"\b"))).otherwise(quoted))
 
 
+def pairs_of(words: Column) -> Column:
+    """(a, b) for all words that follow each other."""
+    return F.filter(F.transform(words, lambda w, i: F.struct(w.alias("a"), F.get(words, i + 1).alias("b"))), lambda p: p["b"].isNotNull())
+
+
+def pair_hash(pair: Column) -> Column:
+    """Of a pair of folded words."""
+    return F.xxhash64(F.lit(PAIR), pair["a"], pair["b"])
+
+
 def listed(strings: DataFrame, value: str = "value") -> DataFrame:
-    """``strings`` with pattern, size (0 for a word, else the characters of a gram) and anchor, a hash; blank ones are left out."""
+    """``strings`` with size (PAIR for two words, 0 for a word, else the characters of a gram) and anchor, a hash; blank ones are left out."""
     v = F.col(value)
     every = F.regexp_extract_all(v, F.when(v.rlike(ENDS_IN_LETTERS), F.lit(WORD)).otherwise(F.lit(INNER_WORD)), F.lit(0))
     longest = F.array_max(F.transform(every, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
-    size = F.when(longest.isNull(), F.least(F.length(v), F.lit(GRAM))).otherwise(0)
+    pair = lambda ws: F.array_max(F.transform(pairs_of(F.transform(ws, folded)), lambda p: F.struct((F.length(p["a"]) + F.length(p["b"])).alias("n"), p.alias("p"))))["p"]
+    size = F.when(F.size(every) > 1, F.lit(PAIR)).when(longest.isNull(), F.least(F.length(v), F.lit(GRAM))).otherwise(0)
     anchored = F.when(longest.isNull(), F.substring(v, F.lit(1), F.least(F.length(v), F.lit(GRAM)))).otherwise(longest)
-    return strings.where(v.isNotNull() & v.rlike(r"\S")).withColumns({"pattern": literal(v), "size": size, "anchor": F.xxhash64(size, folded(anchored))})
+    anchor = F.when(F.size(every) > 1, let(every, lambda ws: pair_hash(pair(ws)))).otherwise(F.xxhash64(size, folded(anchored)))
+    return strings.where(v.isNotNull() & v.rlike(r"\S")).withColumns({"size": size, "anchor": anchor})
 
 
 def anchors_of(text: Column, sizes: list[int]) -> Column:
-    """Hashes of all words (size 0) and grams of a text, each once."""
+    """Hashes of all pairs of words (size PAIR), words (size 0) and grams of a text, each once."""
 
     def of(size: int) -> Column:
+        if size == PAIR:
+            return let(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), folded), lambda ws: F.transform(pairs_of(ws), pair_hash))
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))
         every = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)) if size == 0 else F.when(F.length(text) < 1 << 12, grams).otherwise(_grams_of_long(text, size))
         return F.transform(F.array_distinct(every), lambda x: F.xxhash64(F.lit(size), folded(x)))
@@ -69,14 +86,14 @@ def find_listed(docs: DataFrame, strings: DataFrame, key: str = "doc_id", text_c
     """
     own = [c for c in strings.columns]
     index = listed(strings, value)
-    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # at most GRAM + 1
+    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # at most GRAM + 2
     if not sizes:
         return docs.select(key).limit(0).select(key, *(F.lit(None).cast(strings.schema[c].dataType).alias(c) for c in own), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("excerpt"))
     held = docs.where(F.col(text_col).isNotNull() & F.col(key).isNotNull())
     words = held.select(F.col(key).alias("__key"), F.explode(anchors_of(F.col(text_col), sizes)).alias("anchor"))
-    listed_there = F.struct(*own, "pattern")
+    listed_there = F.struct(*own)
     candidates = words.join(index, "anchor").groupBy("__key").agg(F.collect_set(listed_there).alias("__listed"))  # of one text
-    found = F.filter(F.transform("__listed", lambda s: F.struct(s.alias("s"), spans(F.col(text_col), s["pattern"]).alias("places"))), lambda x: F.size(x["places"]) > 0)
+    found = F.filter(F.transform("__listed", lambda s: F.struct(s.alias("s"), spans(F.col(text_col), literal(s[value])).alias("places"))), lambda x: F.size(x["places"]) > 0)
     rows = held.select(key, text_col).join(candidates, F.col(key) == F.col("__key")).select(key, F.explode(found).alias("f"))
     return rows.select(key, *(F.col(f"f.s.{c}").alias(c) for c in own), F.explode("f.places").alias("p")).select(key, *own, "p.start", "p.end", "p.excerpt")
 

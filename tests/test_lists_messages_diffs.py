@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from glyphward.operators import reports
 from glyphward.operators.attribution import findings_by_message, message_ranges, within_ranges
-from glyphward.operators.dictionary import find_listed, strings_of
+from glyphward.operators.dictionary import find_listed, listed, strings_of
 from glyphward.operators.diffs import changed_blocks, hunk_rows, patched, reversed_hunks, with_hunks
 from glyphward.operators.scanning import explode_findings, scan
 from glyphward.operators.sql import register_detector, register_findings
 from glyphward.packs.personal_info import PersonalInfoPack
+from glyphward.plans.queries import QUERIES
 from glyphward.sources.traces import scan_trace, trace_messages, trace_text
 
 LISTED = ["Jane Roe", "the and", "la", "C++", "@mail", ". ", "é", "a", "ß", "Kelvin", "İstanbul", "co", "x-1", "not there", "[REDACTED:x]", "a.b", "new\nline", "naïve", "-", "d'un", "😀 ok", "ſee"]
@@ -128,3 +129,19 @@ def test_table_functions(spark):
     spark.createDataFrame([(1, "DAN"), (2, "fine")], "id int, text string").createOrReplaceTempView("held")
     register_findings(spark, "prompt-safety", "held", "held_findings")
     assert [tuple(r) for r in spark.sql("SELECT position, excerpt FROM held_findings").collect()] == [(0, "DAN")]
+
+
+def test_strings_that_share_a_frequent_word_have_anchors_of_their_own(spark):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    strings = spark.createDataFrame([("c", f"frequent {w}") for w in words], "category string, value string")
+    assert listed(strings).select("anchor").distinct().count() == len(words)
+    docs = spark.createDataFrame([(1, "one"), (2, "Frequent AK frequent"), (3, "frequent  ak, frequent-al; frequent am")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.value, r.start) for r in find_listed(docs, strings).collect()) == [(2, "frequent ak", 0), (3, "frequent am", 27)]
+
+
+def test_words_of_a_text_of_one_word(spark, tmp_path):
+    rows = {"documents": ([(1, "one"), (2, "Two words here")], "doc_id long, text string"), "customer": ([("C#1",)], "c_name string"), "part": ([("blue pan",)], "p_name string")}
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = QUERIES["dictionary_findings"](spark, str(tmp_path))
+    assert [(r.doc_id, r.value) for r in got.collect()] == [(2, "two words")]
