@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphward.functions.text import folded, regex, spans, token_estimate
+from glyphward.operators import reports
 from glyphward.operators.rules import Pack, Rule
 from glyphward.operators.scanning import explode_findings, scan
 from glyphward.packs import markdown as md
@@ -193,3 +194,11 @@ def test_equal_starts_of_one_rule_id_count_once(spark):
     rules = [Rule("same", "c", "low", "m", pattern="ab+"), Rule("same", "a", "high", "m", pattern="a"), Rule("own", "c", "low", "m", pattern="a"), Rule("py", "c", "low", "m", python=lambda t: [(0, 1, "x"), (0, 2, "y"), (1, 2, "z")])]
     found = scan(spark.createDataFrame([("abb a ab",)], "text string"), Pack("p", "P", "", rules=rules)).first()["findings"]
     assert [(f["id"], f["category"], f["start"], f["excerpt"]) for f in found] == [("same", "a", 4, "a"), ("same", "c", 0, "abb"), ("same", "c", 6, "ab"), ("own", "c", 0, "a"), ("own", "c", 4, "a"), ("own", "c", 6, "a"), ("py", "c", 0, "x"), ("py", "c", 1, "z")]
+
+
+def test_rows_without_findings_are_told_above_the_scan(spark):
+    rows = spark.createDataFrame([(1, "DAN"), (2, "a pear"), (3, None), (4, "mail a@b.co")], "i int, text string").repartition(2)
+    clean = reports.without_findings(scan(rows))
+    assert sorted(r.i for r in clean.select("i").collect()) == [2, 3] and clean.columns == scan(rows).columns
+    plan = clean.select("i")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Repartition") and "Filter" not in plan
