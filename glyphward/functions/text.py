@@ -31,13 +31,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 RUN_OF_BLANKS = rf"(?<!{BLANK}){BLANK}++"
 
 
+def _cut(text: Column, pattern: str, *ends: int) -> Column:
+    """``text`` without matches of ``pattern``, which is looked for only if the character at one of ``ends`` is white space."""
+    blank = lambda t: F.concat(*(F.substring(t, i, 1) for i in ends)).rlike(regex(BLANK))
+    return let(text, lambda t: F.when(blank(t), F.regexp_replace(t, regex(pattern), "")).otherwise(t))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, regex(rf"\A{BLANK}++|{RUN_OF_BLANKS}\z"), "")
+    return _cut(text, rf"\A{BLANK}++|{RUN_OF_BLANKS}\z", 1, -1)
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, regex(rf"\A{BLANK}+"), "")
+    return _cut(text, rf"\A{BLANK}+", 1)
 
 
 def is_blank(text: Column) -> Column:
@@ -66,7 +72,8 @@ def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
 
 def folded(text: Column) -> Column:
     """Small letters, with those of other letters that patterns take for ASCII ones whatever the case: what a text must hold can be looked up here."""
-    return F.lower(F.translate(text, "ſ\u212aıİ", "skii"))
+    others = "ſ\u212aıİ"
+    return F.lower(let(text, lambda t: F.when(contains_any(t, tuple(others)), F.translate(t, others, "skii")).otherwise(t)))
 
 
 def no_spans() -> Column:
@@ -113,7 +120,7 @@ def _placed(steps: Column, start: Column) -> Column:
     return F.aggregate(steps, F.struct(start.cast("int").alias("at"), no_spans().alias("found")), add, lambda s: s["found"])
 
 
-def _cut(xs: Column) -> Column:
+def _runs(xs: Column) -> Column:
     """Runs of RUN elements of a non-empty array."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda i: F.slice(xs, i * RUN + 1, RUN))
 
@@ -125,7 +132,7 @@ def running(sizes: Column) -> Column:
         add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["found"], s["at"]).alias("found"))
         return F.aggregate(run, F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("found")), add, lambda s: s["found"])
 
-    outer = _cut(sizes)
+    outer = _runs(sizes)
     firsts = let(F.transform(outer, lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x)), lambda n: starts(n, F.lit(0)))
     return F.flatten(F.zip_with(outer, firsts, starts))
 
@@ -134,7 +141,7 @@ def _placed_by_runs(steps: Column) -> Column:
     """As :func:`_placed` for many: the lengths of runs give where each starts."""
     total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["match"]))
     place = lambda runs: F.flatten(F.zip_with(runs, let(F.transform(runs, total), running), _placed))
-    return let(_cut(steps), place)
+    return let(_runs(steps), place)
 
 
 def truncated(text: Column, limit: int = 60) -> Column:

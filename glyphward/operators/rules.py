@@ -51,6 +51,7 @@ class Rule:
     hint: str | None = None
     quick: str | None = None  # the same pattern for Java only, where that needs less backtracking
     closes: str | None = None  # every match ends with this: what lies behind the last one is not searched
+    signs: str | None = None  # a pattern that is quick to look for and matches inside every match
     needs: tuple[str, ...] = ()  # one of these, in small letters, is in every text with a match; looked for before the pattern is
 
     @property
@@ -65,7 +66,8 @@ class Rule:
             return python_spans(found)(text)
         if self.pattern:
             held = F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, self.closes, -1))) if self.closes else text
-            return spans(held, regex(self.quick or self.pattern, self.ignore_case))
+            found = spans(held, regex(self.quick or self.pattern, self.ignore_case))
+            return F.when(held.rlike(regex(self.signs, self.ignore_case)), found).otherwise(no_spans()) if self.signs else found
         if self.columns:
             return self.columns(text)
         if self.python:

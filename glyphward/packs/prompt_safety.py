@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,9 +30,12 @@ DESIGN_SIGNALS = ("moodboard", "visual", "ui ", "interface", "logo", "brand", "i
 REPEAT_SIZES = (6, 8, 10)
 REPEAT_LEAST_WORDS = 30
 REPEAT_MOST = 2
+REPEAT_TRIED = 16  # places that are counted at once, before all are sorted
 
 # The name of an address cannot hold the sign after it, so it never needs to be given back.
 QUICK_PII = PII.replace("+@", "++@")
+# What stands in every address, number and key, without the word borders and runs that are slow to tell.
+PII_SIGNS = r"@[a-z0-9.-]|\(\d{3}\)|\d[-.\s]\d{3}[-.\s]\d|_[a-zA-Z0-9]{20}|AKIA[0-9A-Z]|AIza[0-9A-Za-z\-_]"
 # No word that may be repeated begins one that may follow, so the repeats are never given back: Java then loops instead of calling itself.
 QUICK_INJECTION = DIRECT_INJECTION.replace(r"\s+)+", r"\s++)++")
 
@@ -42,11 +46,19 @@ def repetition(text: Column) -> Column:
     For a run to fire, the four words after its first one must stand in the text three times, as
     whole words. Texts without such a gram are done after one look at hashes. In the others the
     places with such a gram are sorted by the words inside their run, so those that may fire are
-    found beside each other; these are counted in what follows them, until two have fired.
+    found beside each other; these are counted in what follows them, until two have fired. In most
+    texts that repeat, two of the first places of the shortest runs do, so these are counted first,
+    and longer runs are looked at only where shorter ones leave something to find.
     """
 
     def find(w: Column, at: Column) -> Column:
-        return F.aggregate(F.concat(*(_repeat_places(w, at, size) for size in REPEAT_SIZES)), F.array().cast(_NO_REPEATS), lambda found, p: _counted(w, found, p))
+        counted = lambda places, found: F.aggregate(places, found, lambda f, p: _counted(w, f, p))
+        unless_enough = lambda before, rest: let(before, lambda found: F.when(F.size(found) >= REPEAT_MOST, found).otherwise(rest(found)))
+        none = F.array().cast(_NO_REPEATS)
+        out = unless_enough(counted(_first_places(w, at, REPEAT_SIZES[0]), none), lambda found: none)
+        for places in [_repeat_places(w, at, size) for size in REPEAT_SIZES]:
+            out = unless_enough(out, partial(counted, places))
+        return out
 
     def placed(w: Column, found: Column) -> Column:
         total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
@@ -86,6 +98,12 @@ def _frequent(grams: Column) -> Column:
     return F.transform(let(ordered, often), lambda x: x["at"])
 
 
+def _first_places(w: Column, grams_at: Column, size: int) -> Column:
+    """(at, size) of the first REPEAT_TRIED runs of ``size`` words that have room for two more behind them."""
+    near = F.filter(F.transform(grams_at, lambda p: p - 1), lambda at: (at >= 0) & (at <= F.size(w) - 3 * size))
+    return F.transform(F.slice(F.sort_array(near), 1, REPEAT_TRIED), lambda at: F.struct(at.alias("at"), F.lit(size).alias("size")))
+
+
 def _repeat_places(w: Column, grams_at: Column, size: int) -> Column:
     """(at, size) of the runs of ``size`` words that may occur twice more after themselves, in order.
 
@@ -154,7 +172,7 @@ RULES = [
     Rule("direct_injection", "prompt_injection", "high", "The text tells the model to drop its instructions.", "Fence user text off and have the model read it as data.", pattern=DIRECT_INJECTION, quick=QUICK_INJECTION, needs=("ignore", "disregard", "forget", "override")),
     Rule("jailbreak_dan", "jailbreak", "critical", "The text calls up a persona without limits.", "Ask for the wanted tone instead of lifting limits.", pattern=JAILBREAK, hint="if bold output was the aim, ask for it: name the risk to take and what to leave out.", needs=("dan", "jailbreak", "developer mode", "god mode", "unrestricted mode", "no limits", "do anything now", "act as if")),
     Rule("role_escalation", "role_escalation", "high", "The text gives the model an absolute role.", "Give it a role with a scope.", pattern=ROLE, hint="if a firm position was the aim, ask for one in a bounded role.", needs=("you are ",)),
-    Rule("pii_and_secrets", "pii_leak", "high", "Personal data or a credential stands in the text.", "Redact it, or put a placeholder that is plainly made up.", pattern=PII, quick=QUICK_PII, confidence=0.95),
+    Rule("pii_and_secrets", "pii_leak", "high", "Personal data or a credential stands in the text.", "Redact it, or put a placeholder that is plainly made up.", pattern=PII, quick=QUICK_PII, signs=PII_SIGNS, confidence=0.95),
     Rule("data_exfil", "data_exfiltration", "high", "The text asks for hidden instructions.", "Leave the model's own instructions out of the request.", pattern=DATA_EXFIL, needs=("prompt", "instructions", "context", "rules")),
     Rule("structured_injection", "structured_injection", "medium", "A control tag stands in the text.", "Put raw input between delimiters of your own.", pattern=STRUCTURED, needs=("<",)),
     Rule("token_bomb", "token_bomb", "medium", "Long runs of words repeat.", "Say it once.", columns=repetition, confidence=0.7),
