@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphward.functions.text import let, lstrip, regex, strip, truncated
+from glyphward.functions.text import contains_any, folded, let, lstrip, regex, strip, truncated
 
 # What is removed, in order, with the rule whose hint goes with it.
 REMOVED = (
@@ -26,8 +27,19 @@ FLUFF = (
     r"\b(?:mind.?blowing|game.?changing|next.?level|revolutionary|stunning|beautifully crafted)\b\s*,?\s*",
     r",?\s*\b(?:please|kindly|if you would be so kind)\b",
 )
+# Words in small letters of which one stands in every text that a pattern changes; no removal makes such a word anew, as none begins inside one.
+REMOVED_NEEDS = (
+    ("ignore", "disregard", "forget", "override"),
+    ("dan", "jailbreak", "developer mode", "god mode", "unrestricted mode", "do anything now", "you are now free", "no ethical ", "no moral "),
+    ("you are ",),
+    ("make it ", "do not hold back", "go wild", "surprise me with your genius", "be the most creative"),
+)
+ARTIST_NEEDS = ("style of", "like the work of", "à la", "in the manner of")
+FLUFF_NEEDS = (("super", "very", "extremely", "incredibly", "absolutely", "completely"), ("blowing", "changing", "level", "revolutionary", "stunning", "crafted"), ("please", "kind"))
+ORPHANS_NEED = (("you",), ("act",), ("act",), ("pretend",), ("roleplay",))
 ORPHANS = (r"\byou\s+are(?:\s+now)?", r"\band\s+act\s+as", r"\bact\s+as", r"\bpretend\s+to\s+be", r"\broleplay\s+as")
 # pattern, replacement, after the orphans have gone twice
+SEAMS_NEED = {4: ("and",), 6: ("that",), 8: ("  ", "\t\t", " \t", "\t "), 9: ("\n\n\n",)}  # what a text that the pattern changes holds, by its place
 SEAMS = (
     (r"\s+([.,;:!?])", "$1"),
     (r"([.!?])(?:\s*[.!?])+", "$1"),
@@ -117,34 +129,35 @@ def redact(text: Column, spans: Column) -> Column:
     return let(ordered, lambda xs: let(chunks_of(text, xs), lambda chunks: replace_apart(text, xs, chunks)))
 
 
-def tidy(text: Column) -> Column:
+def tidy(text: Column, low: Column | None = None) -> Column:
     """Mend what removals leave: dangling openings, connectives and punctuation, doubled spaces, small letters at sentence starts.
 
-    Each run of replacements is behind one search for all of its patterns: where none matches, none changes the text.
+    ``low`` is :func:`folded` of the text, if it is at hand. What a pattern needs is looked up before the pattern is.
     """
-    orphans = [(regex(p + rest, True), "$1") for p in ORPHANS for rest in (r"\s*([.!?,;])", r"\s+([A-Z])")]
+    return let(text, lambda t: let(folded(t) if low is None else low, lambda known: _tidied(t, known)))
+
+
+def _tidied(text: Column, low: Column) -> Column:
     for _ in range(2):
-        text = _where_any(text, _any_of(ORPHANS, True), orphans)
+        for p, needs in zip(ORPHANS, ORPHANS_NEED, strict=True):
+            text = let(text, partial(_without_orphan, low, p, needs))
         text = F.regexp_replace(lstrip(text), regex(r"(\A|[.!?]\s+)(and|but|or|then|also)\s+", True), "$1")
-    text = _where_any(text, _any_of([p for p, _ in SEAMS]), [(regex(QUICK.get(p, p)), r) for p, r in SEAMS])
+    for i, (p, r) in enumerate(SEAMS):
+        text = let(text, partial(_mended, regex(QUICK.get(p, p)), r, SEAMS_NEED.get(i)))
     return capitalised(text)
 
 
-def _any_of(patterns, ignore_case: bool = False) -> str:
-    """A pattern that matches wherever one of ``patterns`` does; without their word borders, which are slow to tell, it matches more."""
-    return regex("|".join(f"(?:{QUICK.get(p, p)})" for p in patterns).replace(r"\b", ""), ignore_case)
+def _without_orphan(low: Column, pattern: str, needs: tuple[str, ...], t: Column) -> Column:
+    """``t`` without an opening that nothing or a word follows."""
+    out = t
+    for rest in (r"\s*([.!?,;])", r"\s+([A-Z])"):
+        out = F.regexp_replace(out, regex(pattern + rest, True), "$1")
+    return F.when(contains_any(low, needs) & t.rlike(regex(pattern, True)), out).otherwise(t)
 
 
-def _where_any(text: Column, guard: str, replacements: list[tuple[str, str]]) -> Column:
-    """``text`` after all replacements, if ``guard`` matches it."""
-
-    def replaced(t: Column) -> Column:
-        out = t
-        for p, r in replacements:
-            out = F.regexp_replace(out, p, r)
-        return F.when(t.rlike(guard), out).otherwise(t)
-
-    return let(text, replaced)
+def _mended(pattern: str, put: str, needs: tuple[str, ...] | None, t: Column) -> Column:
+    out = F.regexp_replace(t, pattern, put)
+    return F.when(contains_any(t, needs), out).otherwise(t) if needs else out
 
 
 def capitalised(text: Column) -> Column:
@@ -182,8 +195,8 @@ def with_unified_diff(df: DataFrame, before: str, after: str, label: str, out: s
 NO_NOTES = "array<string>"
 
 
-def _without(state: Column, pattern: str, hint: str | None, active: Column | None = None) -> Column:
-    """struct(text, notes) with the matches of ``pattern`` removed and noted."""
+def _without(state: Column, pattern: str, hint: str | None, needs: tuple[str, ...], active: Column | None = None) -> Column:
+    """struct(text, notes, low) with the matches of ``pattern`` removed and noted; low is :func:`folded` of the text."""
 
     def step(s: Column) -> Column:
         found = F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0))
@@ -191,33 +204,32 @@ def _without(state: Column, pattern: str, hint: str | None, active: Column | Non
         def removed(m: Column) -> Column:
             shown = F.transform(m, lambda x: F.concat(F.lit("removed: “"), truncated(x), F.lit("”")))
             notes = F.concat(s["notes"], shown, F.array(F.lit(f"  ↳ {hint}"))) if hint else F.concat(s["notes"], shown)
-            return F.struct(F.regexp_replace(s["text"], pattern, "").alias("text"), notes.alias("notes"))
+            return let(F.regexp_replace(s["text"], pattern, ""), lambda t: F.struct(t.alias("text"), notes.alias("notes"), folded(t).alias("low")))
 
-        hit = s["text"].rlike(pattern) if active is None else active & s["text"].rlike(pattern)
+        hit = contains_any(s["low"], needs) & s["text"].rlike(pattern)
+        hit = hit if active is None else active & hit
         return F.when(hit, let(found, removed)).otherwise(s)
 
     return let(state, step)
 
 
 def _without_filler(state: Column) -> Column:
-    def step(s: Column, pattern: str) -> Column:
+    def step(low: Column, pattern: str, needs: tuple[str, ...], s: Column) -> Column:
         n = F.size(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)))
-        return F.struct(F.regexp_replace(s["text"], pattern, " ").alias("text"), s["notes"].alias("notes"), (s["filler"] + n).alias("filler"))
-
-    def passing(before: Column, pattern: str) -> Column:
-        return let(before, lambda s: step(s, pattern))
+        out = F.struct(F.regexp_replace(s["text"], pattern, " ").alias("text"), s["notes"].alias("notes"), s["low"].alias("low"), (s["filler"] + n).alias("filler"))
+        return F.when(contains_any(low, needs), out).otherwise(s)
 
     def all_passes(s: Column) -> Column:
-        out = counted = F.struct(s["text"].alias("text"), s["notes"].alias("notes"), F.lit(0).alias("filler"))
-        for p in FLUFF:
-            out = passing(out, regex(QUICK.get(p, p), True))
-        return F.when(s["text"].rlike(_any_of(FLUFF, True)), out).otherwise(counted)
+        out = F.struct(s["text"].alias("text"), s["notes"].alias("notes"), s["low"].alias("low"), F.lit(0).alias("filler"))
+        for p, needs in zip(FLUFF, FLUFF_NEEDS, strict=True):
+            out = let(out, partial(step, s["low"], regex(QUICK.get(p, p), True), needs))
+        return out
 
     state = let(state, all_passes)
 
     def noted(s: Column) -> Column:
         line = F.concat(F.lit("trimmed "), s["filler"].cast("string"), F.when(s["filler"] == 1, " filler word").otherwise(" filler words"))
-        return F.struct(s["text"].alias("text"), F.when(s["filler"] > 0, F.array_append(s["notes"], line)).otherwise(s["notes"]).alias("notes"))
+        return F.struct(s["text"].alias("text"), F.when(s["filler"] > 0, F.array_append(s["notes"], line)).otherwise(s["notes"]).alias("notes"), s["low"].alias("low"))
 
     return let(state, noted)
 
@@ -237,10 +249,11 @@ def safe_rewrite(text: Column, findings: Column, designer: Column, hints: dict[s
 
     secrets = let(F.length(text), lambda n: F.filter(findings, lambda f: (f["id"] == "pii_and_secrets") & (f["end"] <= n)))
     state = let(secrets, lambda found: let(chunks_of(text, found), lambda chunks: redacted(found, chunks)))
-    for rule, p in REMOVED:
-        state = _without(state, regex(QUICK.get(p, p)), hints.get(rule))
-    state = _without_filler(_without(state, regex(ARTIST), hints.get("copyright_artist"), designer))
-    state = let(state, lambda s: F.struct(strip(tidy(s["text"])).alias("rewritten"), s["notes"].alias("notes")))
+    state = let(state, lambda s: F.struct(s["text"].alias("text"), s["notes"].alias("notes"), folded(s["text"]).alias("low")))
+    for (rule, p), needs in zip(REMOVED, REMOVED_NEEDS, strict=True):
+        state = _without(state, regex(QUICK.get(p, p)), hints.get(rule), needs)
+    state = _without_filler(_without(state, regex(ARTIST), hints.get("copyright_artist"), ARTIST_NEEDS, designer))
+    state = let(state, lambda s: F.struct(strip(tidy(s["text"], s["low"])).alias("rewritten"), s["notes"].alias("notes")))
 
     def closing(s: Column) -> Column:
         notes = F.when(s["rewritten"] == "", F.array_append(s["notes"], F.lit(NOTHING_LEFT))).when(F.size(s["notes"]) == 0, F.array(F.lit(WELL_BEHAVED))).otherwise(s["notes"])
