@@ -101,6 +101,11 @@ def spans(text: Column, pattern: str | Column) -> Column:
     return F.when(there, let(steps(text, pattern), placed)).otherwise(no_spans())
 
 
+def opening_span(text: Column, pattern: str) -> Column:
+    """As :func:`spans` for a pattern that matches at the start of the text only: what lies behind is not searched."""
+    return let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", F.array(span(F.lit(0), F.length(m), m))).otherwise(no_spans()))
+
+
 RUN = 128  # matches that are placed one after the other
 
 

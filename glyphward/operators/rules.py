@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphward.functions.text import SPAN, contains_any, no_spans, regex, spans, token_estimate
+from glyphward.functions.text import SPAN, contains_any, no_spans, opening_span, regex, spans, token_estimate
 
 Spans = Callable[[Column], Column]
 PythonDetector = Callable[[str], list[tuple[int, int, str]]]
@@ -66,6 +66,8 @@ class Rule:
             return python_spans(found)(text)
         if self.pattern:
             held = F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, self.closes, -1))) if self.closes else text
+            if self.pattern.startswith(r"\A") and "|" not in self.pattern:
+                return opening_span(held, regex(self.quick or self.pattern, self.ignore_case))
             found = spans(held, regex(self.quick or self.pattern, self.ignore_case))
             return F.when(held.rlike(regex(self.signs, self.ignore_case)), found).otherwise(no_spans()) if self.signs else found
         if self.columns:
