@@ -7,13 +7,16 @@
 Any store that Arrow opens by its URI will do. Reading turns CR and CRLF into newlines and bytes that
 are no UTF-8 into U+FFFD. Writing puts a file for each row into a hidden folder of the job; files
 move to their places only after all tasks have ended, so a lost executor or a failed job leaves
-nothing half done, and a task that runs twice leaves one file.
+nothing half done, and a task that runs twice leaves one file. A folder that one task alone has written
+moves as a whole where the store can do that, so rows dealt by their folders are committed in as many
+moves as there are folders. The driver looks at one folder's names at a time.
 """
 
 from __future__ import annotations
 
 import posixpath
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,25 +27,33 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 TASK_BYTES = 32 << 20
+BATCH_FILES, BATCH_BYTES = 1_000, 4 << 20  # of files that a reader hands over together
 STAGING = "_staging-"
+FOLDERS_MOVE = ("local", "hdfs")  # stores where a folder moves in one step
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def _listed(system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    """What lies in a folder, by name; nothing if there is none."""
+    return sorted(system.get_file_info(fs.FileSelector(folder, allow_not_found=True)), key=lambda f: f.base_name)
+
+
 @dataclass
 class Files(InputPartition):
-    """The files of a task."""
+    """The files of a task: folders below the base, and of each its names, with slashes between them."""
 
-    paths: tuple[str, ...]
+    runs: tuple[tuple[str, str], ...]
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What a task has staged, by the final names."""
+    """Where a task has staged its files, under their final names, and a path that it had twice."""
 
-    staged: tuple[tuple[str, str], ...]
+    folder: str
+    twice: str | None
 
 
 class TextReader(DataSourceReader):
@@ -50,26 +61,47 @@ class TextReader(DataSourceReader):
         self.uri, self.suffix, self.size = options["path"], options.get("suffix", ""), int(options.get("taskBytes", TASK_BYTES))
 
     def partitions(self) -> list[Files]:
-        """Files in the order of their names, in runs of ``taskBytes``; hidden ones, and those without the suffix, are passed over."""
+        """Files folder by folder, in the order of their names, in runs of ``taskBytes``; hidden ones, and those without the suffix, are passed over."""
         system, base = _opened(self.uri)
-        found = system.get_file_info(fs.FileSelector(base, recursive=True))
-        hidden = lambda p: any(x[:1] in "._" for x in posixpath.relpath(p, base).split("/"))
-        out: list[list[str]] = []
+        out: list[list[tuple[str, str]]] = []
         held = 0
-        for f in sorted((f for f in found if f.is_file and f.path.endswith(self.suffix) and not hidden(f.path)), key=lambda f: f.path):
-            if not out or held + f.size > self.size:
-                out.append([])
-                held = 0
-            out[-1].append(f.path)
-            held += f.size
+        folders = [""]
+        while folders:
+            folder = folders.pop()
+            found = [f for f in _listed(system, posixpath.join(base, folder)) if f.base_name[:1] not in "._"]
+            names: list[str] = []
+            for f in found:
+                if not f.is_file or not f.base_name.endswith(self.suffix):
+                    continue
+                if not out or held + f.size > self.size:
+                    if names:
+                        out[-1].append((folder, "/".join(names)))
+                    names, held = [], 0
+                    out.append([])
+                names.append(f.base_name)
+                held += f.size
+            if names:
+                out[-1].append((folder, "/".join(names)))
+            folders += [posixpath.join(folder, f.base_name) for f in reversed(found) if f.type == fs.FileType.Directory]
         return [Files(tuple(x)) for x in out]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, base = _opened(self.uri)
-        for path in partition.paths if partition else ():
-            with system.open_input_stream(path) as f:
-                text = f.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
-            yield pa.RecordBatch.from_arrays([pa.array([posixpath.relpath(path, base)]), pa.array([text])], names=["path", "text"])
+        paths: list[str] = []
+        texts: list[str] = []
+        size = 0
+        for folder, names in partition.runs if partition else ():
+            for path in (posixpath.join(folder, n) for n in names.split("/")):
+                with system.open_input_stream(f"{base}/{path}") as f:
+                    data = f.read()
+                if paths and (len(paths) == BATCH_FILES or size + len(data) > BATCH_BYTES):
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts)], names=["path", "text"])
+                    paths, texts, size = [], [], 0
+                paths.append(path)
+                texts.append(data.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
+                size += len(data)
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts)], names=["path", "text"])
 
 
 class TextWriter(DataSourceArrowWriter):
@@ -79,7 +111,9 @@ class TextWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         """Stage the rows of a task; what a task that fails has staged goes at once."""
         system, base = _opened(self.uri)
-        own, staged = f"{base}/{self.job}/{uuid.uuid4().hex}", []
+        own, twice = f"{base}/{self.job}/{uuid.uuid4().hex}", None
+        made: set[str] = set()
+        places: set[str] = set()
         try:
             for b in batches:
                 held = "content" if "content" in b.schema.names else "text"
@@ -87,33 +121,64 @@ class TextWriter(DataSourceArrowWriter):
                     place = posixpath.normpath(name or "")
                     if not name or place.startswith(("/", "..")) or place == ".":
                         raise ValueError(f"{name!r} is no path below the folder")
-                    if not staged:
-                        system.create_dir(own, recursive=True)
-                    at = f"{own}/{len(staged)}"
+                    if place in places:
+                        twice = place
+                        continue
+                    places.add(place)
+                    at = f"{own}/{place}"
+                    if (folder := posixpath.dirname(at)) not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
                     with system.open_output_stream(at) as f:
                         f.write(data if isinstance(data, bytes) else (data or "").encode())
-                    staged.append((at, place))
         except BaseException:
-            if staged:
+            if made:
                 system.delete_dir(own)
             raise
-        return Written(tuple(staged))
+        return Written(own if made else "", twice)
 
     def commit(self, messages: list[Written | None]) -> None:
         """All files go to their places; two rows of one path are an error, as is a path that is there unless it is to be overwritten."""
         system, base = _opened(self.uri)
-        moves = [m for w in messages if w for m in w.staged]
-        names = [place for _, place in moves]
-        there = [] if self.overwrite else [n for n, i in zip(names, system.get_file_info([f"{base}/{n}" for n in names]), strict=True) if i.type != fs.FileType.NotFound]
-        if len(set(names)) < len(names) or there:
+        staged = [w.folder for w in messages if w and w.folder]
+        try:
+            for w in messages:
+                if w and w.twice:
+                    raise FileExistsError(f"several rows have one path: {w.twice}")
+            for _ in self._moves(system, staged, base):  # before anything moves
+                pass
+        except BaseException:
             self.abort(messages)
-            raise FileExistsError(f"several rows have one path, or it is there: {(there or names)[:3]}")
-        for folder in {"", *(posixpath.dirname(n) for n in names)}:
-            system.create_dir(f"{base}/{folder}", recursive=True)
-        for at, place in moves:
-            system.move(at, f"{base}/{place}")
+            raise
+        system.create_dir(base, recursive=True)
+        made = base
+        for at, place in self._moves(system, staged, base):
+            if (folder := posixpath.dirname(place)) != made:
+                system.create_dir(folder, recursive=True)
+                made = folder
+            system.move(at, place)
         self._clear()
 
+    def _moves(self, system: fs.FileSystem, sources: list[str], target: str) -> Iterator[tuple[str, str]]:
+        """From where to where what lies in ``sources`` moves, to be below ``target``: folders as a whole if no other source and nothing in ``target`` has their name."""
+        there = {f.base_name: f.type for f in _listed(system, target)} if sources else {}
+        found = defaultdict(list)
+        for source in sources:
+            for f in _listed(system, source):
+                found[f.base_name].append(f)
+        for name, same in found.items():
+            place, folders = f"{target}/{name}", [f.path for f in same if f.type == fs.FileType.Directory]
+            if folders:
+                clash = len(folders) < len(same) or there.get(name) == fs.FileType.File
+            else:
+                clash = len(same) > 1 or name in there and (not self.overwrite or there[name] == fs.FileType.Directory)
+            if clash:
+                raise FileExistsError(f"several rows have one path, or it is there: {place}")
+            if folders and (len(same) > 1 or name in there or system.type_name not in FOLDERS_MOVE):
+                yield from self._moves(system, folders, place)
+            else:
+                yield same[0].path, place
+
     def abort(self, messages: list[Written | None]) -> None:
         self._clear()
 
@@ -143,3 +208,18 @@ class TextFiles(DataSource):
 def register(spark: SparkSession) -> None:
     """Make the format known to a session."""
     spark.dataSource.register(TextFiles)
+
+
+def delete_folder(spark: SparkSession, uri: str) -> None:
+    """Delete a folder: what lies in it by tasks, as stores without a step for whole trees take time for each file."""
+
+    def cleared(path: str) -> None:
+        system = _opened(uri)[0]
+        if system.get_file_info(path).type == fs.FileType.Directory:  # gone if the task runs again
+            system.delete_dir(path)
+
+    system, base = _opened(uri)
+    inner = [f.path for f in _listed(system, base) if f.type == fs.FileType.Directory]
+    if inner:
+        spark.sparkContext.parallelize(inner, min(len(inner), 1_000)).foreach(cleared)
+    system.delete_dir(base)

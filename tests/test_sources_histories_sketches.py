@@ -1,7 +1,9 @@
 """Text files as a data source, scans over time, sketches and sessions."""
 
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,67 @@ def test_files_are_written_at_the_commit(spark, texts, tmp_path):
     assert texts(tmp_path / "nothing").collect() == []
 
 
+def staged(writer, *tasks):
+    """What tasks have written that were given these paths."""
+    return [writer.write(iter([pa.record_batch({"path": list(paths), "text": [f"text of {p}" for p in paths]})])) for paths in tasks]
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.read_text() for p in folder.rglob("*") if p.is_file()}
+
+
+def test_folders_of_one_task_are_committed_as_a_whole(tmp_path, monkeypatch):
+    moves = []
+
+    class Counted:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def move(self, at, place):
+            moves.append(place)
+            self.system.move(at, place)
+
+    opened = datasource._opened
+    monkeypatch.setattr(datasource, "_opened", lambda uri: (lambda system, base: (Counted(system), base))(*opened(uri)))
+    paths = [f"{i % 5}/deep/{i}.txt" for i in range(2_000)]
+    writer = datasource.TextWriter({"path": str(tmp_path)}, False)
+    told = staged(writer, [p for p in paths if p[0] in "012"], [p for p in paths if p[0] in "34"])
+    assert len(pickle.dumps(told)) < 1_000  # what the driver gets does not grow with the files
+    writer.commit(told)
+    assert len(moves) == 5 and files_of(tmp_path) == {p: f"text of {p}" for p in paths}
+    parts = datasource.TextReader({"path": str(tmp_path), "taskBytes": "1000"}).partitions()
+    assert len(parts) > 20 and len(pickle.dumps(parts)) < 25 * len(paths)
+    batches = [b for p in parts for b in datasource.TextReader({"path": str(tmp_path)}).read(p)]
+    assert len(batches) == len(parts) and sorted(x for b in batches for x in b.column(0).to_pylist()) == sorted(paths)
+
+
+def test_folders_of_several_tasks_are_merged(tmp_path):
+    writer = datasource.TextWriter({"path": str(tmp_path)}, False)
+    writer.commit(staged(writer, ["a/1", "a/b/1", "top"], ["a/2", "a/b/2", "c/1"]))
+    assert set(files_of(tmp_path)) == {"a/1", "a/b/1", "top", "a/2", "a/b/2", "c/1"}
+    before = files_of(tmp_path)
+    for tasks in ((["d/1"], ["d/1"]), (["d/1", "d/./1"],), (["d/2"], ["a/b/1"]), (["d/3"], ["a"]), (["d/4"], ["top/1"]), (["d"], ["d/5"])):
+        writer = datasource.TextWriter({"path": str(tmp_path)}, False)
+        with pytest.raises(FileExistsError, match="one path"):
+            writer.commit(staged(writer, *tasks))
+        assert files_of(tmp_path) == before and not (tmp_path / "d").exists()
+    (tmp_path / "a" / "2").write_text("old")
+    writer = datasource.TextWriter({"path": str(tmp_path)}, True)
+    writer.commit(staged(writer, ["a/2", "a/3"], ["a/4"]))
+    assert files_of(tmp_path) == before | {f"a/{i}": f"text of a/{i}" for i in (2, 3, 4)}
+
+
+def test_a_folder_is_deleted(spark, tmp_path):
+    (tmp_path / "out" / "a" / "b").mkdir(parents=True)
+    for name in ("top", "a/1", "a/b/2"):
+        (tmp_path / "out" / name).write_text("x")
+    datasource.delete_folder(spark, (tmp_path / "out").as_uri())
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_as_of_against_brute_force(spark):
     rng = random.Random(6)
     left = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(30)]), i) for i in range(80)]
