@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="glyphward-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``.
+    """The folder in ``spark.checkpoint.dir``, or else the one of ``setCheckpointDir``.
 
-    Where it is unset, a session on one machine (tests) gets a temporary folder; on a cluster no
-    folder of one machine would do, so that is an error.
+    Where both are unset, a session on one machine gets a temporary folder of its process; on a
+    cluster no folder of one machine would do, so that is the warehouse, which executors write to.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="glyphward-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        one_machine = re.match(r"local(\[|$)", spark.sparkContext.master)  # not local-cluster
+        found = _temporary() if one_machine else spark.conf.get("spark.sql.warehouse.dir")
     return found.rstrip("/")
 
 
