@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +46,17 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // TEXTS_IN_TASK)))
 
 
+@cache
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="glyphward-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one for a session on one machine, and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, or else of ``setCheckpointDir``; where both are unset, a temporary one of the process on one machine, and the warehouse on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="glyphward-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        one_machine = re.match(r"local(\[|$)", spark.sparkContext.master)  # not local-cluster
+        found = _temporary() if one_machine else spark.conf.get("spark.sql.warehouse.dir")
     return found.rstrip("/")
 
 
