@@ -6,6 +6,11 @@ and beside each other wherever the string is found, the longest ones, else the o
 first characters. Texts give each anchor that they hold once; what meets is a candidate, and only
 candidates are searched. One word of two would do too, but one that is frequent in strings and in
 texts meets with the product of both.
+
+A string that is just two words and what stands between them is found where its anchor is: the two
+words of the text are the match, so the text is not searched again, however many strings it holds.
+Pairs that no string has are mostly dropped before they are shuffled, by a table of bits whose size
+is fixed.
 """
 
 from __future__ import annotations
@@ -13,18 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphward.functions.text import let, regex, spans
+from glyphward.functions.text import let, regex, running, spans
 
 GRAM = 3  # characters of an anchor that is no whole word, at most
 PAIR = -1  # the size of an anchor of two words
 WORD = regex(r"\w+")
 INNER_WORD = regex(r"(?<=\W)\w+(?=\W)")
 ENDS_IN_LETTERS = regex(r"\A[\p{L}\p{N}](?s:.*[\p{L}\p{N}])?\z")
+TWO_WORDS = regex(r"\A(\w+)(\W+)(\w+)\z")
+SLOTS = 1 << 18  # rows of 64 bits that say which anchors of two words there may be
 
 
 def folded(text: Column) -> Column:
     """The same for all texts that differ by the case of letters only, as patterns see it."""
-    return F.upper(F.lower(F.translate(text, "ſKıİ", "skii")))
+    # Spark takes the capital of a small letter for that of the letter itself, which of these it is not
+    others = "ſ\u212aıİ\u03f4\u1e9e\u2126\u212b"
+    return F.upper(F.lower(F.translate(text, others, "skiiθßωå")))
 
 
 def literal(value: Column) -> Column:
@@ -74,6 +83,44 @@ def _grams_of_long(text: Column, size: int) -> Column:
     return F.transform(F.arrays_zip(*(F.slice(letters, k + 1, F.size(letters)).alias(f"c{k}") for k in range(size))), lambda x: F.concat(*(F.coalesce(x[f"c{k}"], F.lit("")) for k in range(size))))
 
 
+def _two_words(value: Column) -> Column:
+    """Whether a string is two words, different ones whatever their case, and what parts them: it is then found at whole words only and never overlaps itself."""
+    part = lambda n: F.regexp_extract(value, TWO_WORDS, n)
+    return value.rlike(TWO_WORDS) & value.rlike(ENDS_IN_LETTERS) & (folded(part(1)) != folded(part(3)))
+
+
+def _whole_hash(first: Column, gap: Column, second: Column) -> Column:
+    return F.xxhash64(F.lit(PAIR), folded(first), gap, folded(second))
+
+
+def _pairs_with_places(text: Column) -> Column:
+    """array of (first, gap, second, start): the words that follow each other, with what parts them."""
+
+    def pairs(w: Column, gaps: Column) -> Column:
+        begins = running(F.zip_with(F.slice(gaps, 1, F.size(w)), w, lambda g, x: F.length(g) + F.length(x)))
+        pair = lambda at: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.struct(x.alias("first"), F.get(gaps, i + 1).alias("gap"), F.get(w, i + 1).alias("second"), (F.get(at, i) + F.length(F.get(gaps, i))).alias("start")))
+        return let(begins, pair)
+
+    kind = "array<struct<first:string,gap:string,second:string,start:int>>"
+    some = lambda w: F.when(F.size(w) > 1, let(F.split(text, WORD, -1), lambda gaps: pairs(w, gaps))).otherwise(F.array().cast(kind))
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), some)
+
+
+def _find_two_words(held: DataFrame, strings: DataFrame, key: str, text_col: str, value: str) -> DataFrame:
+    """:func:`find_listed` for strings of :func:`_two_words`."""
+    part = lambda n: F.regexp_extract(value, TWO_WORDS, n)
+    index = strings.distinct().withColumn("__anchor", _whole_hash(part(1), part(2), part(3)))
+    slot, bit = F.pmod("__anchor", F.lit(SLOTS)), F.shiftrightunsigned("__anchor", 58).cast("int")
+    signs = index.groupBy(slot.alias("__slot")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(__anchor, 58) AS int)))").alias("__bits"))
+    whole = F.filter(_pairs_with_places(F.col(text_col)), lambda p: p["start"] >= 0)  # everything; of a plain column the optimizer would pull every field out
+    pairs = held.select(F.col(key).alias("__key"), F.explode(whole).alias("p")).select("__key", "p.*")
+    met = pairs.select("__key", "start", F.concat("first", "gap", "second").alias("excerpt"), _whole_hash(F.col("first"), F.col("gap"), F.col("second")).alias("__anchor"))
+    may = met.withColumn("__slot", slot).join(F.broadcast(signs), "__slot").where(F.getbit("__bits", bit) == 1).drop("__slot", "__bits")
+    found = may.withColumnsRenamed({"start": "__start", "excerpt": "__excerpt"}).join(index, "__anchor")
+    same = F.when(F.col("__excerpt") == F.col(value), True).otherwise(F.rlike(F.col("__excerpt"), literal(F.col(value))))
+    return found.where(same).select(F.col("__key").alias(key), *strings.columns, F.col("__start").alias("start"), (F.col("__start") + F.length("__excerpt")).alias("end"), F.col("__excerpt").alias("excerpt"))
+
+
 def find_listed(docs: DataFrame, strings: DataFrame, key: str = "doc_id", text_col: str = "text", value: str = "value") -> DataFrame:
     """(key, columns of ``strings``, start, end, excerpt): a row for each place of each listed string in each text.
 
@@ -84,12 +131,16 @@ def find_listed(docs: DataFrame, strings: DataFrame, key: str = "doc_id", text_c
     only while its measured size is below ``spark.sql.autoBroadcastJoinThreshold``, and shuffles hashes
     beyond it; texts are read again for candidates only.
     """
-    own = [c for c in strings.columns]
-    index = listed(strings, value)
+    two = F.coalesce(_two_words(F.col(value)), F.lit(False))
+    index = listed(strings.where(~two), value)
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # at most GRAM + 2
-    if not sizes:
-        return docs.select(key).limit(0).select(key, *(F.lit(None).cast(strings.schema[c].dataType).alias(c) for c in own), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("excerpt"))
     held = docs.where(F.col(text_col).isNotNull() & F.col(key).isNotNull())
+    plain = _find_two_words(held, strings.where(two), key, text_col, value)
+    return plain.unionByName(_find_any(held, index, sizes, strings.columns, key, text_col, value)) if sizes else plain
+
+
+def _find_any(held: DataFrame, index: DataFrame, sizes: list[int], own: list[str], key: str, text_col: str, value: str) -> DataFrame:
+    """:func:`find_listed` for the strings of ``index``, by a search of each candidate."""
     words = held.select(F.col(key).alias("__key"), F.explode(anchors_of(F.col(text_col), sizes)).alias("anchor"))
     listed_there = F.struct(*own)
     candidates = words.join(index, "anchor").groupBy("__key").agg(F.collect_set(listed_there).alias("__listed"))  # of one text
