@@ -76,6 +76,15 @@ def folded(text: Column) -> Column:
     return F.lower(let(text, lambda t: F.when(contains_any(t, tuple(others)), F.translate(t, others, "skii")).otherwise(t)))
 
 
+SMALL = "ß" + "".join(map(chr, (*range(0x1F80, 0x1F88), *range(0x1F90, 0x1F98), *range(0x1FA0, 0x1FA8), 0x1FB3, 0x1FC3, 0x1FF3)))
+CAPITAL = "ẞ" + "".join(map(chr, (*range(0x1F88, 0x1F90), *range(0x1F98, 0x1FA0), *range(0x1FA8, 0x1FB0), 0x1FBC, 0x1FCC, 0x1FFC)))
+
+
+def one_capital(letter: Column) -> Column:
+    """The capital of a letter if that is one letter too, ẞ for ß; else the letter."""
+    return let(F.upper(letter), lambda c: F.when(F.length(c) > 1, F.translate(letter, SMALL, CAPITAL)).otherwise(c))
+
+
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -129,22 +129,23 @@ def redact(text: Column, spans: Column) -> Column:
     return let(ordered, lambda xs: let(chunks_of(text, xs), lambda chunks: replace_apart(text, xs, chunks)))
 
 
-def tidy(text: Column, low: Column | None = None) -> Column:
+def tidy(text: Column, low: Column | None = None, capital: Callable[[Column], Column] = F.upper) -> Column:
     """Mend what removals leave: dangling openings, connectives and punctuation, doubled spaces, small letters at sentence starts.
 
     ``low`` is :func:`folded` of the text, if it is at hand. What a pattern needs is looked up before the pattern is.
+    ``capital`` makes the first letter of the text large.
     """
-    return let(text, lambda t: let(folded(t) if low is None else low, lambda known: _tidied(t, known)))
+    return let(text, lambda t: let(folded(t) if low is None else low, lambda known: _tidied(t, known, capital)))
 
 
-def _tidied(text: Column, low: Column) -> Column:
+def _tidied(text: Column, low: Column, capital: Callable[[Column], Column]) -> Column:
     for _ in range(2):
         for p, needs in zip(ORPHANS, ORPHANS_NEED, strict=True):
             text = let(text, partial(_without_orphan, low, p, needs))
         text = F.regexp_replace(lstrip(text), regex(r"(\A|[.!?]\s+)(and|but|or|then|also)\s+", True), "$1")
     for i, (p, r) in enumerate(SEAMS):
         text = let(text, partial(_mended, regex(QUICK.get(p, p)), r, SEAMS_NEED.get(i)))
-    return capitalised(text)
+    return capitalised(text, capital)
 
 
 def _without_orphan(low: Column, pattern: str, needs: tuple[str, ...], t: Column) -> Column:
@@ -160,7 +161,7 @@ def _mended(pattern: str, put: str, needs: tuple[str, ...] | None, t: Column) ->
     return F.when(contains_any(t, needs), out).otherwise(t) if needs else out
 
 
-def capitalised(text: Column) -> Column:
+def capitalised(text: Column, capital: Callable[[Column], Column] = F.upper) -> Column:
     """Sentence starts in capitals, unless the word has capitals inside; the first word not if it looks like an identifier."""
     first = regex(r"([.!?]\s+)([a-z])(?!\w*\p{IsUppercase})")
 
@@ -171,7 +172,7 @@ def capitalised(text: Column) -> Column:
     def opening(t: Column) -> Column:
         word = F.regexp_extract(t, regex(r"\A\S+"), 0)
         identifier = word.rlike(r"[@/:=\[\]<>{}]") | F.substring(word, 2, 1 << 30).rlike(regex(r"\p{IsUppercase}"))
-        return F.when(t.rlike(regex(r"\A\p{IsLowercase}")) & ~identifier, F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))).otherwise(t)
+        return F.when(t.rlike(regex(r"\A\p{IsLowercase}")) & ~identifier, F.concat(capital(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))).otherwise(t)
 
     return let(let(text, starts), opening)
 
@@ -234,7 +235,7 @@ def _without_filler(state: Column) -> Column:
     return let(state, noted)
 
 
-def safe_rewrite(text: Column, findings: Column, designer: Column, hints: dict[str, str]) -> Column:
+def safe_rewrite(text: Column, findings: Column, designer: Column, hints: dict[str, str], capital: Callable[[Column], Column] = F.upper) -> Column:
     """struct(rewritten, notes): secrets redacted, risky phrases and filler removed, seams tidied.
 
     Spans are applied to the text as it was scanned, which is stripped afterwards.
@@ -253,7 +254,7 @@ def safe_rewrite(text: Column, findings: Column, designer: Column, hints: dict[s
     for (rule, p), needs in zip(REMOVED, REMOVED_NEEDS, strict=True):
         state = _without(state, regex(QUICK.get(p, p)), hints.get(rule), needs)
     state = _without_filler(_without(state, regex(ARTIST), hints.get("copyright_artist"), ARTIST_NEEDS, designer))
-    state = let(state, lambda s: F.struct(strip(tidy(s["text"], s["low"])).alias("rewritten"), s["notes"].alias("notes")))
+    state = let(state, lambda s: F.struct(strip(tidy(s["text"], s["low"], capital)).alias("rewritten"), s["notes"].alias("notes")))
 
     def closing(s: Column) -> Column:
         notes = F.when(s["rewritten"] == "", F.array_append(s["notes"], F.lit(NOTHING_LEFT))).when(F.size(s["notes"]) == 0, F.array(F.lit(WELL_BEHAVED))).otherwise(s["notes"])

@@ -49,6 +49,11 @@ def _first_of_each(found: Column) -> Column:
     return F.transform(first, lambda x: x["f"])
 
 
+def _every_match(pack: PackLike) -> bool:
+    """Whether a pack keeps all findings of a rule; others keep the first of those with one start."""
+    return getattr(pack, "every_match", False)
+
+
 def optional_active(text: Column, pack: PackLike, force: Column) -> Column:
     return ~is_blank(text) & (force | pack.wants_optional(text))
 
@@ -67,8 +72,8 @@ def findings(text: Column, pack: PackLike, force: Column | bool = False, low: Co
         part = _found(rule, i, text, low)
         parts.setdefault(rule.id, []).append(F.when(active, part).otherwise(none) if rule.optional else part)
     # matches of one pattern never start at one place
-    clash = {r.id for r in pack.rules if r.kind != "pattern" or len(parts[r.id]) > 1}
-    every = F.concat(none, *(_first_of_each(F.concat(none, *own)) if name in clash else own[0] for name, own in parts.items()))
+    clash = set() if _every_match(pack) else {r.id for r in pack.rules if r.kind != "pattern" or len(parts[r.id]) > 1}
+    every = F.concat(none, *(_first_of_each(F.concat(none, *own)) if name in clash else own[0] if len(own) == 1 else F.concat(none, *own) for name, own in parts.items()))
     shown = F.transform(F.sort_array(every), lambda f: F.struct(*(f[c].alias(c) for c in ("id", "category", "severity", "start", "end", "excerpt", "message", "suggestion", "confidence"))))
     return F.when(is_blank(text), F.array().cast(f"array<{FINDING}>")).otherwise(shown.cast(f"array<{FINDING}>"))
 
@@ -85,7 +90,7 @@ def _findings_by_columns(pack: PackLike, text_col: str) -> Column:
     """
     text, low, active = F.coalesce(F.col(text_col), F.lit("")), F.col(LOW), F.coalesce(F.col(ACTIVE), F.lit(False))
     try:
-        key = (SparkContext._active_spark_context.applicationId, text_col, tuple(pack.rules))
+        key = (SparkContext._active_spark_context.applicationId, text_col, _every_match(pack), tuple(pack.rules))
         found = _built.get(key)
     except TypeError:  # rules from elsewhere need not be hashable
         return findings(text, pack, False, low, active)

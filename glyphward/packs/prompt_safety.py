@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphward.functions.text import WORD, contains_any, count_of, let, no_spans, regex, span, spans, strip, words
+from glyphward.functions.text import WORD, contains_any, count_of, let, no_spans, one_capital, regex, span, spans, strip, words
 from glyphward.operators.rewriting import safe_rewrite
 from glyphward.operators.rules import Category, Pack, Rule, Template
 
@@ -204,6 +204,8 @@ class PromptSafetyPack(Pack):
     categories: list[Category] = field(default_factory=lambda: list(CATEGORIES))
     rules: list[Rule] = field(default_factory=lambda: list(RULES))
     templates: list[Template] = field(default_factory=lambda: list(TEMPLATES))
+    every_match: bool = False  # also findings of one rule that start where an earlier one does
+    one_letter_capitals: bool = False  # ẞ, not SS, for a ß at the start of a rewritten text
 
     def detects(self, text: Column) -> Column:
         return let(F.lower(text), lambda low: contains_any(low, PROMPT_SIGNALS))
@@ -213,4 +215,4 @@ class PromptSafetyPack(Pack):
 
     def rewrite(self, text: Column, findings: Column, designer: Column) -> Column:
         hints = {r.id: r.hint for r in self.rules if r.hint}
-        return safe_rewrite(text, findings, designer | looks_designed(text), hints)
+        return safe_rewrite(text, findings, designer | looks_designed(text), hints, one_capital if self.one_letter_capitals else F.upper)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphward.functions.text import is_blank, strip
 from glyphward.operators.registry import DEFAULT
+from glyphward.operators.rules import PackLike
 from glyphward.operators.scanning import scan
 
 # The keys that messages are taken from.
@@ -58,7 +59,7 @@ def looks_like_trace(text: Column) -> Column:
     return F.substring(strip(text), 1, 1).isin("{", "[") | F.lower(F.substring(text, 1, 200)).contains('"messages"')
 
 
-def scan_trace(df: DataFrame, text_col: str = "text", designer_mode: bool = False) -> DataFrame:
-    """``df`` scanned by the default pack over raw trace and messages; spans count in the joined text, kept as trace_text."""
+def scan_trace(df: DataFrame, text_col: str = "text", designer_mode: bool = False, pack: PackLike | str = DEFAULT) -> DataFrame:
+    """``df`` scanned by ``pack`` over raw trace and messages; spans count in the joined text, kept as trace_text."""
     joined = df.withColumn("trace_text", trace_text(F.coalesce(F.col(text_col), F.lit(""))))
-    return scan(joined, DEFAULT, "trace_text", designer_mode)
+    return scan(joined, pack, "trace_text", designer_mode)
